@@ -42,6 +42,20 @@ def knapsack(values: np.ndarray, units: int) -> tuple[float, np.ndarray]:
     return float(best[units]), pattern
 
 
+def invert(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan with row pivots, in plain array operations: a threaded BLAS beside a JVM can stall the driver."""
+    m = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(m)])
+    for k in range(m):
+        top = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= factors[:, None] * both[k]
+    return both[:, m:]
+
+
 def solve(counts: np.ndarray, units: int = UNITS) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used; together they hold exactly ``counts[j]`` pieces of size j + 1."""
     sizes = np.flatnonzero(counts)
@@ -52,14 +66,14 @@ def solve(counts: np.ndarray, units: int = UNITS) -> list[tuple[np.ndarray, int]
     columns = np.zeros((units, m), dtype=np.int64)
     columns[sizes, np.arange(m)] = units // (sizes + 1)
     inverse = np.diag(1.0 / columns[sizes, np.arange(m)])
-    x = inverse @ need
+    x = (inverse * need).sum(1)
     for step in range(20 * m):
         duals = np.zeros(units)
         duals[sizes] = inverse.sum(0)
         value, pattern = knapsack(np.where(counts > 0, duals, -1.0), units)
         if value <= 1 + 1e-7:
             break
-        direction = inverse @ pattern[sizes]
+        direction = (inverse * pattern[sizes]).sum(1)
         ratios = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(ratios.argmin())
         if not np.isfinite(ratios[out]):
@@ -69,10 +83,10 @@ def solve(counts: np.ndarray, units: int = UNITS) -> list[tuple[np.ndarray, int]
         others = np.arange(m) != out
         inverse[others] -= np.outer(direction[others], inverse[out])
         if step % 100 == 99:
-            inverse = np.linalg.inv(columns[sizes].astype(float))
-        x = np.maximum(inverse @ need, 0)
+            inverse = invert(columns[sizes])
+        x = np.maximum((inverse * need).sum(1), 0)
     whole = np.floor(x + 1e-6).astype(np.int64)
-    rest = counts - columns @ whole
+    rest = counts - (columns * whole).sum(1)
     for j in range(m):  # rounding may have gone over by a piece
         while (rest < 0).any() and whole[j] and (columns[:, j] * (rest < 0)).any():
             whole[j] -= 1
