@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, bpe_trie, packing
+from . import additive, bitpack, bpe_trie, packing, setsketch
 from ._common import table
 
 
@@ -28,13 +28,21 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe_trie.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_file, op6_packing, op8_bpe_trie)}
+    return {f.__name__: f for f in (op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:
