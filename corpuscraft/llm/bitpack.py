@@ -76,7 +76,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
         if docs:
             yield out()
 
-    ordered = texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(blocks, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -56,12 +57,15 @@ class TrieEncoder:
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.cut_special = re.compile("(" + "|".join(map(re.escape, special)) + ")").split
+        self.made = {a + b: (a, b) for a, b in self.ranks}
+        self.edges: dict[tuple[int, bool], list[tuple[str, int, int]]] = {}
+        self.unmade = {i for i in self.vocab.values() if self.merge(self.symbols(i)) != [self.marked(i)]}
         self.pair_ok: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, list[int]] = {}
         self.chunks: dict[str, tuple[bytes, str]] = {t: (np.array([i], "<u4").tobytes(), t) for t, i in special.items()}
 
     def merge(self, symbols: list[str]) -> list[str]:
-        """Plain BPE; only used on the symbols of a pair of tokens, once for each pair."""
+        """Plain BPE; only used once for each token, to find those that cannot come out."""
         while len(symbols) > 1:
             rank, at = min((self.ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
             if rank == 1 << 60:
@@ -69,6 +73,9 @@ class TrieEncoder:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
+    def marked(self, token: int) -> str:
+        return self.text[token]
+
     def symbols(self, token: int) -> list[str]:
         t = self.text[token]
         if t.endswith(self.mark) and len(t) > len(self.mark):
@@ -76,27 +83,34 @@ class TrieEncoder:
             return [*t[:-1], t[-1] + self.mark]
         return list(t)
 
-    def together(self, left: int, right: int) -> bool:
-        """left is -1 at a word's start."""
-        known = self.pair_ok.get((left, right))
+    def edge(self, token: int, left: bool) -> list[tuple[str, int, int]]:
+        """The symbols that stand at a token's left or right edge while it is merged: symbol, rank it is made at, rank it goes at."""
+        known = self.edges.get((token, left))
         if known is None:
-            own = self.symbols(right)
-            if left < 0:
-                known = self.merge(own) == [self.text[right]]
-            else:
-                known = self.merge(self.symbols(left) + own) == [self.text[left], self.text[right]]
-            if len(self.pair_ok) > 4_000_000:
-                self.pair_ok.clear()
-            self.pair_ok[left, right] = known
+            known, symbol, gone = [], self.marked(token), 1 << 60
+            while True:
+                parts = self.made.get(symbol)
+                known.append((symbol, self.ranks[parts] if parts else -1, gone))
+                if not parts:
+                    break
+                symbol, gone = parts[0 if left else 1], self.ranks[parts]
+            self.edges[token, left] = known
         return known
 
-    def last_token(self, path: str, depth: int, last: list[int], table: dict[str, int]) -> tuple[int, int]:
-        """The last token of the encoding of path[:depth] and the place it starts at."""
-        for start in range(max(0, depth - self.longest), depth):
-            t = table.get(path[start:depth])
-            if t is not None and self.together(last[start], t):
-                return t, start
-        raise ValueError(f"no token of the vocabulary ends {path[:depth]!r}")
+    def together(self, left: int, right: int) -> bool:
+        """Whether merging the pair's symbols gives the pair again: no merge across the border comes first while its two
+        symbols stand there (of equal ranks the one to the left comes first). left is -1 at a word's start."""
+        known = right not in self.unmade and (left < 0 or left not in self.unmade)
+        if known and left >= 0:
+            for a, a_from, a_to in self.edge(left, False):
+                for b, b_from, b_to in self.edge(right, True):
+                    rank = self.ranks.get((a, b))
+                    if rank is not None and rank < a_to and rank <= b_to and max(a_from, b_from) < min(a_to, b_to):
+                        known = False
+        if len(self.pair_ok) > 2_000_000:
+            self.pair_ok.clear()
+        self.pair_ok[left, right] = known
+        return known
 
     def encode_words(self, words: list[str]) -> None:
         """Ids of distinct words (of byte letters) by one walk over their trie, into self.words."""
@@ -104,29 +118,45 @@ class TrieEncoder:
         for w in words:
             node = root
             for c in w:
-                node = node.setdefault(c, {})
+                below = node.get(c)
+                if below is None:
+                    below = node[c] = {}
+                node = below
             node[_END] = w
         last, starts = [-1] * 2, [0] * 2
         stack = [(node, 1, c) for c, node in root.items()]
-        path: list[str] = [""]
+        known, final, inner, longest = self.pair_ok.get, self.final.get, self.inner.get, self.longest
         while stack:
-            node, depth, c = stack.pop()
-            del path[depth:], last[depth:], starts[depth:]
-            path.append(c)
-            prefix = "".join(path)
+            node, depth, prefix = stack.pop()
+            del last[depth:], starts[depth:]
+            first = depth - longest if depth > longest else 0
             word = node.get(_END)
             if word is not None:
-                t, at = self.last_token(word, depth, last, self.final)
+                for at in range(first, depth):
+                    t = final(prefix[at:])
+                    if t is not None and ((ok := known((last[at], t))) or ok is None and self.together(last[at], t)):
+                        break
+                else:
+                    raise ValueError(f"no token of the vocabulary ends {word!r}")
                 ids = [t]
                 while at > 0:
                     ids.append(last[at])
                     at = starts[at]
-                self.words[word] = tuple(ids[::-1])
-            if len(node) > (word is not None):
-                t, at = self.last_token(prefix, depth, last, self.inner)
-                last.append(t)
-                starts.append(at)
-                stack.extend((n, depth + 1, k) for k, n in node.items() if k is not _END)
+                ids.reverse()
+                self.words[word] = ids
+                if len(node) == 1:
+                    continue
+            for at in range(first, depth):
+                t = inner(prefix[at:])
+                if t is not None and ((ok := known((last[at], t))) or ok is None and self.together(last[at], t)):
+                    break
+            else:
+                raise ValueError(f"no token of the vocabulary ends {prefix!r}")
+            last.append(t)
+            starts.append(at)
+            for c, below in node.items():
+                if c:
+                    stack.append((below, depth + 1, prefix + c))
 
     def _learn(self, chunks: list[str]) -> None:
         """Fills the cache of white-space-delimited chunks: their pre-tokens' ids and token strings."""
@@ -142,9 +172,10 @@ class TrieEncoder:
         new = [w for w in need if w not in self.words]
         if new:
             self.encode_words(new)
+        text, found = self.text, self.words
         for chunk, words in zip(chunks, split, strict=True):
-            ids = [i for w in words for i in self.words[w]]
-            self.chunks[chunk] = (np.array(ids, "<u4").tobytes(), " ".join([self.text[i] for i in ids]))
+            ids = found[words[0]] if len(words) == 1 else [i for w in words for i in found[w]]
+            self.chunks[chunk] = (array("I", ids).tobytes(), " ".join([text[i] for i in ids]))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Each text's ids (little-endian uint32) and what they decode to: token strings joined by spaces."""

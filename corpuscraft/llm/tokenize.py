@@ -8,15 +8,19 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import islice
 
-import numpy as np
-
-CACHE = 1_000_000
+CACHE = 700_000
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _CONTROL = re.compile("[\\x1c-\\x1f]")
 _SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+#: The pre-token patterns of the two tokenizer files.
+PATTERNS = {
+    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
 _made: dict[tuple[str, str], ChunkEncoder] = {}
 
 
@@ -27,11 +31,31 @@ def spaced(text: str) -> list[str]:
     return text.split()
 
 
+class Cache(dict):
+    """Makes a missing value by a function. When full, the later half goes: what came first is what comes often."""
+
+    def __init__(self, make, limit: int = CACHE):
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            keep = dict(islice(self.items(), self.limit // 2))
+            self.clear()
+            self.update(keep)
+        value = self[key] = self.make(key)
+        return value
+
+
 class ChunkEncoder:
-    """``style`` "bytes": byte-level pre-tokens that may start with one space. "words": white space is dropped."""
+    """``style`` "bytes": byte-level pre-tokens that may start with one space. "words": white space is dropped, case too.
+
+    A new chunk is cut into its pre-tokens, where its letters are plain enough to be sure of the cuts (below U+0250: composed
+    letters that normalisation leaves alone), and the library encodes each new pre-token, or else the whole chunk.
+    """
 
     def __init__(self, path: str, style: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -39,35 +63,30 @@ class ChunkEncoder:
         self.tok.no_padding()
         self.style = style
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
-        self.bare: dict[str, bytes] = {}
-        self.led: dict[str, bytes] = {}  # of " " + chunk
+        pattern = PATTERNS[style]
+        self.cut = regex.compile(pattern).findall
+        self.pieces = Cache(self.ids)
+        self.bare = Cache(self.chunk)
+        self.led = Cache(lambda x: self.chunk(" " + x))  # of " " + chunk
+
+    def ids(self, text: str) -> bytes:
+        return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _fill(self, cache: dict[str, bytes], missing: list[str], lead: str) -> None:
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            for x, e in zip(part, self.tok.encode_batch_fast([lead + x for x in part], add_special_tokens=False), strict=True):
-                cache[x] = np.array(e.ids, dtype="<u4").tobytes()
+    def chunk(self, text: str) -> bytes:
+        if not text or max(text) >= "\u0250" or "<|" in text:
+            return self.ids(text)
+        return b"".join([self.pieces[x] for x in self.cut(text.lower() if self.style == "words" else text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.style == "words":
-            split = [spaced(t) for t in texts]
-            need = set().union(*split)
-            self._refill(self.bare, need, "")
-            return [b"".join(map(self.bare.__getitem__, x)) for x in split]
-        split = [_INNER.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        self._refill(self.bare, {x[0] for x in split}, "")
-        self._refill(self.led, set().union(*[x[1:] for x in split]), " ")
-        return [self.bare[x[0]] + b"".join(map(self.led.__getitem__, x[1:])) for x in split]
-
-    def _refill(self, cache: dict[str, bytes], need: set[str], lead: str) -> None:
-        missing = [x for x in need if x not in cache]
-        if missing and len(cache) + len(missing) > CACHE:  # what came first is what comes often: the later half goes
-            keep = dict(islice(cache.items(), CACHE // 2))
-            cache.clear()
-            cache.update(keep)
-            missing = [x for x in need if x not in cache]
-        self._fill(cache, missing, lead) if missing else None
+        bare, led, out = self.bare.__getitem__, self.led.__getitem__, []
+        for t in texts:
+            if self.style == "words":
+                out.append(b"".join(map(bare, spaced(t))))
+            else:
+                x = _INNER.split(t) if _ODD.search(t) else t.split(" ")
+                out.append(bare(x[0]) + b"".join(map(led, x[1:])))
+        return out
 
 
 def encoder(path: str, style: str) -> ChunkEncoder:
