@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bitpack, bpe_trie, packing, setsketch, suffix_dedup
-from ._common import table
+from . import additive, bitpack, bpe_trie, packing, setsketch, suffix_dedup, toxicity
+from ._common import crc_mod, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,6 +22,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"), words=50)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = toxicity.training_labels(table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), marks)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = bitpack.token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return file.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -46,7 +52,7 @@ def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -165,7 +165,7 @@ def near_duplicates(df: DataFrame, shingle: int = 3, percent: int = 85, id_col:
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(found, pa.binary())], names=["set_id", "label", "block", "blocks", "shingles"])
 
     docs = texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text")
-    chosen = placed.join(docs, "doc_id").selectExpr("set_id", "label", "cast(block as long) block", "cast(blocks as long) blocks", "text")
+    chosen = docs.join(placed.hint("shuffle_merge"), "doc_id").selectExpr("set_id", "label", "cast(block as long) block", "cast(blocks as long) blocks", "text")
     full = chosen.mapInArrow(full_sets, "set_id long, label long, block long, blocks long, shingles binary")
     pairs = full.select(
         "set_id", "label", "block", "shingles", F.explode(F.expr("transform(sequence(0L, blocks - 1), b -> struct(least(b, block) as a, greatest(b, block) as b))")).alias("pair")

@@ -87,9 +87,9 @@ def repeated_grams(df: DataFrame, scratch: Scratch, words: int, id_col: str, tex
 def gram_filter(grams: DataFrame) -> np.ndarray:
     """One bit for each repeated gram: of 64 x SLOTS bits, so that few others pass; when it is full, all pass."""
     bits = grams.select(F.expr(f"cast(gram & {SLOTS - 1} as int)").alias("slot"), F.expr("shiftleft(1L, cast(shiftrightunsigned(gram, 58) as int))").alias("bit"))
-    found = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most SLOTS rows
+    found = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most SLOTS rows
     out = np.zeros(SLOTS, dtype=np.uint64)
-    out[found["slot"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    out[found["slot"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
