@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bitpack, bpe_trie, licenses, packing, setsketch, suffix_dedup, toxicity
+from . import additive, bitpack, bpe_trie, brown, licenses, packing, setsketch, suffix_dedup, toxicity
 from ._common import crc_mod, table
 
 
@@ -32,6 +32,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_texts(table(spark, sf_dir, "documents"), modulus=7, rest=2)
+
+
 def op5_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = bitpack.token_table(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return file.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -56,7 +60,7 @@ def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_licenses, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_licenses, op4_brown_lm, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch)}
 
 
 def oracle_sql() -> dict[str, str]:
