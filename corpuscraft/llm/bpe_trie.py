@@ -14,13 +14,12 @@ import re
 from array import array
 from itertools import islice
 
-import numpy as np
 from pyspark.sql import DataFrame
 
 from ._common import steps, texts_of
-from .tokenize import spaced
+from .tokenize import LATIN, plain, spaced
 
-CACHE = 700_000
+CACHE = 600_000
 _END = ""  # a trie node's key for "a word ends here"
 _made: dict[str, TrieEncoder] = {}
 
@@ -62,7 +61,9 @@ class TrieEncoder:
         self.unmade = {i for i in self.vocab.values() if self.merge(self.symbols(i)) != [self.marked(i)]}
         self.pair_ok: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[bytes, str]] = {t: (np.array([i], "<u4").tobytes(), t) for t, i in special.items()}
+        self.ids = {t: array("I", [i]).tobytes() for t, i in special.items()}
+        self.tokens = {t: t for t in special}
+        self.latin = re.compile(LATIN["words"]).findall
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain BPE; only used once for each token, to find those that cannot come out."""
@@ -158,39 +159,44 @@ class TrieEncoder:
                 if c:
                     stack.append((below, depth + 1, prefix + c))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Fills the cache of white-space-delimited chunks: their pre-tokens' ids and token strings."""
-        split, need = [], set()
-        for chunk in chunks:
-            words = []
-            for p in self.pieces(chunk.lower() if chunk.isascii() else self.normalize(chunk)):
-                words.append(p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()]))
-            split.append(words)
-            need.update(words)
-        if len(self.words) > CACHE:
-            self.words = dict(islice(self.words.items(), CACHE // 2))
-        new = [w for w in need if w not in self.words]
-        if new:
-            self.encode_words(new)
+    def cut(self, text: str) -> list[str]:
+        """The normalised pre-tokens of a text, special strings among them."""
+        if plain(text):
+            return self.latin(text.lower())
+        out = []
+        for part in self.cut_special(text):
+            if part in self.special:
+                out.append(part)
+            else:
+                for chunk in spaced(part):
+                    out += self.pieces(chunk.lower() if chunk.isascii() else self.normalize(chunk))
+        return out
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids and token strings of new pre-tokens, by one trie of them all."""
+        spelt = [p if p.isascii() and p.isprintable() else "".join([self.letters[b] for b in p.encode()]) for p in pieces]
+        self.words = {}
+        self.encode_words(spelt)
         text, found = self.text, self.words
-        for chunk, words in zip(chunks, split, strict=True):
-            ids = found[words[0]] if len(words) == 1 else [i for w in words for i in found[w]]
-            self.chunks[chunk] = (array("I", ids).tobytes(), " ".join([text[i] for i in ids]))
+        for p, w in zip(pieces, spelt, strict=True):
+            ids = found[w]
+            self.ids[p] = array("I", ids).tobytes()
+            self.tokens[p] = " ".join([text[i] for i in ids])
+        self.words = {}
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Each text's ids (little-endian uint32) and what they decode to: token strings joined by spaces."""
-        split = [[x for part in self.cut_special(t) for x in ([part] if part in self.special else spaced(part))] if "<|" in t else spaced(t) for t in texts]
+        split = [self.cut(t) for t in texts]
         need = set().union(*split)
-        missing = [x for x in need if x not in self.chunks]
-        if len(self.chunks) + len(missing) > CACHE:  # what came first is what comes often: the later half goes
-            self.chunks = dict(islice(self.chunks.items(), CACHE // 2))
-            missing = [x for x in need if x not in self.chunks]
-        self._learn(missing)
-        get, out = self.chunks.__getitem__, []
-        for x in split:
-            both = list(map(get, x))
-            out.append((b"".join([b for b, _ in both]), " ".join([t for _, t in both])))
-        return out
+        missing = [x for x in need if x not in self.ids]
+        if len(self.ids) + len(missing) > CACHE:  # what came first is what comes often: the later half goes
+            self.ids = dict(islice(self.ids.items(), CACHE // 2))
+            self.tokens = dict(islice(self.tokens.items(), CACHE // 2))
+            missing = [x for x in need if x not in self.ids]
+        if missing:
+            self.learn(missing)
+        ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
+        return [(b"".join(map(ids, x)), " ".join(map(tokens, x))) for x in split]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.text[i] for i in ids)

@@ -21,6 +21,12 @@ PATTERNS = {
     "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
 }
+#: The same over Latin-1 alone, letters first (no other branch can start where that one does).
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = {
+    "bytes": rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+",
+    "words": rf"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\s{_L}{_N}]+",
+}
 _made: dict[tuple[str, str], ChunkEncoder] = {}
 
 
@@ -49,8 +55,8 @@ class Cache(dict):
 class ChunkEncoder:
     """``style`` "bytes": byte-level pre-tokens that may start with one space. "words": white space is dropped, case too.
 
-    A new chunk is cut into its pre-tokens, where its letters are plain enough to be sure of the cuts (below U+0250: composed
-    letters that normalisation leaves alone), and the library encodes each new pre-token, or else the whole chunk.
+    A Latin-1 text is cut into its pre-tokens, and the library encodes each new one. Other texts are cut at single spaces or
+    white space; a chunk with letters that normalisation could change (from U+0250), or special strings, goes whole to the library.
     """
 
     def __init__(self, path: str, style: str):
@@ -65,9 +71,10 @@ class ChunkEncoder:
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         pattern = PATTERNS[style]
         self.cut = regex.compile(pattern).findall
+        self.latin = re.compile(LATIN[style]).findall
         self.pieces = Cache(self.ids)
-        self.bare = Cache(self.chunk)
-        self.led = Cache(lambda x: self.chunk(" " + x))  # of " " + chunk
+        self.bare = Cache(self.chunk, CACHE // 8)
+        self.led = Cache(lambda x: self.chunk(" " + x), CACHE // 8)  # of " " + chunk
 
     def ids(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -79,9 +86,11 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        bare, led, out = self.bare.__getitem__, self.led.__getitem__, []
+        bare, led, pieces, out = self.bare.__getitem__, self.led.__getitem__, self.pieces.__getitem__, []
         for t in texts:
-            if self.style == "words":
+            if plain(t):
+                out.append(b"".join(map(pieces, self.latin(t.lower() if self.style == "words" else t))))
+            elif self.style == "words":
                 out.append(b"".join(map(bare, spaced(t))))
             else:
                 x = _INNER.split(t) if _ODD.search(t) else t.split(" ")
@@ -89,6 +98,16 @@ class ChunkEncoder:
         return out
 
 
+def plain(text: str) -> bool:
+    """Latin-1 alone, without special strings and the control characters that only Python takes for white space."""
+    if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return False
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
 def encoder(path: str, style: str) -> ChunkEncoder:
     """One for each worker and file."""
     if (path, style) not in _made:
