@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 # Names and opening sentences of public licences, by family.
 NAMES = {
-    "mit": ["the MIT License", "MIT License", "the MIT licence", "MIT", "the Expat License"],
+    "mit": ["the MIT License", "MIT License", "the MIT licence", "the Expat License"],
     "apache-2.0": ["the Apache License, Version 2.0", "Apache License 2.0", "the Apache 2.0 license", "Apache-2.0", "the Apache Software License"],
     "gpl-3.0": ["the GNU General Public License, version 3", "GNU General Public License v3.0", "the GPL version 3", "GPLv3", "GPL-3.0"],
     "gpl-2.0": ["the GNU General Public License, version 2", "GNU General Public License v2.0", "the GPL version 2", "GPLv2", "GPL-2.0"],
@@ -34,7 +34,7 @@ NAMES = {
     "unlicense": ["the Unlicense", "The Unlicense public domain dedication"],
 }
 BODIES = {
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "mit": ["SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "apache-2.0": ["you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "gpl-3.0": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
     "gpl-2.0": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version"],
@@ -45,7 +45,7 @@ BODIES = {
 }
 PHRASES = ["{}", "Licensed under {}.", "This work is licensed under {}.", "Released under {}.", "Distributed under the terms of {}.", "This software is available under {}.", "This project is made available under {}; see the file LICENSE for details.", "SPDX-License-Identifier: {}", "The text is published under {}.", "Code in this repository is covered by {}."]
 OTHERS = ["an agreement with the vendor", "the terms of use of this site", "a commercial license", "a proprietary license", "the company license", "a custom license", "version 2.0 of the plan", "the general conditions", "the terms agreed with the author", "a permissive license", "version 3 of the work", "an open license", "a public agreement", "the laws of the state", "the usual terms"]
-PLAIN = ["All rights reserved.", "Copyright by the author.", "See the license file for details.", "A driving license is needed.", "The general public is welcome.", "This software is provided as is.", "Use of this work needs permission of the author.", "The foundation published a new version.", "Free of charge for any person.", "The source was modified.", "The mozilla project and the apache helicopter.", "He studied at MIT in Boston.", "The common good of creative people.", "Permission was granted.", "The software was released in May.", "Terms and conditions apply.", "The university of Berkeley.", "Copy of this file."]
+PLAIN = ["All rights reserved.", "Copyright by the author.", "See the license file for details.", "A driving license is needed.", "The general public is welcome.", "This software is provided as is.", "Use of this work needs permission of the author.", "The foundation published a new version.", "Free of charge for any person.", "The source was modified.", "The mozilla project and the apache helicopter.", "He studied at MIT in Boston.", "Mit.", "Mit der Zeit.", "und mit den", "mit, von", "The common good of creative people.", "Permission was granted.", "The software was released in May.", "Terms and conditions apply.", "The university of Berkeley.", "Copy of this file."]
 UNKNOWN = "unknown"
 STOP = frozenset("a an and any are as at be by for from if in is it of on or that the this to was with you can not may de la le der die das que en el un und et les des".split())
 CUT, CONFIRM = r"[^a-z0-9]+", 0.5
@@ -128,7 +128,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     likely = docs.filter(F.exists(F.split(F.lower("text"), CUT), lambda w: w.isin(single)))
     lines = likely.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("words", words(F.col("line"))).filter(F.exists("words", lambda w: w.isin(single)))
-    pairs = F.when(F.size("words") > 1, F.expr(f"transform(filter(sequence(1, size(words) - 1), i -> not (words[i - 1] in ({', '.join(map(repr, plain))}) and words[i] in ({', '.join(map(repr, plain))}))), i -> concat(words[i - 1], ' ', words[i]))")).otherwise(F.array().cast("array<string>"))
+    # no lambda reads the whole array: Spark may put its definition there, and would compute it for every element
+    pair = lambda a, b: F.when(~(a.isin(plain) & b.isin(plain)), F.concat_ws(" ", a, b))
+    pairs = F.filter(F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), pair(a, b))), lambda p: p.isNotNull())
     grams = lines.select("doc_id", "paragraph", F.array_distinct(F.concat(F.filter("words", lambda w: ~w.isin(plain)), pairs)).alias("grams"))
     k = len(m["classes"])
     weights = literal_table(spark, [{"gram": f, "w": [round(float(x), 6) for x in w]} for f, w in zip(m["features"], m["weights"], strict=True)], "gram string, w array<double>")
