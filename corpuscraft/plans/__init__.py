@@ -1,9 +1,12 @@
-"""Registered queries."""
+"""Registered queries: each binds operators to tables, with an equivalent SQL text where SQL can express it."""
+
+from . import curation, evaluation, sequences  # noqa: F401
+from ._registry import QUERIES, SQL
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
