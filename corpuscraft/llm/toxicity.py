@@ -72,17 +72,16 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         docs, cos, edge = np.zeros(0, dtype=np.int64), np.zeros(0), -1.0
-        for k in range(0, len(order), 8):
-            part = order[k : k + 8]
+        for k in range(0, len(order), 16):
+            part = order[k : k + 16]
             part = part[bound[part] >= edge - 1e-12]
             if not len(part):
                 break
-            scores = np.zeros(self.blocks * BLOCK)
-            for t, q in zip(at, w, strict=True):
-                cells = t * self.blocks + part
-                for a, z in zip(self.cell_start[cells], self.cell_start[cells + 1], strict=True):
-                    if a < z:
-                        scores[self.post_doc[a:z]] += q * self.post_value[a:z]
+            cells = (at[:, None] * self.blocks + part).ravel()
+            start = self.cell_start[cells]
+            size = self.cell_start[cells + 1] - start
+            posts = np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            scores = np.bincount(self.post_doc[posts], weights=self.post_value[posts] * np.repeat(np.repeat(w, len(part)), size))
             new = np.flatnonzero(scores)
             if without is not None:
                 new = new[self.ids[new] != without]
