@@ -1,7 +1,7 @@
 """Toxicity scores by the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows: at most ``EXAMPLES`` of each label, the first by a hash of their id. Words
-whose presence tells the labels apart (a likelihood-ratio statistic of ``TELLING`` or more, at most ``VOCABULARY`` of them)
+and beginnings of words whose presence tells the labels apart (a likelihood-ratio statistic of ``TELLING`` or more, at most ``VOCABULARY`` of them)
 are the terms. Examples lie in an inverted index cut into blocks of ``BLOCK`` examples with each term's greatest weight in each
 block; a query visits blocks by falling bound and stops when no block can hold one of its ``NEIGHBOURS`` nearest: the result is
 exact. Neighbours vote by distance, each weighed by how many labelled rows it stands for; an isotonic map, fitted on the
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, crc_mod, steps, texts_of
+from .tokenize import Cache
 
 EXAMPLES, VOCABULARY, TELLING, BLOCK, NEIGHBOURS = 10_000, 4_000, 24.0, 64, 15
 _WORD = re.compile(r"[^\W_]+")
@@ -27,11 +28,31 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def terms_of(word: str) -> list[str]:
+    """A word and its beginnings of four and five letters, so that inflected and compound forms count together."""
+    return [word, *[word[:n] + "~" for n in (4, 5) if len(word) > n]]
+
+
+class WordTerms(Cache):
+    """The known terms of a word."""
+
+    def __init__(self, term: dict[str, int]):
+        super().__init__(self.find, 400_000)
+        self.term = term
+
+    def find(self, word: str) -> tuple[int, ...]:
+        return tuple(self.term[t] for t in terms_of(word) if t in self.term)
+
+    def __reduce__(self):
+        return WordTerms, (self.term,)
+
+
 class Index:
     """Unit TF-IDF vectors of the examples, with block maxima."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, rows: list[dict[int, int]], ids: list[int], labels: list[int], weights: dict[int, float]):
         self.term = {w: i for i, w in enumerate(terms)}
+        self.of_word = WordTerms(self.term)
         self.idf = idf
         vectors = [self.unit(r) for r in rows]
         order = sorted(range(len(rows)), key=lambda i: (-1 if not len(vectors[i][0]) else int(vectors[i][0][vectors[i][1].argmax()]), ids[i]))  # like by like: tighter bounds
@@ -62,8 +83,7 @@ class Index:
         return at, w / np.sqrt((w * w).sum()) if len(at) else w
 
     def counts(self, text: str) -> dict[int, int]:
-        get = self.term.get
-        return Counter(i for i in map(get, words_of(text)) if i is not None)
+        return Counter([i for found in map(self.of_word.__getitem__, words_of(text)) for i in found])
 
     def nearest(self, counts: dict[int, int], without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the nearest examples that share a term, nearest first, ties by place."""
@@ -151,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
         for _, marks, found in steps(batches):
             seen = Counter(), Counter()
             for y, t in zip(marks, found, strict=True):
-                seen[y].update(set(words_of(t)))
+                seen[y].update({x for w in set(words_of(t)) for x in terms_of(w)})
             terms = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[w] for w in terms], pa.int64()) for s in seen]], names=["term", "clean", "toxic"])
 
@@ -166,13 +186,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
     terms = seen.filter(df >= 3).withColumn("g2", g2).filter(F.col("g2") >= TELLING).orderBy(F.desc("g2"), "term").limit(VOCABULARY).collect()
     idf = np.array([np.log((n + 1) / (r["clean"] + r["toxic"] + 1)) + 1 for r in terms])
     names = [r["term"] for r in terms]
-    lookup = {w: i for i, w in enumerate(names)}
+    lookup = WordTerms({w: i for i, w in enumerate(names)})
 
     def vectors(batches):
         import pyarrow as pa
 
         for ids, marks, found in steps(batches):
-            rows = [Counter(i for i in map(lookup.get, words_of(t)) if i is not None) for t in found]
+            rows = [Counter([i for some in map(lookup.__getitem__, words_of(t)) for i in some]) for t in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "label", "at", "tf"])
 
     rows = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, tf array<int>").orderBy("doc_id", F.size("at")).collect()
