@@ -19,13 +19,13 @@ def keep(docs: DataFrame, verdicts: DataFrame, wanted: str) -> DataFrame:
     """The rows of docs but those whose id has a verdict that fails ``wanted``; rows without id stay."""
     bad = verdicts.filter(f"not ({wanted})").select(F.col("doc_id").alias("__bad")).filter("__bad is not null").distinct()
     bad = Scratch(docs.sparkSession, "rejected").put(bad, "ids")
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("__bad"), "left_anti").select(*COLUMNS)
+    return docs.join(bad.hint("shuffle_merge"), docs["doc_id"].cast("long") == F.col("__bad"), "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored 0.5 or more, learning from the labels outside the held-out fifth."""
     marks = toxicity.training_labels(table(spark, sf_dir, "labels"))
-    return keep(docs, toxicity.score_documents(docs, marks), "predicted = 0")
+    return toxicity.clean_documents(docs.select(*COLUMNS), marks)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

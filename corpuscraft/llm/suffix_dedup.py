@@ -205,7 +205,7 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     ).filter("size(cut) > 0")
     per_doc = Scratch(df.sparkSession, "cuts").put(per_doc, "cuts")
     names = df.columns
-    tagged = df.join(per_doc.withColumnRenamed("doc_id", "__doc"), df[id_col].cast("long") == F.col("__doc"), "left")
+    tagged = df.join(per_doc.withColumnRenamed("doc_id", "__doc").hint("shuffle_merge"), df[id_col].cast("long") == F.col("__doc"), "left")
 
     @F.pandas_udf("string")
     def trimmed(text, cut, keep):
