@@ -1,11 +1,12 @@
 """Toxicity scores by the nearest labelled examples under exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows: at most ``EXAMPLES`` of each label, the first by a hash of their id. Words
-and beginnings of words whose presence tells the labels apart (a likelihood-ratio statistic of ``TELLING`` or more, at most ``VOCABULARY`` of them)
-are the terms. Examples lie in an inverted index cut into blocks of ``BLOCK`` examples with each term's greatest weight in each
-block; a query visits blocks by falling bound and stops when no block can hold one of its ``NEIGHBOURS`` nearest: the result is
-exact. Neighbours vote by distance, each weighed by how many labelled rows it stands for; an isotonic map, fitted on the
-examples' own votes without themselves, makes the vote a probability. The nearest examples are returned as evidence.
+Examples are a bounded sample of labelled rows: at most ``EXAMPLES`` of each label, the first by a hash of their id. Terms are
+words, and beginnings of words, that lean towards one label (odds ratio of ``LEANING`` or more either way) beyond chance (a
+likelihood-ratio statistic of ``TELLING`` or more), at most ``VOCABULARY`` of them. Examples lie in an inverted index cut into
+blocks of ``BLOCK`` examples with each term's greatest weight in each block; a query visits blocks by falling bound and stops
+when no block can hold one of its ``NEIGHBOURS`` nearest: the result is exact. Neighbours vote by distance, each weighed by how
+many labelled rows it stands for; an isotonic map, fitted on the examples' own votes without themselves, makes the vote a
+probability. The nearest examples are returned as evidence.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from ._common import Scratch, crc_mod, steps, texts_of
 from .tokenize import Cache
 
-EXAMPLES, VOCABULARY, TELLING, BLOCK, NEIGHBOURS = 10_000, 4_000, 24.0, 64, 15
+EXAMPLES, VOCABULARY, TELLING, LEANING, BLOCK, NEIGHBOURS = 10_000, 4_000, 24.0, 4.0, 64, 15
+PREFIXES = (4, 5)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -30,7 +32,7 @@ def words_of(text: str) -> list[str]:
 
 def terms_of(word: str) -> list[str]:
     """A word and its beginnings of four and five letters, so that inflected and compound forms count together."""
-    return [word, *[word[:n] + "~" for n in (4, 5) if len(word) > n]]
+    return [word, *[word[:n] + "~" for n in PREFIXES if len(word) > n]]
 
 
 class WordTerms(Cache):
@@ -171,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
         for _, marks, found in steps(batches):
             seen = Counter(), Counter()
             for y, t in zip(marks, found, strict=True):
-                seen[y].update({x for w in set(words_of(t)) for x in terms_of(w)})
+                seen[y].update(set(words_of(t)))
             terms = list(seen[0] | seen[1])
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[w] for w in terms], pa.int64()) for s in seen]], names=["term", "clean", "toxic"])
 
@@ -180,10 +182,15 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
     if not n0 + n1:
         return None
     part = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
-    seen = texts.mapInArrow(presence, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    whole = texts.mapInArrow(presence, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    # a beginning counts by its words but the commonest, so that it says more than that word does
+    begun = whole.select(F.explode(F.array(*[F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("~"))) for k in PREFIXES])).alias("start"), "clean", "toxic").filter("start is not null")
+    rest = lambda c: F.least(F.sum(c) - F.max_by(c, F.struct(F.col("clean") + F.col("toxic"), "toxic")), F.lit(got.get(int(c == "toxic"), 0))).alias(c)
+    seen = whole.unionByName(begun.groupBy(F.col("start").alias("term")).agg(rest("clean"), rest("toxic")))
     n, df = n0 + n1, F.col("clean") + F.col("toxic")
     g2 = part(F.col("toxic"), df * n1 / n) + part(F.col("clean"), df * n0 / n) + part(n1 - F.col("toxic"), (n - df) * n1 / n) + part(n0 - F.col("clean"), (n - df) * n0 / n)
-    terms = seen.filter(df >= 3).withColumn("g2", g2).filter(F.col("g2") >= TELLING).orderBy(F.desc("g2"), "term").limit(VOCABULARY).collect()
+    odds = (F.col("toxic") + 0.5) * (n0 - F.col("clean") + 0.5) / ((F.col("clean") + 0.5) * (n1 - F.col("toxic") + 0.5))
+    terms = seen.filter((df >= 3) & ((odds >= LEANING) | (odds <= 1 / LEANING))).withColumn("g2", g2).filter(F.col("g2") >= TELLING).orderBy(F.desc("g2"), "term").limit(VOCABULARY).collect()
     idf = np.array([np.log((n + 1) / (r["clean"] + r["toxic"] + 1)) + 1 for r in terms])
     names = [r["term"] for r in terms]
     lookup = WordTerms({w: i for i, w in enumerate(names)})
