@@ -201,8 +201,8 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     """
     spans = repeated_passages(df, words, id_col, text_col)
     per_doc = spans.groupBy("doc_id").agg(
-        F.collect_list(F.when(~F.col("is_first"), F.struct("start_word", "end_word"))).alias("cut"), F.collect_list(F.when(F.col("is_first"), F.struct("start_word", "end_word"))).alias("keep")
-    ).filter("size(cut) > 0")
+        F.collect_list(F.when(~F.col("is_first"), F.struct("start_word", "end_word"))).alias("__cut"), F.collect_list(F.when(F.col("is_first"), F.struct("start_word", "end_word"))).alias("__keep")
+    ).filter("size(__cut) > 0")
     per_doc = Scratch(df.sparkSession, "cuts").put(per_doc, "cuts")
     names = df.columns
     tagged = df.join(per_doc.withColumnRenamed("doc_id", "__doc").hint("shuffle_merge"), df[id_col].cast("long") == F.col("__doc"), "left")
@@ -213,9 +213,9 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
         return pd.Series([trim(t, c, k) for t, c, k in zip(text, cut, keep, strict=True)])
 
-    new = F.when(F.col("cut").isNull(), F.col(text_col)).otherwise(trimmed(F.col(text_col), F.col("cut"), F.col("keep")))
-    touched = tagged.filter("cut is not null").withColumn(text_col, new).select(*names)
-    rest = tagged.filter("cut is null").select(*names)
+    new = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(trimmed(F.col(text_col), F.col("__cut"), F.col("__keep")))
+    touched = tagged.filter("__cut is not null").withColumn(text_col, new).select(*names)
+    rest = tagged.filter("__cut is null").select(*names)
     return rest.unionByName(touched)
 
 

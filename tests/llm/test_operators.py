@@ -13,7 +13,7 @@ from corpuscraft.llm import additive, bitpack, bm25, bpe_trie, brown, licenses,
 from corpuscraft.llm.tokenize import encoder
 
 WORDS = [f"w{i}" for i in range(400)]
-SCHEMA = "doc_id long, text string, lang string, block string, label string, n int"
+SCHEMA = "doc_id long, text string, lang string, block string, label string, n int, cut int, keep int"
 
 
 def make_docs(spark, n=120, seed=5):
@@ -32,8 +32,8 @@ def make_docs(spark, n=120, seed=5):
     texts[34] = texts[33].upper()
     texts[35] = draw(4000)
     texts[36] = "same " * 130
-    rows = [(i, t, "en", "b", "l", 1) for i, t in enumerate(texts)]
-    return spark.createDataFrame([*rows, rows[5], (None, draw(80), "en", "b", "l", 1)], SCHEMA)
+    rows = [(i, t, "en", "b", "l", 1, 0, 0) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[5], (None, draw(80), "en", "b", "l", 1, 0, 0)], SCHEMA)
 
 
 def tokens(t):
@@ -135,7 +135,7 @@ def test_remove_repeats(docs):
 
 def test_trie_equals_library(spark, docs, empty):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    extra = spark.createDataFrame([(900 + i, t, "", "", "", 0) for i, t in enumerate(["It's <|endoftext|> x", "İstanbul ΣΣ é é", "日本 12½ \x1c y", "a" * 400 + "!" * 300, " 　"])], SCHEMA)
+    extra = spark.createDataFrame([(900 + i, t, "", "", "", 0, 0, 0) for i, t in enumerate(["It's <|endoftext|> x", "İstanbul ΣΣ é é", "日本 12½ \x1c y", "a" * 400 + "!" * 300, " 　"])], SCHEMA)
     rows = docs.unionByName(extra)
     texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
     for r in bpe_trie.encode_documents(rows, P.path("word_bpe_49k.json")).collect():
