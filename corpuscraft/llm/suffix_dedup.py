@@ -211,12 +211,9 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     def trimmed(text, cut, keep):
         import pandas as pd
 
-        return pd.Series([trim(t, c, k) for t, c, k in zip(text, cut, keep, strict=True)])
+        return pd.Series([t if c is None else trim(t, c, k) for t, c, k in zip(text, cut, keep, strict=True)])
 
-    new = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(trimmed(F.col(text_col), F.col("__cut"), F.col("__keep")))
-    touched = tagged.filter("__cut is not null").withColumn(text_col, new).select(*names)
-    rest = tagged.filter("__cut is null").select(*names)
-    return rest.unionByName(touched)
+    return tagged.withColumn(text_col, trimmed(F.col(text_col), F.col("__cut"), F.col("__keep"))).select(*names)
 
 
 def trim(text: str, cut, keep) -> str:
