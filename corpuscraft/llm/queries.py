@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bitpack, bm25, bpe_trie, brown, licenses, packing, setsketch, suffix_dedup, toxicity
+from . import additive, bitpack, bm25, bpe_trie, brown, licenses, oracle, packing, setsketch, suffix_dedup, toxicity
 from ._common import crc_mod, table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_dedup": oracle.SUFFIX_DEDUP, "op9_setsketch": oracle.NEAR_DUPLICATES, "op10_bm25_topk": oracle.BM25}
