@@ -21,6 +21,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def forget() -> None:
+    """Frees the worker's cache of word hashes."""
+    _known.clear()
+
+
 def split_words(text: str) -> list[bytes]:
     """Runs of anything but space and 09-0D, A-Z lower-cased."""
     return text.encode().lower().split()
