@@ -1,0 +1,53 @@
+"""Question texts from semantics and back: each category and surface form is one template, read both ways."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Our own templates; {name} is a number of the semantics.
+TEMPLATES = {
+    ("both", "plain"): "Two independent events have chances {p} and {q}. What is the chance that both happen?",
+    ("both", "inverted"): "What is the chance that both of two independent events happen, if theirs are {p} and {q}?",
+    ("poisson_mean", "plain"): "Calls arrive at {rate} per hour for {duration} hours. What is their mean number?",
+    ("poisson_mean", "inverted"): "What is the mean number of calls in {duration} hours at {rate} per hour?",
+    ("uniform_mean", "plain"): "A wait is uniform between {low} and {high} minutes. What is its mean?",
+    ("uniform_mean", "inverted"): "What is the mean of a wait that is uniform between {low} and {high} minutes?",
+}
+NUMBER = r"(-?\d+(?:/\d+|\.\d+)?)"
+
+
+def names(template: str) -> list[str]:
+    return re.findall(r"\{(\w+)\}", template)
+
+
+def pattern(template: str) -> str:
+    return "^" + NUMBER.join(re.sub(r"([.?])", r"\\\1", part) for part in re.split(r"\{\w+\}", template)) + "$"
+
+
+def render(category: Column, form: Column, semantics: Column) -> Column:
+    """The question of a map of semantics; null for an unknown category or form, or a missing number."""
+    out = F.lit(None).cast("string")
+    for (c, s), t in TEMPLATES.items():
+        parts = re.split(r"\{(\w+)\}", t)
+        text = F.concat(*[F.lit(x) if i % 2 == 0 else semantics[x] for i, x in enumerate(parts)])
+        out = F.when((category == c) & (form == s), text).otherwise(out)
+    return out
+
+
+def parse(category: Column, question: Column) -> Column:
+    """The semantics of a question in either form of its category; null if it is in none, so nothing is guessed."""
+    out = F.lit(None).cast("map<string,string>")
+    for (c, _), t in TEMPLATES.items():
+        found = F.create_map(*[x for i, n in enumerate(names(t)) for x in (F.lit(n), F.regexp_extract(question, pattern(t), i + 1))])
+        out = F.when((category == c) & question.rlike(pattern(t)), found).otherwise(out)
+    return out
+
+
+def round_trip(category: Column, form: Column, semantics: Column, question: Column) -> Column:
+    """Whether the question reads back as its semantics and is written again as it stands."""
+    read = parse(category, question)
+    same = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(read)))) == F.to_json(F.map_from_entries(F.array_sort(F.map_entries(semantics))))
+    return F.coalesce(same & (render(category, form, read) == question), F.lit(False))

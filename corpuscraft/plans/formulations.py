@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import parsing, text
+from ..functions import exact, grammar, parsing, text
 from ..operators import core
 from ._registry import query
 
@@ -217,3 +217,26 @@ def resume_pending(t):
 
     done = t("events").filter("event_type = 'signup' and value > 60").select("user_id").distinct()
     return new_rows(t("events"), done, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("pending"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber % 5 <> 4 AS agrees FROM lineitem WHERE l_orderkey < 2000")
+def prompt_round_trip(t):
+    """Questions rendered, read back and rendered again; one in five is tampered with and must not agree."""
+    k = F.col("l_linenumber") % 3
+    category = F.when(k == 0, "both").when(k == 1, "poisson_mean").otherwise("uniform_mean")
+    form = F.when(F.col("l_orderkey") % 2 == 0, "plain").otherwise("inverted")
+    n = F.col("l_quantity").cast("int").cast("string")
+    semantics = F.when(k == 0, F.create_map(F.lit("p"), F.concat(F.lit("1/"), n), F.lit("q"), F.lit("0.5"))).when(k == 1, F.create_map(F.lit("rate"), n, F.lit("duration"), F.lit("3"))).otherwise(F.create_map(F.lit("low"), F.lit("0"), F.lit("high"), n))
+    rows = t("lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", category.alias("category"), form.alias("form"), semantics.alias("semantics"))
+    asked = grammar.render(F.col("category"), F.col("form"), F.col("semantics"))
+    question = F.when(F.col("l_linenumber") % 5 == 4, F.concat(asked, F.lit(" Or not?"))).otherwise(asked)
+    return rows.select("l_orderkey", "l_linenumber", grammar.round_trip(F.col("category"), F.col("form"), F.col("semantics"), question).alias("agrees"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS same FROM part")
+def identity_evidence(t):
+    """Equivalent forms agree at all points, others do not, and what cannot be evaluated stays open."""
+    k = F.col("p_partkey") % 3
+    left = F.format_string("1-(1-p)*(1-q)+%d", "p_size")
+    right = F.when(k == 0, F.format_string("p+q-p*q+%d", "p_size")).when(k == 1, F.format_string("p+q+%d", "p_size")).otherwise(F.lit("p+"))
+    return t("part").select("p_partkey", exact.identical_column(left, right).getField("same").alias("same"))
