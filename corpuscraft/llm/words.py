@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import xxhash
 
-CACHE = 600_000
-_known: dict[bytes, int] = {}
+from .tokenize import Cache
+
+_known = Cache(xxhash.xxh3_64_intdigest, 600_000)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -33,18 +34,9 @@ def split_words(text: str) -> list[bytes]:
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all texts' words in turn, and each text's number of words."""
-    global _known
     split = [split_words(t) for t in texts]
-    need = set().union(*split)
-    missing = [w for w in need if w not in _known]
-    if len(_known) + len(missing) > CACHE:
-        _known = dict(islice(_known.items(), CACHE // 2))
-        missing = [w for w in need if w not in _known]
-    for w in missing:
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    get = _known.__getitem__
     counts = np.array([len(x) for x in split], dtype=np.int64)
-    return np.fromiter((h for x in split for h in map(get, x)), np.uint64, int(counts.sum())), counts
+    return np.fromiter(map(_known.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum())), counts
 
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
