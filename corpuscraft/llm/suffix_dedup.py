@@ -143,11 +143,14 @@ def compare(batches, words: int):
         key = mix(mix(gram.view(np.uint64)[row]) + stretch + mix((place[row] - start).astype(np.uint64)))
         _, index, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         state = np.where(n[inverse] < 2, 0, np.where(index[inverse] == np.arange(len(row)), 2, 1))
-        cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (state[1:] != state[:-1])])) if len(row) else np.zeros(0, dtype=np.int64)
+        origin = index[inverse]
+        back = np.where((state == 1) & (doc[row] == doc[row[origin]]), np.minimum(start - start[origin], words), words)  # to an overlapping origin
+        cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (state[1:] != state[:-1]) | (back[1:] != back[:-1])])) if len(row) else np.zeros(0, dtype=np.int64)
         end = np.append(cut[1:], len(row)) - 1 if len(cut) else cut
         use = state[cut] > 0
         cut, end = cut[use], end[use]
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[cut]]), pa.array(start[cut]), pa.array(start[end] + words), pa.array(state[cut] == 2)], names=["doc_id", "start_word", "end_word", "is_first"])
+        spare = np.where(back[cut] > 0, start[cut] + words - back[cut], start[end] + words)
+        return pa.RecordBatch.from_arrays([pa.array(doc[row[cut]]), pa.array(start[cut]), pa.array(start[end] + words), pa.array(state[cut] == 2), pa.array(spare)], names=["doc_id", "start_word", "end_word", "is_first", "cut_word"])
 
     held = None
     for b in batches:
@@ -171,18 +174,25 @@ def repeated_passages(df: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     kind in a document are merged. Texts under ``words`` words, null texts and rows without id have none; rows that repeat an
     id are one document whose spans are told by place only. Words are runs without white space, A-Z lower-cased.
     """
+    return merge_spans(repeated_stretches(df, words, id_col, text_col).drop("cut_word"))
+
+
+def repeated_stretches(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """Spans before merging, and cut_word: the first word of a repeat that lies outside its own first copy, which a repeat
+    overlaps only in periodic text."""
     spark = df.sparkSession
     scratch = Scratch(spark, "suffixes")
     grams = repeated_grams(df, scratch, words, id_col, text_col)
     found = scratch.put(candidates(df, grams, words, id_col, text_col), "found")
     near = found.filter(F.col("n") <= TOGETHER).drop("n").repartition("gram").sortWithinPartitions("gram", "doc_id", "place")
-    spans = near.mapInArrow(lambda batches: compare(batches, words), "doc_id long, start_word long, end_word long, is_first boolean")
+    spans = near.mapInArrow(lambda batches: compare(batches, words), "doc_id long, start_word long, end_word long, is_first boolean, cut_word long")
     often = found.filter(F.col("n") > TOGETHER)
     each = often.select("gram", "doc_id", "place", "first", F.posexplode("stretches").alias("k", "stretch")).select("gram", "stretch", "doc_id", (F.col("first") + F.col("k")).alias("start"), (F.col("place") - F.col("first") - F.col("k")).alias("before"))
     same = ["gram", "stretch", "before"]
     groups = each.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start")).alias("origin")).filter("copies > 1")
-    far = each.join(groups, same).select("doc_id", F.col("start").alias("start_word"), (F.col("start") + words).alias("end_word"), (F.struct("doc_id", "start") == F.col("origin")).alias("is_first"))
-    return merge_spans(spans.unionByName(far))
+    spare = F.when(F.col("doc_id") == F.col("origin.doc_id"), F.greatest(F.col("start"), F.col("origin.start") + words)).otherwise(F.col("start"))
+    far = each.join(groups, same).select("doc_id", F.col("start").alias("start_word"), (F.col("start") + words).alias("end_word"), (F.struct("doc_id", "start") == F.col("origin")).alias("is_first"), spare.alias("cut_word"))
+    return spans.unionByName(far)
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -197,26 +207,26 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, each text without the words that only repeat earlier ones; all columns, all rows.
 
-    Words that also lie in a stretch that is the first of its kind stay. Text between two words goes with the word before it.
+    All words of a stretch whose first copy lies elsewhere go, also those that begin or end a stretch that is the first of its
+    kind. Where a stretch overlaps its own first copy, that copy stays. Text between two words goes with the word before it.
     """
-    spans = repeated_passages(df, words, id_col, text_col)
-    per_doc = spans.groupBy("doc_id").agg(
-        F.collect_list(F.when(~F.col("is_first"), F.struct("start_word", "end_word"))).alias("__cut"), F.collect_list(F.when(F.col("is_first"), F.struct("start_word", "end_word"))).alias("__keep")
-    ).filter("size(__cut) > 0")
+    repeats = repeated_stretches(df, words, id_col, text_col).filter("not is_first and cut_word < end_word")
+    spans = merge_spans(repeats.select("doc_id", F.col("cut_word").alias("start_word"), "end_word", "is_first"))
+    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cut"))
     per_doc = Scratch(df.sparkSession, "cuts").put(per_doc, "cuts")
     names = df.columns
     tagged = df.join(per_doc.withColumnRenamed("doc_id", "__doc").hint("shuffle_merge"), df[id_col].cast("long") == F.col("__doc"), "left")
 
     @F.pandas_udf("string")
-    def trimmed(text, cut, keep):
+    def trimmed(text, cut):
         import pandas as pd
 
-        return pd.Series([t if c is None else trim(t, c, k) for t, c, k in zip(text, cut, keep, strict=True)])
+        return pd.Series([t if c is None else trim(t, c) for t, c in zip(text, cut, strict=True)])
 
-    return tagged.withColumn(text_col, trimmed(F.col(text_col), F.col("__cut"), F.col("__keep"))).select(*names)
+    return tagged.withColumn(text_col, trimmed(F.col(text_col), F.col("__cut"))).select(*names)
 
 
-def trim(text: str, cut, keep) -> str:
+def trim(text: str, cut) -> str:
     import re
 
     raw = text.encode()
@@ -224,7 +234,5 @@ def trim(text: str, cut, keep) -> str:
     gone = np.zeros(len(at), dtype=bool)
     for s in cut:
         gone[s["start_word"] : s["end_word"]] = True
-    for s in keep:
-        gone[s["start_word"] : s["end_word"]] = False
     edges = [*at, len(raw)]
     return (raw[: at[0]] if at else raw).decode() + b"".join(raw[edges[i] : edges[i + 1]] for i in range(len(at)) if not gone[i]).decode()

@@ -133,6 +133,23 @@ def test_remove_repeats(docs):
     assert text[30] is None and text[31] == ""
 
 
+@pytest.mark.parametrize("together", [20_000, 0])
+def test_remove_repeats_with_shared_neighbours(spark, monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    own = lambda i: " ".join(f"d{i}x{k}" for k in range(40))
+    passage = " ".join(f"p{k}" for k in range(70))
+    period = " ".join(f"q{k % 3}" for k in range(200))
+    # the words beside the passage in 1 are beside it in 2 and 3 too; 4 holds periodic text twice
+    texts = [f"{own(0)} {passage} {own(10)}", f"{own(1)} left {passage} right {own(11)}", f"{own(2)} left {passage} {own(12)}", f"{own(3)} {passage} right {own(13)}", f"{own(4)} {period} {own(14)} {period}"]
+    rows = [(i, t, "", "", "", 0, 0, 0) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r["text"].split() for r in suffix_dedup.remove_repeats(spark.createDataFrame([*rows, rows[0]], SCHEMA)).collect()}
+    assert out[0] == texts[0].split()
+    assert out[1] == f"{own(1)} left right {own(11)}".split()
+    assert out[2] == f"{own(2)} {own(12)}".split()
+    assert out[3] == f"{own(3)} {own(13)}".split()
+    assert out[4] == [*own(4).split(), *period.split()[:50], *own(14).split()]
+
+
 def test_trie_equals_library(spark, docs, empty):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     extra = spark.createDataFrame([(900 + i, t, "", "", "", 0, 0, 0) for i, t in enumerate(["It's <|endoftext|> x", "İstanbul ΣΣ é é", "日本 12½ \x1c y", "a" * 400 + "!" * 300, " 　"])], SCHEMA)
