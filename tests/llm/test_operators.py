@@ -276,6 +276,14 @@ def test_bm25_is_exact(docs, empty, monkeypatch, shard):
     assert bm25.similar_documents(empty).count() == 0
 
 
+def test_bm25_with_a_repeated_query_id(spark):
+    query = "a b c d e f"
+    rows = [(0, query)] * 30 + [(i, " ".join(["a b c d e", *[f"x{i}y{j}" for j in range(i)]])) for i in range(1, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = [(r["rank"], r["doc_id"]) for r in bm25.search(docs, spark.createDataFrame([(0, query)], "doc_id long, text string"), 5).orderBy("rank").collect()]
+    assert got == [(i, i) for i in range(1, 6)]
+
+
 def test_language_model(docs, empty):
     rows = {r["doc_id"]: tokens(r["text"]) for r in docs.collect() if r["doc_id"] != 5}
     got = {r["doc_id"]: r for r in brown.score_texts(docs.filter("doc_id is null or doc_id <> 5")).collect()}
