@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -84,11 +84,21 @@ def parameter_grid(t):
 
 @query("WITH c AS (SELECT d AS draw, CAST(('0x' || substr(sha256(concat('gen|', d)), 1, 8)) AS UBIGINT) % 5000 AS key FROM (SELECT unnest(range(0, 4000)) AS d)) SELECT min(draw) AS draw, CAST(key AS BIGINT) AS key FROM c WHERE key NOT IN (SELECT doc_id FROM documents) GROUP BY key ORDER BY draw LIMIT 100")
 def rejection_sampling(t):
-    """Draws until 100 keys outside the blocked ones: more draws than needed, an anti-join, the first ones."""
-    docs = t("documents")
-    draws = docs.sparkSession.range(4000).select(F.col("id").alias("draw"), core.hash_draw("gen", 5000, F.col("id")).alias("key"))
-    free = draws.join(docs.select(F.col("doc_id").alias("key")), "key", "left_anti")
-    return free.groupBy("key").agg(F.min("draw").alias("draw")).orderBy("draw").limit(100).select("draw", "key")
+    """Draws in rounds until 100 keys outside the blocked ones are found, from a space at least twice as wide as the blocked ids."""
+    return free_keys(t("documents").select(F.col("doc_id").alias("key")), 100)
+
+
+def free_keys(blocked: DataFrame, wanted: int, most: int = 100_000) -> DataFrame:
+    """draw, key: the first draws of ``wanted`` distinct keys that are not blocked; an error if ``most`` draws hold fewer."""
+    space, draws = max(5000, 2 * ((blocked.agg(F.max("key")).first()[0] or 0) + 1)), 4000
+    while True:
+        drawn = blocked.sparkSession.range(draws).select(F.col("id").alias("draw"), core.hash_draw("gen", space, F.col("id")).alias("key"))
+        free = drawn.join(blocked, "key", "left_anti").groupBy("key").agg(F.min("draw").alias("draw")).orderBy("draw").limit(wanted).select("draw", "key")
+        if (found := free.count()) == wanted:
+            return free
+        if draws >= most:
+            raise ValueError(f"{found} of {wanted} free keys in {draws} draws")
+        draws = min(2 * draws, most)
 
 
 LEDGER = "e AS (SELECT user_id AS tag, event_id, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'response' WHEN 'error' THEN 'http_error' ELSE 'note' END AS event, value FROM events)"

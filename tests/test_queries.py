@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from corpuscraft import plans
+from corpuscraft.plans.sequences import free_keys
 
 from .conftest import SF
 
@@ -42,6 +43,19 @@ def test_greedy_near_duplicates(spark):
     assert all(rows[i] for i in range(40)) and not any(v for i, v in rows.items() if i >= 10_000)
 
 
+def test_free_keys_beyond_many_blocked_ones(spark):
+    ids = spark.range(10_000).selectExpr("id as key")
+    rows = free_keys(ids, 100).collect()
+    assert len({r["key"] for r in rows}) == 100 and all(r["key"] >= 10_000 for r in rows)
+    assert [r["draw"] for r in rows] == sorted(r["draw"] for r in rows)
+    assert free_keys(ids, 6000).count() == 6000  # more than one round
+    with pytest.raises(ValueError, match="free keys"):
+        free_keys(ids, 10_001)
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id")
+    got = plans.queries()["rejection_sampling"](spark, "/root/testdata/sf0.1")
+    assert got.count() == 100 and got.join(documents, got["key"] == documents["doc_id"]).count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
