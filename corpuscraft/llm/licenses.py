@@ -49,6 +49,8 @@ PLAIN = ["All rights reserved.", "Copyright by the author.", "See the license fi
 UNKNOWN = "unknown"
 STOP = frozenset("a an and any are as at be by for from if in is it of on or that the this to was with you can not may de la le der die das que en el un und et les des".split())
 CUT, CONFIRM = r"[^a-z0-9]+", 0.5
+#: Paragraphs end at lines without letters and digits (blank, or comment marks alone) and at lines that end a sentence.
+PARAGRAPH = r"\n[^\p{L}\p{N}\n]*\n|(?<=[.!?])[ \t\r]*\n"
 
 
 def ngrams(text: str) -> set[str]:
@@ -117,9 +119,11 @@ def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph (from 0), family, probability, similarity, confirmed: the lines that hold a feature of the model.
+    """doc_id, paragraph (from 0), family, probability, similarity, confirmed: the paragraphs that hold a feature of the model.
 
-    Lines without any feature, empty and null texts have no row; a line whose best class is unknown has family "unknown".
+    A paragraph's lines are read as one, comment marks left out, and each by itself too. Confirmed lines stand for a paragraph that is
+    not confirmed as a whole; beside one that is, only a line that holds a whole notice of another family has a row. Paragraphs
+    without any feature, empty and null texts have no row; a row whose best class is unknown has family "unknown".
     """
     spark, m = df.sparkSession, model()
     single = [f for f in m["features"] if " " not in f]
@@ -127,20 +131,27 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     words = lambda c: F.filter(F.split(F.lower(c), CUT), lambda w: w != "")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     likely = docs.filter(F.exists(F.split(F.lower("text"), CUT), lambda w: w.isin(single)))
-    lines = likely.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).withColumn("words", words(F.col("line"))).filter(F.exists("words", lambda w: w.isin(single)))
+    wrapped = likely.select("doc_id", F.posexplode(F.split("text", PARAGRAPH)).alias("paragraph", "block")).filter(F.exists(F.split(F.lower("block"), CUT), lambda w: w.isin(single)))
+    units = F.when(F.col("block").contains("\n"), F.concat(F.array("block"), F.split("block", "\n"))).otherwise(F.array("block"))  # the first is the whole
+    lines = wrapped.select("doc_id", "paragraph", F.posexplode(units).alias("line", "unit")).withColumn("words", words(F.col("unit"))).filter(F.exists("words", lambda w: w.isin(single)))
     # no lambda reads the whole array: Spark may put its definition there, and would compute it for every element
     pair = lambda a, b: F.when(~(a.isin(plain) & b.isin(plain)), F.concat_ws(" ", a, b))
     pairs = F.filter(F.zip_with("words", F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda a, b: F.when(b.isNotNull(), pair(a, b))), lambda p: p.isNotNull())
-    grams = lines.select("doc_id", "paragraph", F.array_distinct(F.concat(F.filter("words", lambda w: ~w.isin(plain)), pairs)).alias("grams"))
+    grams = lines.select("doc_id", "paragraph", "line", F.array_distinct(F.concat(F.filter("words", lambda w: ~w.isin(plain)), pairs)).alias("grams"))
     k = len(m["classes"])
     weights = literal_table(spark, [{"gram": f, "w": [round(float(x), 6) for x in w]} for f, w in zip(m["features"], m["weights"], strict=True)], "gram string, w array<double>")
-    hits = grams.select("doc_id", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")  # bounded by the notices
-    summed = hits.groupBy("doc_id", "paragraph").agg(F.array(*[F.sum(F.col("w")[j]) + float(m["bias"][j]) for j in range(k)]).alias("z"), F.collect_set("gram").alias("grams"))
+    hits = grams.select("doc_id", "paragraph", "line", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")  # bounded by the notices
+    summed = hits.groupBy("doc_id", "paragraph", "line").agg(F.array(*[F.sum(F.col("w")[j]) + float(m["bias"][j]) for j in range(k)]).alias("z"), F.collect_set("gram").alias("grams"))
     top = F.array_max("z")
-    scored = summed.select("doc_id", "paragraph", "grams", F.element_at(F.array(*map(F.lit, m["classes"])), F.array_position("z", top).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("probability"))
+    scored = summed.select("doc_id", "paragraph", "line", "grams", F.element_at(F.array(*map(F.lit, m["classes"])), F.array_position("z", top).cast("int")).alias("family"), (1 / F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - top))).alias("probability"))
     templates = literal_table(spark, [{"family": f, "template": n} for f, n in m["templates"]], "family string, template array<string>").groupBy("family").agg(F.collect_list("template").alias("templates"))
     alike = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect("grams", t)) / F.size(t)))
-    return scored.join(F.broadcast(templates), "family", "left").select("doc_id", "paragraph", "family", "probability", F.coalesce(alike, F.lit(0.0)).alias("similarity"), ((F.col("family") != UNKNOWN) & (F.coalesce(alike, F.lit(0.0)) >= CONFIRM)).alias("confirmed"))
+    similarity = F.coalesce(alike, F.lit(0.0))
+    read = scored.join(F.broadcast(templates), "family", "left").select("doc_id", "paragraph", F.struct("line", "family", "probability", similarity.alias("similarity"), ((F.col("family") != UNKNOWN) & (similarity >= CONFIRM)).alias("confirmed")).alias("u"))
+    both = read.groupBy("doc_id", "paragraph").agg(F.max(F.when(F.col("u.line") == 0, F.col("u"))).alias("whole"), F.collect_list(F.when((F.col("u.line") > 0) & F.col("u.confirmed"), F.col("u"))).alias("sure"))
+    other = F.filter("sure", lambda u: (u["family"] != F.col("whole.family")) & (u["similarity"] >= 1))
+    kept = F.when(F.col("whole.confirmed"), F.concat(F.array("whole"), other)).when(F.size("sure") > 0, F.col("sure")).otherwise(F.array("whole"))
+    return both.select("doc_id", "paragraph", F.inline(kept)).select("doc_id", "paragraph", "family", "probability", "similarity", "confirmed")
 
 
 def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -359,3 +359,12 @@ def test_licenses(spark, docs, empty):
     plan = licenses.scan_documents(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.scan_documents(empty).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version."
+    mit = "Permission is hereby granted, free of\ncharge, to any person obtaining a copy\nof this software and associated\ndocumentation files, to deal in it"
+    mark = lambda t: "\n".join("# " + x for x in t.split("\n"))
+    texts = [gpl.format(2), gpl.format(3), mark(gpl.format(2)), mark(gpl.format(3)), "Some text\n#\n" + mark(mit), "MIT License\nApache License 2.0", "a licence\n\n" + gpl.format(3) + "\n\nLicensed under CC BY-NC 4.0"]
+    got = {r["doc_id"]: r["families"] for r in licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(7)] == [["gpl-2.0"], ["gpl-3.0"], ["gpl-2.0"], ["gpl-3.0"], ["mit"], ["apache-2.0", "mit"], ["cc-by-nc", "gpl-3.0"]]
