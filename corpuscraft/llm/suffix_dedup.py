@@ -1,11 +1,10 @@
-"""Repeated passages by a sparse suffix array.
-
-Of all suffixes of all texts, only those that start at minimisers are kept: in each stretch of ``words`` words, the run of
-``GRAM`` words whose hash is least. Equal stretches choose the same place in themselves, so every passage of ``words`` words or
-more that repeats has at least one kept suffix in each of its copies. Suffixes are ordered by their first ``GRAM`` words;
-neighbours that agree there are candidates. A match is then extended left and right around the suffix: each stretch of
-``words`` words that chose the suffix is told by a 64-bit hash, and equal stretches at equal distances before the suffix are
-copies. Of equal stretches the one in the smallest document id, then at the smallest place, is the first; the others repeat it.
+"""Repeated passages by fingerprints of windows, grouped by minimiser. Suffixes are not ordered or compared as a suffix array does.
+
+Of all places of all texts, only minimisers are kept: in each stretch of ``words`` words, the run of ``GRAM`` words whose hash
+is least. Equal stretches choose the same place in themselves, so every passage of ``words`` words or more that repeats has at
+least one kept place in each of its copies. Places are grouped by their ``GRAM`` words. Each stretch of ``words`` words that
+chose the place is told by a 64-bit hash, and equal stretches at equal distances before it are copies (but for hash collisions).
+Of equal stretches the one in the smallest document id, then at the smallest place, is the first; the others repeat it.
 """
 
 from __future__ import annotations
