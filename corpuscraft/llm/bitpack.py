@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, steps, texts_of
+from ._common import Scratch, steps, task, texts_of
 from .tokenize import encoder
 
 BLOCK_IDS = 65_536
@@ -47,7 +47,8 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
     """Encodes each whole text (null: empty), appends ``end_id`` and writes the ids by ascending id at ``path``.
 
     Texts are dealt by ranges of their id, so each task writes one stretch of the order; a repeated id keeps all its rows, in
-    the order of their texts, and rows with a null id come first. An empty table gives a file without blocks.
+    an order of their own (by a hash of the text, so that a hot id is split too), and rows with a null id come first. An empty
+    table gives a file without blocks.
     """
 
     def blocks(batches):
@@ -76,8 +77,8 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
         if docs:
             yield out()
 
-    ordered = texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(blocks, SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
+    ordered = texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered.mapInArrow(task(blocks, "tokenize"), SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -104,7 +105,7 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return file.mapInArrow(docs, "doc_id long, start long, n_tokens long, ids binary")
+    return file.mapInArrow(task(docs), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

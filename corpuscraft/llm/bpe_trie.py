@@ -16,10 +16,11 @@ from itertools import islice
 
 from pyspark.sql import DataFrame
 
-from ._common import steps, texts_of
+from ._common import frees, steps, task, texts_of
 from .tokenize import LATIN, plain, spaced
 
-CACHE = 600_000
+#: Words a worker keeps, of at most ``KEPT`` letters; a word past ``LONG`` letters is walked alone.
+CACHE, KEPT, LONG, PAIRS = 200_000, 64, 256, 400_000
 _END = ""  # a trie node's key for "a word ends here"
 _made: dict[str, TrieEncoder] = {}
 
@@ -108,15 +109,46 @@ class TrieEncoder:
                     rank = self.ranks.get((a, b))
                     if rank is not None and rank < a_to and rank <= b_to and max(a_from, b_from) < min(a_to, b_to):
                         known = False
-        if len(self.pair_ok) > 2_000_000:
+        if len(self.pair_ok) > PAIRS:
             self.pair_ok.clear()
         self.pair_ok[left, right] = known
         return known
 
+    def last_token(self, table: dict[str, int], tail: str, depth: int, last: list[int]) -> tuple[int, int]:
+        """The token that ends a prefix of ``depth`` symbols whose last ones are ``tail``, and where it starts: the one that goes
+        together with the last token of what stands before it (``last`` by length)."""
+        known = self.pair_ok.get
+        base = depth - len(tail)
+        for at in range(base, depth):
+            t = table.get(tail[at - base :])
+            if t is not None and ((ok := known((last[at], t))) or ok is None and self.together(last[at], t)):
+                return t, at
+        raise ValueError(f"no token of the vocabulary ends {tail!r}")
+
+    def trace(self, token: int, at: int, last: list[int], starts: list[int]) -> list[int]:
+        ids = [token]
+        while at > 0:
+            ids.append(last[at])
+            at = starts[at]
+        ids.reverse()
+        return ids
+
+    def encode_long(self, word: str) -> list[int]:
+        """One word as a path of its own: a trie of it would share nothing and hold a node for each letter."""
+        last, starts, longest = [-1], [0], self.longest
+        for depth in range(1, len(word)):
+            t, at = self.last_token(self.inner, word[max(0, depth - longest) : depth], depth, last)
+            last.append(t)
+            starts.append(at)
+        return self.trace(*self.last_token(self.final, word[-longest:], len(word), last), last, starts)
+
     def encode_words(self, words: list[str]) -> None:
         """Ids of distinct words (of byte letters) by one walk over their trie, into self.words."""
         root: dict = {}
         for w in words:
+            if len(w) > LONG:
+                self.words[w] = self.encode_long(w)
+                continue
             node = root
             for c in w:
                 below = node.get(c)
@@ -139,12 +171,7 @@ class TrieEncoder:
                         break
                 else:
                     raise ValueError(f"no token of the vocabulary ends {word!r}")
-                ids = [t]
-                while at > 0:
-                    ids.append(last[at])
-                    at = starts[at]
-                ids.reverse()
-                self.words[word] = ids
+                self.words[word] = self.trace(t, at, last, starts)
                 if len(node) == 1:
                     continue
             for at in range(first, depth):
@@ -196,7 +223,11 @@ class TrieEncoder:
         if missing:
             self.learn(missing)
         ids, tokens = self.ids.__getitem__, self.tokens.__getitem__
-        return [(b"".join(map(ids, x)), " ".join(map(tokens, x))) for x in split]
+        out = [(b"".join(map(ids, x)), " ".join(map(tokens, x))) for x in split]
+        for x in missing:
+            if len(x) > KEPT:
+                del self.ids[x], self.tokens[x]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.text[i] for i in ids)
@@ -209,6 +240,12 @@ def trie_encoder(path: str) -> TrieEncoder:
     return _made[path]
 
 
+@frees("trie")
+def forget() -> None:
+    """Frees the worker's encoders."""
+    _made.clear()
+
+
 def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids (little-endian uint32), decoded, a row for each row; a null text counts as empty.
 
@@ -226,4 +263,4 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
-    return texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task(run, "trie"), "doc_id long, n_tokens long, ids binary, decoded string")

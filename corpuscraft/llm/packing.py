@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, steps, texts_of
+from ._common import Scratch, steps, task, texts_of
 from .tokenize import encoder
 
 #: Length classes a sequence is divided into: the bound of the histogram, the linear program and the tables sent to the tasks.
@@ -137,7 +137,7 @@ def cut_documents(df: DataFrame, tokenizer: str, style: str = "words", end_id: i
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(task(cut, "tokenize"), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, units: int = UNITS) -> DataFrame:

@@ -15,14 +15,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, steps, texts_of
+from ._common import Scratch, steps, task, texts_of
 from .words import mix, runs, word_hashes
 
 WORDS, GRAM = 50, 10
 #: Slots of 64 bits of the filter of repeated grams that is sent to the tasks: 8 MB whatever the input. It only spares work.
 SLOTS = 1 << 20
-#: A gram found more often than this is compared by shuffled rows, not within one task.
-TOGETHER = 20_000
+#: A gram found more often than this is compared by shuffled rows, not within one task; the result is the same.
+TOGETHER = 4_096
 _B = 0x9E3779B97F4A7C15 | 1
 
 
@@ -79,7 +79,7 @@ def repeated_grams(df: DataFrame, scratch: Scratch, words: int, id_col: str, tex
                 g, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["gram", "n"])
 
-    grams = texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(count, "gram long, n long")
+    grams = texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(task(count, "words"), "gram long, n long")
     return scratch.put(grams.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1"), "grams")
 
 
@@ -93,63 +93,82 @@ def gram_filter(grams: DataFrame) -> np.ndarray:
 
 
 def candidates(df: DataFrame, grams: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """gram, doc_id, place, first (stretch), stretches (their hashes), n (of the gram): suffixes whose gram repeats."""
+    """Kept suffixes whose gram repeats: gram, sig (a hash of gram, stretches and their places in it), doc_id, copy (a hash of the
+    text, which tells rows of one id apart), place, first (stretch), n, stretches (their hashes), total (of the gram).
+
+    Of equal suffixes of a step only the first carries n, their number, and the stretches: copies cost a few numbers each.
+    """
     bits = df.sparkSession.sparkContext.broadcast(gram_filter(grams))
 
     def emit(batches):
         import pyarrow as pa
 
         known = bits.value
-        for ids, texts in steps(batches):
+        for ids, copies, texts in steps(batches):
             hashes, counts = word_hashes(texts)
             ends = np.cumsum(counts)
-            rows = ([], [], [], [])
-            parts, lengths = [], []
-            for i, e, n in zip(ids, ends, counts, strict=True):
+            cols, parts = ([], [], [], [], [], []), []
+            for i, c, e, n in zip(ids, copies, ends, counts, strict=True):
                 if n < words or i is None:
                     continue
                 h = hashes[e - n : e]
                 g, place, first, last = suffixes(h, words)
                 keep = np.flatnonzero((known[(g & np.uint64(SLOTS - 1)).astype(np.int64)] >> (g >> np.uint64(58))) & np.uint64(1))
                 if len(keep):
-                    w = window_hashes(h, words)
-                    rows[0].append(g[keep])
-                    rows[1].append(np.full(len(keep), i, dtype=np.int64))
-                    rows[2].append(place[keep])
-                    rows[3].append(first[keep])
-                    for a, z in zip(first[keep], last[keep], strict=True):
-                        parts.append(w[a:z])
-                        lengths.append(z - a)
-            if parts:
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(parts).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows[0]).view(np.int64)), *[pa.array(np.concatenate(r), pa.int64()) for r in rows[1:]], lists], names=["gram", "doc_id", "place", "first", "stretches"])
-
-    docs = texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text")
-    return docs.mapInArrow(emit, "gram long, doc_id long, place long, first long, stretches array<bigint>").join(grams, "gram")
-
-
-def compare(batches, words: int):
-    """Rows sorted by gram, document and place: compares the suffixes of a gram and yields their repeated stretches as intervals."""
+                    size = (last - first)[keep]
+                    parts.append(window_hashes(h, words)[np.repeat(first[keep] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))])
+                    for col, x in zip(cols, (g[keep], np.full(len(keep), i), np.full(len(keep), c), place[keep], first[keep], size), strict=True):
+                        col.append(x)
+            if not parts:
+                continue
+            gram, doc, copy, place, first, size = (np.concatenate(c) for c in cols)
+            stretch, ends = np.concatenate(parts), np.cumsum(size)
+            before = np.repeat(place - first + ends - size, size) - np.arange(len(stretch))
+            sig = mix(gram + np.add.reduceat(mix(stretch + mix(before.astype(np.uint64))), ends - size))
+            order = np.lexsort((copy, place, doc, sig))
+            opens = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]]))
+            n = np.zeros(len(sig), dtype=np.int64)
+            n[order[opens]] = np.diff(np.append(opens, len(sig)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, size, 0))]), pa.int32()), pa.array(stretch[np.repeat(n > 0, size)].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[pa.array(np.asarray(x).astype(np.int64, copy=False) if x.dtype != np.uint64 else x.view(np.int64)) for x in (gram, sig, doc, copy, place, first, n)], lists], names=["gram", "sig", "doc_id", "copy", "place", "first", "n", "stretches"])
+
+    docs = texts_of(df, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "xxhash64(text) copy", "text")
+    return docs.mapInArrow(task(emit, "words"), "gram long, sig long, doc_id long, copy long, place long, first long, n long, stretches array<bigint>").join(grams.withColumnRenamed("n", "total"), "gram")
+
+
+SEGMENTS = "sig long, rel long, size long, odoc long, ocopy long, ostart long"
+
+
+def segments(sig, rel, odoc, ocopy, ostart):
+    """Rows (a repeated stretch each, sorted by sig and place) as runs whose first copies run along with them."""
+    import pyarrow as pa
+
+    same = lambda x: x[1:] == x[:-1]
+    opens = np.flatnonzero(np.concatenate([[True], ~(same(sig) & same(odoc) & same(ocopy) & (np.diff(rel) == 1) & (np.diff(ostart) == 1))])) if len(sig) else np.zeros(0, dtype=np.int64)
+    cols = [sig[opens], rel[opens], np.diff(np.append(opens, len(sig))), odoc[opens], ocopy[opens], ostart[opens]]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64, copy=False)) for c in cols], names=["sig", "rel", "size", "odoc", "ocopy", "ostart"])
+
+
+def compare(batches):
+    """Different suffixes sorted by gram, document and place: compares those of a gram and yields the runs of their repeated
+    stretches, with the first copies."""
     import pyarrow as pa
 
-    def intervals(t):
-        gram, doc, place, first = (t.column(c).to_numpy() for c in ("gram", "doc_id", "place", "first"))
+    def runs_of(t):
+        gram, sig, n, doc, copy, place, first = (t.column(c).to_numpy() for c in ("gram", "sig", "n", "doc_id", "copy", "place", "first"))
         lists = t.column("stretches").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
         stretch = lists.flatten().to_numpy().view(np.uint64)
         row = np.repeat(np.arange(len(doc)), size)
         start = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         key = mix(mix(gram.view(np.uint64)[row]) + stretch + mix((place[row] - start).astype(np.uint64)))
-        _, index, inverse, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        state = np.where(n[inverse] < 2, 0, np.where(index[inverse] == np.arange(len(row)), 2, 1))
-        origin = index[inverse]
-        back = np.where((state == 1) & (doc[row] == doc[row[origin]]), np.minimum(start - start[origin], words), words)  # to an overlapping origin
-        cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (state[1:] != state[:-1]) | (back[1:] != back[:-1])])) if len(row) else np.zeros(0, dtype=np.int64)
-        end = np.append(cut[1:], len(row)) - 1 if len(cut) else cut
-        use = state[cut] > 0
-        cut, end = cut[use], end[use]
-        spare = np.where(back[cut] > 0, start[cut] + words - back[cut], start[end] + words)
-        return pa.RecordBatch.from_arrays([pa.array(doc[row[cut]]), pa.array(start[cut]), pa.array(start[end] + words), pa.array(state[cut] == 2), pa.array(spare)], names=["doc_id", "start_word", "end_word", "is_first", "cut_word"])
+        _, index, inverse = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(inverse, weights=n[row])
+        once = np.zeros(len(sig), dtype=bool)  # a suffix that came from several steps is told once
+        once[np.unique(sig, return_index=True)[1]] = True
+        use = np.flatnonzero((total[inverse] > 1) & once[row])
+        origin = index[inverse[use]]
+        return segments(sig[row[use]], (start - place[row])[use], doc[row[origin]], copy[row[origin]], start[origin])
 
     held = None
     for b in batches:
@@ -160,10 +179,17 @@ def compare(batches, words: int):
             continue
         done = int(np.searchsorted(gram, gram[-1]))  # the last gram may go on in the next batch
         if done:
-            yield intervals(t.slice(0, done))
+            yield runs_of(t.slice(0, done))
         held = t.slice(done)
     if held is not None and held.num_rows:
-        yield intervals(held)
+        yield runs_of(held)
+
+
+def gather(batches):
+    """Repeated stretches sorted by sig and place, as runs."""
+    for b in batches:
+        if b.num_rows:
+            yield segments(*(b.column(c).to_numpy() for c in ("sig", "rel", "odoc", "ocopy", "ostart")))
 
 
 def repeated_passages(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,34 +199,41 @@ def repeated_passages(df: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     kind in a document are merged. Texts under ``words`` words, null texts and rows without id have none; rows that repeat an
     id are one document whose spans are told by place only. Words are runs without white space, A-Z lower-cased.
     """
-    return merge_spans(repeated_stretches(df, words, id_col, text_col).drop("cut_word"))
+    return merge_spans(repeated_stretches(df, words, id_col, text_col).select("doc_id", "start_word", "end_word", "is_first"), "doc_id", "is_first")
 
 
 def repeated_stretches(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Spans before merging, and cut_word: the first word of a repeat that lies outside its own first copy, which a repeat
-    overlaps only in periodic text."""
-    spark = df.sparkSession
-    scratch = Scratch(spark, "suffixes")
+    """Spans before merging: doc_id, copy, start_word, end_word, is_first (by id and place), own (by id, text and place), cut_word
+    (the first word of a repeat that lies outside its own first copy, which a repeat overlaps only in periodic text).
+
+    The suffixes of a gram are compared in one task up to ``TOGETHER`` of them; those of a commoner gram as shuffled stretches,
+    counted before the shuffle. Both ways give the same rows. Copies of a suffix get its runs in a join that Spark may split.
+    """
+    scratch = Scratch(df.sparkSession, "suffixes")
     grams = repeated_grams(df, scratch, words, id_col, text_col)
     found = scratch.put(candidates(df, grams, words, id_col, text_col), "found")
-    near = found.filter(F.col("n") <= TOGETHER).drop("n").repartition("gram").sortWithinPartitions("gram", "doc_id", "place")
-    spans = near.mapInArrow(lambda batches: compare(batches, words), "doc_id long, start_word long, end_word long, is_first boolean, cut_word long")
-    often = found.filter(F.col("n") > TOGETHER)
-    each = often.select("gram", "doc_id", "place", "first", F.posexplode("stretches").alias("k", "stretch")).select("gram", "stretch", "doc_id", (F.col("first") + F.col("k")).alias("start"), (F.col("place") - F.col("first") - F.col("k")).alias("before"))
+    kinds = found.filter("n > 0")
+    near = kinds.filter(F.col("total") <= TOGETHER).drop("total").repartition("gram").sortWithinPartitions("gram", "doc_id", "place", "copy").mapInArrow(task(compare), SEGMENTS)
+    k = F.col("first") + F.col("k")
+    each = kinds.filter(F.col("total") > TOGETHER).select("gram", "sig", "n", "doc_id", "copy", "place", "first", F.posexplode("stretches").alias("k", "stretch")).select("gram", "sig", "n", "doc_id", "copy", "stretch", k.alias("start"), (F.col("place") - k).alias("before"))
     same = ["gram", "stretch", "before"]
-    groups = each.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "start")).alias("origin")).filter("copies > 1")
-    spare = F.when(F.col("doc_id") == F.col("origin.doc_id"), F.greatest(F.col("start"), F.col("origin.start") + words)).otherwise(F.col("start"))
-    far = each.join(groups, same).select("doc_id", F.col("start").alias("start_word"), (F.col("start") + words).alias("end_word"), (F.struct("doc_id", "start") == F.col("origin")).alias("is_first"), spare.alias("cut_word"))
-    return spans.unionByName(far)
-
-
-def merge_spans(spans: DataFrame) -> DataFrame:
-    """Joins touching spans of one document and kind."""
-    order = Window.partitionBy("doc_id", "is_first").orderBy("start_word", "end_word")
+    groups = each.groupBy(*same).agg(F.sum("n").alias("copies"), F.min(F.struct("doc_id", "start", "copy")).alias("o")).filter("copies > 1")
+    shared = each.select("sig", *same).distinct().join(groups, same).select("sig", (-F.col("before")).alias("rel"), F.col("o.doc_id").alias("odoc"), F.col("o.copy").alias("ocopy"), F.col("o.start").alias("ostart"))
+    far = shared.repartition("sig").sortWithinPartitions("sig", "rel").mapInArrow(task(gather), SEGMENTS)
+    spans = found.select("sig", "doc_id", "copy", "place").join(near.unionByName(far), "sig").withColumn("start_word", F.col("place") + F.col("rel"))
+    here = (F.col("doc_id") == F.col("odoc")) & (F.col("start_word") == F.col("ostart"))
+    cut = F.when((F.col("doc_id") == F.col("odoc")) & (F.col("copy") == F.col("ocopy")), F.greatest("start_word", F.col("ostart") + words)).otherwise(F.col("start_word"))
+    return spans.select("doc_id", "copy", "start_word", (F.col("start_word") + F.col("size") - 1 + words).alias("end_word"), here.alias("is_first"), (here & (F.col("copy") == F.col("ocopy"))).alias("own"), cut.alias("cut_word"))
+
+
+def merge_spans(spans: DataFrame, *by: str) -> DataFrame:
+    """Joins touching spans (start_word, end_word) of one document and kind."""
+    order = Window.partitionBy(*by).orderBy("start_word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("opens", F.when(reach >= F.col("start_word"), 0).otherwise(1))
     island = F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island", island).groupBy("doc_id", "is_first", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word")).select("doc_id", "start_word", "end_word", "is_first")
+    merged = marked.withColumn("island", island).groupBy(*by, "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"))
+    return merged.select("doc_id", "start_word", "end_word", *[c for c in by if c != "doc_id"])
 
 
 def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,13 +241,16 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
     All words of a stretch whose first copy lies elsewhere go, also those that begin or end a stretch that is the first of its
     kind. Where a stretch overlaps its own first copy, that copy stays. Text between two words goes with the word before it.
+    Rows are told apart by id and text, so a repeated id with another text is a document of its own; rows equal in both are
+    copies that are treated alike. Rows without id stay as they are.
     """
-    repeats = repeated_stretches(df, words, id_col, text_col).filter("not is_first and cut_word < end_word")
-    spans = merge_spans(repeats.select("doc_id", F.col("cut_word").alias("start_word"), "end_word", "is_first"))
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cut"))
+    repeats = repeated_stretches(df, words, id_col, text_col).filter("not own and cut_word < end_word")
+    spans = merge_spans(repeats.select("doc_id", "copy", F.col("cut_word").alias("start_word"), "end_word"), "doc_id", "copy")
+    per_doc = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cut"))
     per_doc = Scratch(df.sparkSession, "cuts").put(per_doc, "cuts")
     names = df.columns
-    tagged = df.join(per_doc.withColumnRenamed("doc_id", "__doc").hint("shuffle_merge"), df[id_col].cast("long") == F.col("__doc"), "left")
+    row = (df[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(df[text_col].cast("string")) == F.col("__copy"))
+    tagged = df.join(per_doc.hint("shuffle_merge"), row, "left")
 
     @F.pandas_udf("string")
     def trimmed(text, cut):
@@ -222,7 +258,7 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
         return pd.Series([t if c is None else trim(t, c) for t, c in zip(text, cut, strict=True)])
 
-    return tagged.withColumn(text_col, trimmed(F.col(text_col), F.col("__cut"))).select(*names)
+    return tagged.withColumn(text_col, F.when(F.col("__cut").isNotNull(), trimmed(F.col(text_col), F.col("__cut"))).otherwise(F.col(text_col))).select(*names)
 
 
 def trim(text: str, cut) -> str:

@@ -1,7 +1,7 @@
 """Exact library encoding of whole texts with a cache of text chunks.
 
 Neither tokenizer's pre-tokens reach across the chunk borders used here, so the ids of a text are the ids of its chunks in turn.
-Each worker encodes a chunk once and keeps at most ``CACHE`` chunks.
+A worker keeps at most ``CACHE`` chunks of at most ``LONGEST`` characters, and only while its tasks use the encoder.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import re
 from array import array
 from itertools import islice
 
-CACHE = 700_000
+from ._common import frees
+
+CACHE, LONGEST = 240_000, 64
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _CONTROL = re.compile("[\\x1c-\\x1f]")
@@ -44,6 +46,8 @@ class Cache(dict):
         self.make, self.limit = make, limit
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.limit:
             keep = dict(islice(self.items(), self.limit // 2))
             self.clear()
@@ -113,3 +117,9 @@ def encoder(path: str, style: str) -> ChunkEncoder:
     if (path, style) not in _made:
         _made[path, style] = ChunkEncoder(path, style)
     return _made[path, style]
+
+
+@frees("tokenize")
+def forget() -> None:
+    """Frees the worker's encoders."""
+    _made.clear()

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, crc_mod, steps, texts_of
+from ._common import Scratch, crc_mod, steps, task, texts_of
 from .tokenize import Cache
 
 EXAMPLES, VOCABULARY, TELLING, LEANING, BLOCK, NEIGHBOURS = 10_000, 4_000, 24.0, 4.0, 64, 15
@@ -39,7 +39,7 @@ class WordTerms(Cache):
     """The known terms of a word."""
 
     def __init__(self, term: dict[str, int]):
-        super().__init__(self.find, 400_000)
+        super().__init__(self.find, 150_000)
         self.term = term
 
     def find(self, word: str) -> tuple[int, ...]:
@@ -128,7 +128,7 @@ class Index:
             toxic, total = toxic - float((self.weights * self.labels)[own].sum()), total - float(self.weights[own].sum())
             out = toxic / total if total > 0 else 0.0
         found = (out, [(int(self.ids[d]), float(c), int(self.labels[d])) for d, c in zip(docs[:3], cos[:3], strict=True)])
-        if key is not None and len(self.known) < 100_000:
+        if key is not None and len(self.known) < 50_000:
             self.known[key] = found
         return found
 
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
     if not n0 + n1:
         return None
     part = lambda o, e: F.when(o > 0, 2 * o * F.log(o / e)).otherwise(0.0)
-    whole = texts.mapInArrow(presence, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    whole = texts.mapInArrow(task(presence), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # a beginning counts by its words but the commonest, so that it says more than that word does
     begun = whole.select(F.explode(F.array(*[F.when(F.length("term") > k, F.concat(F.substring("term", 1, k), F.lit("~"))) for k in PREFIXES])).alias("start"), "clean", "toxic").filter("start is not null")
     rest = lambda c: F.least(F.sum(c) - F.max_by(c, F.struct(F.col("clean") + F.col("toxic"), "toxic")), F.lit(got.get(int(c == "toxic"), 0))).alias(c)
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
             rows = [Counter([i for some in map(lookup.__getitem__, words_of(t)) for i in some]) for t in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["doc_id", "label", "at", "tf"])
 
-    rows = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, tf array<int>").orderBy("doc_id", F.size("at")).collect()
+    rows = texts.mapInArrow(task(vectors), "doc_id long, label int, at array<int>, tf array<int>").orderBy("doc_id", F.size("at")).collect()
     weights = {y: totals[y] / got[y] for y in got}
     index = Index(names, idf, [dict(zip(r["at"], r["tf"], strict=True)) for r in rows], [r["doc_id"] for r in rows], [r["label"] for r in rows], weights)
     shared = spark.sparkContext.broadcast(index)
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
             votes = [shared.value.vote(dict(zip(a, t, strict=True)), without=i)[0] for i, a, t in zip(c["doc_id"], c["at"], c["tf"], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("label")], names=["vote", "label"])
 
-    votes = texts.mapInArrow(vectors, "doc_id long, label int, at array<int>, tf array<int>").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(own_votes, "vote double, label int").collect()
+    votes = texts.mapInArrow(task(vectors), "doc_id long, label int, at array<int>, tf array<int>").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(task(own_votes), "vote double, label int").collect()
     index.calibrate(np.array([v["vote"] for v in votes]), np.array([v["label"] for v in votes]), np.array([weights[v["label"]] for v in votes]))
     return index
 
@@ -242,7 +242,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
 
     rows = texts_of(docs, id_col, text_col).selectExpr("cast(doc_id as long) doc_id", "text")
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
+    return rows.mapInArrow(task(run), "doc_id long, score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double,label:int>>")
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -261,7 +261,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
             texts = b.column(at).cast(pa.string()).to_pylist()
             yield b.filter(pa.array([index.score(index.vote(index.counts(t or ""))[0]) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(task(run), docs.schema)
 
 
 def training_labels(labels: DataFrame, folds: int = 5, id_col: str = "doc_id") -> DataFrame:

@@ -7,9 +7,10 @@ from itertools import chain
 import numpy as np
 import xxhash
 
+from ._common import frees
 from .tokenize import Cache
 
-_known = Cache(xxhash.xxh3_64_intdigest, 600_000)
+_known = Cache(xxhash.xxh3_64_intdigest, 200_000)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -22,6 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@frees("words")
 def forget() -> None:
     """Frees the worker's cache of word hashes."""
     _known.clear()

@@ -115,10 +115,10 @@ def brute_spans(rows, words):
 @pytest.mark.parametrize("together", [20_000, 1])
 def test_repeated_passages(docs, empty, monkeypatch, together):
     monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
-    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    rows = [(r["doc_id"], r["text"]) for r in one.collect()]
-    got = {(r["doc_id"], r["start_word"], r["end_word"], r["is_first"]) for r in suffix_dedup.repeated_passages(one).collect()}
-    assert got == brute_spans(rows, 50)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    found = suffix_dedup.repeated_passages(docs).collect()
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["is_first"]) for r in found}
+    assert got == brute_spans(rows, 50) and len(got) == len(found)
     assert {20, 21, 22} <= {r[0] for r in got}
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
@@ -150,6 +150,26 @@ def test_remove_repeats_with_shared_neighbours(spark, monkeypatch, together):
     assert out[4] == [*own(4).split(), *period.split()[:50], *own(14).split()]
 
 
+@pytest.mark.parametrize("together", [20_000, 0])
+def test_rows_of_one_id_are_told_apart(spark, monkeypatch, together):
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    draw = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    shared, other = draw("s", 80), draw("o", 100)
+    rows = spark.createDataFrame([(1, shared), (2, shared + " a b c d e"), (2, other), (3, draw("t", 80)), (3, draw("t", 80))], "doc_id long, text string")
+    out = sorted((r["doc_id"], r["text"]) for r in suffix_dedup.remove_repeats(rows).collect())
+    assert out == sorted([(1, shared), (2, "a b c d e"), (2, other), (3, draw("t", 80)), (3, draw("t", 80))])
+    spans = {tuple(r) for r in suffix_dedup.repeated_passages(rows.filter("doc_id = 3")).collect()}
+    assert spans == {(3, 0, 80, True)}
+
+
+def test_near_duplicates_of_one_id_keep_their_links(spark):
+    draw = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    a, b = draw("a", 60), draw("b", 60)
+    rows = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " x"), (4, draw("c", 60)), (4, draw("c", 60)), (None, a)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in setsketch.near_duplicates(rows).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
+
+
 def test_trie_equals_library(spark, docs, empty):
     tok = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     extra = spark.createDataFrame([(900 + i, t, "", "", "", 0, 0, 0) for i, t in enumerate(["It's <|endoftext|> x", "İstanbul ΣΣ é é", "日本 12½ \x1c y", "a" * 400 + "!" * 300, " 　"])], SCHEMA)
