@@ -12,31 +12,23 @@ from corpuscraft.llm import packing, setsketch, suffix_dedup, toxicity
 from corpuscraft.llm._common import Scratch, table
 from corpuscraft.llm.queries import tokenizer_path
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def keep(docs: DataFrame, verdicts: DataFrame, wanted: str) -> DataFrame:
-    """The rows of docs but those whose id has a verdict that fails ``wanted``; rows without id stay."""
-    bad = verdicts.filter(f"not ({wanted})").select(F.col("doc_id").alias("__bad")).filter("__bad is not null").distinct()
-    bad = Scratch(docs.sparkSession, "rejected").put(bad, "ids")
-    return docs.join(bad.hint("shuffle_merge"), docs["doc_id"].cast("long") == F.col("__bad"), "left_anti").select(*COLUMNS)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents scored 0.5 or more, learning from the labels outside the held-out fifth."""
     marks = toxicity.training_labels(table(spark, sf_dir, "labels"))
-    return toxicity.clean_documents(docs.select(*COLUMNS), marks)
+    return toxicity.clean_documents(docs, marks)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group linked by a similarity of 0.8 or more on five-word shingles."""
-    return keep(docs, setsketch.near_duplicates(docs, shingle=5, percent=80), "kept")
+    """Keeps the rows of the smallest id of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    return setsketch.drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 words or more that repeat earlier ones; n_chars follows the text. No document goes."""
     trimmed = suffix_dedup.remove_repeats(docs, words=50)
-    return trimmed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    if "n_chars" in docs.columns:
+        trimmed = trimmed.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return trimmed.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +42,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("suffix_array_dedup", cut_repeats),
     ("packing", pack),
 ]
-#: No stage can be expressed in SQL; tests/llm compares them with brute force.
+#: Toxicity and packing cannot be expressed in SQL, so neither can run(); tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
