@@ -254,27 +254,54 @@ def test_cutting_stock_is_near_the_bound():
     assert sum(n for _, n in plan) <= (counts * np.arange(1, 257)).sum() / 256 * 1.01 + 1
 
 
+def vectors(n, d, seed=1):
+    return np.random.default_rng(seed).normal(size=(n, d)).astype(np.float32)
+
+
+def true_nearest(x, q, k=10):
+    dist = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+    return [i for i in np.lexsort((np.arange(len(x)), dist)) if i != q][:k], dist
+
+
 def test_nearest_vectors(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x = vectors(1500, 16)
     x[700:900] = x[0]
-    rows = [(i, [float(v) for v in x[i]], 1) for i in range(1500)] + [(5000, None, 1), (5100, [0.0] * 16, 1), (5200, [float("nan")] * 16, 1), (5300, [None] * 16, 1), (5400, [1.0], 1)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    rows = [(i, [float(v) for v in x[i]], 1, "a", 0) for i in range(1500)] + [(i, v, 1, "a", 0) for i, v in ((5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [None] * 16), (5400, [1.0]), (None, [1.0] * 16))]
+    df = spark.createDataFrame([*rows, rows[705], rows[705]], "vec_id long, embedding array<float>, label int, codes string, row int")
     got = collections.defaultdict(list)
     for r in additive.nearest(df, every=100, k=10).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     assert sorted(got) == list(range(0, 1500, 100))
     hits = 0
     for q, found in got.items():
-        d = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
-        want = [i for i in np.lexsort((np.arange(1500), d)) if i != q][:10]
+        want, dist = true_nearest(x, q)
         hits += len(set(want) & {v for v, _ in found})
-        assert all(abs(d[v] - s) < 1e-12 for v, s in found)
+        assert all(abs(dist[v] - s) < 1e-12 for v, s in found)
     assert hits >= 0.9 * 10 * len(got)
     assert [v for v, _ in got[0]] == list(range(700, 710))
     assert additive.nearest(df.limit(0)).count() == 0
 
 
+def test_neighbours_come_by_their_codes_alike_in_all_partitions(spark):
+    x = vectors(6000, 48, 3)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<float>")
+    assert additive.rerank_of(6000) == 60 and additive.rerank_of(2000) == 20 and additive.rerank_of(10**9) == additive.RERANK
+    seen = [sorted(map(tuple, additive.nearest(df.repartition(n), every=200).collect())) for n in (1, 4, 32)]
+    assert seen[0] == seen[1] == seen[2]
+    hits = sum(v in true_nearest(x, q)[0] for q, _, v, _ in seen[0])
+    assert hits >= 0.9 * len(seen[0]) and len(seen[0]) == 300
+
+
+def test_beam_search_keeps_the_sum_near():
+    books = additive.train(vectors(3000, 12, 5).astype(np.float64))[:6]
+    x = vectors(800, 12, 6).astype(np.float64)
+    wide, norm = additive.encode(x, books)
+    narrow, _ = additive.encode(x, books, beam=1)
+    error = lambda codes: ((x - additive.decode(codes, books)) ** 2).sum()
+    assert error(wide) <= error(narrow) < (x**2).sum() * 0.5
+    assert norm == pytest.approx((additive.decode(wide, books) ** 2).sum(1))
+
+
 @pytest.mark.parametrize("shard", [16_384, 7])
 def test_bm25_is_exact(docs, empty, monkeypatch, shard):
     monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
