@@ -41,26 +41,12 @@ def bindings(c: Column) -> Column:
     return F.struct(good.alias("valid"), F.size(pairs).alias("n"), F.array_join(F.array_sort(pairs), ";").alias("pairs"))
 
 
-def folded(text: str | None) -> dict:
-    """The expression's form after x**1, 1*x, 0+x, x-0 and double complements are folded."""
-    if text is None:
-        return {"text": None}
-    before = None
-    rules = [(r"\(?(\b\w+\b)\)?\*\*1(?!\d)", r"\1"), (r"(?<![\w.*/])1\*(\w+)", r"\1"), (r"(?<![\w.+])0\+(\w+)", r"\1"), (r"(\b\w+)-0(?![\w.])", r"\1"), (r"1-\(1-(\w+(?:/\w+)?)\)", r"\1")]
-    text = re.sub(r"\s+", "", text)
-    while before != text:
-        before = text
-        for pattern, to in rules:
-            text = re.sub(pattern, to, text)
-    return {"text": text}
-
-
 def replace_numbers(text: str | None, old: list | None, new: list | None) -> dict:
-    """Known whole numbers replaced at once: a number that a replacement made is not replaced again."""
+    """Known numbers, decimals too, replaced at once: a number that a replacement made is not replaced again."""
     if text is None:
         return {"text": None}
     swap = dict(zip(old if old is not None else [], new if new is not None else [], strict=False))
-    return {"text": re.sub(r"(?<![\w./])\d+(?![\w/]|\.\d)", lambda m: swap.get(m[0], m[0]), text)}
+    return {"text": re.sub(r"(?<![\w.])\d+(?:\.\d+)?(?!\w|\.\d)", lambda m: swap.get(m[0], m[0]), text)}
 
 
 def chain(text: str | None) -> dict:
@@ -101,7 +87,6 @@ def teacher_answer(text: str | None) -> dict:
     return {"answer": m[1].upper(), "explanation": body.strip(), "misconception": trap.strip() or None}
 
 
-folded_column = arrow_udf(folded, "text string")
 replace_numbers_column = arrow_udf(replace_numbers, "text string")
 chain_column = arrow_udf(chain, "ok boolean, value string")
 square_root_column = arrow_udf(square_root, "value string")

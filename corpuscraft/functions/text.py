@@ -104,3 +104,30 @@ def substring_after_last_sentence(c: Column) -> Column:
     parts = F.split(F.regexp_replace(c, r"\.$", ""), r"\. ")
     n = F.size(parts)
     return F.when(n > 1, F.concat(F.array_join(F.concat(F.slice(parts, n, F.lit(1)), F.slice(parts, F.lit(1), n - 1)), ". "), F.lit("."))).otherwise(c)
+
+
+#: The wordings of ``surface``.
+STYLES = ("direct_definition", "conditions_first", "quantity_first", "operational_story", "validation_compact", "validation_reverse")
+
+
+def surface(c: Column, style: Column) -> Column:
+    """A text in another wording: with a lead, with words exchanged, or with its last sentence first. Null for an unknown style."""
+    parts = F.filter(F.transform(F.split(c, r"\. "), lambda x: F.trim(x)), lambda x: x != "")
+    several, last = F.size(parts) > 1, F.rtrim(F.element_at(parts, -1), F.lit("."))
+    head = F.rtrim(F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ". "), F.lit("."))
+    swapped = lambda lead, *pairs: F.concat(F.lit(lead), reduce(lambda x, ab: F.replace(x, F.lit(ab[0]), F.lit(ab[1])), pairs, c))
+    turned = lambda lead, middle, alone: F.when(several, F.concat(F.lit(lead), last, F.lit(middle), head, F.lit("."))).otherwise(F.concat(F.lit(alone), c))
+    shown = (
+        c,
+        F.concat(F.lit("Conditions first: "), c),
+        turned("", ". Given: ", "Requested quantity first. Given: "),
+        swapped("An analyst records this operating condition: ", ("Set up", "Give one numerical expression for"), ("what is", "determine")),
+        swapped("Write one executable expression using only these data. ", ("Set up", "Represent"), ("find", "represent")),
+        turned("Requested result: ", ". Conditions: ", "Requested result: "),
+    )
+    return F.coalesce(*[F.when(style == n, x) for n, x in zip(STYLES, shown, strict=True)])
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """A path without its root (a pattern at its start); another path stays as it is."""
+    return F.regexp_replace(path, root, "")

@@ -5,6 +5,9 @@ Contracts give tables of violations (check, key, detail) instead of raising, so
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,15 @@ def with_credit(results: DataFrame, credits: DataFrame, keys: list[str], guard:
     return joined.withColumn("credited", F.coalesce((F.col(guard) == F.col("__guard")) & F.col("__credit"), F.lit(False))).drop("__guard", "__credit").withColumn("correct", F.col("correct") | F.col("credited"))
 
 
+def with_rules(rows: DataFrame, key: str, rules: dict[str, str], approved: str) -> DataFrame:
+    """Rows with their rule's text from a dimension; an error if the rules are not those whose digest was approved."""
+    digest = hashlib.sha256("\n".join(f"{k}={v}" for k, v in sorted(rules.items())).encode()).hexdigest()
+    if digest != approved:
+        raise ValueError("the rules are not the approved ones")
+    dim = rows.sparkSession.createDataFrame(list(rules.items()), f"{key} string, rule_text string")
+    return rows.join(F.broadcast(dim), key).withColumn("approved", F.lit(digest))  # a row for each rule
+
+
 # deduplication
 def keep_first(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
@@ -93,13 +105,20 @@ def with_holm(df: DataFrame, p: str = "p", tie: str = "", out: str = "p_holm") -
 def bootstrap_interval(df: DataFrame, change: str, group: str, reps: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """A percentile interval of the net change when each group is resampled with replacement.
 
-    Changes are few distinct numbers, so a draw of a group needs their counts only: each replicate of a group draws its size
-    times from the cumulative counts.
+    Draw k of a replicate takes the change at a hashed place of the group's sorted changes. Only the counts of the distinct
+    changes are kept (a few numbers, however large the group), as a running total per group; draws are rows made by ``range``
+    in blocks of a bounded size, summed before they are shuffled, so no task ever holds a group.
     """
-    counts = df.groupBy(group).agg(F.array_sort(F.collect_list(change)).alias("xs"))
-    reps_df = counts.select(group, "xs", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"), F.size("xs").alias("m"))
-    draws = reps_df.select("rep", F.aggregate(F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.element_at("xs", (F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(group), F.col("rep").cast("string"), k.cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.col("m").cast("bigint")) + 1).cast("int"))), F.lit(0).cast("bigint"), lambda a, x: a + x.cast("bigint")).alias("net"))
-    return draws.groupBy("rep").agg(F.sum("net").alias("net")).agg(F.percentile("net", F.lit(low)).alias("low"), F.percentile("net", F.lit(high)).alias("high"), F.count(F.lit(1)).alias("reps"))
+    counted = df.groupBy(group, F.col(change).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    steps = counted.select(group, "x", F.sum("n").over(Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    kinds = steps.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("upto", "x"))).alias("steps"), F.max("upto").alias("m"))
+    block = 65_536
+    blocks = kinds.select(group, "steps", "m", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("*", F.explode(F.expr(f"sequence(0L, cast((m - 1) div {block} as bigint))")).alias("b"))
+    blocks = blocks.repartition(F.col(group), F.col("rep"), F.col("b"))
+    drawn = blocks.select("rep", group, "steps", "m", F.explode(F.expr(f"sequence(b * {block}L, least(m, (b + 1) * {block}L) - 1)")).alias("k"))
+    place = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(group), F.col("rep").cast("string"), F.col("k").cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.col("m"))
+    value = F.element_at(F.filter("steps", lambda s: s["upto"] > place), 1)["x"]
+    return drawn.select("rep", value.alias("x")).groupBy("rep").agg(F.sum("x").alias("net")).agg(F.percentile("net", F.lit(low)).alias("low"), F.percentile("net", F.lit(high)).alias("high"), F.count(F.lit(1)).alias("reps"))
 
 
 # sampling and order
@@ -108,10 +127,30 @@ def stratified_sample(df: DataFrame, by: str, n: int, seed: str, id_col: str) ->
     return df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(hash_order(seed, id_col), id_col))).filter(F.col("rn") <= n)
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 1 in a total order of the whole table, without a window over all of it.
+
+    Rows are dealt by ranges of the order; each range is numbered by itself, and the counts of the ranges before (one number a
+    range) are added. The dealt table is written once, so that both uses see the same ranges.
+    """
+    spark = df.sparkSession
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        path = f"{folder.rstrip('/')}/numbered-{uuid.uuid4().hex}"
+        dealt.write.parquet(path)
+        dealt = spark.read.schema(dealt.schema).parquet(path)
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__range", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__range", "__own", "__before")
+
+
 def round_robin(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Position of each row when groups take turns."""
-    rn = df.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return rn.withColumn("position", F.row_number().over(Window.orderBy("turn", by)))
+    """Position of each row when groups take turns: places within groups, then places of (turn, group) in the whole table."""
+    turns = df.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return numbered(turns, ["turn", by], "position")
 
 
 # gates
@@ -121,6 +160,14 @@ def gate(checks: DataFrame) -> DataFrame:
 
 
 # digests
-def ordered_digest(df: DataFrame, value: Column, group: list[str] | None = None) -> DataFrame:
-    """sha256 over the sorted values' sha256 digests."""
-    return df.groupBy(*(group or [])).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.sha2(value, 256))), ","), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
+def ordered_digest(df: DataFrame, value: Column, group: list[str] | None = None, depth: int = 2) -> DataFrame:
+    """A digest over the multiset of values, whatever their order, and their number, by a tree.
+
+    Each value's sha256 falls into the bucket of its first ``depth`` hex digits; a bucket's digest is the sha256 of its sorted
+    digests joined by commas, the group's that of "bucket:digest" joined by commas in order. No task gathers a whole group.
+    """
+    keys = group or []
+    hashed = df.select(*keys, F.sha2(value, 256).alias("__h"))
+    buckets = hashed.groupBy(*keys, F.substring("__h", 1, depth).alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ","), 256).alias("__d"), F.count(F.lit(1)).alias("__n"))
+    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: F.concat(x["__b"], F.lit(":"), x["__d"])), ",")
+    return buckets.groupBy(*keys).agg(F.sha2(top, 256).alias("digest"), F.sum("__n").alias("n"))

@@ -1,6 +1,6 @@
 """Registered queries: each binds operators to tables, with an equivalent SQL text where SQL can express it."""
 
-from . import curation, evaluation, formulations, sequences  # noqa: F401
+from . import curation, curriculum, evaluation, formulations, sequences  # noqa: F401
 from ._registry import QUERIES, SQL
 
 

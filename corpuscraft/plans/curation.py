@@ -163,7 +163,7 @@ def set_operations(t):
     return flat.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("only_left", "only_right", "shared", "union"))), F.array("only_left", "only_right", "shared", "union"))).alias("side", "n"))
 
 
-@query("SELECT lang, sha256(string_agg(h, ',' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT lang, sha256(text) AS h FROM documents) GROUP BY lang")
+@query("SELECT lang, sha256(string_agg(concat(b, ':', d), ',' ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM (SELECT lang, substr(h, 1, 2) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM (SELECT lang, sha256(text) AS h FROM documents) GROUP BY 1, 2) GROUP BY lang")
 def manifest_digest(t):
     return core.ordered_digest(t("documents"), F.col("text"), ["lang"])
 

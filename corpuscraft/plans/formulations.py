@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import exact, grammar, parsing, text
+from ..functions import algebra, exact, parsing, text
 from ..operators import core
 from ._registry import query
 
@@ -39,10 +41,25 @@ def percent_agreement(t):
     return t("part").select("p_partkey", F.element_at(found, 1).alias("low"), F.element_at(found, -1).alias("high"))
 
 
-@query("SELECT p_partkey, concat(p_size, '/60+y') AS folded FROM part")
+FOLDS = (
+    ("1 * x + {n}", "x + {n}"),
+    ("2*0 + x*{n}", "2 * 0 + x * {n}"),
+    ("x**2 - 0*y + {n}", "x ** 2 - 0 * y + {n}"),
+    ("1-(1-a)*b**{n}", "1 - (1 - a) * b ** {n}"),
+    ("3-1-(1-x)+{n}", "3 - 1 - (1 - x) + {n}"),
+    ("2*(a**1+b)*{n}", "2 * (a + b) * {n}"),
+    ("1-(1-({n}/60))+y**0-0", "{n} / 60 + 1"),
+    ("comb({n},1)*p+comb({n},0)", "{n} * p + 1"),
+    ("(0+x)*(1-(1-(1-(1-{n}))))", "x * {n}"),
+    ("x +", None),
+)
+
+
+@query("SELECT p_partkey, CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN " + ("NULL" if b is None else "replace('" + b + "', '{n}', CAST(p_size AS VARCHAR))") for k, (_, b) in enumerate(FOLDS)) + " END AS folded FROM part WHERE p_size > 1")
 def folded_forms(t):
-    """Identities folded: 1*x, 0+x, double complements."""
-    return t("part").select("p_partkey", parsing.folded_column(F.format_string("1 - (1 - %d/60) + y**1", "p_size")).getField("text").alias("folded"))
+    """Identities folded on the tree: what only looks like one (a product with nought, a complement times b) stays."""
+    raw = F.replace(F.element_at(F.array(*[F.lit(a) for a, _ in FOLDS]), (F.col("p_partkey") % 10 + 1).cast("int")), F.lit("{n}"), F.col("p_size").cast("string"))
+    return t("part").filter("p_size > 1").select("p_partkey", algebra.folded_column(raw).getField("text").alias("folded"))
 
 
 @query("SELECT p_partkey, concat(p_size + 1, ' red, ', p_size, ' blue, 1.5 kg') AS swapped FROM part")
@@ -118,12 +135,12 @@ def variant_triples(t):
     return p.groupBy("pair_id").pivot("variant", ["original", "paraphrase", "magnitude"]).agg(F.bool_or("ok"))
 
 
-@query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS slot FROM labels WHERE quality = 1 AND doc_id < 500), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS slot FROM labels WHERE quality = 1 AND doc_id < 500) SELECT slot, a.doc_id AS left_id, b.doc_id AS right_id FROM a JOIN b USING (slot)")
+@query("WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS slot FROM labels WHERE quality = 1), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS slot FROM labels WHERE quality = 1) SELECT slot, a.doc_id AS left_id, b.doc_id AS right_id FROM a JOIN b USING (slot)")
 def positional_zip(t):
-    """Two small arms zipped by position."""
-    d = t("labels").filter("quality = 1 and doc_id < 500").select("doc_id")
-    a = d.select(F.col("doc_id").alias("left_id"), F.row_number().over(Window.orderBy("doc_id")).alias("slot"))
-    b = d.select(F.col("doc_id").alias("right_id"), F.row_number().over(Window.orderBy(F.desc("doc_id"))).alias("slot"))
+    """Two arms zipped by position."""
+    d = t("labels").filter("quality = 1").select("doc_id")
+    a = core.numbered(d, ["doc_id"], "slot").withColumnRenamed("doc_id", "left_id")
+    b = core.numbered(d, [F.desc("doc_id")], "slot").withColumnRenamed("doc_id", "right_id")
     return a.join(b, "slot")
 
 
@@ -173,21 +190,24 @@ def select_epoch(t):
     return e.groupBy("run").agg(F.max_by("epoch", F.struct("n", "score", -F.col("epoch"))).alias("best_epoch"), F.coalesce(F.min(F.when(F.col("n") >= 200, F.col("epoch"))), F.max("epoch")).alias("first_passing"))
 
 
-@query("SELECT p_partkey, unnest([1, 10, 100]) AS factor, p_size * unnest([1, 10, 100]) AS magnitude, concat('Take ', p_size * unnest([1, 10, 100]), ' ', p_name) AS question FROM part WHERE p_partkey < 200")
+@query("SELECT p_partkey, unnest([1, 10, 100]) AS factor, p_size * unnest([1, 10, 100]) AS magnitude, concat('Take ', p_size * unnest([1, 10, 100]), ' ', p_name) AS question FROM part")
 def magnitude_probes(t):
     """Each question at three magnitudes."""
-    p = t("part").filter("p_partkey < 200").select("p_partkey", "p_name", "p_size", F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))).alias("factor"))
+    p = t("part").select("p_partkey", "p_name", "p_size", F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))).alias("factor"))
     m = F.col("p_size") * F.col("factor")
     return p.select("p_partkey", "factor", m.alias("magnitude"), F.concat(F.lit("Take "), m.cast("string"), F.lit(" "), F.col("p_name")).alias("question"))
 
 
-@query("SELECT l_orderkey, CASE WHEN count(*) > 3 AND sum(l_quantity) > 100 THEN 'bulk' WHEN bool_or(l_returnflag = 'R') THEN 'returned' ELSE 'plain' END AS rule, r.text AS rule_text FROM lineitem JOIN (VALUES ('x', 'y')) v(a, b) ON TRUE JOIN (SELECT 'any' AS k, 'one rule' AS text) r ON TRUE GROUP BY l_orderkey, r.text")
+RULES = {"bulk": "Many large lines: ship as one.", "returned": "Something came back: review.", "plain": "Ship as ordered."}
+RULES_SHA = hashlib.sha256("\n".join(f"{k}={v}" for k, v in sorted(RULES.items())).encode()).hexdigest()
+
+
+@query("WITH g AS (SELECT l_orderkey, CASE WHEN count(*) > 3 AND sum(l_quantity) > 100 THEN 'bulk' WHEN bool_or(l_returnflag = 'R') THEN 'returned' ELSE 'plain' END AS rule FROM lineitem GROUP BY l_orderkey), r AS (SELECT unnest(['bulk', 'returned', 'plain']) AS rule, unnest(['Many large lines: ship as one.', 'Something came back: review.', 'Ship as ordered.']) AS rule_text), a AS (SELECT sha256(string_agg(concat(rule, '=', rule_text), chr(10) ORDER BY rule)) AS h FROM r) SELECT l_orderkey, rule, rule_text, h AS approved FROM g JOIN r USING (rule), a")
 def rule_dimension(t):
-    """A derived key for each group joined with shared rule text."""
+    """A derived key for each group joined with a dimension of rule texts whose approval digest must agree."""
     g = t("lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("q"), F.bool_or(F.col("l_returnflag") == "R").alias("r"))
     rule = F.when((F.col("n") > 3) & (F.col("q") > 100), "bulk").when(F.col("r"), "returned").otherwise("plain")
-    texts = F.create_map(*[F.lit(x) for k in ("bulk", "returned", "plain") for x in (k, "one rule")])
-    return g.select("l_orderkey", rule.alias("rule")).select("l_orderkey", "rule", texts[F.col("rule")].alias("rule_text"))
+    return core.with_rules(g.select("l_orderkey", rule.alias("rule")), "rule", RULES, RULES_SHA)
 
 
 @query("WITH s AS (SELECT source, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality)::BIGINT AS change FROM labels JOIN documents USING (doc_id) GROUP BY source), x AS (SELECT 'all' AS g, list(change ORDER BY change) AS xs FROM s), r AS (SELECT g, xs, unnest(range(0, 200)) AS rep FROM x), d AS (SELECT rep, list_sum(list_transform(range(0, len(xs)), lambda k: xs[CAST(CAST(('0x' || substr(sha256(concat('cluster|', g, '|', rep, '|', k)), 1, 8)) AS UBIGINT) % len(xs) AS BIGINT) + 1])) AS net FROM r) SELECT quantile_cont(net, 0.025)::DOUBLE AS low, quantile_cont(net, 0.975)::DOUBLE AS high, count(*) AS reps FROM d")
@@ -197,12 +217,6 @@ def cluster_bootstrap(t):
     return core.bootstrap_interval(s.select(F.lit("all").alias("g"), "change"), "change", "g", 200, "cluster")
 
 
-@query("SELECT doc_id, sha256(concat_ws(chr(31), lang, source, CAST(n_chars AS VARCHAR))) AS record_sha, substr(sha256(text), 1, 2) IN ('00', '01', '02', '03') AS drifted FROM documents")
-def record_hashes(t):
-    """A digest of each record, and rows whose stored digest would not agree."""
-    return t("documents").select("doc_id", F.sha2(F.concat_ws("\x1f", "lang", "source", F.col("n_chars").cast("string")), 256).alias("record_sha"), F.substring(F.sha2("text", 256), 1, 2).isin("00", "01", "02", "03").alias("drifted"))
-
-
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN concat('Last ', doc_id, '. First. Second.') ELSE 'One only.' END AS moved FROM documents")
 def surface_form(t):
     """The last sentence moved to the front."""
@@ -219,20 +233,6 @@ def resume_pending(t):
     return new_rows(t("events"), done, "user_id").groupBy("user_id").agg(F.count(F.lit(1)).alias("pending"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_linenumber % 5 <> 4 AS agrees FROM lineitem WHERE l_orderkey < 2000")
-def prompt_round_trip(t):
-    """Questions rendered, read back and rendered again; one in five is tampered with and must not agree."""
-    k = F.col("l_linenumber") % 3
-    category = F.when(k == 0, "both").when(k == 1, "poisson_mean").otherwise("uniform_mean")
-    form = F.when(F.col("l_orderkey") % 2 == 0, "plain").otherwise("inverted")
-    n = F.col("l_quantity").cast("int").cast("string")
-    semantics = F.when(k == 0, F.create_map(F.lit("p"), F.concat(F.lit("1/"), n), F.lit("q"), F.lit("0.5"))).when(k == 1, F.create_map(F.lit("rate"), n, F.lit("duration"), F.lit("3"))).otherwise(F.create_map(F.lit("low"), F.lit("0"), F.lit("high"), n))
-    rows = t("lineitem").filter("l_orderkey < 2000").select("l_orderkey", "l_linenumber", category.alias("category"), form.alias("form"), semantics.alias("semantics"))
-    asked = grammar.render(F.col("category"), F.col("form"), F.col("semantics"))
-    question = F.when(F.col("l_linenumber") % 5 == 4, F.concat(asked, F.lit(" Or not?"))).otherwise(asked)
-    return rows.select("l_orderkey", "l_linenumber", grammar.round_trip(F.col("category"), F.col("form"), F.col("semantics"), question).alias("agrees"))
-
-
 @query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS same FROM part")
 def identity_evidence(t):
     """Equivalent forms agree at all points, others do not, and what cannot be evaluated stays open."""
