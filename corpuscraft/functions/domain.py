@@ -51,3 +51,8 @@ def mcnemar(gains: Column, losses: Column) -> Column:
         lambda s: s["total"],
     )
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
+def corrected_loss(raw: Column, version: Column, start: Column, end: Column) -> Column:
+    """A mean loss over end steps of which only those after start were run; null for versions without that fault."""
+    return F.when(version == "5.0.0", F.try_divide(raw * end, end - start))

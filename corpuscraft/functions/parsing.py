@@ -21,10 +21,12 @@ def json_object(c: Column, schema: str) -> Column:
 
 
 def fenced_block(c: Column) -> Column:
-    """The content of the only fenced block; null where there is none, more than one or text with an answer outside."""
-    found = F.regexp_extract_all(c, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
-    outside = F.regexp_replace(c, r"(?s)```.*?```", "")
-    return F.when((F.size(found) == 1) & ~outside.rlike(r"(?i)answer|\{"), F.regexp_replace(F.element_at(found, 1), r"^\s+|\s+$", ""))
+    """The content of the only fenced block; null where there is none, where marks are unpaired or more than two, or where text
+    outside holds an answer."""
+    parts = F.split(c, "```")
+    outside = F.concat(F.get(parts, F.lit(0)), F.get(parts, F.lit(2)))
+    inner = F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(1)), r"^json\b", ""), r"^\s+|\s+$", "")
+    return F.when((F.size(parts) == 3) & ~outside.rlike(r"(?i)answer|\{"), inner)
 
 
 def percents(c: Column) -> Column:
@@ -73,9 +75,9 @@ def square_root(text: str | None) -> dict:
 def teacher_answer(text: str | None) -> dict:
     """Letter, explanation and misconception from JSON, fenced JSON or plain lines."""
     text = text or ""
-    fence = re.search(r"(?s)```(?:json)?\s*(.*?)```", text)
+    parts = text.split("```")
     try:
-        doc = json.loads(fence[1] if fence else text)
+        doc = json.loads(re.sub(r"^json\b", "", parts[1]) if len(parts) > 2 else text)
         if isinstance(doc, dict):
             return {k: None if doc.get(k) is None else str(doc[k]) for k in ("answer", "explanation", "misconception")}
     except json.JSONDecodeError:
@@ -87,6 +89,25 @@ def teacher_answer(text: str | None) -> dict:
     return {"answer": m[1].upper(), "explanation": body.strip(), "misconception": trap.strip() or None}
 
 
+def strict_answer(text: str | None, gold: str | None, category: str | None) -> dict:
+    """The value of the only line that is "Answer:" and a number. For reducing, it must be in lowest terms. Where there is no such
+    line, the number that ends the text may still be reviewed."""
+    number = r"[+-]?\d+(?:/\d+|\.\d+)?"
+    found = re.findall(rf"(?m)^[ \t]*Answer:[ \t]*({number})[ \t]*$", text or "")
+
+    def right(x: str) -> bool:
+        try:
+            return Fraction(x) == Fraction(gold or "") and (category != "reduce" or x == str(Fraction(x)))
+        except (ValueError, ZeroDivisionError):
+            return False
+
+    only = found[0] if len(found) == 1 else None
+    correct = only is not None and right(only)
+    tail = re.search(rf"(?:^|=)[ \t]*({number})$", (text or "").strip().rsplit("\n", 1)[-1]) if not found else None
+    return {"predicted": only or "INVALID", "correct": correct, "reviewed_correct": correct or bool(tail and right(tail[1]))}
+
+
+strict_answer_column = arrow_udf(strict_answer, "predicted string, correct boolean, reviewed_correct boolean")
 replace_numbers_column = arrow_udf(replace_numbers, "text string")
 chain_column = arrow_udf(chain, "ok boolean, value string")
 square_root_column = arrow_udf(square_root, "value string")

@@ -131,3 +131,26 @@ def surface(c: Column, style: Column) -> Column:
 def relative_to(path: Column, root: str) -> Column:
     """A path without its root (a pattern at its start); another path stays as it is."""
     return F.regexp_replace(path, root, "")
+
+
+def padded(ids: Column, width: Column, fill: int) -> Column:
+    """An array filled up to a width."""
+    return F.concat(ids, F.array_repeat(F.lit(fill), F.greatest(width - F.size(ids), F.lit(0)).cast("int")))
+
+
+def numeric(c: Column) -> Column:
+    """The value of a whole, decimal or fraction, or null."""
+    whole = c.try_cast("double")
+    parts = F.split(c, "/")
+    return F.coalesce(whole, F.when(F.size(parts) == 2, F.try_divide(F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1)).try_cast("double"))))
+
+
+def numerically_distinct(choices: Column) -> Column:
+    """Whether no two choices are the same text or the same number."""
+    keys = F.transform(choices, lambda c: F.coalesce(F.round(numeric(c), 12).cast("string"), F.trim(c)))
+    return F.size(F.array_distinct(keys)) == F.size(choices)
+
+
+def length_rules(ranges: dict[str, tuple[int, int]]) -> list[tuple[str, Column]]:
+    """Rules for ``first_failure``: each column no shorter and no longer than its range."""
+    return [rule for c, (low, high) in ranges.items() for rule in ((f"{c}_short", F.length(c) >= low), (f"{c}_long", F.length(c) <= high))]

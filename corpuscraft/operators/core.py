@@ -147,12 +147,42 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__range", "__own", "__before")
 
 
+def numbered_within(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 1 within their group: their place in the whole order less that of the group's first row, so that no task
+    holds a whole group."""
+    placed = numbered(df, [*by, *order], "__at")
+    first = placed.groupBy(*by).agg(F.min("__at").alias("__first"))
+    return placed.join(first, by).withColumn(name, F.col("__at") - F.col("__first") + 1).drop("__at", "__first")
+
+
 def round_robin(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     """Position of each row when groups take turns: places within groups, then places of (turn, group) in the whole table."""
-    turns = df.withColumn("turn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    turns = numbered_within(df, [by], order, "turn")
     return numbered(turns, ["turn", by], "position")
 
 
+# audits
+def critic_outcome(valid: Column, critic: Column, repaired: Column) -> Column:
+    """stage and reason of a candidate: validated, criticised, and validated once more where a repair was asked for. A critic without
+    a known verdict is an error."""
+    ends = [
+        (~F.coalesce(valid, F.lit(False)), "generator", F.lit("invalid_candidate")),
+        (~F.coalesce(critic.isin("PASS", "REPAIR"), F.lit(False)), "critic", F.when(critic == "REJECT", "reject").otherwise("error")),
+        ((critic == "REPAIR") & ~F.coalesce(repaired, F.lit(False)), "repair", F.lit("invalid_repair")),
+        (critic == "REPAIR", "accepted", F.lit("repaired")),
+    ]
+    return F.coalesce(*[F.when(hit, F.struct(F.lit(stage).alias("stage"), reason.alias("reason"))) for hit, stage, reason in ends], F.struct(F.lit("accepted").alias("stage"), F.lit("passed").alias("reason")))
+
+
+def reproduced(again: DataFrame, stored: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Recomputed values and whether the stored summary has the same; keys that only one side has are not reproduced."""
+    old = stored.select(*keys, *[F.col(v).alias(f"__{v}") for v in values], F.lit(True).alias("__there"))
+    same = F.coalesce(F.col("__there"), F.lit(False))
+    for v in values:
+        same &= F.col(v).eqNullSafe(F.col(f"__{v}"))
+    return again.join(old, keys, "full").select(*keys, *values, same.alias("reproduced"))
+
+
 # gates
 def gate(checks: DataFrame) -> DataFrame:
     """passed only if every check holds; a check without an answer fails."""

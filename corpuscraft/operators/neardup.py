@@ -2,52 +2,78 @@
 
 from __future__ import annotations
 
+import uuid
 from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The most rows of word runs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
+RUNS_SENT = 1_000_000
+
 
 def words(c):
     return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
 
 
-def word_runs(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """(id, run): each distinct run of n words as a 64-bit hash."""
-    w = df.select(id_col, words(F.col("text")).alias("ws")).filter(F.size("ws") >= n)
-    at = w.select(id_col, F.explode(F.expr(f"array_distinct(transform(sequence(1, size(ws) - {n - 1}), i -> xxhash64(array_join(slice(ws, i, {n}), ' '))))")).alias("run"))
-    return at
+def word_runs(df: DataFrame, id_col: str, n: int, whole: bool = False) -> DataFrame:
+    """(id, run): each distinct run of n words as a 64-bit hash; with ``whole``, a text of fewer words is one run."""
+    hashed = df.select(id_col, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("hs"))
+    runs = F.expr(f"array_distinct(transform(sequence(1, size(hs) - {n - 1}), i -> xxhash64(slice(hs, i, {n}))))")
+    long = F.size("hs") >= n
+    found = F.when(long, runs).when(F.lit(whole) & (F.size("hs") > 0), F.array(F.xxhash64("hs"))) if whole else F.when(long, runs)
+    return hashed.select(id_col, F.explode(found).alias("run"))
+
+
+def sent(runs: DataFrame) -> DataFrame:
+    """A broadcast of a table of runs where its size allows it, else the table."""
+    return F.broadcast(runs) if runs.limit(RUNS_SENT + 1).count() <= RUNS_SENT else runs
 
 
 def shared_runs(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """doc_id, item_id, shared: how many distinct runs of n words both have; an equi-join on the run."""
-    return word_runs(docs, "doc_id", n).join(word_runs(items, "item_id", n), "run").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
+    """doc_id, item_id, shared: how many distinct runs of n words both have. The items' runs go to the documents where they are few
+    enough, so that only hits are shuffled."""
+    return word_runs(docs, "doc_id", n).join(sent(word_runs(items, "item_id", n)), "run").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def containing(docs: DataFrame, needles: DataFrame, n: int = 4) -> DataFrame:
     """Pairs whose document holds the needle as a substring.
 
-    A needle's words but its first and last stand whole in any document that holds it, so a run of n of them must be among
-    the document's runs: an equi-join finds candidates and the exact test decides. Needles of too few words are tested
-    against every document; they are few or none.
+    A needle's words but its first and last stand whole in any document that holds it. So a run of its inner words, n of them or as
+    many as it has, is among the document's runs: an equi-join on the run finds candidates and the exact test decides. Needles
+    without an inner word go to every document as one list where they are few, and by a join on the test where they are not.
     """
-    ws = needles.select("item_id", "needle", words(F.col("needle")).alias("ws"))
-    keyed = ws.filter(F.size("ws") >= n + 2).select("item_id", "needle", F.expr(f"xxhash64(array_join(slice(ws, 2, {n}), ' '))").alias("run"))
-    places = word_runs(docs, "doc_id", n)
-    found = places.join(keyed, "run").select("doc_id", "item_id", "needle")
-    long = found.join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("doc_id", "item_id")
-    short = docs.join(ws.filter(F.size("ws") < n + 2), F.contains(F.col("text"), F.col("needle"))).select("doc_id", "item_id")
-    return long.unionByName(short).distinct()
+    keyed = needles.select("item_id", "needle", words(F.col("needle")).alias("ws")).withColumn("inner", F.least(F.size("ws") - 2, F.lit(n)))
+    out = None
+    for k in [r["inner"] for r in keyed.filter("inner > 0").select("inner").distinct().orderBy("inner").collect()]:  # at most n numbers
+        some = keyed.filter(F.col("inner") == k).select("item_id", "needle", F.xxhash64(F.transform(F.slice("ws", 2, k), lambda w: F.xxhash64(w))).alias("run"))
+        found = word_runs(docs, "doc_id", k).join(sent(some), "run").select("doc_id", "item_id", "needle")
+        hit = found.join(docs, "doc_id").filter(F.contains("text", F.col("needle"))).select("doc_id", "item_id")
+        out = hit if out is None else out.unionByName(hit)
+    short = keyed.filter("inner <= 0").select("item_id", "needle")
+    pairs = docs.join(sent(short), F.contains(F.col("text"), F.col("needle"))).select("doc_id", "item_id")
+    return (pairs if out is None else out.unionByName(pairs)).distinct()
 
 
 def greedy(items: DataFrame, least: float, n: int = 2) -> DataFrame:
     """id, kept: an item goes when it is at least so like one kept before it, in the order of id.
 
-    Pairs that share a word pair are candidates, their ratio (candidate against the earlier item) is computed in Arrow
-    batches, and the order-dependent rule is resolved by rounds: an item whose earlier neighbours are all gone is kept, one
-    with a kept earlier neighbour goes, until every item is settled.
+    Pairs that share a run of ``n`` words (of fewer words, the whole text) are candidates, their ratio (candidate against the
+    earlier item) is computed in Arrow batches, and the order-dependent rule is resolved by rounds: an item whose earlier
+    neighbours are all gone is kept, one with a kept earlier neighbour goes. Each round settles the earliest open item of every
+    chain at least, so the rounds end when all are settled. Each round's state is written where a shared folder is set.
     """
-    runs = word_runs(items, "id", n)
+    spark = items.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = f"{folder.rstrip('/')}/greedy-{uuid.uuid4().hex}" if folder else None
+
+    def kept_table(df: DataFrame, name: str) -> DataFrame:
+        if base is None:
+            return df.persist()
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
+
+    runs = word_runs(items, "id", n, whole=True)
     pairs = runs.join(runs.select(F.col("id").alias("earlier"), "run"), "run").filter("earlier < id").select("id", "earlier").distinct()
     both = pairs.join(items.select("id", "text"), "id").join(items.select(F.col("id").alias("earlier"), F.col("text").alias("before")), "earlier")
 
@@ -57,14 +83,13 @@ def greedy(items: DataFrame, least: float, n: int = 2) -> DataFrame:
 
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
-    edges = both.filter(ratio("text", "before") >= least).select("id", "earlier")
-    edges = edges.checkpoint() if items.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else edges.cache()
-    state = items.select("id").join(edges.select("id").distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept"))
-    for _ in range(50):
+    edges = kept_table(both.filter(ratio("text", "before") >= least).select("id", "earlier"), "edges")
+    later = edges.select("id").distinct().withColumn("open", F.lit(True))
+    state = kept_table(items.select("id").join(later, "id", "left").select("id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")), "round-0")
+    k = 0
+    while not state.filter("kept is null").isEmpty():
         known = edges.join(state.select(F.col("id").alias("earlier"), F.col("kept").alias("k")), "earlier")
         rule = known.groupBy("id").agg(F.max(F.coalesce("k", F.lit(False))).alias("any_kept"), F.every(F.coalesce(~F.col("k"), F.lit(False))).alias("all_gone"))
-        new = state.join(rule, "id", "left").select("id", F.coalesce("kept", F.when(F.col("any_kept"), F.lit(False)).when(F.col("all_gone"), F.lit(True))).alias("kept"))
-        state = new.cache()
-        if state.filter("kept is null").isEmpty():
-            break
+        k += 1
+        state = kept_table(state.join(rule, "id", "left").select("id", F.coalesce("kept", F.when(F.col("any_kept"), F.lit(False)).when(F.col("all_gone"), F.lit(True))).alias("kept")), f"round-{k}")
     return state

@@ -40,7 +40,7 @@ def grouping_metrics(t):
 
 @query("SELECT r_name AS region, n_name AS nation, count(*) AS n, round(sum(CAST(o_totalprice AS DECIMAL(18,2))), 2)::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
 def rollup_metrics(t):
-    dims = F.broadcast(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).limit(1000))  # a fixed dimension of a few rows
+    dims = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = t("orders").select("o_custkey", "o_totalprice").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(dims, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.rollup(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
 
@@ -101,19 +101,10 @@ def domain_formulas(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 9).alias(n) for n, c in named.items()])
 
 
-@query("SELECT p_partkey, round(exp(lgamma(p_size + 1) - lgamma(p_size % 7 + 1) - lgamma(p_size - p_size % 7 + 1)) * power(0.25, p_size % 7) * power(0.75, p_size - p_size % 7), 8) AS pmf FROM part WHERE p_size >= 7")
+@query("SELECT p_partkey, round(exp(lgamma(p_size + 1) - lgamma(p_size % 7 + 1) - lgamma(p_size - p_size % 7 + 1)) * power(0.25, p_size % 7) * power(0.75, p_size - p_size % 7), 8) AS pmf FROM part")
 def binomial_pmf(t):
     n, r = F.col("p_size"), F.col("p_size") % 7
-    return t("part").filter("p_size >= 7").select("p_partkey", F.round(domain.binomial(n, r, F.lit(0.25)), 8).alias("pmf"))
-
-
-@query("WITH w AS (SELECT l_orderkey, l_linenumber, round(l_discount * l_tax, 9) AS gold, CASE l_linenumber % 4 WHEN 0 THEN l_discount * l_tax WHEN 1 THEN l_discount + l_tax WHEN 2 THEN l_discount + l_tax - l_discount * l_tax ELSE 1 - l_discount END AS got FROM lineitem), k AS (SELECT *, round(got, 9) = gold AS right, l_orderkey FROM w), m AS (SELECT w.*, CASE WHEN round(got, 9) = gold THEN 'correct' WHEN l_linenumber % 4 = 1 THEN 'added' WHEN l_linenumber % 4 = 2 THEN 'union' ELSE 'other' END AS mode FROM w) SELECT mode, count(*) AS n FROM m GROUP BY mode")
-def error_modes(t):
-    """Which named wrong formula a response equals: added, union, else other."""
-    p, q, k = F.col("l_discount"), F.col("l_tax"), F.col("l_linenumber") % 4
-    got = F.when(k == 0, p * q).when(k == 1, p + q).when(k == 2, p + q - p * q).otherwise(1 - p)
-    mode = F.when(F.round(got, 9) == F.round(p * q, 9), "correct").when(k == 1, "added").when(k == 2, "union").otherwise("other")
-    return t("lineitem").groupBy(mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+    return t("part").select("p_partkey", F.round(domain.binomial(n, r, F.lit(0.25)), 8).alias("pmf"))
 
 
 @query("SELECT p_partkey, CASE WHEN (p_size * 2 + 6) % (p_size + 1) = 0 THEN CAST(CAST((p_size * 2 + 6) // (p_size + 1) AS BIGINT) AS VARCHAR) ELSE concat(CAST((p_size * 2 + 6) // gcd(p_size * 2 + 6, p_size + 1) AS BIGINT), '/', CAST((p_size + 1) // gcd(p_size * 2 + 6, p_size + 1) AS BIGINT)) END AS value, NULL::VARCHAR AS error FROM part")
@@ -131,16 +122,6 @@ def grade_outcomes(t):
     return t("part").filter("p_size > 1").select("p_partkey", exact.judge_column(raw, F.format_string("%d + 3 * 2", "p_size")).alias("x")).select("p_partkey", "x.outcome", "x.correct")
 
 
-@query("SELECT event_id, event_id % 4 = 0 OR event_id % 4 = 2 AS ok, CASE WHEN event_id % 4 IN (0, 2) THEN 1 ELSE 0 END AS n_items, CASE event_id % 4 WHEN 2 THEN 1 ELSE 0 END AS n_repairs FROM events")
-def envelope_parse(t):
-    """Strict answer envelopes: good, with a duplicate key, with one closing brace too many, with an unknown id."""
-    k = F.col("event_id") % 4
-    good = F.format_string('{"answers":[{"question_id":"q%d","expression":"1+%d"}]}', "event_id", "event_id")
-    raw = F.when(k == 0, good).when(k == 1, F.format_string('{"answers":[],"answers":[{"question_id":"q%d","expression":"1"}]}', "event_id")).when(k == 2, F.concat(good, F.lit("}"))).otherwise(F.lit('{"answers":[{"question_id":"zzz","expression":"1"}]}'))
-    x = t("events").select("event_id", exact.envelope_column(raw, F.array(F.format_string("q%d", "event_id"))).alias("x"))
-    return x.select("event_id", "x.ok", F.size("x.items").alias("n_items"), F.size("x.repairs").alias("n_repairs"))
-
-
 @query("WITH b AS (SELECT lang, doc_id, toxic, quality FROM labels JOIN documents USING (doc_id)), x AS (SELECT lang, list(CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality AS BIGINT) ORDER BY CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality) AS xs FROM b GROUP BY lang), r AS (SELECT lang, xs, unnest(range(0, 200)) AS rep FROM x), d AS (SELECT rep, list_sum(list_transform(range(0, len(xs)), lambda k: xs[CAST(CAST(('0x' || substr(sha256(concat('boot|', lang, '|', rep, '|', k)), 1, 8)) AS UBIGINT) % len(xs) AS BIGINT) + 1])) AS net FROM r), s AS (SELECT rep, sum(net) AS net FROM d GROUP BY rep) SELECT quantile_cont(net, 0.025)::DOUBLE AS low, quantile_cont(net, 0.975)::DOUBLE AS high, count(*) AS reps FROM s")
 def bootstrap_ci(t):
     """A stratified paired bootstrap of the net change with hash draws."""

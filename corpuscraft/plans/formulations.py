@@ -20,13 +20,6 @@ def json_fallback(t):
     return t("events").select("event_id", parsing.json_object(raw, "k bigint").getField("k").alias("k"))
 
 
-@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN concat('x', event_id) END AS block FROM events")
-def fenced_payload(t):
-    k = F.col("event_id") % 3
-    raw = F.when(k == 0, F.format_string("Here:\n```json\nx%d\n```\n", "event_id")).when(k == 1, F.lit("```a``` and ```b```")).otherwise(F.lit("```a``` Answer: b"))
-    return t("events").select("event_id", parsing.fenced_block(raw).alias("block"))
-
-
 @query("SELECT p_partkey, p_partkey % 3 <> 1 AS valid, CASE p_partkey % 3 WHEN 2 THEN 1 ELSE 2 END AS n FROM part")
 def binding_lines(t):
     k = F.col("p_partkey") % 3
@@ -35,12 +28,6 @@ def binding_lines(t):
     return t("part").select("p_partkey", x.getField("valid").alias("valid"), x.getField("n").alias("n"))
 
 
-@query("SELECT p_partkey, [least(p_size, 50)::DOUBLE, greatest(p_size, 50)::DOUBLE][1] AS low, greatest(p_size, 50)::DOUBLE AS high FROM part")
-def percent_agreement(t):
-    found = parsing.percents(F.format_string("Of %d%% and 50 percent, not 7", "p_size"))
-    return t("part").select("p_partkey", F.element_at(found, 1).alias("low"), F.element_at(found, -1).alias("high"))
-
-
 FOLDS = (
     ("1 * x + {n}", "x + {n}"),
     ("2*0 + x*{n}", "2 * 0 + x * {n}"),
@@ -97,12 +84,6 @@ def semantic_tasks(t):
     return t("lineitem").groupBy(key.alias("task")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_returnflag").alias("owners")).filter("owners > 1")
 
 
-@query("SELECT p_partkey, len(list_distinct([p_size, p_size % 10, 7, 50])) = 4 AS distinct_choices, p_size IN (p_size % 10, 7, 50) AS gold_repeated FROM part")
-def choices_well_formed(t):
-    c = F.array(F.col("p_size"), F.col("p_size") % 10, F.lit(7), F.lit(50))
-    return t("part").select("p_partkey", (F.size(F.array_distinct(c)) == 4).alias("distinct_choices"), F.array_contains(F.slice(c, 2, 3), F.col("p_size")).alias("gold_repeated"))
-
-
 @query("SELECT lang, doc_id, source FROM (SELECT lang, doc_id, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS cell, dense_rank() OVER (PARTITION BY lang ORDER BY source) AS story FROM documents) WHERE cell <= 2 AND story <= 4")
 def first_per_cell(t):
     """Two rows of each of the first four groups in a category."""

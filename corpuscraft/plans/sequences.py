@@ -15,42 +15,35 @@ def stratified_hash_sample(t):
     return core.stratified_sample(t("documents"), "lang", 40, "v1", "doc_id").select("lang", "doc_id", "rn")
 
 
-@query("SELECT lang, doc_id, row_number() OVER (ORDER BY turn, lang) AS position FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents WHERE source = 'src1')")
+@query("SELECT lang, doc_id, row_number() OVER (ORDER BY turn, lang) AS position FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents)")
 def round_robin(t):
-    return core.round_robin(t("documents").filter("source = 'src1'"), "lang", ["doc_id"]).select("lang", "doc_id", "position")
+    return core.round_robin(t("documents").select("lang", "doc_id"), "lang", ["doc_id"]).select("lang", "doc_id", "position")
 
 
-@query("WITH n AS (SELECT doc_id AS id, 'new' AS role, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE source = 'src2'), r AS (SELECT doc_id AS id, 'replay' AS role, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE source = 'src3') SELECT id, role, row_number() OVER (ORDER BY rn, role) AS position FROM (SELECT * FROM n UNION ALL SELECT * FROM r) WHERE rn <= 20")
+@query("WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'replay' END AS role FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY id) AS turn FROM r), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM r GROUP BY role)) SELECT id, role, 2 * turn - CAST(role = 'new' AS INT) AS position FROM n, m WHERE turn <= m")
 def interleave_one_to_one(t):
-    """New and replayed rows by turns."""
-    part = lambda source, role: t("documents").filter(F.col("source") == source).orderBy("doc_id").limit(20).select(F.col("doc_id").alias("id"), F.lit(role).alias("role"))
-    both = part("src2", "new").unionByName(part("src3", "replay"))
-    turns = both.withColumn("rn", F.row_number().over(Window.partitionBy("role").orderBy("id")))
-    return turns.select("id", "role", F.row_number().over(Window.orderBy("rn", "role")).alias("position"))
+    """New and replayed rows by turns, as many of each; the place follows from the turn, so nothing is sorted as a whole."""
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 2 == 0, "new").otherwise("replay").alias("role"))
+    turns = core.numbered_within(rows, ["role"], ["id"], "turn")
+    most = rows.groupBy("role").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("most"))
+    return turns.join(F.broadcast(most)).filter("turn <= most").select("id", "role", (2 * F.col("turn") - (F.col("role") == "new").cast("int")).alias("position"))  # one row
 
 
 @query("SELECT source, CAST(ceil(rn / 12.0) AS BIGINT) AS packet, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) GROUP BY 1, 2")
 def packets(t):
     """Slices of twelve rows in order."""
-    rn = t("documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rn"))
+    rn = core.numbered_within(t("documents").select("source", "doc_id"), ["source"], ["doc_id"], "rn")
     return rn.groupBy("source", F.ceil(F.col("rn") / 12.0).cast("long").alias("packet")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("SELECT conv_id, turn, dense_rank() OVER (ORDER BY sha256(concat('s|', conv_id)), conv_id) AS group_order FROM conversations")
 def group_shuffle(t):
     """Whole groups in hash order: the rank is found among groups, then joined, so rows are not gathered."""
-    groups = t("conversations").select("conv_id").distinct().withColumn("group_order", F.row_number().over(Window.orderBy(core.hash_order("s", "conv_id"), "conv_id")))
+    keys = t("conversations").select("conv_id").distinct().withColumn("h", core.hash_order("s", "conv_id"))
+    groups = core.numbered(keys, ["h", "conv_id"], "group_order").select("conv_id", "group_order")
     return t("conversations").select("conv_id", "turn").join(groups, "conv_id")
 
 
-@query("SELECT batch, max(n) AS most, count(*) AS kinds FROM (SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 8 AS batch, 1 AS one, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) GROUP BY batch")
-def tumbling_rows(t):
-    """Row windows of eight within each stream."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = t("events").select(F.floor((F.row_number().over(by) - 1) / 8).alias("batch"), F.count(F.lit(1)).over(Window.partitionBy("user_id", "event_type")).alias("n"))
-    return rows.groupBy("batch").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("kinds"))
-
-
 @query("SELECT user_id, max(flags) AS most FROM (SELECT user_id, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) OVER w AS flags, count(*) OVER w AS size FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)) WHERE size = 8 GROUP BY user_id")
 def sliding_rows(t):
     """The most flagged rows in any full window of eight rows."""
@@ -82,7 +75,7 @@ def parameter_grid(t):
     return grid.groupBy("p_brand", "size_class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH c AS (SELECT d AS draw, CAST(('0x' || substr(sha256(concat('gen|', d)), 1, 8)) AS UBIGINT) % 5000 AS key FROM (SELECT unnest(range(0, 4000)) AS d)) SELECT min(draw) AS draw, CAST(key AS BIGINT) AS key FROM c WHERE key NOT IN (SELECT doc_id FROM documents) GROUP BY key ORDER BY draw LIMIT 100")
+@query("WITH w AS (SELECT greatest(5000, 2 * (max(doc_id) + 1)) AS space FROM documents), c AS (SELECT d AS draw, CAST(CAST(('0x' || substr(sha256(concat('gen|', d)), 1, 8)) AS UBIGINT) % space AS BIGINT) AS key FROM (SELECT unnest(range(0, 100000)) AS d), w) SELECT min(draw) AS draw, key FROM c WHERE key NOT IN (SELECT doc_id FROM documents) GROUP BY key ORDER BY draw LIMIT 100")
 def rejection_sampling(t):
     """Draws in rounds until 100 keys outside the blocked ones are found, from a space at least twice as wide as the blocked ids."""
     return free_keys(t("documents").select(F.col("doc_id").alias("key")), 100)

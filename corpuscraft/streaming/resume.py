@@ -9,27 +9,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def final_state(events: DataFrame) -> DataFrame:
-    """Per user, count and best value, built by a stream over the table's files.
+def shared_root(spark) -> str:
+    """The folder that driver and executors share; a temporary one where it is unset (local runs)."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpuscraft-stream-")).rstrip("/")
 
-    The stream takes what is available and stops; its complete state is written by foreachBatch to the shared folder, so that
-    a second run with the same checkpoint processes new files only.
+
+def final_state(events: DataFrame, name: str | None = None) -> DataFrame:
+    """Per user, count and best value, built by a stream over the table's files that resumes where it stood.
+
+    The stream takes what is available and stops. Its checkpoint and state live under ``name`` in the shared folder: a second run
+    under the same name reads new files only and adds to the state (a new name starts afresh). Each batch's partial sums go to a
+    folder of the batch's own number, so a batch that is repeated after a failure replaces itself and nothing counts twice.
     """
     spark = events.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpuscraft-stream-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{name or uuid.uuid4().hex}"
     files = events.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
-    name = files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet"
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", name).parquet(folder)
-    state = stream.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("value"), 6).alias("best"))
+    pattern = files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet"
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", pattern).parquet(folder)
 
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/state")
+    def save(batch: DataFrame, number: int) -> None:
+        part = batch.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("best"))
+        part.write.mode("overwrite").parquet(f"{base}/state/batch={number}")
 
-    run = state.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(save).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(state.schema).parquet(f"{base}/state")
+    state = spark.read.schema("user_id " + events.schema["user_id"].dataType.simpleString() + ", n bigint, best double, batch int").parquet(f"{base}/state")
+    return state.groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.max("best"), 6).alias("best"))
 
 
 def new_rows(source: DataFrame, done: DataFrame, key: str) -> DataFrame:
