@@ -17,14 +17,40 @@ def normalize_unicode(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", " "))
 
 
+def casefold(c: Column) -> Column:
+    """Case folding with the JVM's own tables: through upper case, so that sharp s, ligatures and final sigma meet their plain forms."""
+    upper = F.replace(F.upper(c), F.lit("\u1e9e"), F.lit("SS"))  # the capital sharp s; without it the optimiser would drop upper()
+    return F.replace(F.lower(upper), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
+def normalize_folded(c: Column) -> Column:
+    """``normalize_unicode`` on folded text."""
+    return normalize_unicode(casefold(c))
+
+
+def nfkc(c: Column) -> Column:
+    """Compatibility composition. Texts of ASCII alone are their own and skip the Arrow round trip."""
+
+    @F.pandas_udf("string")
+    def composed(x):
+        return x.str.normalize("NFKC")
+
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(composed(c))
+
+
+def duration_text(minutes: Column) -> Column:
+    """A time written as n/60 in seconds, any other in minutes."""
+    return F.when(F.endswith(F.replace(minutes, F.lit(" "), F.lit("")), F.lit("/60")), F.concat(F.regexp_replace(minutes, r"\s*/\s*60$", ""), F.lit(" seconds"))).otherwise(F.concat(minutes, F.lit(" minutes")))
+
+
 def normalize_ascii(c: Column) -> Column:
     """Lower case, everything but a-z, 0-9 and white space as a space, spaces collapsed, trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
 def template_mask(c: Column) -> Column:
-    """Lower case with numbers as <num> and white space collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), NUMBER, "<num>"), r"\s+", " "))
+    """Compatibility forms, lower case, numbers as <num>, white space collapsed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(nfkc(c)), NUMBER, "<num>"), r"\s+", " "))
 
 
 def template_signature(question: Column, prompt: Column) -> Column:

@@ -35,13 +35,6 @@ def template_signatures(t):
     return t("part").select("p_partkey", text.template_signature(q, p).alias("signature"), F.sha2(text.template_mask(F.format_string("take %d/a of -%d.5", "p_size", "p_size")), 256).alias("other"))
 
 
-@query("WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN '**Answer: c**' WHEN 2 THEN 'A cat is here' WHEN 3 THEN 'Because D' WHEN 4 THEN '' ELSE 'd) yes' END AS raw FROM events) SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' WHEN 5 THEN 'D' ELSE 'INVALID' END AS strict, CASE event_id % 6 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' WHEN 3 THEN 'D' WHEN 5 THEN 'D' END AS loose FROM r")
-def letter_parse(t):
-    k = F.col("event_id") % 6
-    raw = F.when(k == 0, "B").when(k == 1, "**Answer: c**").when(k == 2, "A cat is here").when(k == 3, "Because D").when(k == 4, "").otherwise("d) yes")
-    return t("events").select("event_id", text.strict_letter(raw).alias("strict"), text.loose_letter(raw).alias("loose"))
-
-
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size / 4 WHEN 2 THEN p_size + 0.5 END AS value, CASE WHEN p_partkey % 4 <> 3 THEN abs((CASE p_partkey % 4 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN p_size / 4 ELSE p_size + 0.5 END) - p_size) <= greatest(1e-6, abs(p_size) * 1e-4) END AS matches FROM part")
 def final_answers(t):
     """The last Answer: line as a number, compared within a tolerance."""
