@@ -349,16 +349,72 @@ def test_classes_recover_structure_and_sum_to_one():
     rng = np.random.default_rng(3)
     groups = np.arange(12) % 2
     bigrams = np.where(groups[:, None] != groups[None, :], 50, 0) + rng.integers(0, 2, (12, 12))
-    full = np.zeros((brown.SYMBOLS, brown.SYMBOLS))
-    full[:12, :12] = bigrams
-    cls = brown.exchange(full[:12, :12], 12, 2)
+    cls = brown.exchange(bigrams, 12, 2)
     assert len({tuple(sorted(np.flatnonzero(cls == k) % 2)) for k in range(2)}) == 2
+    classes = np.concatenate([cls, 2 + np.arange(1 + brown.BANDS)])
+    n = np.zeros((3 + brown.BANDS, 3 + brown.BANDS))
+    np.add.at(n, (cls[:, None], cls[None, :]), bigrams)
     types, mass = np.zeros(brown.BANDS), np.zeros(brown.BANDS)
     types[1], mass[1], types[9], mass[9] = 5, 5, 2, 40
-    classes = np.arange(brown.SYMBOLS)
-    transition, emission = brown.log_tables(full, classes, np.array([10] * 12), 3, types, mass)
-    assert (10**transition).sum(1) == pytest.approx(np.ones(brown.SYMBOLS))
-    assert 10 ** emission[brown.UNSEEN + 1] * 5 == pytest.approx(1)
+    transition, emission = brown.log_tables(n, classes, np.array([10] * 12), types, mass)
+    assert (10**transition).sum(1) == pytest.approx(np.ones(len(n)))
+    assert 10 ** emission[12 + 1 + 1] * 5 == pytest.approx(1)
+    assert [10 ** emission[:12][cls == k].sum() for k in range(2)] == pytest.approx([(1 / 6) ** 6] * 2)
+    # a word whose neighbours are those of one group is pulled into it
+    left, right = np.zeros((1, len(n))), np.zeros((1, len(n)))
+    left[0, cls[1]], right[0, cls[1]] = 30, 30
+    assert brown.pulls(left, right, n, 2).argmax() == cls[0]
+
+
+def test_language_model_equals_a_dictionary_model(spark, monkeypatch):
+    monkeypatch.setattr(brown, "HEAD", 8)
+    monkeypatch.setattr(brown, "CLASSES", 3)
+    monkeypatch.setattr(brown, "FLOOR", 6)
+    rng = np.random.default_rng(8)
+    pools = [[f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)], [f"c{i}" for i in range(12)]]
+    texts = [" ".join(str(rng.choice(pools[j % 3])) for j in range(int(rng.integers(0, 60)))) + (f" rare{i} odd{i // 2}" if i % 3 else "") for i in range(90)] + ["Never seen WORDS", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from corpuscraft.llm._common import Scratch
+
+    coded, stats = brown.prepare(docs, Scratch(spark, "test"), 7, 2, "doc_id", "text")
+    model = brown.fit(coded, stats)
+    import xxhash
+
+    signed = lambda w: int(np.array([xxhash.xxh3_64_intdigest(w)], dtype=np.uint64).view(np.int64)[0])
+    place = dict(zip(model.top.tolist(), model.order.tolist(), strict=True))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = collections.Counter(w for i, t in enumerate(texts) if not held(i) for w in tokens(t))
+    k = len(model.counts)
+    assert k == sum(c >= 6 for c in count.values()) > 30 and set(model.cls[:k]) == {0, 1, 2}
+
+    def symbol(w, scored):
+        if w is None:
+            return k
+        if (at := place.get(signed(w))) is not None:
+            return at
+        c = count[w]
+        b = c if c < 8 else 4 + c.bit_length()
+        return k + 1 + (8 if scored and b == 7 else b)
+
+    pairs = collections.Counter()
+    for i, t in enumerate(texts):
+        if not held(i):
+            row = [symbol(w, False) for w in [*tokens(t), None]]
+            row = [s - 1 if k + 1 < s < k + 9 else s for s in row]
+            pairs.update((model.cls[a], model.cls[b]) for a, b in zip([k, *row], row, strict=False))
+    n = np.zeros_like(model.transition)
+    for (a, b), c in pairs.items():
+        n[a, b] = c
+    transition, emission = brown.log_tables(n, model.cls, model.counts, stats["types"], stats["mass"])
+    assert transition == pytest.approx(model.transition) and emission == pytest.approx(model.emission)
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(docs).collect()}
+    for i, t in enumerate(texts):
+        want, before = 0.0, model.cls[k]
+        for w in [*tokens(t), None]:
+            s = symbol(w, True)
+            want += transition[before, model.cls[s]] + emission[s] + (math.log10(count[w]) if w is not None and s >= k + 1 and count[w] >= 7 else 0)
+            before = model.cls[s]
+        assert got[i] == pytest.approx(want)
 
 
 def test_language_model_beats_base_on_held_out(spark):
