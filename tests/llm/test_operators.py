@@ -458,7 +458,8 @@ def test_licenses(spark, docs, empty):
     got = {r["doc_id"]: r for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["families"] for i in (1, 2, 3, 4, 5, 6, 7)] == [["apache-2.0"], ["mit"], [], [], [], ["cc-by-nc", "gpl-3.0"], []]
     assert got[7]["n_unknown"] == 1
-    assert licenses.model()["accuracy"] > 0.9
+    m = licenses.model()  # of names that no phrase of the training had
+    assert m["accuracy"] > 0.65 and m["unknown"] > 0.9 and m["loss"] < math.log(len(m["classes"])) / 2
     plan = licenses.scan_documents(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert licenses.scan_documents(empty).count() == 0
@@ -471,3 +472,57 @@ def test_wrapped_licenses(spark):
     texts = [gpl.format(2), gpl.format(3), mark(gpl.format(2)), mark(gpl.format(3)), "Some text\n#\n" + mark(mit), "MIT License\nApache License 2.0", "a licence\n\n" + gpl.format(3) + "\n\nLicensed under CC BY-NC 4.0"]
     got = {r["doc_id"]: r["families"] for r in licenses.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(7)] == [["gpl-2.0"], ["gpl-3.0"], ["gpl-2.0"], ["gpl-3.0"], ["mit"], ["apache-2.0", "mit"], ["cc-by-nc", "gpl-3.0"]]
+
+
+def test_licences_of_unknown_families_and_rows(spark):
+    texts = [
+        (1, "Licensed under the Eclipse Public License 2.0."),
+        (2, "Licensed under the Fair Public License 2.0."),
+        (3, "See the file for the terms of the work."),
+        (4, "Released under the Boost Software License, Version 1.0."),
+        (5, "Distributed under the EUPL."),
+        (6, "Released under the MIT License."),
+        (6, "Released under the MIT License."),
+        (6, "Nothing here."),
+        (None, "Released under the MIT License."),
+        (None, "Licensed under the Apache License, Version 2.0."),
+        (8, "word " * 60_000 + "\n\nReleased under the MIT License.\n\n" + "word " * 60_000),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "doc_id copy", "text family", "1 as paragraph")
+    got = collections.Counter((r["doc_id"], tuple(r["families"]), r["n_paragraphs"], r["n_unknown"]) for r in licenses.scan_documents(df).collect())
+    assert got == collections.Counter({(1, ("epl",), 1, 0): 1, (2, (), 0, 1): 1, (3, (), 0, 0): 1, (4, ("bsl-1.0",), 1, 0): 1, (5, ("eupl",), 1, 0): 1, (6, ("mit",), 1, 0): 2, (6, (), 0, 0): 1, (None, ("mit",), 1, 0): 1, (None, ("apache-2.0",), 1, 0): 1, (8, ("mit",), 1, 0): 1})
+    probability = {r["doc_id"]: r["probability"] for r in licenses.scan_documents(df.limit(1).union(df.limit(1))).collect()}
+    assert probability[1] == next(r["probability"] for r in licenses.scan_documents(df.limit(1)).collect())
+
+
+def test_licences_equal_brute_force(spark):
+    import regex
+
+    m, split = licenses.model(), regex.compile(licenses.PARAGRAPH)
+    at = {f: i for i, f in enumerate(m["features"])}
+
+    def read(unit):
+        grams = [g for g in sorted(licenses.ngrams(unit)) if g in at]
+        if not any(" " not in g for g in grams):
+            return None
+        z = m["bias"] + np.sum([np.round(m["weights"][at[g]], 6) for g in grams], axis=0)
+        family = m["classes"][int(z.argmax())]
+        alike = max([sum(w for g, w in n if g in grams) for f, n in m["templates"] if f == family], default=0.0)
+        return family, alike, 1 / np.exp(z - z.max()).sum(), family != licenses.UNKNOWN and alike >= licenses.CONFIRM, bool(regex.search(licenses.CUE, unit))
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {}
+    for r in docs.collect():
+        families, unknown, n = set(), 0, 0
+        for block in split.split(r["text"] or ""):
+            lines = [read(x) for x in block.split("\n")] if "\n" in block else []
+            whole, sure = read(block), [x for x in lines if x and x[3]]
+            if whole is None:
+                continue
+            kept = [whole, *[x for x in sure if x[0] != whole[0] and x[1] >= 0.999 and not (x[0] == "gpl" and whole[0] in licenses.SPECIAL)]] if whole[3] else sure or [whole]
+            families |= {x[0] for x in kept if x[3]}
+            n += sum(x[3] for x in kept)
+            unknown += any(not x[3] and x[4] for x in kept)
+        want[r["doc_id"]] = (sorted(families), n, unknown)
+    got = {r["doc_id"]: (r["families"], r["n_paragraphs"], r["n_unknown"]) for r in licenses.scan_documents(docs).collect()}
+    assert got == want and sum(bool(f) for f, _, _ in want.values()) > 5
