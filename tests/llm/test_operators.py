@@ -302,9 +302,10 @@ def test_beam_search_keeps_the_sum_near():
     assert norm == pytest.approx((additive.decode(wide, books) ** 2).sum(1))
 
 
-@pytest.mark.parametrize("shard", [16_384, 7])
-def test_bm25_is_exact(docs, empty, monkeypatch, shard):
+@pytest.mark.parametrize(("shard", "packet"), [(8_192, 1_000_000), (7, 150), (1, 1)])
+def test_bm25_is_exact(docs, empty, monkeypatch, shard, packet):
     monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
+    monkeypatch.setattr(bm25, "PACKET_TERMS", packet)
     rows = [(r["doc_id"], tokens(r["text"])) for r in docs.collect() if r["doc_id"] is not None]
     n, mean = len(rows), sum(len(w) for _, w in rows) / len(rows)
     df = collections.Counter(w for _, ws in rows for w in set(ws))
