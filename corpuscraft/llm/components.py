@@ -30,6 +30,6 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         else:
             label = label.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("v", F.coalesce("to", "label").alias("label"))
         label = scratch.put(label, f"{name}-l{k}")
-        scratch.drop(f"{name}-e{k}", f"{name}-m{k}", *([f"{name}-l{k - 1}"] if k else []))
+        scratch.drop(f"{name}-e{k}", f"{name}-m{k}", f"{name}-j{k}", *([f"{name}-l{k - 1}"] if k else []))
         e, k = new, k + 1
     return label

@@ -217,12 +217,12 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     but confirm no family), probability (the greatest of a confirmed paragraph), a row for each row. Null and empty texts have
     none; rows of one id are told apart by their texts."""
     found, sure = scan(df, id_col, text_col), F.col("confirmed")
-    per = found.groupBy(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).agg(
+    per = found.groupBy(F.col("doc_id").alias("of"), F.col("copy").alias("text_of")).agg(
         F.array_sort(F.collect_set(F.when(sure, F.col("family")))).alias("families"),
         F.sum(sure.cast("long")).alias("n_paragraphs"),
         F.count_distinct(F.when(~sure & F.col("cue"), F.col("paragraph"))).alias("n_unknown"),
         F.max(F.when(sure, F.col("probability"))).alias("probability"),
     )
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("__own"))
-    out = rows.join(per, rows["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__own") == F.col("__copy")), "left")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("own"))
+    out = rows.join(per, rows["doc_id"].eqNullSafe(F.col("of")) & (F.col("own") == F.col("text_of")), "left")
     return out.select("doc_id", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_paragraphs", F.lit(0)).alias("n_paragraphs"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), "probability")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, steps, task, texts_of
+from ._common import Scratch, fresh, steps, task, texts_of
 from .components import components
 from .words import mix, shingle_set, word_hashes
 
@@ -183,9 +183,10 @@ def linker(percent: int):
 def drop_near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with all columns, but those that are not the kept ones of their component. Rows are told apart by id and
     text: of a repeated id only the texts that give way go. Rows without id stay."""
-    bad = components_of_rows(df, shingle, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).distinct()
+    doc, copy = fresh("doc"), fresh("copy")
+    bad = components_of_rows(df, shingle, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(doc), F.col("copy").alias(copy)).distinct()
     bad = Scratch(df.sparkSession, "rejected").put(bad, "rows")
-    same = (df[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(df[text_col].cast("string")) == F.col("__copy"))
+    same = (df[id_col].cast("long") == F.col(doc)) & (F.xxhash64(df[text_col].cast("string")) == F.col(copy))
     return df.join(bad.hint("shuffle_merge"), same, "left_anti")
 
 
@@ -238,6 +239,7 @@ def components_of_rows(df: DataFrame, shingle: int, percent: int, id_col: str, t
     named = sets.join(joined, "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component"))
     component = scratch.put(named.join(smallest, "label").select("set_id", F.col("component").alias("component_id")), "component")
+    scratch.drop("bands", "members", "placed", "full", "links", "divided", "more")
     linked = real.select("doc_id", "copy", "n_shingles", "set_id").join(component, "set_id").select("doc_id", "copy", "n_shingles", "component_id")
     alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "copy", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

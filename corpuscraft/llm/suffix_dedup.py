@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, steps, task, texts_of
+from ._common import Scratch, fresh, steps, task, texts_of
 from .words import mix, runs, word_hashes
 
 WORDS, GRAM = 50, 10
@@ -212,6 +212,7 @@ def repeated_stretches(df: DataFrame, words: int, id_col: str, text_col: str) ->
     scratch = Scratch(df.sparkSession, "suffixes")
     grams = repeated_grams(df, scratch, words, id_col, text_col)
     found = scratch.put(candidates(df, grams, words, id_col, text_col), "found")
+    scratch.drop("grams")
     kinds = found.filter("n > 0")
     near = kinds.filter(F.col("total") <= TOGETHER).drop("total").repartition("gram").sortWithinPartitions("gram", "doc_id", "place", "copy").mapInArrow(task(compare), SEGMENTS)
     k = F.col("first") + F.col("k")
@@ -246,10 +247,11 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
     """
     repeats = repeated_stretches(df, words, id_col, text_col).filter("not own and cut_word < end_word")
     spans = merge_spans(repeats.select("doc_id", "copy", F.col("cut_word").alias("start_word"), "end_word"), "doc_id", "copy")
-    per_doc = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("copy").alias("__copy")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cut"))
+    doc, copy, cut = fresh("doc"), fresh("copy"), fresh("cut")
+    per_doc = spans.groupBy(F.col("doc_id").alias(doc), F.col("copy").alias(copy)).agg(F.collect_list(F.struct("start_word", "end_word")).alias(cut))
     per_doc = Scratch(df.sparkSession, "cuts").put(per_doc, "cuts")
     names = df.columns
-    row = (df[id_col].cast("long") == F.col("__doc")) & (F.xxhash64(df[text_col].cast("string")) == F.col("__copy"))
+    row = (df[id_col].cast("long") == F.col(doc)) & (F.xxhash64(df[text_col].cast("string")) == F.col(copy))
     tagged = df.join(per_doc.hint("shuffle_merge"), row, "left")
 
     @F.pandas_udf("string")
@@ -258,7 +260,7 @@ def remove_repeats(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
         return pd.Series([t if c is None else trim(t, c) for t, c in zip(text, cut, strict=True)])
 
-    return tagged.withColumn(text_col, F.when(F.col("__cut").isNotNull(), trimmed(F.col(text_col), F.col("__cut"))).otherwise(F.col(text_col))).select(*names)
+    return tagged.withColumn(text_col, F.when(F.col(cut).isNotNull(), trimmed(F.col(text_col), F.col(cut))).otherwise(F.col(text_col))).select(*names)
 
 
 def trim(text: str, cut) -> str:

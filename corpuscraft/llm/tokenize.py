@@ -13,7 +13,7 @@ from itertools import islice
 
 from ._common import frees
 
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 600_000, 64
 _ODD = re.compile(r"\s\s|\A\s|\s\Z")
 _INNER = re.compile(r"(?<=\S) (?=\S)")
 _CONTROL = re.compile("[\\x1c-\\x1f]")

@@ -216,6 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch, id_col: str, text_
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column("label")], names=["vote", "label"])
 
     votes = texts.mapInArrow(task(vectors), "doc_id long, label int, at array<int>, tf array<int>").repartition(max(8, spark.sparkContext.defaultParallelism)).mapInArrow(task(own_votes), "vote double, label int").collect()
+    scratch.drop("marks", "examples")
     index.calibrate(np.array([v["vote"] for v in votes]), np.array([v["label"] for v in votes]), np.array([weights[v["label"]] for v in votes]))
     return index
 
