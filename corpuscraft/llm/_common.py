@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step in a Python worker holds at once (a single longer text makes a step of its own).
 STEP_CHARS = 1_500_000
+#: Bytes of a batch of rows between Spark and Python.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +134,15 @@ def task(run: Callable, *owners: str) -> Callable:
     return served
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the batches between Spark and Python small (``BATCH_BYTES``), where the session has not set their size itself: Spark's
+    own bound of 64 MB is held several times over by each task, outside the heap."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m"):
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns in use, the text last, whatever else the table holds."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), *[F.col(c) for c in more], F.col(text_col).cast("string").alias("text"))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, crc_mod, steps, task, texts_of
+from ._common import Scratch, bound_batches, crc_mod, steps, task, texts_of
 from .tokenize import Cache
 
 EXAMPLES, VOCABULARY, TELLING, LEANING, BLOCK, NEIGHBOURS = 10_000, 4_000, 24.0, 4.0, 64, 15
@@ -39,7 +39,7 @@ class WordTerms(Cache):
     """The known terms of a word."""
 
     def __init__(self, term: dict[str, int]):
-        super().__init__(self.find, 150_000)
+        super().__init__(self.find, 100_000)
         self.term = term
 
     def find(self, word: str) -> tuple[int, ...]:
@@ -128,7 +128,7 @@ class Index:
             toxic, total = toxic - float((self.weights * self.labels)[own].sum()), total - float(self.weights[own].sum())
             out = toxic / total if total > 0 else 0.0
         found = (out, [(int(self.ids[d]), float(c), int(self.labels[d])) for d, c in zip(docs[:3], cos[:3], strict=True)])
-        if key is not None and len(self.known) < 50_000:
+        if key is not None and len(self.known) < 10_000:
             self.known[key] = found
         return found
 
@@ -252,6 +252,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     index = fit(docs, labels, Scratch(spark, "toxicity"), id_col, text_col, label_col)
     if index is None:
         return docs
+    bound_batches(spark)
     shared, at = spark.sparkContext.broadcast(index), docs.columns.index(text_col)
 
     def run(batches):
