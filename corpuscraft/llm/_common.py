@@ -138,7 +138,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Keeps the batches between Spark and Python small (``BATCH_BYTES``), where the session has not set their size itself: Spark's
     own bound of 64 MB is held several times over by each task, outside the heap."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m"):
+    if spark.conf.get(key, "67108864b") in ("67108864b", "67108864", "64m"):
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
