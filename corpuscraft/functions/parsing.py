@@ -10,14 +10,13 @@ from fractions import Fraction
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .exact import Refused, arrow_udf, evaluate, show
+from .exact import Refused, arrow_udf, evaluate, first_object, show
 
 
 def json_object(c: Column, schema: str) -> Column:
-    """The text as JSON, else its outermost braces; null where neither parses."""
-    inner = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    whole = F.when(F.try_parse_json(c).isNotNull(), c).when(F.try_parse_json(inner).isNotNull(), inner)
-    return F.from_json(whole, schema)
+    """The object that is the text, else its outermost braces; null where neither is one whole object without duplicate keys (the
+    JVM's reader takes the first value, whatever follows, so the text is found by a strict one)."""
+    return F.from_json(object_column(c).getField("text"), schema)
 
 
 def fenced_block(c: Column) -> Column:
@@ -36,7 +35,7 @@ def percents(c: Column) -> Column:
 
 def bindings(c: Column) -> Column:
     """A struct of the Bindings: line: valid, size and the sorted pairs. A key given twice makes it invalid, not an error."""
-    line = F.regexp_extract(c, r"(?m)^Bindings:\s*(.*)$", 1)
+    line = F.regexp_extract(c, r"(?m)^Bindings:[ \t]*(.*)$", 1)
     pairs = F.transform(F.filter(F.split(line, r"\s*;\s*"), lambda x: x != ""), lambda x: F.trim(x))
     keys = F.transform(pairs, lambda x: F.trim(F.substring_index(x, "=", 1)))
     good = (F.size(pairs) > 0) & F.forall(pairs, lambda x: x.rlike(r"^\w+\s*=\s*\S+$")) & (F.size(F.array_distinct(keys)) == F.size(keys))
@@ -51,6 +50,20 @@ def replace_numbers(text: str | None, old: list | None, new: list | None) -> dic
     return {"text": re.sub(r"(?<![\w.])\d+(?:\.\d+)?(?!\w|\.\d)", lambda m: swap.get(m[0], m[0]), text)}
 
 
+def only_object(text: str | None) -> dict:
+    """The text of the one JSON object that a text is, or that stands between its outermost braces."""
+    text = (text or "").strip()
+    low, high = text.find("{"), text.rfind("}")
+    for part in (text, text[low : high + 1] if 0 <= low < high else ""):
+        try:
+            _, rest = first_object(part)
+        except Refused:
+            continue
+        if not rest:
+            return {"text": part}
+    return {"text": None}
+
+
 def chain(text: str | None) -> dict:
     """Whether every step of a = b = c has the same exact value, and that value."""
     values = [evaluate(x)["value"] for x in (text or "").split("=")]
@@ -108,6 +121,7 @@ def strict_answer(text: str | None, gold: str | None, category: str | None) -> d
 
 
 strict_answer_column = arrow_udf(strict_answer, "predicted string, correct boolean, reviewed_correct boolean")
+object_column = arrow_udf(only_object, "text string")
 replace_numbers_column = arrow_udf(replace_numbers, "text string")
 chain_column = arrow_udf(chain, "ok boolean, value string")
 square_root_column = arrow_udf(square_root, "value string")

@@ -12,22 +12,6 @@ from ..operators import core
 from ._registry import query
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id END AS k FROM events")
-def json_fallback(t):
-    """JSON, JSON within prose, a duplicate key, none."""
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.format_string('{"k": %d}', "event_id")).when(k == 1, F.format_string('Sure: {"k": %d} done', "event_id")).when(k == 2, F.lit('{"k": 1, "k": 2}')).otherwise(F.lit("no json"))
-    return t("events").select("event_id", parsing.json_object(raw, "k bigint").getField("k").alias("k"))
-
-
-@query("SELECT p_partkey, p_partkey % 3 <> 1 AS valid, CASE p_partkey % 3 WHEN 2 THEN 1 ELSE 2 END AS n FROM part")
-def binding_lines(t):
-    k = F.col("p_partkey") % 3
-    raw = F.when(k == 0, F.format_string("Bindings: p = 1/2 ; q=%d\nExpression: p*q", "p_size")).when(k == 1, F.lit("Bindings: p=1; p=2\nExpression: p")).otherwise(F.lit("Bindings: n=3\nExpression: n"))
-    x = parsing.bindings(raw)
-    return t("part").select("p_partkey", x.getField("valid").alias("valid"), x.getField("n").alias("n"))
-
-
 FOLDS = (
     ("1 * x + {n}", "x + {n}"),
     ("2*0 + x*{n}", "2 * 0 + x * {n}"),
@@ -56,26 +40,6 @@ def simultaneous_numbers(t):
     return t("part").select("p_partkey", parsing.replace_numbers_column(F.concat(a, F.lit(" red, "), b, F.lit(" blue, 1.5 kg")), F.array(a, b), F.array(b, a)).getField("text").alias("swapped"))
 
 
-@query("SELECT p_partkey, p_partkey % 2 = 0 AS ok FROM part")
-def exact_chains(t):
-    """Every step of a chain has the answer's value."""
-    raw = F.when(F.col("p_partkey") % 2 == 0, F.format_string("%d/4 = %d/8 + %d/8", "p_size", "p_size", "p_size")).otherwise(F.format_string("%d + 1 = %d", "p_size", "p_size"))
-    return t("part").select("p_partkey", parsing.chain_column(raw).getField("ok").alias("ok"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size % 3 = 0 THEN CAST(p_size // 3 AS VARCHAR) ELSE concat(p_size, '/3') END END AS root FROM part")
-def exact_roots(t):
-    raw = F.when(F.col("p_partkey") % 2 == 0, F.format_string("%d*%d/9", "p_size", "p_size")).otherwise(F.format_string("2*(%d*%d+1)**2", "p_size", "p_size"))
-    return t("part").select("p_partkey", parsing.square_root_column(raw).getField("value").alias("root"))
-
-
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'B' WHEN 1 THEN 'C' WHEN 2 THEN 'A' END AS answer, CASE event_id % 4 WHEN 2 THEN 'mean' END AS misconception FROM events")
-def teacher_answers(t):
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.lit('{"answer":"B","explanation":"e"}')).when(k == 1, F.lit('```json\n{"answer":"C"}\n```')).when(k == 2, F.lit("Answer: a) since so\nMisconception: mean")).otherwise(F.lit("I think so"))
-    return t("events").select("event_id", parsing.teacher_column(raw).alias("x")).select("event_id", "x.answer", "x.misconception")
-
-
 @query("SELECT concat_ws('|', kind, least(l_discount, l_tax), greatest(l_discount, l_tax)) AS task, count(*) AS n, count(DISTINCT l_returnflag) AS owners FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'both' ELSE 'neither' END AS kind FROM lineitem) GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
 def semantic_tasks(t):
     """Tasks keyed without regard to the order of symmetric arguments; those that several splits own."""

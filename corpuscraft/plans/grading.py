@@ -147,7 +147,119 @@ def strict_answers(t):
     return t("part").select("p_partkey", x.getField("predicted").alias("predicted"), x.getField("correct").alias("correct"), r.getField("correct").alias("reduced_correct"), x.getField("reviewed_correct").alias("reviewed_correct"))
 
 
+OBJECTS = [
+    ('{"k": {n}}', "{n}"),
+    ('Sure: {"k": {n}} done', "{n}"),
+    ('{"k": 1, "k": {n}}', None),
+    ("no json {n}", None),
+    ('{"j": {n}}', None),
+    ('{"k": {n}', None),
+    ('[{"k": {n}}]', "{n}"),
+    ('[{"k": 1}, {"k": {n}}]', None),
+    ('{"a": {"b": "}"}, "k": {n}}', "{n}"),
+    ('{"k": {n}} or {"k": 2}', None),
+    ("```json\n{\"k\": {n}}\n```", "{n}"),
+]
+
+
+@query(f"SELECT event_id, CAST({sql_by_row('event_id', f'event_id % {len(OBJECTS)}', [x for _, x in OBJECTS])} AS BIGINT) AS k FROM events")
+def json_fallback(t):
+    """JSON, JSON within prose or an array, duplicate keys, cut objects, two objects, none."""
+    raw = by_row(F.col("event_id"), [a for a, _ in OBJECTS], F.col("event_id") % len(OBJECTS))
+    return t("events").select("event_id", parsing.json_object(raw, "k bigint").getField("k").alias("k"))
+
+
+BINDINGS = [
+    ("Bindings: p = 1/2 ; q={n}\nExpression: p*q", True, 2),
+    ("Bindings: p=1; p={n}\nExpression: p", False, 2),
+    ("Bindings: n={n}\nExpression: n", True, 1),
+    ("Bindings: p={n};\nExpression: p", True, 1),
+    ("Bindings: ={n}\nExpression: 1", False, 1),
+    ("Bindings: p {n}\nExpression: p", False, 1),
+    ("Bindings:\nExpression: {n}", False, 0),
+    ("Expression: {n}", False, 0),
+    ("so\nBindings: a=1;b=2;c={n}\nExpression: a", True, 3),
+]
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(BINDINGS)} " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v, _) in enumerate(BINDINGS)) + f" END AS valid, CASE p_partkey % {len(BINDINGS)} " + " ".join(f"WHEN {i} THEN {n}" for i, (_, _, n) in enumerate(BINDINGS)) + " END AS n FROM part")
+def binding_lines(t):
+    """Bindings of a response: a name given twice, without value or without name makes the line invalid, not an error."""
+    x = parsing.bindings(by_row(F.col("p_size"), [a for a, _, _ in BINDINGS], F.col("p_partkey") % len(BINDINGS)))
+    return t("part").select("p_partkey", x.getField("valid").alias("valid"), x.getField("n").alias("n"))
+
+
+TEACHER = [
+    ('{"answer":"B","explanation":"e{n}"}', "B", "e{n}", None),
+    ('```json\n{"answer":"C","misconception":"m{n}"}\n```', "C", None, "m{n}"),
+    ("Answer: a) since so {n}\nMisconception: mean", "A", "since so {n}", "mean"),
+    ("I think so {n}", None, None, None),
+    ("Answer: E because {n}", None, None, None),
+    ("  answer: D. {n}", "D", "{n}", None),
+    ('{"answer":"B"', None, None, None),
+    ("Answer: Because {n}", None, None, None),
+]
+
+
+@query(f"SELECT event_id, {sql_by_row('event_id', f'event_id % {len(TEACHER)}', [a for _, a, _, _ in TEACHER])} AS answer, {sql_by_row('event_id', f'event_id % {len(TEACHER)}', [e for _, _, e, _ in TEACHER])} AS explanation, {sql_by_row('event_id', f'event_id % {len(TEACHER)}', [m for _, _, _, m in TEACHER])} AS misconception FROM events")
+def teacher_answers(t):
+    """Letter, explanation and misconception from JSON, a fenced block or plain lines."""
+    raw = by_row(F.col("event_id"), [a for a, _, _, _ in TEACHER], F.col("event_id") % len(TEACHER))
+    return t("events").select("event_id", parsing.teacher_column(raw).alias("x")).select("event_id", "x.answer", "x.explanation", "x.misconception")
+
+
+RAW = [
+    ("Expression: {n}/2", "{n}/2"),
+    ("expression :{n}+1", "{n}+1"),
+    ("{n} * (1 - 1/2)", "{n} * (1 - 1/2)"),
+    ("{n}^2", None),
+    ("x = {n}", None),
+    ("{n}.5", None),
+    ("{n}\n{n}", None),
+    ("comb({n}, 1)", "comb({n}, 1)"),
+    ("gcd({n}, 2)", None),
+    ("{n}/0", None),
+    ("  Expression: {n}  ", "{n}"),
+    ("Expression: Expression: {n}", None),
+    ("(1/2)*{n} # half", None),
+]
+
+
+@query(f"SELECT p_partkey, {sql_by_row('p_size', f'p_partkey % {len(RAW)}', [x for _, x in RAW])} AS expression FROM part")
+def raw_contracts(t):
+    """Responses that are one unchanged expression, with an optional label; all else is refused."""
+    raw = by_row(F.col("p_size"), [a for a, _ in RAW], F.col("p_partkey") % len(RAW))
+    return t("part").select("p_partkey", algebra.raw_column(raw).getField("expression").alias("expression"))
+
+
 # -- algebra
+CHAINS = [
+    ("{n}/4 = {n}/8 + {n}/8", True),
+    ("{n} + 1 = {n}", False),
+    ("{n}", False),
+    ("2*{n} = {n} + {n} = {n}*2 = 4*{n}/2", True),
+    ("{n} = = {n}", False),
+    ("{n} = x", False),
+    ("{n}**2 = {n}*{n}", True),
+    ("1/3 = 0.333{n}", False),
+    ("{n}/{n} = 1 = comb({n}, 0)", True),
+]
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % {len(CHAINS)} " + " ".join(f"WHEN {i} THEN {ok}" for i, (_, ok) in enumerate(CHAINS)) + " END AS ok FROM part")
+def exact_chains(t):
+    """Every step of a chain has the same exact value; a single step, a gap or a name is no chain."""
+    raw = by_row(F.col("p_size"), [a for a, _ in CHAINS], F.col("p_partkey") % len(CHAINS))
+    return t("part").select("p_partkey", parsing.chain_column(raw).getField("ok").alias("ok"))
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN {rat('CAST(p_size AS BIGINT)', '3')} WHEN 3 THEN {rat('CAST(p_size AS BIGINT) * p_size', '4')} WHEN 4 THEN CAST(0 AS VARCHAR) END AS root FROM part")
+def exact_roots(t):
+    """Exact roots of rationals; what is no square of one, or negative, has none."""
+    raw = by_row(F.col("p_size"), ["{n}*{n}/9", "2*({n}*{n}+1)**2", "-{n}", "({n}*{n}/4)**2", "{n}-{n}"], F.col("p_partkey") % 5)
+    return t("part").select("p_partkey", parsing.square_root_column(raw).getField("value").alias("root"))
+
+
 RATIOS = [("a*{n}/(b*c)", "a,{n}", "b,c"), ("({n}/c)/(b/a)", "a,{n}", "b,c"), ("x+{n}", "sum({n},x)", ""), ("{n}*(x/(y/(z/2)))", "x,z,{n}", "2,y"), ("{n}/", None, None)]
 
 
