@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._common import Scratch, bound_batches, crc_mod, steps, task, texts_of
 from .tokenize import Cache
 
-EXAMPLES, VOCABULARY, TELLING, LEANING, BLOCK, NEIGHBOURS = 10_000, 4_000, 24.0, 4.0, 64, 15
+EXAMPLES, VOCABULARY, TELLING, LEANING, BLOCK, NEIGHBOURS = 10_000, 16_000, 24.0, 4.0, 64, 15
 PREFIXES = (4, 5)
 _WORD = re.compile(r"[^\W_]+")
 
