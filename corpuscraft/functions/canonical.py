@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 
 from pyspark.sql import Column
@@ -61,3 +62,9 @@ self_hash_column = arrow_udf(without, "stored string, computed string")
 def record(*columns: str) -> Column:
     """A row's named columns as compact JSON with sorted keys, nulls kept: the JVM's own writer, for flat records."""
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def fingerprint(*modules) -> str:
+    """One digest of modules' sources, by name: results are bound to the code that made them."""
+    parts = sorted((m.__name__.rsplit(".", 1)[-1], inspect.getsource(m)) for m in modules)
+    return hashlib.sha256(b"\0".join(name.encode() + b"\0" + source.encode() for name, source in parts)).hexdigest()

@@ -161,6 +161,16 @@ def round_robin(df: DataFrame, by: str, order: list[str]) -> DataFrame:
     return numbered(turns, ["turn", by], "position")
 
 
+# sets
+def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """side, n: how many rows each of two tables has beyond the other, repeats counted, in one aggregate over both."""
+    keys = a.columns
+    both = a.withColumn("__d", F.lit(1)).unionByName(b.withColumn("__d", F.lit(-1))).groupBy(*keys).agg(F.sum("__d").alias("__d"))
+    more = lambda d: F.coalesce(F.sum(F.greatest(d, F.lit(0))), F.lit(0))
+    sums = both.agg(more(F.col("__d")).alias("left"), more(-F.col("__d")).alias("right"))
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("n")) for s in ("left", "right")])).alias("x")).select("x.*")
+
+
 # audits
 def critic_outcome(valid: Column, critic: Column, repaired: Column) -> Column:
     """stage and reason of a candidate: validated, criticised, and validated once more where a repair was asked for. A critic without

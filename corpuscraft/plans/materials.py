@@ -222,3 +222,19 @@ def stamped_records(t):
     x = asked_rows(t).select("p_partkey", F.col("answer"), F.col("expression"))
     r = canonical.record("answer", "expression")
     return x.select("p_partkey", r.alias("record"), F.sha2(r, 256).alias("record_sha"))
+
+
+NOTATIONS = [("C({n},2)+C (3,1)", "comb({n},2)+comb(3,1)"), ("comb({n},1)", "comb({n},1)"), ("ABC({n})", "ABC({n})"), ("C*{n}", "C*{n}"), ("2*C(  {n},0)", "2*comb(  {n},0)")]
+
+
+@query(f"SELECT p_partkey, {sql_by_row('p_size', f'p_partkey % {len(NOTATIONS)}', [b for _, b in NOTATIONS])} AS shown FROM part")
+def comb_notation(t):
+    """C(n, k) written as comb(n, k); other names that end in C stay."""
+    return t("part").select("p_partkey", text.comb_notation(by_row(F.col("p_size"), [a for a, _ in NOTATIONS], F.col("p_partkey") % len(NOTATIONS))).alias("shown"))
+
+
+@query("WITH a AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 0), b AS (SELECT lang, source FROM documents WHERE doc_id % 2 = 1) SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def multiset_difference(t):
+    """Rows that one table has more often than the other, both ways: none if they are the same."""
+    rows = lambda r: t("documents").filter(f"doc_id % 2 = {r}").select("lang", "source")
+    return core.multiset_difference(rows(0), rows(1))

@@ -94,6 +94,11 @@ def test_digests_of_all_dialects():
     assert canonical.digest('{"a":1,"a":2}') is None and canonical.digest("{") is None and canonical.digest(None) is None
 
 
+def test_fingerprint_of_the_grader():
+    one = canonical.fingerprint(algebra, exact, questions)
+    assert one == canonical.fingerprint(questions, algebra, exact) != canonical.fingerprint(algebra, exact)
+
+
 def test_self_hashes(spark):
     body = {"x": 1, "y": "é"}
     good = json.dumps(body | {"sha": canonical.digest(json.dumps(body))})
