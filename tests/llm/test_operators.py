@@ -302,7 +302,7 @@ def test_beam_search_keeps_the_sum_near():
     assert norm == pytest.approx((additive.decode(wide, books) ** 2).sum(1))
 
 
-@pytest.mark.parametrize(("shard", "packet"), [(8_192, 1_000_000), (7, 150), (1, 400)])
+@pytest.mark.parametrize(("shard", "packet"), [(8_192, 1_000_000), (7, 150), (1, 400), (3, 100_000)])
 def test_bm25_is_exact(docs, empty, monkeypatch, shard, packet):
     monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
     monkeypatch.setattr(bm25, "PACKET_TERMS", packet)
