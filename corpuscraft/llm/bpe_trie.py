@@ -20,7 +20,7 @@ from ._common import frees, steps, task, texts_of
 from .tokenize import LATIN, plain, spaced
 
 #: Words a worker keeps, of at most ``KEPT`` letters; a word past ``LONG`` letters is walked alone.
-CACHE, KEPT, LONG, PAIRS = 450_000, 64, 256, 400_000
+CACHE, KEPT, LONG, PAIRS = 600_000, 64, 256, 400_000
 _END = ""  # a trie node's key for "a word ends here"
 _made: dict[str, TrieEncoder] = {}
 

@@ -527,3 +527,54 @@ def test_licences_equal_brute_force(spark):
         want[r["doc_id"]] = (sorted(families), n, unknown)
     got = {r["doc_id"]: (r["families"], r["n_paragraphs"], r["n_unknown"]) for r in licenses.scan_documents(docs).collect()}
     assert got == want and sum(bool(f) for f, _, _ in want.values()) > 5
+
+
+def test_toxicity_of_odd_rows(spark):
+    rng = np.random.default_rng(12)
+    draw = lambda n: " ".join(rng.choice(WORDS, n))
+    rows = [(i, draw(20) + (" nasty vile nasty" if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(900, None), (901, ""), (902, " \n"), (903, "nasty " * 40_000), (None, "nasty vile"), (None, None), (904, "nasty vile"), (904, "nasty vile"), (904, draw(30)), (905, "w1 w2 NASTY! vile.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as label", "1 as score", "text as evidence", "0 as toxic")
+    marks = [(i, int(i % 4 == 0)) for i in range(400)] + [(3, 0), (4, 1), (None, 1), (900, 0), (77_777, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int").selectExpr("*", "toxic as label", "'t' as text")
+    got = toxicity.score_documents(docs, labels).collect()
+    assert len(got) == len(rows)
+    by = collections.defaultdict(list)
+    for r in got:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5)
+        by[r["doc_id"]].append(r["predicted"])
+    assert [by[i] for i in (900, 901, 902, 903, 905)] == [[0], [0], [0], [1], [1]]
+    assert sorted(by[904]) == [0, 1, 1] and sorted(by[None]) == [0, 1]
+    assert sum(by[i] == [int(i % 4 == 0)] for i in range(400)) >= 396
+    assert all(e["label"] in (0, 1) and 0 < e["cosine"] <= 1 + 1e-9 for r in got for e in r["evidence"])
+    kept = toxicity.clean_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] == 0 for r in got)
+
+
+def test_language_model_of_odd_rows(spark):
+    rows = [(i, "a b c d") for i in range(30)] + [(5, "a b c d"), (5, "x y"), (None, "a b"), (None, None), (40, "z " * 50_000), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as held", "'b' as block", "text as words", "2 as n", "3 as codes")
+    got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in brown.score_texts(docs).collect())
+    assert got == collections.Counter((i, len(tokens(t)) + 1) for i, t in rows)
+
+
+def test_token_file_and_packing_of_odd_rows(spark, tmp_path):
+    path = P.path("word_bpe_49k.json")
+    rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "d e f"), (None, None), (2, ""), (3, "word " * 5_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as shard", "2 as size", "3 as bucket", "4 as length", "5 as start")
+    tok = Tokenizer.from_file(path)
+    ids = lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+    pieces = packing.pack_documents(docs, path).collect()
+    assert sum(r["length"] for r in pieces) == sum(len(ids(t)) for _, t in rows)
+    places = collections.defaultdict(list)
+    for r in pieces:
+        places[r["sequence_id"]].append((r["offset"], r["offset"] + r["length"]))
+    for spans in places.values():
+        spans.sort()
+        assert spans[0][0] == 0 and spans[-1][1] <= 2048 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+    bitpack.write_token_file(docs, f"{tmp_path}/odd", path, "words", 1)
+    read = bitpack.read_token_file(spark, f"{tmp_path}/odd").collect()
+    want = collections.Counter((i, np.array(ids(t), "<u4").tobytes()) for i, t in rows)
+    assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in read) == want
+    starts = sorted((r["start"], r["n_tokens"]) for r in read)
+    assert starts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
