@@ -132,7 +132,7 @@ def substring_after_last_sentence(c: Column) -> Column:
     return F.when(n > 1, F.concat(F.array_join(F.concat(F.slice(parts, n, F.lit(1)), F.slice(parts, F.lit(1), n - 1)), ". "), F.lit("."))).otherwise(c)
 
 
-#: The wordings of ``surface``.
+# The wordings of ``surface`` and the leads and exchanges below.
 STYLES = ("direct_definition", "conditions_first", "quantity_first", "operational_story", "validation_compact", "validation_reverse")
 
 

@@ -54,11 +54,11 @@ def promotion_vectors(t):
     return contracts.vectors(rows, "l_orderkey", "l_linenumber", {"credit": F.coalesce(F.col("math_correct"), F.lit(False)) & F.col("executable"), "format": F.col("executable")})
 
 
-@query("SELECT name, prior IS NOT DISTINCT FROM now AS frozen FROM (SELECT unnest(['protocol', 'seed', 'grader', 'rows']) AS name, unnest(['v3', '91357', 'g1', NULL]) AS prior, unnest(['v3', '91358', 'g1', CAST(count(*) AS VARCHAR)]) AS now FROM documents)")
+@query("SELECT name, prior IS NOT DISTINCT FROM now AS frozen FROM (SELECT unnest(['protocol', 'seed', 'grader', 'rows']) AS name, unnest(['v3', '41', 'g1', NULL]) AS prior, unnest(['v3', '42', 'g1', CAST(count(*) AS VARCHAR)]) AS now FROM documents)")
 def frozen_decisions(t):
     """A frozen protocol against the present one, setting by setting; anything missing has drifted."""
-    now = t("documents").agg(F.count(F.lit(1)).cast("string").alias("rows")).select(F.create_map(F.lit("protocol"), F.lit("v3"), F.lit("seed"), F.lit("91358"), F.lit("grader"), F.lit("g1"), F.lit("rows"), F.col("rows")).alias("now"))
-    return contracts.drift(now, {"protocol": "v3", "seed": "91357", "grader": "g1"})
+    now = t("documents").agg(F.count(F.lit(1)).cast("string").alias("rows")).select(F.create_map(F.lit("protocol"), F.lit("v3"), F.lit("seed"), F.lit("42"), F.lit("grader"), F.lit("g1"), F.lit("rows"), F.col("rows")).alias("now"))
+    return contracts.drift(now, {"protocol": "v3", "seed": "41", "grader": "g1"})
 
 
 @query("WITH v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'train' ELSE 'validation' END AS split FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'train' FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id + 100000000, 'train' FROM labels WHERE doc_id % 50 = 0), d AS (SELECT v.doc_id, v.split, d.doc_id IS NOT NULL AS known, CASE WHEN v.doc_id % 4 = 0 THEN 'train' ELSE CASE WHEN v.doc_id % 3 = 0 THEN 'train' ELSE 'validation' END END AS home, count(*) OVER (PARTITION BY v.doc_id) AS n FROM v LEFT JOIN documents d USING (doc_id)) SELECT violation, count(*) AS n FROM (SELECT CASE WHEN NOT known THEN 'unknown' WHEN n > 1 THEN 'duplicate' WHEN split <> home THEN 'split' END AS violation FROM d) WHERE violation IS NOT NULL GROUP BY violation UNION ALL SELECT concat('cap:', split), count(*) FROM v WHERE split = 'train' GROUP BY split HAVING count(*) > 30")
