@@ -51,6 +51,8 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
     table gives a file without blocks.
     """
 
+    closes = BLOCK_IDS
+
     def blocks(batches):
         import pyarrow as pa
 
@@ -70,7 +72,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
                 parts.append(raw + end)
                 n += len(raw) // 4 + 1
                 ends.append(n)
-                if n >= BLOCK_IDS:
+                if n >= closes:
                     yield out()
                     block, first = block + 1, first + n
                     docs, ends, parts, n = [], [], [], 0

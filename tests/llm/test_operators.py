@@ -302,8 +302,11 @@ def test_beam_search_keeps_the_sum_near():
     assert norm == pytest.approx((additive.decode(wide, books) ** 2).sum(1))
 
 
-@pytest.mark.parametrize(("shard", "packet"), [(8_192, 1_000_000), (7, 150), (1, 400), (3, 100_000)])
-def test_bm25_is_exact(docs, empty, monkeypatch, shard, packet):
+@pytest.mark.parametrize(("shard", "packet", "sparse"), [(8_192, 1_000_000, 8), (7, 150, 10**6), (1, 400, 10**6), (3, 100_000, 0)])
+def test_bm25_is_exact(docs, empty, monkeypatch, shard, packet, sparse):
+    monkeypatch.setattr(bm25, "SPARSE", sparse)
+    monkeypatch.setattr(bm25, "PIVOT", 0.0 if sparse > 8 else 0.2)
+    monkeypatch.setattr(bm25, "SEED", 4)
     monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
     monkeypatch.setattr(bm25, "PACKET_TERMS", packet)
     rows = [(r["doc_id"], tokens(r["text"])) for r in docs.collect() if r["doc_id"] is not None]
