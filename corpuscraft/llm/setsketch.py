@@ -27,7 +27,6 @@ BASE = 1.001
 MISS = 1e-6
 #: Bounds of a block of a candidate group, in the first comparison and in that between components.
 BLOCK_SETS, BLOCK_SHINGLES, WIDE = 64, 100_000, 4
-SALTS = 64
 #: Natural logarithm of the likelihood ratio below which a pair is dropped unverified.
 MARGIN = 25.0
 
@@ -214,9 +213,8 @@ def components_of_rows(df: DataFrame, shingle: int, percent: int, id_col: str, t
     sets = real.groupBy("set_id").agg(F.min(F.struct("doc_id", "copy")).alias("at"), F.max("n_shingles").alias("n")).select("set_id", "at.doc_id", "at.copy", "n")
     members = scratch.put(sets.join(groups, "set_id"), "members")
     blocks = members.groupBy("label").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    # a group may hold a third of all sets: its number of blocks goes to SALTS parts of it
-    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    placed = members.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS))).join(salted, ["label", "salt"]).drop("salt").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+    # a group may hold a third of all sets: a merge join is one that Spark splits there
+    placed = members.join(blocks.hint("shuffle_merge"), "label").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
     full = scratch.put(full_sets(with_copies(df, id_col, text_col), scratch.put(placed, "placed"), shingle), "full")
     # the set that names a group (its first) meets every block of the group
     own = F.when(F.col("set_id") == F.col("label"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
