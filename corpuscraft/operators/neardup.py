@@ -8,6 +8,8 @@ from difflib import SequenceMatcher
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import core
+
 #: The most rows of word runs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
 RUNS_SENT = 1_000_000
 
@@ -61,15 +63,12 @@ def greedy(items: DataFrame, least: float, n: int = 2) -> DataFrame:
     Pairs that share a run of ``n`` words (of fewer words, the whole text) are candidates, their ratio (candidate against the
     earlier item) is computed in Arrow batches, and the order-dependent rule is resolved by rounds: an item whose earlier
     neighbours are all gone is kept, one with a kept earlier neighbour goes. Each round settles the earliest open item of every
-    chain at least, so the rounds end when all are settled. Each round's state is written where a shared folder is set.
+    chain at least, so the rounds end when all are settled. Each round's state is written to the shared folder.
     """
     spark = items.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = f"{folder.rstrip('/')}/greedy-{uuid.uuid4().hex}" if folder else None
+    base = f"{core.shared_folder(spark)}/greedy-{uuid.uuid4().hex}"
 
     def kept_table(df: DataFrame, name: str) -> DataFrame:
-        if base is None:
-            return df.persist()
         df.write.parquet(f"{base}/{name}")
         return spark.read.schema(df.schema).parquet(f"{base}/{name}")
 

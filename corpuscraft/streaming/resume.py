@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_root(spark) -> str:
-    """The folder that driver and executors share; a temporary one where it is unset (local runs)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpuscraft-stream-")).rstrip("/")
+from ..operators import core
 
 
 def final_state(events: DataFrame, name: str | None = None) -> DataFrame:
@@ -22,7 +18,7 @@ def final_state(events: DataFrame, name: str | None = None) -> DataFrame:
     folder of the batch's own number, so a batch that is repeated after a failure replaces itself and nothing counts twice.
     """
     spark = events.sparkSession
-    base = f"{shared_root(spark)}/stream-{name or uuid.uuid4().hex}"
+    base = f"{core.shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
     files = events.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
     pattern = files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet"

@@ -174,7 +174,7 @@ def test_a_stream_resumes_where_it_stood(spark, tmp_path):
     assert {tuple(r) for r in resume.final_state(read(), name).collect()} == {(1, 2, 3.0), (2, 1, 5.0)}
     write([(1, 9.0)])
     assert {tuple(r) for r in resume.final_state(read(), name).collect()} == {(1, 3, 9.0), (2, 1, 5.0)}
-    batches = spark.read.schema("user_id long, n bigint, best double, batch int").parquet(f"{resume.shared_root(spark)}/stream-{name}/state").groupBy("batch").agg(F.sum("n").alias("n")).orderBy("batch").collect()
+    batches = spark.read.schema("user_id long, n bigint, best double, batch int").parquet(f"{core.shared_folder(spark)}/stream-{name}/state").groupBy("batch").agg(F.sum("n").alias("n")).orderBy("batch").collect()
     assert [r["n"] for r in batches] == [3, 1]  # the second run read the new file alone
 
 
