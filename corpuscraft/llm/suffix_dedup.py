@@ -22,7 +22,7 @@ WORDS, GRAM = 50, 10
 #: Slots of 64 bits of the filter of repeated grams that is sent to the tasks: 8 MB whatever the input. It only spares work.
 SLOTS = 1 << 20
 #: A gram found more often than this is compared by shuffled rows, not within one task; the result is the same.
-TOGETHER = 1_024
+TOGETHER = 4_096
 _B = 0x9E3779B97F4A7C15 | 1
 
 
