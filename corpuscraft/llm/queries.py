@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bitpack, bm25, bpe_trie, brown, licenses, oracle, packing, setsketch, suffix_dedup, toxicity
+from . import additive, bitpack, bm25, bpe_trie, brown, licenses, oracle, packing, setsketch, suffix_dedup, toxicity, whitening
 from ._common import crc_mod, table
 
 
@@ -63,8 +63,12 @@ def op10_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.similar_documents(table(spark, sf_dir, "documents"), every=20, k=10)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_licenses, op4_brown_lm, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch, op10_bm25_topk)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_licenses, op4_brown_lm, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch, op10_bm25_topk, op11_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
