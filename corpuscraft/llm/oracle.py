@@ -38,3 +38,20 @@ s AS (SELECT query_id, t.doc_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 +
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT query_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
+
+#: DuckDB has no crc32: its table is made bit by bit, and a decimal id is folded in digit by digit.
+PREFIX_TRIE = """
+WITH RECURSIVE b AS (SELECT i::BIGINT AS i, i::BIGINT AS x, 0 AS k FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM b WHERE k < 8),
+lut AS (SELECT list(x ORDER BY i) AS l FROM b WHERE k = 8),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, list(turn ORDER BY pos) AS turns FROM t GROUP BY c),
+h AS (SELECT c, turns, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT)), lambda a, d: xor(l[(xor(a, d) & 255) + 1], a >> 8)), 4294967295) % 6 AS h FROM o, lut),
+r AS (SELECT x.c, list_concat(coalesce(y.turns, [])[1 : x.h], x.turns[x.h + 1 :]) AS turns FROM h x LEFT JOIN o y ON y.c = x.c - x.c % 100),
+p AS (SELECT c, len(turns) AS size, unnest(range(0, len(turns) + 1)) AS d, turns FROM r),
+m AS (SELECT d, turns[1 : d] AS k, min(c) AS conv_id, count(*) AS n, string_agg(CASE WHEN size = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM p GROUP BY ALL),
+kids AS (SELECT d - 1 AS d, k[1 : d - 1] AS k, count(*) AS n_children FROM m WHERE d > 0 GROUP BY ALL),
+n AS (SELECT m.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(k[d].text) END AS own FROM m LEFT JOIN kids USING (d, k)),
+s AS (SELECT a AS d, k[1 : a] AS k, count_if(n_children = 0) AS n_leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM n) GROUP BY ALL)
+SELECT n.conv_id, n.d::BIGINT AS depth, up.conv_id AS parent_conv_id, n.n AS n_convs, n.n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN s USING (d, k) LEFT JOIN m up ON up.d = n.d - 1 AND up.k = n.k[1 : n.d - 1]
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive, bitpack, bm25, bpe_trie, brown, licenses, mixing, oracle, packing, setsketch, suffix_dedup, toxicity, whitening
+from . import additive, bitpack, bm25, bpe_trie, brown, licenses, mixing, oracle, packing, prefix_trie, setsketch, suffix_dedup, toxicity, whitening
 from ._common import crc_mod, table
 
 
@@ -67,13 +67,17 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), block=100, heads=6)
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, repeats=2)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_licenses, op4_brown_lm, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch, op10_bm25_topk, op11_whitening, op13_mixing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_licenses, op4_brown_lm, op5_token_file, op6_packing, op7_additive_ann, op8_bpe_trie, op9_setsketch, op10_bm25_topk, op11_whitening, op12_prefix_trie, op13_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_dedup": oracle.SUFFIX_DEDUP, "op9_setsketch": oracle.NEAR_DUPLICATES, "op10_bm25_topk": oracle.BM25}
+    return {"op1_suffix_dedup": oracle.SUFFIX_DEDUP, "op9_setsketch": oracle.NEAR_DUPLICATES, "op10_bm25_topk": oracle.BM25, "op12_prefix_trie": oracle.PREFIX_TRIE}
