@@ -173,6 +173,7 @@ class Mix:
         quotas = scratch.put(shard_quotas(draws.groupBy("s").agg(F.count(F.lit(1)).alias("q")), shard, seed + 2), "quotas")
         ranges = quotas.select("shard", "s", F.explode(F.expr("sequence(o + 1, o + q)")).alias("position"))
         order = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed + 3), "shard", "s", "position"), "s", "position")
+        ranges = ranges.hint("merge")  # Spark takes the rows of a sequence for as small as its ends and would broadcast them
         self.blocks = ranges.join(draws, ["s", "position"]).withColumn("place", F.row_number().over(order))
 
     @property
