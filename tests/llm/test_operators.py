@@ -1,15 +1,17 @@
 """The operators against brute force, round trips and held-out rows, with nulls, ties, empty tables and clashing columns."""
 
 import collections
+import hashlib
 import math
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpuscraft.llm import additive, bitpack, bm25, bpe_trie, brown, licenses, packing, setsketch, suffix_dedup, toxicity
+from corpuscraft.llm import additive, bitpack, bm25, bpe_trie, brown, licenses, mixing, packing, prefix_trie, setsketch, suffix_dedup, toxicity, whitening
 from corpuscraft.llm.tokenize import encoder
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -582,3 +584,172 @@ def test_token_file_and_packing_of_odd_rows(spark, tmp_path):
     assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in read) == want
     starts = sorted((r["start"], r["n_tokens"]) for r in read)
     assert starts[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(starts, starts[1:], strict=False))
+
+
+# operator 11
+def vectors_table(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, component string, n string, x string, v string")
+
+
+def test_whitening_against_a_covariance(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 24)) @ np.diag(np.linspace(3, 0.4, 24))
+    rows = [(i, [float(c) for c in v], "c", "n", "x", "v") for i, v in enumerate(base)]
+    odd = [(900, None), (901, [None] + [0.0] * 23), (902, [math.nan] + [0.0] * 23), (903, [math.inf] + [0.0] * 23), (904, [1.0, 2.0]), (905, []), (906, [3e38] + [0.0] * 23)]
+    rows += [(i, v, "c", "n", "x", "v") for i, v in odd] + [rows[7], rows[7], (None, rows[8][1], "c", "n", "x", "v")]
+    df = vectors_table(spark, rows).repartition(40)  # more tasks than children of a node
+    got = whitening.whiten(df).orderBy("vec_id", "component").collect()
+    kept = [(r[0], r[1]) for r in rows if r[1] is not None and len(r[1]) == 24 and all(c is not None and math.isfinite(c) and abs(c) < 1e30 for c in r[1])]
+    assert len(got) == 16 * len(kept) == 16 * 303 and got[0]["vec_id"] is None
+    x = {i: np.floor(64 * np.array(v, dtype=np.float32).astype(float)).astype(np.int64) + 1_000_000 for i, v in kept}
+    fit = np.unique(np.stack(list(x.values())), axis=0)
+    n, s = len(fit), fit.sum(0)
+    centred = lambda a: (a - s // n) - (s % n) / n
+    cov = centred(fit).T @ centred(fit) / n
+    e, w = np.linalg.eigh(cov)
+    e, w = e[::-1][:16], w[:, ::-1][:, :16]
+    signs = np.zeros(16)
+    for r in got:
+        j = r["component"] - 1
+        want = float(centred(x[r["vec_id"]]) @ w[:, j] / np.sqrt(e[j]))
+        signs[j] = signs[j] or np.sign(want * r["whitened"])
+        assert abs(r["whitened"] * signs[j] - want) < 1e-9
+        assert (r["n"], r["deviation"]) == (n, int(((n * x[r["vec_id"]] - s) ** 2).sum()))
+        assert abs(r["explained"] / (e[j] / np.trace(cov)) - 1) < 1e-9 and r["identity_error"] < 1e-9
+
+
+def test_whitening_without_variance(spark):
+    assert whitening.whiten(vectors_table(spark, [])).count() == 0
+    assert whitening.whiten(vectors_table(spark, [(1, None, "", "", "", ""), (2, [], "", "", "", "")])).count() == 0
+    alike = whitening.whiten(vectors_table(spark, [(i, [1.0, 2.0, 3.0], "", "", "", "") for i in range(5)])).collect()
+    assert len(alike) == 15 and all(r["n"] == 1 and r["deviation"] == 0 and r["whitened"] is None and r["explained"] is None and r["identity_error"] is None for r in alike)
+    line = whitening.whiten(vectors_table(spark, [(i, [float(i), 2.0 * i, 0.0], "", "", "", "") for i in range(4)])).collect()
+    assert all((r["whitened"] is None) == (r["component"] > 1) for r in line) and all(abs(r["explained"] - (r["component"] == 1)) < 1e-12 for r in line)
+
+
+def test_deviation_of_any_size():
+    model = whitening.Whitening(10**7, [5 * 10**7 + 3, 0], np.eye(2), np.ones(2), 2.0, 2)
+    x = np.array([[6, 1], [5 + 10**3, 2], [5 + 10**9, 0]], dtype=np.int64)
+    want = [sum((10**7 * int(v) - s) ** 2 for v, s in zip(r, model.sums, strict=True)) for r in x]
+    assert model.deviations(x) == [v if v < 1 << 63 else None for v in want] and want[2] >= 1 << 63
+    assert model.deviations(x[:1]) == want[:1]
+
+
+# operator 12
+def brute_trie(rows, block=100, heads=6):
+    by = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            by[c].append(((t is not None, t or 0), role or "", text or ""))
+    own = {c: [(r, x) for _, r, x in sorted(v)] for c, v in by.items()}
+    new = {}
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        new[c] = (*own.get(c - int(math.fmod(c, block)), [])[:h], *v[h:])
+    members = collections.defaultdict(list)
+    for c in sorted(new):
+        for d in range(len(new[c]) + 1):
+            members[new[c][:d]].append(c)
+    kids, leaves, saved = collections.Counter(k[:-1] for k in members if k), collections.Counter(), collections.Counter()
+    for k in sorted(members, key=len, reverse=True):
+        leaves[k] += not kids[k]
+        saved[k] += (len(members[k]) - 1) * len(k[-1][1]) if k else 0
+        if k:
+            leaves[k[:-1]] += leaves[k]
+            saved[k[:-1]] += saved[k]
+    sha = lambda k: hashlib.sha256(",".join(str(c) for c in members[k] if len(new[c]) == len(k)).encode()).hexdigest()
+    return sorted((m[0], len(k), members[k[:-1]][0] if k else None, len(m), kids[k], leaves[k], saved[k], sha(k)) for k, m in members.items())
+
+
+TURNS = "conv_id long, turn long, role string, text string, bucket string, pos string, total string, round string"
+
+
+@pytest.mark.parametrize("local", [prefix_trie.LOCAL, 60, 1])
+def test_prefix_trie(spark, monkeypatch, local):
+    monkeypatch.setattr(prefix_trie, "PIECE", 50)
+    rng = np.random.default_rng(8)
+    texts = ["", "hello", "a", "bb", "wörter 🤦 drei", "long " * 300]
+    rows = []
+    for c in [*range(0, 330), *range(400, 420), 777, -7, -100, 10**15]:
+        for t in range(int(rng.integers(1, 9))):
+            rows.append((c, t, ["user", "assistant", None][int(rng.integers(0, 3))], texts[int(rng.integers(0, 6))]))
+    rows += [(c, t, "user", f"same {t}") for c in range(1000, 1090) for t in range(7)]  # copies
+    rows += [(1095, t, "user", f"deep {t}") for t in range(300)] + [(1096, t, "user", f"deep {t}") for t in range(280)]
+    rows += [(1200, None, "user", None), (1200, 0, "user", "then"), (1200, None, "assistant", ""), (None, 0, "user", "nobody's"), (1203, 0, "user", "x"), (1203, 0, "user", "x")]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([(*rows[i], "b", "p", "t", "r") for i in order], TURNS).repartition(7)
+    got = prefix_trie.prefix_trie(df, local=local)
+    assert sorted(map(tuple, got.collect()), key=lambda r: (r[0], r[1])) == brute_trie(rows)
+    assert prefix_trie.prefix_trie(spark.createDataFrame([], TURNS), local=local).count() == 0
+
+
+def test_prefix_trie_without_turns(spark):
+    """A conversation whose turns are all replaced by those of an absent one still is a member of the root."""
+    c = next(i for i in range(101, 200) if zlib.crc32(str(i).encode()) % 6 >= 2)
+    rows = [(c, 0, "user", "one"), (c, 1, "user", "two")]
+    got = prefix_trie.prefix_trie(spark.createDataFrame([(*r, "b", "p", "t", "r") for r in rows], TURNS)).collect()
+    assert [tuple(r) for r in got] == brute_trie(rows) == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
+
+
+# operator 13
+def level_targets(sizes, weights=(5, 2, 1)):
+    """Shares, then the excess over twice the size dealt again by weight until none is above."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, out = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= 2 * sizes[s]}
+        if not over:
+            out |= share
+            break
+        for s in over:
+            out[s] = 2.0 * sizes[s]
+        left -= sum(out[s] for s in over)
+        open_ -= over
+    return out
+
+
+def test_mixing(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL", 16)
+    monkeypatch.setattr(mixing, "BLOCK", 50)
+    df = make_docs(spark, 240).drop("lang")
+    names = ["zeta", "Alpha", "ähnlich", "beta", None, "wordless"]
+    source = F.element_at(F.array(*[F.lit(x) for x in names]), F.when(F.length("text") < 1, 6).when(F.col("doc_id") < 80, 1).otherwise(F.pmod(F.coalesce("doc_id", F.lit(3)), F.lit(5)) + 1).cast("int"))
+    df = df.withColumn("source", source).withColumn("size", F.lit("clash")).withColumn("row", F.lit("clash")).cache()
+    rows = mixing.mix_documents(df, shard=40).collect()
+    full = mixing.Mix(df, shard=40)
+    want = collections.Counter()
+    for r in df.collect():
+        want[r["source"]] += len(tokens(r["text"]))
+    target, taken = level_targets(want), collections.Counter()
+    assert len(rows) == df.count()
+    by_id = {r["doc_id"]: r["source"] for r in df.collect()}
+    for r in rows:
+        s = by_id[r["doc_id"]]
+        assert r["source_size"] == want[s] and abs(r["target"] - target[s]) < 1e-6 and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 0.5001 for s in target) and len(target) == 6
+    assert sorted(map(repr, mixing.mix_documents(df.repartition(9), shard=40).collect())) == sorted(map(repr, rows))  # reruns agree
+    blocks = full.blocks.collect()
+    shards = collections.Counter(b["shard"] for b in blocks)
+    assert len(shards) == -(-len(blocks) // 40) and max(shards.values()) - min(shards.values()) <= 1
+    assert all(sorted(b["place"] for b in blocks if b["shard"] == s) == list(range(1, n + 1)) for s, n in shards.items())
+    words = collections.Counter(w for r in full.texts.collect() for w in tokens(r["text"]))
+    assert sum(words.values()) == sum(r["taken"] for r in rows)
+    assert mixing.mix_documents(df.limit(0)).count() == 0
+    assert [r["taken"] for r in mixing.mix_documents(df.filter("length(text) < 1")).collect()] == [0]
+
+
+def test_hypergeometric_draws(spark):
+    """Frequencies against exact probabilities, and the ends of the range."""
+    n, m, k, reps = 30, 12, 9, 20_000
+    lit = lambda v: F.lit(v).cast("long")
+    draw = lambda *a: mixing.hypergeometric(*map(lit, a), mixing.uniform(F.lit(5), F.col("id")))
+    got = {r["x"]: r["count"] for r in spark.range(reps).select(draw(n, m, k).alias("x")).groupBy("x").count().collect()}
+    for x in range(0, 10):
+        p = math.comb(m, x) * math.comb(n - m, k - x) / math.comb(n, k)
+        assert abs(got.get(x, 0) / reps - p) < 5 * math.sqrt(p * (1 - p) / reps) + 1e-4
+    ends = spark.range(50).select(draw(10, 10, 4).alias("a"), draw(10, 0, 4).alias("b"), draw(10, 4, 10).alias("c"), draw(10, 7, 5).alias("d"), draw(10**9, 5 * 10**8, 5 * 10**8).alias("e")).collect()
+    assert all(r["a"] == 4 and r["b"] == 0 and r["c"] == 4 and 2 <= r["d"] <= 5 and abs(r["e"] - 25 * 10**7) < 80_000 for r in ends)
