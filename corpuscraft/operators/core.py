@@ -6,23 +6,12 @@ Contracts give tables of violations (check, key, detail) instead of raising, so
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.domain import mcnemar
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset (local runs) a temporary one, which
-    the session then keeps."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = tempfile.mkdtemp(prefix="corpuscraft-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from .shared import Scratch, shared_folder  # noqa: F401
 
 
 def hash_order(seed: str, *keys: str) -> Column:
@@ -144,12 +133,9 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     Rows are dealt by ranges of the order; each range is numbered by itself, and the counts of the ranges before (one number a
     range) are added. The dealt table is written once, so that both uses see the same ranges.
     """
-    spark = df.sparkSession
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     dealt = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    path = f"{shared_folder(spark)}/numbered-{uuid.uuid4().hex}"
-    dealt.write.parquet(path)
-    dealt = spark.read.schema(dealt.schema).parquet(path)
+    dealt = Scratch(df.sparkSession, "numbered").put(dealt, "rows")
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))  # a row for each range
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))

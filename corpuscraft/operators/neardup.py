@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from difflib import SequenceMatcher
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import core
+from .shared import Scratch
 
 #: The most rows of word runs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
 RUNS_SENT = 1_000_000
@@ -65,13 +64,7 @@ def greedy(items: DataFrame, least: float, n: int = 2) -> DataFrame:
     neighbours are all gone is kept, one with a kept earlier neighbour goes. Each round settles the earliest open item of every
     chain at least, so the rounds end when all are settled. Each round's state is written to the shared folder.
     """
-    spark = items.sparkSession
-    base = f"{core.shared_folder(spark)}/greedy-{uuid.uuid4().hex}"
-
-    def kept_table(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
+    kept_table = Scratch(items.sparkSession, "greedy").put
     runs = word_runs(items, "id", n, whole=True)
     pairs = runs.join(runs.select(F.col("id").alias("earlier"), "run"), "run").filter("earlier < id").select("id", "earlier").distinct()
     both = pairs.join(items.select("id", "text"), "id").join(items.select(F.col("id").alias("earlier"), F.col("text").alias("before")), "earlier")

@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import json
+import os
 import unicodedata
 from fractions import Fraction
 
@@ -63,6 +64,13 @@ def test_grades():
     assert grade(own + "\nso it is about a half")["outcome"] == "non_executable_or_format"
     bound = grade("Bindings: p=1/5; p_b=3/7\nExpression: p*(1-p_b)+(1-p)*p_b")
     assert bound["outcome"] == "accepted" and bound["bindings_match"] and not bound["whole_raw_executable"]
+    assert bound["two_lines"] and not grade(own)["two_lines"]
+    assert grade("Bindings: p=1/5; p_b=3/7\n```\np*p_b\nresult = p*(1-p_b)+(1-p)*p_b")["outcome"] == "accepted"
+    assert grade("p=1/5; p_b=3/7")["outcome"] == "non_executable_or_format"  # bindings alone are no result
+    assert grade(own + "; x = y =")["outcome"] == "non_executable_or_format"
+    ends = json.dumps({"lower": "0", "upper": "10", "divisor": "2"})
+    computed = algebra.grade("upper = (0+10)/2+(10-0)/(2*2)", "interval", ends, None)
+    assert computed["computed"] == "15/2" and computed["outcome"] == "accepted" and not computed["bindings_match"]
     assert algebra.gated(own, "length", "exactly_one", s, None)["reason"] == "finish_reason_not_stop"
     assert algebra.gated(own, "stop", "exactly_one", s, None)["accepted"]
     assert not algebra.gated("Expression: " + own, "stop", "exactly_one", s, None)["accepted"]
@@ -248,3 +256,33 @@ def test_rules_must_be_the_approved_ones(spark):
     assert core.with_rules(rows, "rule", {"a": "text"}, approved).first()["rule_text"] == "text"
     with pytest.raises(ValueError, match="approved"):
         core.with_rules(rows, "rule", {"a": "other"}, approved)
+
+
+def test_shared_folder_without_the_setting(tmp_path):
+    """A session that never set spark.checkpoint.dir: one folder an application, scratch that goes with the process."""
+    import subprocess
+    import sys
+
+    code = """
+import os, tempfile
+tempfile.tempdir = {tmp!r}
+from pyspark.sql import SparkSession
+from corpuscraft.operators import core, shared
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+spark.sparkContext.setLogLevel("OFF")
+assert spark.conf.get("spark.checkpoint.dir", None) is None
+folder = shared.shared_folder(spark)
+assert folder == shared.shared_folder(spark) and folder.startswith({tmp!r})
+rows = core.numbered(spark.range(100), ["id"], "n").collect()
+assert [(r["id"], r["n"]) for r in sorted(rows)] == [(i, i + 1) for i in range(100)]
+assert os.listdir(folder)
+"""
+    conf = tmp_path / "conf"
+    conf.mkdir()
+    (tmp_path / "t").mkdir()
+    import os
+
+    env = {**os.environ, "SPARK_CONF_DIR": str(conf), "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    done = subprocess.run([sys.executable, "-c", code.format(tmp=str(tmp_path / "t"))], env=env, capture_output=True, text=True, timeout=180)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert not any(os.listdir(d) for d in (tmp_path / "t").glob("corpuscraft-*"))
