@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import Scratch  # noqa: F401
+
 #: Bytes of text that one step in a Python worker holds at once (a single longer text makes a step of its own).
 STEP_CHARS = 1_500_000
 #: Bytes of a batch of rows between Spark and Python.
@@ -23,46 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset a local session gets a temporary one for
-    its application (the setting itself cannot change in a running session); on a cluster that is an error."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        application = spark.sparkContext.applicationId
-        if application not in _own_dirs:
-            _own_dirs[application] = tempfile.mkdtemp(prefix="corpuscraft-")
-        path = _own_dirs[application]
-    return path.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that what is computed once survives the loss of executors and is never recomputed."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def put(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.option("compression", codec).mode("overwrite").parquet(self.path(name))
-        return self.get(name, df)
-
-    def get(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
-
-
 def fresh(name: str) -> str:
     """A column name that no table has."""
     return f"__{name}_{uuid.uuid4().hex}"
