@@ -1,6 +1,6 @@
 """Registered queries: each binds operators to tables, with an equivalent SQL text where SQL can express it."""
 
-from . import contracts, curation, curriculum, evaluation, formulations, grading, materials, sequences  # noqa: F401
+from . import contracts, curation, curriculum, evaluation, formulations, grading, materials, sequences, streams  # noqa: F401
 from ._registry import QUERIES, SQL
 
 

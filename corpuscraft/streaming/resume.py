@@ -3,11 +3,58 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..operators import core
+from ..operators.shared import shared_folder
+
+
+#: Fixed value: the state store that keyed state with timers needs.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Stream:
+    """A stream over a folder of Parquet files that takes what is there and stops. Under one ``name`` every run continues the last one:
+    files, watermark, state and timers stand in its checkpoint in the shared folder, and results are appended exactly once."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str | StructType, name: str | None = None, files: str = "*.parquet"):
+        self.spark, self.source = spark, (folder, schema, files)
+        self.base = f"{shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
+
+    @classmethod
+    def over(cls, table: DataFrame, name: str | None = None) -> Stream:
+        """A stream over a table's own files."""
+        files = table.inputFiles()
+        folder, _, first = files[0].rpartition("/")
+        return cls(table.sparkSession, folder, table.schema, name, first if len(files) == 1 else "*.parquet")
+
+    def run(self, plan: Callable[[DataFrame], DataFrame]) -> int:
+        """Runs ``plan`` over what is new; the number of rows that came too late for it."""
+        folder, schema, files = self.source
+        store, key = self.spark.conf.get("spark.sql.streaming.stateStore.providerClass"), "spark.sql.streaming.stateStore.providerClass"
+        self.spark.conf.set(key, ROCKSDB)  # the query takes the setting it starts with
+        try:
+            rows = plan(self.spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder))
+            self.schema = rows.schema
+            query = rows.writeStream.format("parquet").option("path", f"{self.base}/rows").option("checkpointLocation", f"{self.base}/checkpoint").trigger(availableNow=True).start()
+        finally:
+            self.spark.conf.set(key, store)
+        query.awaitTermination()
+        return sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+
+    @property
+    def rows(self) -> DataFrame:
+        """All that the runs so far have given."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.base}/rows")
+
+
+def once_each(rows: DataFrame, key: str, at: str, lateness: str) -> DataFrame:
+    """Each key once, in event time: a row that comes again within ``lateness`` of the newest one is known, an older one is late, and
+    both change nothing. Keys are forgotten when the watermark has passed them, so the state stays bounded."""
+    return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
 
 
 def final_state(events: DataFrame, name: str | None = None) -> DataFrame:
@@ -18,7 +65,7 @@ def final_state(events: DataFrame, name: str | None = None) -> DataFrame:
     folder of the batch's own number, so a batch that is repeated after a failure replaces itself and nothing counts twice.
     """
     spark = events.sparkSession
-    base = f"{core.shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
     files = events.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
     pattern = files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet"

@@ -286,3 +286,62 @@ assert os.listdir(folder)
     done = subprocess.run([sys.executable, "-c", code.format(tmp=str(tmp_path / "t"))], env=env, capture_output=True, text=True, timeout=180)
     assert done.returncode == 0, done.stderr[-2000:]
     assert not any(os.listdir(d) for d in (tmp_path / "t").glob("corpuscraft-*"))
+
+
+# streams
+def thirds(spark, folder, columns, repeat=False):
+    """Writes the events in three arrivals and yields after each; with ``repeat`` the second comes once more with the third."""
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet").selectExpr(*columns)
+    for k in range(3):
+        some = events.filter(f"seq * 3 div 10000 = {k}")
+        some = some.unionByName(events.filter("seq * 3 div 10000 = 1")) if repeat and k == 2 else some
+        some.repartition(2).write.mode("append").parquet(folder)
+        yield k
+
+
+def test_caps_of_a_stream_in_three_runs(spark, tmp_path):
+    """A stream stopped and started again three times, some rows twice, gives the rows of the windows over the whole table."""
+    from corpuscraft import plans
+    from corpuscraft.streaming import ledger
+    from corpuscraft.streaming.resume import Stream
+
+    schema, name = "account long, seq long, cost double", f"caps-{tmp_path.name}"
+    columns = ["user_id account", "event_id seq", "case when event_type = 'purchase' then value else 0 end cost"]
+    for _ in thirds(spark, str(tmp_path / "in"), columns, repeat=True):
+        stream = Stream(spark, str(tmp_path / "in"), schema, name)  # a new object each time: nothing but the checkpoint goes on
+        stream.run(lambda rows: ledger.capped(rows, 40, 400.0, 5.0))
+    want = plans.queries()["ledger_caps"](spark, "/root/testdata/sf0.01")
+    assert sorted(map(repr, map(tuple, stream.rows.collect()))) == sorted(map(repr, map(tuple, want.select("user_id", "event_id", "allowed", "blocked_by").collect())))
+
+
+def test_ledger_of_a_stream_in_three_runs(spark, tmp_path):
+    """The outcomes are those of one run over the whole table, timers that fire between runs included."""
+    from corpuscraft import plans
+    from corpuscraft.plans import streams
+    from corpuscraft.streaming import ledger
+    from corpuscraft.streaming.resume import Stream
+
+    kept = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    told = []
+    for k in range(3):
+        kept.filter(f"event_id * 3 div 10000 = {k}").repartition(2).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = Stream(spark, str(tmp_path / "in"), kept.schema, f"ledger-{tmp_path.name}")
+        stream.run(lambda rows: ledger.outcomes(streams.call_rows(rows), streams.CALLS, streams.COST, streams.RESERVE, streams.PATIENCE, f"{streams.LATENESS} milliseconds"))
+        told.append(stream.rows.filter("outcome = 'timeout'").count())
+    assert 0 < told[0] < told[1] < told[2]
+    want = plans.queries()["ledger_stream"](spark, "/root/testdata/sf0.01")
+    assert sorted(map(repr, map(tuple, stream.rows.withColumn("cost", F.round("cost", 6)).collect()))) == sorted(map(repr, map(tuple, want.collect())))
+
+
+def test_ledger_answers_once(spark, tmp_path):
+    """A call in flight is not made again, an answered one is cached, repeated rows change nothing, an answer without a cost stops the account."""
+    from corpuscraft.streaming import ledger
+    from corpuscraft.streaming.resume import Stream
+
+    schema = "account long, seq long, at timestamp, kind string, tag long, cost double"
+    rows = [(1, 0, "request", 1, None), (1, 1, "request", 1, None), (1, 2, "response", 1, 3.0), (1, 3, "request", 1, None), (1, 3, "request", 1, None), (1, 4, "request", 2, None), (1, 5, "failure", 2, None), (1, 6, "request", 2, None), (1, 7, "response", 9, 1.0), (1, 8, "request", 3, None), (1, 9, "response", 3, None), (1, 10, "request", 4, None), (1, 11, "note", 4, None)]
+    spark.createDataFrame([(a, s, k, g, c) for a, s, k, g, c in rows], "account long, seq long, kind string, tag long, cost double").withColumn("at", F.timestamp_seconds(F.col("seq") + 1000)).select("account", "seq", "at", "kind", "tag", "cost").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = Stream(spark, str(tmp_path / "in"), schema)
+    stream.run(lambda r: ledger.outcomes(r, 10, 100.0, 5.0, 60_000, "1 second"))
+    got = [(r["seq"], r["outcome"]) for r in stream.rows.orderBy("seq", "outcome").collect()]
+    assert got == [(0, "started"), (1, "unresolved"), (2, "response"), (3, "cached"), (3, "repeated"), (4, "started"), (5, "failure"), (6, "unresolved"), (7, "orphan"), (8, "started"), (9, "response"), (10, "unpriced")]
