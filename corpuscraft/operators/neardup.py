@@ -1,14 +1,10 @@
-"""Near duplicates by matching blocks, containment and shared word runs."""
+"""Containment and shared word runs."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
-
 #: The most rows of word runs (16 bytes each) that are sent to all tasks; more are joined by a shuffle.
 RUNS_SENT = 1_000_000
 
@@ -56,32 +52,3 @@ def containing(docs: DataFrame, needles: DataFrame, n: int = 4) -> DataFrame:
     return (pairs if out is None else out.unionByName(pairs)).distinct()
 
 
-def greedy(items: DataFrame, least: float, n: int = 2) -> DataFrame:
-    """id, kept: an item goes when it is at least so like one kept before it, in the order of id.
-
-    Pairs that share a run of ``n`` words (of fewer words, the whole text) are candidates, their ratio (candidate against the
-    earlier item) is computed in Arrow batches, and the order-dependent rule is resolved by rounds: an item whose earlier
-    neighbours are all gone is kept, one with a kept earlier neighbour goes. Each round settles the earliest open item of every
-    chain at least, so the rounds end when all are settled. Each round's state is written to the shared folder.
-    """
-    kept_table = Scratch(items.sparkSession, "greedy").put
-    runs = word_runs(items, "id", n, whole=True)
-    pairs = runs.join(runs.select(F.col("id").alias("earlier"), "run"), "run").filter("earlier < id").select("id", "earlier").distinct()
-    both = pairs.join(items.select("id", "text"), "id").join(items.select(F.col("id").alias("earlier"), F.col("text").alias("before")), "earlier")
-
-    @F.pandas_udf("double")
-    def ratio(a, b):
-        import pandas as pd
-
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    edges = kept_table(both.filter(ratio("text", "before") >= least).select("id", "earlier"), "edges")
-    later = edges.select("id").distinct().withColumn("open", F.lit(True))
-    state = kept_table(items.select("id").join(later, "id", "left").select("id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")), "round-0")
-    k = 0
-    while not state.filter("kept is null").isEmpty():
-        known = edges.join(state.select(F.col("id").alias("earlier"), F.col("kept").alias("k")), "earlier")
-        rule = known.groupBy("id").agg(F.max(F.coalesce("k", F.lit(False))).alias("any_kept"), F.every(F.coalesce(~F.col("k"), F.lit(False))).alias("all_gone"))
-        k += 1
-        state = kept_table(state.join(rule, "id", "left").select("id", F.coalesce("kept", F.when(F.col("any_kept"), F.lit(False)).when(F.col("all_gone"), F.lit(True))).alias("kept")), f"round-{k}")
-    return state

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import core, neardup
+from ..operators import alike, core, neardup
 from ._registry import query
 
 NORM = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -79,7 +79,7 @@ def near_dup_greedy(t):
     """Questions kept in order of id unless too like one already kept (matching-block ratio of 0.84 or more)."""
     items = t("benchmark").select(F.col("item_id").alias("id"), text.normalize_ascii(F.col("text")).alias("text"))
     twins = items.filter("id % 3 = 0").select((F.col("id") + 10_000).alias("id"), F.concat("text", F.lit(" again")).alias("text"))
-    return neardup.greedy(items.unionByName(twins), 0.84)
+    return alike.greedy(items.unionByName(twins), 0.84)
 
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")

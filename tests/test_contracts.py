@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuscraft.functions import algebra, canonical, exact, questions, text
-from corpuscraft.operators import contracts, core, generate, neardup
+from corpuscraft.operators import alike, contracts, core, generate, neardup
 from corpuscraft.sources import documents
 from corpuscraft.streaming import resume
 
@@ -220,10 +220,10 @@ def test_near_duplicates_by_brute_force(spark):
         want[i] = not any(SequenceMatcher(None, t, u).ratio() >= 0.84 for _, u in kept) if t else True
         if want[i]:
             kept.append((i, t))
-    got = {r["id"]: r["kept"] for r in neardup.greedy(spark.createDataFrame(rows, "id long, text string"), 0.84).collect()}
+    got = {r["id"]: r["kept"] for r in alike.greedy(spark.createDataFrame(rows, "id long, text string"), 0.84).collect()}
     assert got == want
-    chain = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(70)], "id long, text string")
-    assert all(r["kept"] is not None for r in neardup.greedy(chain, 0.84).collect())
+    chain = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i, i + 30))) for i in range(20)], "id long, text string")
+    assert all(r["kept"] is not None for r in alike.greedy(chain, 0.84).collect())
 
 
 def test_containment_of_short_needles(spark):
@@ -345,3 +345,76 @@ def test_ledger_answers_once(spark, tmp_path):
     stream.run(lambda r: ledger.outcomes(r, 10, 100.0, 5.0, 60_000, "1 second"))
     got = [(r["seq"], r["outcome"]) for r in stream.rows.orderBy("seq", "outcome").collect()]
     assert got == [(0, "started"), (1, "unresolved"), (2, "response"), (3, "cached"), (3, "repeated"), (4, "started"), (5, "failure"), (6, "unresolved"), (7, "orphan"), (8, "started"), (9, "response"), (10, "unpriced")]
+
+
+def brute_greedy(rows, least):
+    from difflib import SequenceMatcher
+
+    kept, out = [], {}
+    for i, t in sorted(rows):
+        hit = False
+        for e in kept:
+            m = SequenceMatcher(None, t or "", e)
+            if m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least:
+                hit = True
+                break
+        out[i] = not hit
+        if not hit:
+            kept.append(t or "")
+    return out
+
+
+def hostile_texts(n=2000, seed=4):
+    """Texts without a shared word, of few letters, permuted, shifted, cut, chained by small changes, copied, long, empty and null."""
+    import random
+
+    r = random.Random(seed)
+    draw = lambda k, letters="abcdefghij ": "".join(r.choice(letters) for _ in range(k))
+    texts = ["", None, " ", "a", "a", "ab" * 150, "ab" * 150, "wort " * 60, "wort " * 60 + "x", "ß🤦" * 10, "ß🤦" * 10 + "é"]
+    base = [draw(r.randint(5, 60)) for _ in range(120)]
+    while len(texts) < n - 260:
+        t = r.choice(base)
+        kind = r.randrange(6)
+        if kind == 0:
+            t = t[::-1]
+        elif kind == 1:
+            k = r.randrange(len(t) + 1)
+            t = t[k:] + t[:k]
+        elif kind == 2:
+            t = "".join(c for c in t if r.random() > 0.12)
+        elif kind == 3:
+            t = "".join(c + (draw(1) if r.random() < 0.15 else "") for c in t)
+        elif kind == 4:
+            t = t.replace(" ", "")
+        else:
+            t = "".join(r.sample(t, len(t)))
+        texts.append(t)
+    chain = list(draw(40))
+    for _ in range(200):  # each is alike to those near it only
+        chain[r.randrange(40)] = draw(1)
+        texts.append("".join(chain))
+    long = draw(260, "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    texts += [long, long, long[:250], long + "zz"] + ["copied text of some length"] * (n - len(texts) - 4)
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    return [(i, texts[k]) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize(("told", "block"), [(32, 512), (2, 150)])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, told, block):
+    from corpuscraft.operators import alike
+
+    monkeypatch.setattr(alike, "TOLD", told)
+    monkeypatch.setattr(alike, "TEXTS", block)
+    rows = hostile_texts()
+    got = {r["id"]: r["kept"] for r in alike.greedy(spark.createDataFrame(rows, "id long, text string").repartition(5), 0.84).collect()}
+    assert got == brute_greedy(rows, 0.84)
+    assert alike.greedy(spark.createDataFrame([], "id long, text string"), 0.84).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc ", max_size=30), st.text("abc ", max_size=30), st.sampled_from([0.3, 0.6, 0.84, 0.95]))
+def test_bounds_lose_no_pair(a, b, least):
+    from corpuscraft.operators import alike
+
+    assert bool(alike.alike_pairs([(2, False, a)], [(1, False, b)], least, False)) == (alike.ratio(a, b) >= least)
