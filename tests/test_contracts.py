@@ -226,11 +226,17 @@ def test_near_duplicates_by_brute_force(spark):
     assert all(r["kept"] is not None for r in alike.greedy(chain, 0.84).collect())
 
 
-def test_containment_of_short_needles(spark):
-    docs = spark.createDataFrame([(1, "the cat sat on the mat today"), (2, "a dog"), (3, "catalogue")], "doc_id long, text string")
-    needles = spark.createDataFrame([(1, "cat"), (2, "cat sat on"), (3, "he cat sat on the ma"), (4, "a dog"), (5, "x y z w v u")], "item_id long, needle string")
-    want = {(d, n) for d, t in ((1, "the cat sat on the mat today"), (2, "a dog"), (3, "catalogue")) for n, x in ((1, "cat"), (2, "cat sat on"), (3, "he cat sat on the ma"), (4, "a dog"), (5, "x y z w v u")) if x in t}
-    assert {tuple(r) for r in neardup.containing(docs, needles).collect()} == want
+@pytest.mark.parametrize("most", [1_000_000, 20])
+def test_containment_of_short_and_long_needles(spark, monkeypatch, most):
+    """One automaton, and beyond its bound runs of words beside parts of the short needles."""
+    monkeypatch.setattr(neardup, "PATTERN_CHARACTERS", most)
+    texts = ["the cat sat on the mat today", "a dog", "catalogue", "", None, "wörter, groß 🤦 und klein", "aaaa", "the cat sat on the mat today"]
+    parts = ["cat", "cat sat on", "he cat sat on the ma", "a dog", "x y z w v u", "", None, "🤦", "aa", "a", "ß 🤦 und k", "cat", " ", "on the mat today!"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, pattern string")
+    needles = spark.createDataFrame([(i, p, "x") for i, p in enumerate(parts)], "item_id long, needle string, any string")
+    want = sorted((d, n) for d, t in enumerate(texts) for n, p in enumerate(parts) if t is not None and p is not None and p in t)
+    assert sorted(map(tuple, neardup.containing(docs, needles).collect())) == want
+    assert neardup.containing(docs, needles.limit(0)).count() == neardup.containing(docs.limit(0), needles).count() == 0
 
 
 def test_text_forms(spark):
