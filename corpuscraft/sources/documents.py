@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import contracts, core
+from ..operators.shared import Scratch
 
 
 def read_lines(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
@@ -84,27 +85,23 @@ def registry_of(objects: DataFrame, required: list[str], accepted) -> tuple[Data
 
 
 def nested_objects(df: DataFrame, column: str = "document") -> DataFrame:
-    """path, json_path, object (JSON text): every object at any depth of a JSON column."""
+    """path, json_path, object (compact JSON text, keys in order): every object at any depth of a JSON column.
 
-    def walk(batches):
-        import json
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for path, doc in zip(pdf["path"], pdf[column], strict=True):
-                todo = [("$", json.loads(doc))]
-                while todo:
-                    at, x = todo.pop()
-                    if isinstance(x, dict):
-                        rows.append((path, at, json.dumps(x, sort_keys=True)))
-                        todo += [(f"{at}.{k}", v) for k, v in x.items()]
-                    elif isinstance(x, list):
-                        todo += [(f"{at}[{i}]", v) for i, v in enumerate(x)]
-            yield pd.DataFrame(rows, columns=["path", "json_path", "object"])
-
-    return df.select("path", column).mapInPandas(walk, "path string, json_path string, object string")
+    Documents are variants, opened level by level: objects and arrays of one depth give those of the next, until none is left.
+    Levels are written to the shared folder, so a document of any depth is walked without a growing plan. Null documents hold no
+    object; text that is no JSON, or repeats a key within an object, is an error.
+    """
+    spark, scratch = df.sparkSession, Scratch(df.sparkSession, "nested")
+    level, found, depth = df.select("path", F.lit("$").alias("json_path"), F.parse_json(column).alias("v")).filter("v is not null"), None, 0
+    while True:
+        kind = F.schema_of_variant("v")
+        level = scratch.put(level.withColumn("is_object", kind.startswith("OBJECT")).filter(F.col("is_object") | kind.startswith("ARRAY")), f"level-{depth}")
+        if found is not None and level.isEmpty():
+            return found
+        here = level.filter("is_object").select("path", "json_path", F.to_json("v").alias("object"))
+        found, depth = here if found is None else found.unionByName(here), depth + 1
+        step = F.when(F.col("is_object"), F.concat(F.lit("."), F.col("key"))).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("path", F.concat("json_path", step).alias("json_path"), F.col("value").alias("v"))
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:

@@ -424,3 +424,21 @@ def test_bounds_lose_no_pair(a, b, least):
     from corpuscraft.operators import alike
 
     assert bool(alike.alike_pairs([(2, False, a)], [(1, False, b)], least, False)) == (alike.ratio(a, b) >= least)
+
+
+def walked(x, at="$"):
+    out = [(at, x)] if isinstance(x, dict) else []
+    for k, v in x.items() if isinstance(x, dict) else enumerate(x) if isinstance(x, list) else ():
+        out += walked(v, f"{at}.{k}" if isinstance(x, dict) else f"{at}[{k}]")
+    return out
+
+
+def test_nested_objects_of_any_depth(spark):
+    deep = {"a": 1}
+    for _ in range(9):
+        deep = {"n": [deep, 7, None, "x"]}
+    docs = [{"id": 1, "in": [{"id": 2, "e": {}}, [[{"z": "ü"}]], 3, None]}, [], [{}, {"k.k": {"q": [1.5, True]}}], "text", 7, deep]
+    df = spark.createDataFrame([(f"p{i}", json.dumps(d), "x") for i, d in enumerate(docs)] + [("none", None, "x")], "path string, document string, v string").repartition(3)
+    got = sorted((r["path"], r["json_path"], json.dumps(json.loads(r["object"]), sort_keys=True)) for r in documents.nested_objects(df).collect())
+    assert got == sorted((f"p{i}", at, json.dumps(x, sort_keys=True)) for i, d in enumerate(docs) for at, x in walked(d))
+    assert documents.nested_objects(df.limit(0)).count() == 0
