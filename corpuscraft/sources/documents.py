@@ -104,29 +104,6 @@ def nested_objects(df: DataFrame, column: str = "document") -> DataFrame:
         level = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("path", F.concat("json_path", step).alias("json_path"), F.col("value").alias("v"))
 
 
-def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """archive, member, content of ZIP files; members that would leave the folder are an error."""
-
-    def members(batches):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if name.startswith("/") or ".." in name.split("/"):
-                            raise ValueError(f"member outside the archive: {name}")
-                        if not name.endswith("/"):
-                            rows.append((path, name, z.read(name)))
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(members, "archive string, member string, content binary")
-
-
 def read_records(spark: SparkSession, path: str, field: str) -> DataFrame:
     """path, record, state: a folder of one JSON record a file, each checked against the digest it carries in ``field``."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("record"))
@@ -195,43 +172,6 @@ def check_table(df: DataFrame, path: str) -> DataFrame:
     return df.exceptAll(stored).withColumn("side", F.lit("regenerated")).unionByName(stored.exceptAll(df).withColumn("side", F.lit("stored")))
 
 
-def package(spark: SparkSession, path: str, archive: str) -> DataFrame:
-    """Packs a tree of small files into a ZIP at ``archive`` with a manifest (path, bytes, sha256) inside, reads it back, tests the
-    checksum of every member and returns the manifest. The archive is one file, so the tree must fit one worker."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    base = path.rstrip("/").rsplit("/", 1)[-1]
-    rows = files.select(F.substring_index("path", f"/{base}/", -1).alias("path"), "content").orderBy("path")
-
-    def zipped(batches):
-        import hashlib
-        import io
-        import json
-        import zipfile
-
-        import pandas as pd
-
-        raw, lines = io.BytesIO(), []
-        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-            for pdf in batches:
-                for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                    z.writestr(name, content)
-                    lines.append({"path": name, "bytes": len(content), "sha256": hashlib.sha256(content).hexdigest()})
-            z.writestr("MANIFEST.json", json.dumps(lines, sort_keys=True))
-        with zipfile.ZipFile(io.BytesIO(raw.getvalue())) as z:
-            bad = z.testzip()
-        if bad:
-            raise ValueError(f"{bad} is damaged")
-        yield pd.DataFrame({"archive": [raw.getvalue()]})
-
-    content = rows.coalesce(1).mapInPandas(zipped, "archive binary").first()["archive"]
-    fs, at = _paths(spark, archive)
-    out = fs.create(at, False)
-    out.write(content)
-    out.close()
-    members = zip_members(spark, archive)
-    return members.filter("member <> 'MANIFEST.json'").select(F.col("member").alias("path"), F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def export_packed(df: DataFrame, path: str) -> None:
     """Rows as JSON objects in an array, gzipped and in base64, one line a partition: what ``read_packed`` reads."""
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuscraft.functions import algebra, canonical, exact, questions, text
 from corpuscraft.operators import alike, contracts, core, generate, neardup
-from corpuscraft.sources import documents
+from corpuscraft.sources import archives, documents
 from corpuscraft.streaming import resume
 
 
@@ -160,7 +160,7 @@ def test_sinks(spark, tmp_path):
     assert documents.read_lines(spark, f"{tmp_path}/l", "id int, s string").count() == 4
     (tmp_path / "tree" / "in").mkdir(parents=True)
     (tmp_path / "tree" / "in" / "a.txt").write_text("hello")
-    packed = documents.package(spark, f"{tmp_path}/tree", f"{tmp_path}/p.zip").collect()
+    packed = archives.package(spark, f"{tmp_path}/tree", f"{tmp_path}/packed").collect()
     assert [tuple(r) for r in packed] == [("in/a.txt", 5, hashlib.sha256(b"hello").hexdigest())]
     documents.export_packed(a.coalesce(1), f"{tmp_path}/e")
     rows = [json.loads(r["document"]) for r in documents.read_packed(spark, f"{tmp_path}/e/part-*").collect()]
@@ -442,3 +442,47 @@ def test_nested_objects_of_any_depth(spark):
     got = sorted((r["path"], r["json_path"], json.dumps(json.loads(r["object"]), sort_keys=True)) for r in documents.nested_objects(df).collect())
     assert got == sorted((f"p{i}", at, json.dumps(x, sort_keys=True)) for i, d in enumerate(docs) for at, x in walked(d))
     assert documents.nested_objects(df.limit(0)).count() == 0
+
+
+def test_archives_by_member(spark, tmp_path):
+    import zipfile
+
+    body = {f"in/{i}/x.bin": os.urandom(i * 7) for i in range(30)}
+    for name, some in (("a.zip", list(body)[:20]), ("b.zip", list(body)[20:]), ("none.zip", [])):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.mkdir("empty")
+            for m in some:
+                z.writestr(m, body[m])
+    df = archives.zip_members(spark, f"{tmp_path}/*.zip", partition=200)
+    rows = df.collect()
+    assert {r["member"]: bytes(r["content"]) for r in rows} == body and len(rows) == 30
+    assert all(r["archive"].endswith("a.zip" if r["member"] in list(body)[:20] else "b.zip") for r in rows)
+    assert df.rdd.getNumPartitions() > 10  # members of one archive are read by several tasks
+    with zipfile.ZipFile(tmp_path / "bad.zip", "w") as z:
+        z.writestr("../x", b"1")
+    with pytest.raises(Exception, match="outside the archive"):
+        archives.zip_members(spark, f"{tmp_path}/bad.zip").collect()
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    at = raw.index(body["in/19/x.bin"])
+    raw[at] ^= 255
+    (tmp_path / "hurt.zip").write_bytes(raw)
+    with pytest.raises(Exception, match="CRC"):
+        archives.zip_members(spark, f"{tmp_path}/hurt.zip").collect()
+
+
+def test_package_in_parts(spark, tmp_path):
+    import zipfile
+
+    for i in range(12):
+        (tmp_path / "tree" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / f"d{i % 3}" / f"{i}.txt").write_bytes(b"x" * (i + 1))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 20))  # several tasks for these small files
+    try:
+        rows = archives.package(spark, f"{tmp_path}/tree", f"{tmp_path}/out").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, rows)) == sorted((f"d{i % 3}/{i}.txt", i + 1, hashlib.sha256(b"x" * (i + 1)).hexdigest()) for i in range(12))
+    parts = os.listdir(tmp_path / "out")
+    assert len(parts) > 1 and all(p.startswith("part-") for p in parts)
+    listed = [x["path"] for p in parts for x in json.loads(zipfile.ZipFile(tmp_path / "out" / p).read(archives.MANIFEST))]
+    assert sorted(listed) == sorted(r["path"] for r in rows)

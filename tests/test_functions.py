@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpuscraft.functions import domain, exact, text
 from corpuscraft.operators import core
-from corpuscraft.sources import documents
+from corpuscraft.sources import archives, documents
 
 
 @pytest.mark.parametrize(
@@ -77,7 +77,7 @@ def test_sources(spark, tmp_path):
     assert documents.nested_objects(packed).filter("path like '%plain%'").count() == 4
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("in/a.txt", "hello")
-    assert documents.zip_members(spark, f"{tmp_path}/x.zip").first()["content"] == b"hello"
+    assert archives.zip_members(spark, f"{tmp_path}/x.zip").first()["content"] == b"hello"
     (tmp_path / "l.jsonl").write_text('{"a":1}\n\n{"a":2}\n')
     assert documents.read_lines(spark, f"{tmp_path}/l.jsonl", "a int").count() == 2
     assert documents.read_lines(spark, f"{tmp_path}/none.jsonl", "a int", missing_ok=True).count() == 0
