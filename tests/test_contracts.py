@@ -486,3 +486,16 @@ def test_package_in_parts(spark, tmp_path):
     assert len(parts) > 1 and all(p.startswith("part-") for p in parts)
     listed = [x["path"] for p in parts for x in json.loads(zipfile.ZipFile(tmp_path / "out" / p).read(archives.MANIFEST))]
     assert sorted(listed) == sorted(r["path"] for r in rows)
+
+
+def test_slots_run_out(spark):
+    """One key for all: the first slot takes it, the others report that they found none; a registered key fills nothing."""
+    from corpuscraft.operators import slots
+
+    grid = spark.createDataFrame([(3, "x"), (1, "y"), (2, "z")], "slot int, key string")
+    one = lambda rows, r: rows.select("*", F.struct(F.lit(r).alias("r")).alias("candidate"), F.array(F.struct(F.lit("k").alias("kind"), F.lit("same").alias("key"))).alias("keys"), (F.lit(r) > 0).alias("valid"))
+    none = spark.createDataFrame([], "kind string, key string")
+    got = {r["slot"]: (r["attempt"], r["candidate"] and r["candidate"]["r"]) for r in slots.fill(grid, one, none, 4).collect()}
+    assert got == {1: (1, 1), 2: (None, None), 3: (None, None)}
+    assert all(r["attempt"] is None for r in slots.fill(grid, one, spark.createDataFrame([("k", "same")], none.schema), 3).collect())
+    assert slots.fill(grid.limit(0), one, none, 3).count() == 0
