@@ -10,6 +10,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions.domain import mcnemar
 from .shared import Scratch, shared_folder  # noqa: F401
 
@@ -105,20 +106,20 @@ def with_holm(df: DataFrame, p: str = "p", tie: str = "", out: str = "p_holm") -
 def bootstrap_interval(df: DataFrame, change: str, group: str, reps: int, seed: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
     """A percentile interval of the net change when each group is resampled with replacement.
 
-    Draw k of a replicate takes the change at a hashed place of the group's sorted changes. Only the counts of the distinct
-    changes are kept (a few numbers, however large the group), as a running total per group; draws are rows made by ``range``
-    in blocks of a bounded size, summed before they are shuffled, so no task ever holds a group.
+    A resample is told by how often it draws each distinct change: multinomial counts, made by conditional binomials from hashes. So
+    the work is replicates times distinct changes, whatever the number of rows, and a group is a few counts. Null changes are not drawn.
     """
-    counted = df.groupBy(group, F.col(change).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    steps = counted.select(group, "x", F.sum("n").over(Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
-    kinds = steps.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("upto", "x"))).alias("steps"), F.max("upto").alias("m"))
-    block = 65_536
-    blocks = kinds.select(group, "steps", "m", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).select("*", F.explode(F.expr(f"sequence(0L, cast((m - 1) div {block} as bigint))")).alias("b"))
-    blocks = blocks.repartition(F.col(group), F.col("rep"), F.col("b"))
-    drawn = blocks.select("rep", group, "steps", "m", F.explode(F.expr(f"sequence(b * {block}L, least(m, (b + 1) * {block}L) - 1)")).alias("k"))
-    place = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(group), F.col("rep").cast("string"), F.col("k").cast("string")), 256), 1, 8), 16, 10).cast("bigint"), F.col("m"))
-    value = F.element_at(F.filter("steps", lambda s: s["upto"] > place), 1)["x"]
-    return drawn.select("rep", value.alias("x")).groupBy("rep").agg(F.sum("x").alias("net")).agg(F.percentile("net", F.lit(low)).alias("low"), F.percentile("net", F.lit(high)).alias("high"), F.count(F.lit(1)).alias("reps"))
+    counted = df.filter(F.col(change).isNotNull()).groupBy(group, F.col(change).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    kinds = counted.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("kinds"), F.sum("n").alias("m"))
+    runs = kinds.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition(F.col(group), F.col("rep"))
+
+    def deal(acc, kind):
+        got = draws.binomial(acc["left"], kind["n"].cast("double") / acc["rest"].cast("double"), draws.uniform(F.lit(seed), F.col(group), F.col("rep"), kind["x"]))
+        return draws.once(got, lambda k: F.struct((acc["left"] - k).alias("left"), (acc["rest"] - kind["n"]).alias("rest"), (acc["net"] + k * kind["x"]).alias("net")))
+
+    start = F.struct(F.col("m").alias("left"), F.col("m").alias("rest"), F.lit(0).cast("long").alias("net"))
+    nets = runs.select("rep", F.aggregate("kinds", start, deal, lambda acc: acc["net"]).alias("net")).groupBy("rep").agg(F.sum("net").alias("net"))
+    return nets.agg(F.percentile("net", F.lit(low)).alias("low"), F.percentile("net", F.lit(high)).alias("high"), F.count(F.lit(1)).alias("reps"))
 
 
 # sampling and order

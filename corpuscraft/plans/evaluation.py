@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import domain, exact
+from ..functions import domain, draws, exact
 from ..operators import core
 from ._registry import query
 
@@ -122,11 +122,11 @@ def grade_outcomes(t):
     return t("part").filter("p_size > 1").select("p_partkey", exact.judge_column(raw, F.format_string("%d + 3 * 2", "p_size")).alias("x")).select("p_partkey", "x.outcome", "x.correct")
 
 
-@query("WITH b AS (SELECT lang, doc_id, toxic, quality FROM labels JOIN documents USING (doc_id)), x AS (SELECT lang, list(CAST(CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality AS BIGINT) ORDER BY CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality) AS xs FROM b GROUP BY lang), r AS (SELECT lang, xs, unnest(range(0, 200)) AS rep FROM x), d AS (SELECT rep, list_sum(list_transform(range(0, len(xs)), lambda k: xs[CAST(CAST(('0x' || substr(sha256(concat('boot|', lang, '|', rep, '|', k)), 1, 8)) AS UBIGINT) % len(xs) AS BIGINT) + 1])) AS net FROM r), s AS (SELECT rep, sum(net) AS net FROM d GROUP BY rep) SELECT quantile_cont(net, 0.025)::DOUBLE AS low, quantile_cont(net, 0.975)::DOUBLE AS high, count(*) AS reps FROM s")
+@query(draws.bootstrap_sql("SELECT lang AS g, CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality AS x FROM labels JOIN documents USING (doc_id)", "boot", 20_000))
 def bootstrap_ci(t):
     """A stratified paired bootstrap of the net change with hash draws."""
     b = arms(t).select("lang", (F.col("candidate").cast("long") - F.col("base").cast("long")).alias("change"))
-    return core.bootstrap_interval(b, "change", "lang", 200, "boot")
+    return core.bootstrap_interval(b, "change", "lang", 20_000, "boot")
 
 
 @query("SELECT l_linestatus AS condition, l_returnflag AS category, count_if(l_discount > 0.05) AS automatic, count_if(l_discount > 0.05 OR l_tax > 0.06) AS reviewed, count_if(l_discount > 0.05) + count_if(l_discount <= 0.05 AND l_tax > 0.06) AS upper_bound FROM lineitem GROUP BY 1, 2")

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import algebra, exact, parsing, text
+from ..functions import algebra, draws, exact, parsing, text
 from ..operators import core
 from ._registry import query
 
@@ -155,11 +155,11 @@ def rule_dimension(t):
     return core.with_rules(g.select("l_orderkey", rule.alias("rule")), "rule", RULES, RULES_SHA)
 
 
-@query("WITH s AS (SELECT source, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality)::BIGINT AS change FROM labels JOIN documents USING (doc_id) GROUP BY source), x AS (SELECT 'all' AS g, list(change ORDER BY change) AS xs FROM s), r AS (SELECT g, xs, unnest(range(0, 200)) AS rep FROM x), d AS (SELECT rep, list_sum(list_transform(range(0, len(xs)), lambda k: xs[CAST(CAST(('0x' || substr(sha256(concat('cluster|', g, '|', rep, '|', k)), 1, 8)) AS UBIGINT) % len(xs) AS BIGINT) + 1])) AS net FROM r) SELECT quantile_cont(net, 0.025)::DOUBLE AS low, quantile_cont(net, 0.975)::DOUBLE AS high, count(*) AS reps FROM d")
+@query(draws.bootstrap_sql("SELECT 'all' AS g, sum(CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality)::BIGINT AS x FROM labels JOIN documents USING (doc_id) GROUP BY source", "cluster", 2_000))
 def cluster_bootstrap(t):
     """Whole clusters resampled."""
     s = t("labels").join(t("documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0) - F.col("quality")).alias("change"))
-    return core.bootstrap_interval(s.select(F.lit("all").alias("g"), "change"), "change", "g", 200, "cluster")
+    return core.bootstrap_interval(s.select(F.lit("all").alias("g"), "change"), "change", "g", 2_000, "cluster")
 
 
 @query("SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN concat('Last ', doc_id, '. First. Second.') ELSE 'One only.' END AS moved FROM documents")

@@ -201,13 +201,27 @@ def test_digest_of_a_tree_is_order_free(spark):
 
 
 def test_bootstrap_draws_by_the_counts(spark):
-    xs = [0] * 30 + [1] * 50 + [-1] * 20
-    df = spark.createDataFrame([("g", x) for x in xs], "g string, x int")
-    got = core.bootstrap_interval(df, "x", "g", 40, "s").first()
-    place = lambda rep, k: int(hashlib.sha256(f"s|g|{rep}|{k}".encode()).hexdigest()[:8], 16) % 100
-    nets = sorted(sum(sorted(xs)[place(rep, k)] for k in range(100)) for rep in range(40))
-    quantile = lambda q: nets[int(q * 39)] + (q * 39 - int(q * 39)) * (nets[min(39, int(q * 39) + 1)] - nets[int(q * 39)])
-    assert (got["low"], got["high"], got["reps"]) == (pytest.approx(quantile(0.025)), pytest.approx(quantile(0.975)), 40)
+    """Binomial counts have their exact frequencies; the interval is that of resampling row by row, within sampling error."""
+    import math
+
+    import numpy as np
+
+    from corpuscraft.functions import draws
+
+    lit = lambda v: F.lit(v).cast("long")
+    u = draws.uniform(F.lit("t"), F.col("id"))
+    got = {r["k"]: r["count"] for r in spark.range(20_000).select(draws.binomial(lit(12), F.lit(0.3), u).alias("k")).groupBy("k").count().collect()}
+    for k in range(13):
+        p = math.comb(12, k) * 0.3**k * 0.7 ** (12 - k)
+        assert abs(got.get(k, 0) / 20_000 - p) < 5 * math.sqrt(p * (1 - p) / 20_000) + 1e-4
+    r = spark.range(40).select(draws.binomial(lit(10**9), F.lit(0.25), u).alias("a"), draws.binomial(lit(0), F.lit(0.5), u).alias("b"), draws.binomial(lit(9), F.lit(1.0), u).alias("c"), draws.binomial(lit(9), F.lit(0.0), u).alias("d")).collect()
+    assert all(abs(x["a"] - 25 * 10**7) < 10**5 and (x["b"], x["c"], x["d"]) == (0, 9, 0) for x in r)
+    groups = {"g": [-1] * 30 + [0] * 50 + [1] * 45, "h": [2] * 7 + [-3] * 9}
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs] + [("g", None)], "g string, x int")
+    b = core.bootstrap_interval(df, "x", "g", 4000, "s").first()
+    rng = np.random.default_rng(1)
+    nets = sum(rng.choice(xs, (200_000, len(xs))).sum(1) for xs in groups.values())
+    assert b["reps"] == 4000 and abs(b["low"] - np.quantile(nets, 0.025)) <= 2 and abs(b["high"] - np.quantile(nets, 0.975)) <= 2
 
 
 def test_near_duplicates_by_brute_force(spark):
