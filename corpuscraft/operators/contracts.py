@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
+from . import merkle
 
 
 def suite_counts(rows: DataFrame) -> DataFrame:
@@ -113,9 +114,10 @@ def cache_state(now: DataFrame, cached: DataFrame, key: str, grader: str) -> Dat
 
 
 def tree_digest(files: DataFrame, group: list[str]) -> DataFrame:
-    """files, bytes and tree digest of (path, bytes, sha256) rows: the sha256 of "path:sha256" lines in the order of paths."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat(x["path"], F.lit(":"), x["sha256"]))
-    return files.groupBy(*group).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sha2(F.array_join(lines, "\n"), 256).alias("tree"))
+    """files, bytes and tree of (path, bytes, sha256) rows: the root of a Merkle tree over "path:sha256" in the order of paths."""
+    sums = files.groupBy(*group).agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    roots = merkle.Tree(files, group, ["path"], F.concat_ws(":", "path", "sha256")).roots.drop("depth")
+    return sums.join(roots, group) if group else sums.join(F.broadcast(roots))  # one row each
 
 
 def bound_manifest(metrics: DataFrame, name: str, version: str, values: list[str]) -> DataFrame:

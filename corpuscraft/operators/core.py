@@ -193,17 +193,3 @@ def reproduced(again: DataFrame, stored: DataFrame, keys: list[str], values: lis
 def gate(checks: DataFrame) -> DataFrame:
     """passed only if every check holds; a check without an answer fails."""
     return checks.agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("n_failed"), F.every(F.coalesce("ok", F.lit(False))).alias("passed"))
-
-
-# digests
-def ordered_digest(df: DataFrame, value: Column, group: list[str] | None = None, depth: int = 2) -> DataFrame:
-    """A digest over the multiset of values, whatever their order, and their number, by a tree.
-
-    Each value's sha256 falls into the bucket of its first ``depth`` hex digits; a bucket's digest is the sha256 of its sorted
-    digests joined by commas, the group's that of "bucket:digest" joined by commas in order. No task gathers a whole group.
-    """
-    keys = group or []
-    hashed = df.select(*keys, F.sha2(value, 256).alias("__h"))
-    buckets = hashed.groupBy(*keys, F.substring("__h", 1, depth).alias("__b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("__h")), ","), 256).alias("__d"), F.count(F.lit(1)).alias("__n"))
-    top = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda x: F.concat(x["__b"], F.lit(":"), x["__d"])), ",")
-    return buckets.groupBy(*keys).agg(F.sha2(top, 256).alias("digest"), F.sum("__n").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, domain, parsing, text
-from ..operators import contracts, core, generate
+from ..operators import contracts, core, generate, merkle
 from ._registry import query
 
 SUITES = "s AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'old' WHEN '2-HIGH' THEN 'chain' ELSE 'event' END AS suite, concat('k', o_custkey % 4) AS category, year(o_orderdate) % 2 = 0 AS base, o_orderstatus = 'F' AS correct, o_totalprice < 1200 AS pending, o_orderkey % 3 + 1 AS depth FROM orders)"
@@ -105,12 +105,28 @@ def cache_validity(t):
     return contracts.cache_state(now, cached, "id", "g1")
 
 
-@query("SELECT lang, count(*) AS files, sum(n_chars)::BIGINT AS bytes, sha256(string_agg(concat(p, ':', h), chr(10) ORDER BY p)) AS tree FROM (SELECT lang, n_chars, concat(lang, '/', lpad(CAST(doc_id // 64 AS VARCHAR), 9, '0')) AS p, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY lang, n_chars, doc_id // 64, doc_id) GROUP BY lang".replace("SELECT lang, n_chars, concat(lang, '/', lpad(CAST(doc_id // 64 AS VARCHAR), 9, '0')) AS p, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY lang, n_chars, doc_id // 64, doc_id", "SELECT lang, sum(n_chars) AS n_chars, concat(lang, '/', lpad(CAST(doc_id // 64 AS VARCHAR), 9, '0')) AS p, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY lang, doc_id // 64"))
-def evidence_tree(t):
-    """A tree's digest from its files' digests in the order of their paths."""
+FILES = "SELECT lang, sum(n_chars) AS bytes, concat(lang, '/', lpad(CAST(doc_id // 64 AS VARCHAR), 9, '0')) AS path, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS h FROM documents GROUP BY lang, doc_id // 64"
+LEAVES = f"SELECT lang AS g, path AS o, concat(path, ':', h) AS x FROM ({FILES})"
+
+
+def files(t):
+    """lang, path, bytes, sha256: documents in files of 64 ids."""
     leaf = t("documents").groupBy("lang", F.floor(F.col("doc_id") / 64).alias("b")).agg(F.sum("n_chars").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"]), ","), 256).alias("sha256"))
-    files = leaf.select("lang", F.concat_ws("/", "lang", F.lpad(F.col("b").cast("string"), 9, "0")).alias("path"), "bytes", "sha256")
-    return contracts.tree_digest(files, ["lang"])
+    return leaf.select("lang", F.concat_ws("/", "lang", F.lpad(F.col("b").cast("string"), 9, "0")).alias("path"), "bytes", "sha256")
+
+
+@query(f"SELECT g AS lang, n AS files, bytes::BIGINT AS bytes, tree FROM ({merkle.roots_sql(LEAVES)}) JOIN (SELECT lang AS g, sum(bytes) AS bytes FROM ({FILES}) GROUP BY lang) USING (g)")
+def evidence_tree(t):
+    """A tree's digest from its files' digests in the order of their paths: a Merkle root for each language."""
+    return contracts.tree_digest(files(t), ["lang"])
+
+
+@query(f"SELECT lang, path, depth, TRUE AS holds, FALSE AS changed_holds FROM ({FILES}) JOIN ({merkle.roots_sql(LEAVES)}) ON g = lang")
+def evidence_proofs(t):
+    """Every file's proof of inclusion against its language's root, and the same proof for a changed file, which must fail."""
+    tree = merkle.Tree(files(t), ["lang"], ["path"], F.concat_ws(":", "path", "sha256"))
+    rows = tree.proofs().join(tree.roots, "lang")
+    return rows.select("lang", "path", F.size("proof").alias("depth"), merkle.holds(F.col("digest"), F.col("proof"), F.col("tree")).alias("holds"), merkle.holds(merkle.leaf(F.concat("path", F.lit(":changed"))), F.col("proof"), F.col("tree")).alias("changed_holds"))
 
 
 @query("SELECT 'benchmark' AS name, count(*) AS n, sha256(concat('{\"metrics\":{\"long\":', count_if(length(text) > 200), ',\"n\":', count(*), '},\"name\":\"benchmark\",\"version\":\"g1\"}')) AS manifest_sha FROM benchmark")

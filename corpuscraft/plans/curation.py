@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import alike, core, neardup
+from ..operators import alike, core, merkle, neardup
 from ._registry import query
 
 NORM = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -156,9 +156,12 @@ def set_operations(t):
     return flat.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("only_left", "only_right", "shared", "union"))), F.array("only_left", "only_right", "shared", "union"))).alias("side", "n"))
 
 
-@query("SELECT lang, sha256(string_agg(concat(b, ':', d), ',' ORDER BY b)) AS digest, sum(n)::BIGINT AS n FROM (SELECT lang, substr(h, 1, 2) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS d, count(*) AS n FROM (SELECT lang, sha256(text) AS h FROM documents) GROUP BY 1, 2) GROUP BY lang")
+@query(f"SELECT g AS lang, tree AS digest, n FROM ({merkle.roots_sql('SELECT lang AS g, sha256(text) AS o, sha256(text) AS x FROM documents')})")
 def manifest_digest(t):
-    return core.ordered_digest(t("documents"), F.col("text"), ["lang"])
+    """A digest over the multiset of a language's texts, whatever their order: a Merkle root over their digests in order."""
+    rows = t("documents").select("lang", F.sha2("text", 256).alias("h"))
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return merkle.Tree(rows, ["lang"], ["h"], F.col("h")).roots.join(n, "lang").select("lang", F.col("tree").alias("digest"), "n")
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 7 AS axis_value, event_type AS category, count(*) AS n FROM events GROUP BY 1, 2")

@@ -194,10 +194,29 @@ def test_numbers_of_a_whole_table(spark):
     assert all(r["k"] == r["id"] // 3 + 1 for r in within)
 
 
-def test_digest_of_a_tree_is_order_free(spark):
-    a = spark.createDataFrame([(str(i % 40),) for i in range(100)], "v string")
-    assert core.ordered_digest(a, F.col("v")).first() == core.ordered_digest(a.orderBy(F.desc("v")).repartition(5), F.col("v")).first()
-    assert core.ordered_digest(a, F.col("v")).first() != core.ordered_digest(a.limit(99), F.col("v")).first()
+@pytest.mark.parametrize("fan", [64, 3])
+def test_merkle_trees(spark, monkeypatch, fan):
+    """Roots are those of a plain tree in any partitions; proofs hold, and fail for another leaf, another group's root or a cut proof."""
+    from corpuscraft.operators import merkle
+
+    monkeypatch.setattr(merkle, "FAN", fan)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def root(texts):
+        level, depth = [sha("0:" + x) for x in texts], 0
+        while depth == 0 or len(level) > 1:
+            level, depth = [sha("1:" + ",".join(level[i : i + fan])) for i in range(0, len(level), fan)], depth + 1
+        return level[0], depth
+
+    sizes = {"a": 1, "b": 3, "c": 100, "d": 28}
+    df = spark.createDataFrame([(g, i, f"{g}{i % 40}", "x") for g, n in sizes.items() for i in range(n)], "g string, i int, v string, place string")
+    tree = merkle.Tree(df.repartition(6), ["g"], ["i"], F.col("v"))
+    assert {r["g"]: (r["tree"], r["depth"]) for r in tree.roots.collect()} == {g: root([f"{g}{i % 40}" for i in range(n)]) for g, n in sizes.items()}
+    rows = tree.proofs().join(tree.roots, "g").select("g", "i", merkle.holds(F.col("digest"), F.col("proof"), F.col("tree")).alias("ok"), merkle.holds(merkle.leaf(F.lit("no")), F.col("proof"), F.col("tree")).alias("leaf"), merkle.holds(F.col("digest"), F.slice("proof", 1, F.size("proof") - 1), F.col("tree")).alias("cut"), merkle.holds(F.col("digest"), F.col("proof"), F.lit("x")).alias("root")).collect()
+    assert len(rows) == 132 and all(r["ok"] and not (r["leaf"] or r["cut"] or r["root"]) for r in rows)
+    whole = merkle.Tree(df, [], ["g", "i"], F.col("v")).roots.collect()
+    assert len(whole) == 1 and whole[0]["tree"] == root([f"{g}{i % 40}" for g, n in sizes.items() for i in range(n)])[0]
+    assert merkle.Tree(df.limit(0), ["g"], ["i"], F.col("v")).roots.count() == 0
 
 
 def test_bootstrap_draws_by_the_counts(spark):
