@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import algebra, domain, exact, parsing, text
 from ..functions import questions as Q
-from ..operators import core, generate
+from ..operators import core, evidence, generate
+from ..operators.shared import Scratch
 from ._registry import query
 from .curriculum import ANSWERS, CATEGORY, EXPRESSION, NUMBERS, QUESTION, asked_rows, cases, measured, quoted, rat
 
@@ -442,23 +443,56 @@ def generator_critic(t):
     return d.select(x.alias("x")).groupBy("x.stage", "x.reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH a AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, value > 50 AS ok, value FROM events), s AS (SELECT user_id, bool_or(ok) FILTER (attempt <= 2) AS stored, max(value) AS cost FROM a GROUP BY 1), d AS (SELECT user_id, arg_min(ok, attempt) AS first_ok, bool_or(ok) FILTER (attempt <= 2) AS accepted, count_if(attempt <= 2) AS n, max(value) AS cost FROM a GROUP BY 1) SELECT user_id, accepted, NOT first_ok AS retried, CASE WHEN user_id % 10 = 0 THEN 'decision' WHEN user_id % 10 = 1 THEN 'cost' END AS drift FROM d JOIN s USING (user_id)")
+PLANTED = ("cost", "response_id", "response_sha", "requested", "tag", "decisions", "chain")
+
+
+def attempt_ledger(t):
+    """(plan, ledger): orders as packets of lines to be answered with their quantity. A first answer is wrong where the discount is
+    over 0.08, and asked again; one record in 19 of each kind is then spoilt in one way. Written as a table before it is audited."""
+    whole = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"), *[F.max(c).alias(c) for c in ("l_discount", "l_tax", "l_extendedprice")])
+    lines = whole.select(F.col("l_orderkey").alias("packet"), F.col("l_linenumber").alias("place"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_quantity").cast("long").cast("string").alias("expected"), (F.col("l_discount") > 0.08).alias("fails"), (F.col("l_tax") > 0.07).alias("fails_again"), (F.col("l_extendedprice") % 7).alias("price"))
+    tries = lines.select("*", F.explode(F.when(F.col("fails"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("attempt"))
+    bad = F.when(F.col("attempt") == 0, F.col("fails")).otherwise(F.col("fails_again"))
+    one = F.struct("place", "id", F.when(bad, F.concat(F.lit("not "), "expected")).otherwise(F.col("expected")).alias("answer"), (~bad).alias("accepted"))
+    made = tries.groupBy("packet", "attempt").agg(F.array_sort(F.collect_list(one)).alias("x"), F.max("price").alias("paid"))
+    n = core.numbered(made, ["packet", "attempt"], "seq")
+    raw = F.to_json(F.struct(F.transform("x", lambda e: F.struct(e["id"].alias("id"), e["answer"].alias("answer"))).alias("items")))
+    ids, told = F.transform("x", lambda e: e["id"]), F.transform("x", lambda e: F.struct(e["id"].alias("id"), e["accepted"].alias("accepted")))
+    hit = lambda k: F.col("seq") % 19 == PLANTED.index(k)
+    spoilt = n.select(
+        "seq", "packet", F.col("attempt").cast("long").alias("attempt"),
+        F.concat(evidence.tag_of(F.col("packet"), F.col("attempt").cast("long")), F.when(hit("tag"), "x").otherwise("")).alias("tag"), F.when(hit("requested"), F.slice(ids, 1, F.size(ids) - 1)).otherwise(ids).alias("requested"), raw.alias("raw"), F.when(hit("response_sha"), "0").otherwise(F.sha2(raw, 256)).alias("response_sha"),
+        F.when(hit("response_id"), "").otherwise(F.concat(F.lit("r"), F.col("seq").cast("string"))).alias("response_id"), F.array("paid", F.col("paid") / 2, F.lit(None).cast("double")).alias("receipts"), (F.col("paid") + F.when(hit("cost"), 1).otherwise(0)).alias("cost"),
+        F.when(hit("decisions") & (F.col("attempt") == 1), F.transform(told, lambda d: F.struct(d["id"].alias("id"), (~d["accepted"]).alias("accepted")))).otherwise(told).alias("decisions"),
+    )
+    scratch = Scratch(n.sparkSession, "ledger")
+    bodies = scratch.put(spoilt.withColumn("digest", evidence.body_digest()), "bodies")
+    before = bodies.select((F.col("seq") + 1).alias("seq"), F.col("digest").alias("previous"))
+    linked = bodies.drop("digest").join(before, "seq", "left").withColumn("previous", F.when(hit("chain") & (F.col("seq") > 1), "0").otherwise(F.col("previous")))
+    return lines.select("packet", "place", "id", "expected"), scratch.put(linked, "attempts")
+
+
+@query("""
+WITH w AS (SELECT l_orderkey, l_linenumber, max(l_discount) AS d FROM lineitem GROUP BY ALL),
+l AS (SELECT l_orderkey AS packet, 0 AS attempt FROM w GROUP BY 1 UNION ALL SELECT l_orderkey, 1 FROM w WHERE d > 0.08 GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY packet, attempt) AS seq FROM l),
+f AS (SELECT seq, attempt, ['cost', 'response_id', 'response_sha', 'requested', 'tag', 'decisions', 'chain'][seq % 19 + 1] AS fault FROM r WHERE seq % 19 < 7)
+SELECT seq, fault FROM f WHERE (fault <> 'decisions' OR attempt = 1) AND (fault <> 'chain' OR seq > 1)
+UNION ALL SELECT seq, 'decisions' FROM f WHERE fault = 'requested'
+""")
 def derivation_audit(t):
-    """Every stored decision recomputed from the raw attempts: at most two, the second only after a failure, costs the greatest
-    receipt. One record in ten has a changed decision, one a changed cost."""
-    a = t("events").withColumn("attempt", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "attempt", (F.col("value") > 50).alias("ok"), "value")
-    derived = a.groupBy("user_id").agg(F.bool_or(F.when(F.col("attempt") <= 2, F.col("ok"))).alias("accepted"), F.min_by("ok", "attempt").alias("first_ok"), F.max("value").alias("cost"))
-    stored = derived.select("user_id", F.when(F.col("user_id") % 10 == 0, ~F.col("accepted")).otherwise(F.col("accepted")).alias("s_accepted"), F.when(F.col("user_id") % 10 == 1, F.col("cost") + 1).otherwise(F.col("cost")).alias("s_cost"))
-    drift = F.when(~F.col("accepted").eqNullSafe(F.col("s_accepted")), "decision").when(~F.col("cost").eqNullSafe(F.col("s_cost")), "cost")
-    return derived.join(stored, "user_id").select("user_id", "accepted", (~F.col("first_ok")).alias("retried"), drift.alias("drift"))
+    """Every record of a stored ledger derived again from the plan and the raw responses: what cannot be is told by its kind."""
+    plan, ledger = attempt_ledger(t)
+    return evidence.audit(ledger, plan)
 
 
-@query("WITH r AS (SELECT o_orderpriority AS category, count(*) AS n, count_if(o_orderstatus = 'F') AS correct FROM orders GROUP BY 1) SELECT category, n, correct, category <> '1-URGENT' AS reproduced FROM r")
+@query("SELECT lang AS category, count(*) AS n, sum(length(text))::BIGINT AS characters, coalesce(sum(length(text)) = sum(n_chars), FALSE) AS reproduced FROM documents GROUP BY lang")
 def offline_verification(t):
-    """Rows scored and counted again, against the stored summary (of which one category has drifted)."""
-    again = t("orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("correct"))
-    stored = again.select("category", "n", F.when(F.col("category") == "1-URGENT", F.col("correct") + 1).otherwise(F.col("correct")).alias("correct"))
-    return core.reproduced(again, stored, ["category"], ["n", "correct"])
+    """Rows measured and summed again, against what the table has stored of them."""
+    d = t("documents").withColumnRenamed("lang", "category")
+    n = F.count(F.lit(1)).alias("n")
+    again = d.groupBy("category").agg(n, F.sum(F.length("text")).alias("characters"))
+    return core.reproduced(again, d.groupBy("category").agg(n, F.sum("n_chars").alias("characters")), ["category"], ["n", "characters"])
 
 
 @query("WITH k AS (SELECT event_id, value, CASE event_id % 3 WHEN 0 THEN '5.0.0' WHEN 1 THEN '4.9.1' END AS version, CAST(event_id % 50 AS DOUBLE) AS first_step, CAST(event_id % 50 + 1 + event_id % 20 AS DOUBLE) AS last_step FROM events) SELECT event_id, round(CASE WHEN version = '5.0.0' THEN value * last_step / (last_step - first_step) END, 9) AS corrected FROM k")

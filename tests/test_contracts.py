@@ -532,3 +532,43 @@ def test_slots_run_out(spark):
     assert got == {1: (1, 1), 2: (None, None), 3: (None, None)}
     assert all(r["attempt"] is None for r in slots.fill(grid, one, spark.createDataFrame([("k", "same")], none.schema), 3).collect())
     assert slots.fill(grid.limit(0), one, none, 3).count() == 0
+
+
+def test_evidence_chain(spark):
+    """A clean ledger has no fault; each planted one is found, and only that."""
+    from corpuscraft.operators import evidence
+
+    plan = spark.createDataFrame([(p, k, f"q{p}{k}", str(k * 2)) for p in range(3) for k in range(3)], "packet long, place int, id string, expected string")
+    schema = "seq long, packet long, attempt long, tag string, requested array<string>, raw string, response_sha string, response_id string, receipts array<double>, cost double, decisions array<struct<id:string,accepted:boolean>>"
+
+    def record(seq, p, a, wrong=(), ids=None, **changed):
+        ids = [f"q{p}{k}" for k in range(3)] if ids is None else ids
+        raw = changed.pop("raw", json.dumps({"items": [{"id": i, "answer": "no" if i in wrong else str(int(i[2]) * 2)} for i in ids]}))
+        row = {"seq": seq, "packet": p, "attempt": a, "tag": f"packet_{p:03d}_attempt_{a}", "requested": ids, "raw": raw, "response_sha": hashlib.sha256(raw.encode()).hexdigest(), "response_id": f"r{seq}", "receipts": [0.5, 0.25, None], "cost": 0.5, "decisions": [(i, i not in wrong) for i in ids]}
+        return {**row, **changed}
+
+    clean = [record(1, 0, 0, ["q02", "q00"]), record(2, 0, 1, ["q02"], ["q00", "q02"]), record(3, 1, 0), record(4, 2, 0, ["q21"]), record(5, 2, 1, [], ["q21"])]
+
+    def faults(rows, previous=None):
+        names = [c.split()[0] for c in schema.split(", ")]
+        df = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema).withColumn("digest", evidence.body_digest())
+        digests = {r["seq"]: r["digest"] for r in df.collect()}
+        back = spark.createDataFrame([(s, (previous or {}).get(s, digests.get(s - 1))) for s in digests], "seq long, previous string")
+        return sorted(map(tuple, evidence.audit(df.drop("digest").join(back, "seq"), plan).collect()))
+
+    def with_(k, **changed):
+        return [{**r, **changed} if r["seq"] == k else r for r in clean]
+
+    assert faults(clean) == []
+    assert faults(with_(2, cost=0.25)) == [(2, "cost")] and faults(with_(2, receipts=[None, -1.0, float("nan")])) == [(2, "cost")]
+    assert faults(with_(3, response_id="r1")) == [(1, "response_id"), (3, "response_id")] and faults(with_(3, response_id=None)) == [(3, "response_id")]
+    assert faults(with_(4, response_sha=None)) == [(4, "response_sha")]
+    assert faults(with_(3, tag="packet_000_attempt_0")) == [(1, "tag"), (3, "tag")]
+    assert faults(with_(5, decisions=[("q21", False)])) == [(5, "decisions")]
+    assert faults([*clean[:1], record(2, 0, 1, ["q02"], ["q02", "q00"]), *clean[2:]]) == [(2, "requested")]  # not in packet order
+    assert faults([*clean[:1], record(2, 0, 1, [], ["q00"]), *clean[2:]]) == [(2, "requested")]  # a failure left out
+    assert faults([*clean[:2], record(3, 1, 0, raw="no json", decisions=[(f"q1{k}", False) for k in range(3)]), *clean[3:]]) == []
+    assert faults(clean, {3: "0" * 64}) == [(3, "chain")] and faults(clean, {4: None}) == [(4, "chain")]
+    assert faults([r for r in clean if r["seq"] != 3]) == [(4, "chain"), (4, "order")]  # a gap
+    assert faults([*clean[:2], {**clean[3], "seq": 3}, {**clean[4], "seq": 4}, {**clean[2], "seq": 5}]) == [(5, "order")]
+    assert (3, "plan") in faults([*clean[:2], record(3, 9, 0, ids=["q90"]), *clean[3:]])
