@@ -309,7 +309,8 @@ def test_bm25_is_exact(docs, empty, monkeypatch, shard, packet, sparse):
     monkeypatch.setattr(bm25, "SPARSE", sparse)
     monkeypatch.setattr(bm25, "PIVOT", 0.0 if sparse > 8 else 0.2)
     monkeypatch.setattr(bm25, "SEED", 4)
-    monkeypatch.setattr(bm25, "SKIP", 0 if shard == 3 else 32)
+    monkeypatch.setattr(bm25, "LEAD", 1 if shard == 3 else 4)
+    monkeypatch.setattr(bm25, "BLOCK", 16 if sparse == 0 else 64)
     monkeypatch.setattr(bm25, "SHARD_DOCS", shard)
     monkeypatch.setattr(bm25, "PACKET_TERMS", packet)
     rows = [(r["doc_id"], tokens(r["text"])) for r in docs.collect() if r["doc_id"] is not None]
@@ -330,6 +331,26 @@ def test_bm25_is_exact(docs, empty, monkeypatch, shard, packet, sparse):
     assert bm25.similar_documents(empty).count() == 0
 
 
+def test_bm25_skips_most_blocks(spark):
+    """All queries of a table in batches as registered: pivots apart, most blocks of a query are never scored."""
+    from corpuscraft.llm.words import word_hashes
+
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    shards = [r.asDict() for r in bm25.index_of(table).collect()]
+    n = sum(r["n"] for r in shards)
+    mean = sum(np.frombuffer(r["lengths"], "<i8").sum() for r in shards) / n
+    known, code = np.unique(np.concatenate([np.frombuffer(r["terms"], "<u8") for r in shards]), return_inverse=True)
+    df = np.bincount(code, weights=np.concatenate([np.diff(np.frombuffer(r["starts"], "<i4")) for r in shards]))
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    queries = [(np.searchsorted(known, np.unique(word_hashes([r["text"] or ""])[0])).astype(np.int32), r["doc_id"]) for r in table.filter("doc_id % 20 = 0").collect()]
+    scored = asked = 0
+    for row in shards:
+        shard = bm25.Shard(row, known, idf, mean)
+        shard.search(queries[: bm25.BATCH], 10, np.zeros(len(queries))[: bm25.BATCH])
+        scored, asked = scored + shard.scored, asked + shard.asked_for
+    assert asked == len(queries) * sum(-(-r["n"] // bm25.BLOCK) for r in shards) and scored < 0.5 * asked
+
+
 def test_bm25_with_a_repeated_query_id(spark):
     query = "a b c d e f"
     rows = [(0, query)] * 30 + [(i, " ".join(["a b c d e", *[f"x{i}y{j}" for j in range(i)]])) for i in range(1, 60)]
