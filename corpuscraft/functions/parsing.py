@@ -85,23 +85,6 @@ def square_root(text: str | None) -> dict:
         return {"value": None}
 
 
-def teacher_answer(text: str | None) -> dict:
-    """Letter, explanation and misconception from JSON, fenced JSON or plain lines."""
-    text = text or ""
-    parts = text.split("```")
-    try:
-        doc = json.loads(re.sub(r"^json\b", "", parts[1]) if len(parts) > 2 else text)
-        if isinstance(doc, dict):
-            return {k: None if doc.get(k) is None else str(doc[k]) for k in ("answer", "explanation", "misconception")}
-    except json.JSONDecodeError:
-        pass
-    m = re.match(r"(?is)\s*Answer:\s*([ABCD])\b[.)]?\s*(.*)", text)
-    if not m:
-        return {"answer": None, "explanation": None, "misconception": None}
-    body, _, trap = m[2].partition("Misconception:")
-    return {"answer": m[1].upper(), "explanation": body.strip(), "misconception": trap.strip() or None}
-
-
 def strict_answer(text: str | None, gold: str | None, category: str | None) -> dict:
     """The value of the only line that is "Answer:" and a number. For reducing, it must be in lowest terms. Where there is no such
     line, the number that ends the text may still be reviewed."""
@@ -125,4 +108,3 @@ object_column = arrow_udf(only_object, "text string")
 replace_numbers_column = arrow_udf(replace_numbers, "text string")
 chain_column = arrow_udf(chain, "ok boolean, value string")
 square_root_column = arrow_udf(square_root, "value string")
-teacher_column = arrow_udf(teacher_answer, "answer string, explanation string, misconception string")

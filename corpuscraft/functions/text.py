@@ -180,3 +180,23 @@ def numerically_distinct(choices: Column) -> Column:
 def length_rules(ranges: dict[str, tuple[int, int]]) -> list[tuple[str, Column]]:
     """Rules for ``first_failure``: each column no shorter and no longer than its range."""
     return [rule for c, (low, high) in ranges.items() for rule in ((f"{c}_short", F.length(c) >= low), (f"{c}_long", F.length(c) <= high))]
+
+
+#: How a plain answer begins, and how the sentence begins that tells its misconception.
+PLAIN_ANSWER = r"(?s)^Answer:\s*([ABCD])\s*\n+(.+)$"
+MISTAKE = r"(?s)^(.*?)((?:A|The|One) common (?:mistake|misconception)\b.*)$"
+TEACHER_FIELDS = ("answer_letter", "explanation", "common_mistake")
+
+
+def teacher_fields(raw):
+    """answer_letter, explanation, common_mistake (a struct) of a teacher's answer: a JSON object, fenced or not, or plain text that
+    begins with its letter and names a common mistake. Anything else, JSON of another kind too, has none of them."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    bare = strip(raw)
+    bare = F.when(F.startswith(bare, F.lit("```")), F.regexp_replace(bare, r"^```(?:json)?\s*|\s*```$", "")).otherwise(bare)
+    doc = F.try_parse_json(bare)
+    body = strip(F.regexp_extract(bare, PLAIN_ANSWER, 2))
+    plain = doc.isNull() & (F.regexp_extract(bare, PLAIN_ANSWER, 1) != "") & F.regexp_like(body, F.lit(MISTAKE))
+    of_json = {f: F.when(F.schema_of_variant(doc).startswith("OBJECT"), F.try_variant_get(doc, f"$.{f}", "string")) for f in TEACHER_FIELDS}
+    of_text = {"answer_letter": F.regexp_extract(bare, PLAIN_ANSWER, 1), "explanation": strip(F.regexp_extract(body, MISTAKE, 1)), "common_mistake": strip(F.regexp_extract(body, MISTAKE, 2))}
+    return F.struct(*[F.when(plain, of_text[f]).otherwise(of_json[f]).alias(f) for f in TEACHER_FIELDS])

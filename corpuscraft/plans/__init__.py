@@ -1,6 +1,6 @@
 """Registered queries: each binds operators to tables, with an equivalent SQL text where SQL can express it."""
 
-from . import contracts, coverage, curation, curriculum, evaluation, formulations, generators, grading, materials, sequences, streams  # noqa: F401
+from . import artifacts, contracts, coverage, curation, curriculum, evaluation, formulations, generators, grading, materials, sequences, streams  # noqa: F401
 from ._registry import QUERIES, SQL
 
 

@@ -38,12 +38,18 @@ def promotion_gate(t):
     return contracts.promotion(candidate, baseline, {"old": (20, 8), "chain": (20, 8)}, target="event", category="k1", least=(400, 8), category_least=(90, 4))
 
 
-@query("SELECT count(*) AS n_conditions, count_if(NOT ok) AS n_failed, bool_and(ok) AS released, string_agg(CASE WHEN NOT ok THEN name END, ',' ORDER BY name) AS failing FROM (SELECT unnest(['answered', 'unique', 'cost', 'pending', 'sources']) AS name, unnest([count(*) > 0, count(*) = count(DISTINCT event_id), sum(value) < 1e9, count_if(event_type = 'error') < 10, count(DISTINCT event_type) >= 4]) AS ok FROM events)")
+CONDITIONS = {
+    "calls": "count(*) <= 100000000", "categories": "count(DISTINCT event_type) = 5", "complete": "least(count_if(event_type = 'view'), count_if(event_type = 'click'), count_if(event_type = 'purchase'), count_if(event_type = 'error'), count_if(event_type = 'signup')) * 6 >= count(*)",
+    "cost": "sum(value) <= 1e12", "costs_known": "count_if(value IS NULL) = 0", "leakage": "count_if(props LIKE '%blind%') = 0", "pending": "count_if(event_type = 'error' AND value > 90) = 0", "provenance": "count_if(user_id IS NULL OR ts IS NULL) = 0",
+    "provider": "count_if(event_type IS NULL OR event_type = '') = 0", "running": "max(ts) > min(ts)", "usable": "count_if(event_type = 'purchase' AND value IS NOT NULL) > 0",
+}
+
+
+@query(f"SELECT count(*) AS n_conditions, count_if(NOT ok) AS n_failed, bool_and(ok) AS released, string_agg(CASE WHEN NOT ok THEN name END, ',' ORDER BY name) AS failing FROM (SELECT unnest([{', '.join(map(repr, CONDITIONS))}]) AS name, unnest([{', '.join(f'coalesce({c}, FALSE)' for c in CONDITIONS.values())}]) AS ok FROM events)")
 def release_conditions(t):
-    """A release needs every named condition; those that fail are listed."""
-    e = t("events")
-    named = {"answered": F.count(F.lit(1)) > 0, "unique": F.count(F.lit(1)) == F.count_distinct("event_id"), "cost": F.sum("value") < 1e9, "pending": F.count_if(F.col("event_type") == "error") < 10, "sources": F.count_distinct("event_type") >= 4}
-    return contracts.release(e, named)
+    """A release needs all of its eleven conditions: usable rows, none pending, calls and cost within caps, no cost missing, rows that
+    trace back, every category there and full, a provider named, no leakage, nothing that stopped it. Those that fail are listed."""
+    return contracts.release(t("events"), {name: F.expr(c) for name, c in CONDITIONS.items()})
 
 
 @query("WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.08 THEN NULL ELSE l_discount > 0.02 END AS math, l_tax < 0.07 AS exe FROM lineitem) SELECT l_orderkey, string_agg(CASE WHEN coalesce(math, FALSE) AND exe THEN '1' ELSE '0' END, '' ORDER BY l_linenumber, coalesce(math, FALSE) AND exe, exe) AS credit, string_agg(CASE WHEN exe THEN '1' ELSE '0' END, '' ORDER BY l_linenumber, coalesce(math, FALSE) AND exe, exe) AS format FROM g GROUP BY l_orderkey")
@@ -78,12 +84,20 @@ def selection_replacements(t):
 
 
 # -- digests
-@query("SELECT doc_id, sha256(concat('{\"doc_id\":', doc_id, ',\"lang\":\"', lang, '\",\"n\":', n_chars, '}')) AS compact, sha256(concat('{\"doc_id\": ', doc_id, ', \"lang\": \"', lang, '\", \"n\": ', n_chars, '}')) AS spaced, sha256(concat('{', chr(10), ' \"doc_id\": ', doc_id, ',', chr(10), ' \"lang\": \"', lang, '\",', chr(10), ' \"n\": ', n_chars, chr(10), '}')) AS lines FROM documents")
+def dialect_sql(name: str, colon: str, comma: str, accent: str, start: str = "'{'", end: str = "'}'") -> str:
+    field = lambda key, value: f"'\"{key}\"{colon}', {value}"
+    return f"sha256(concat({start}, {field('doc_id', 'doc_id')}, {comma}, {field('lang', chr(39) + chr(34) + chr(39))}, lang, '{accent}\"', {comma}, {field('n', 'n_chars')}, {end})) AS {name}"
+
+
+PLAIN, ESCAPED, NEXT = "é", "\\u00e9", "',', chr(10), ' '"
+
+
+@query("SELECT doc_id, " + ", ".join([dialect_sql("compact", ":", "','", PLAIN), dialect_sql("compact_ascii", ":", "','", ESCAPED), dialect_sql("spaced", ": ", "', '", PLAIN), dialect_sql("spaced_ascii", ": ", "', '", ESCAPED), dialect_sql("lines", ": ", NEXT, ESCAPED, "'{', chr(10), ' '", "chr(10), '}'")]) + " FROM documents")
 def canonical_digests(t):
-    """Records digested as canonical JSON in several dialects, whatever the order and spacing they come in."""
-    raw = F.format_string('{ "n":%d, "lang" : "%s","doc_id":%d}', "n_chars", "lang", "doc_id")
+    """Records digested as canonical JSON in all five dialects, whatever the order and spacing they come in."""
+    raw = F.format_string('{ "n":%d, "lang" : "%sé","doc_id":%d}', "n_chars", "lang", "doc_id")
     x = t("documents").select("doc_id", canonical.digests_column(raw).alias("x"))
-    return x.select("doc_id", "x.compact", "x.spaced", "x.lines")
+    return x.select("doc_id", *[f"x.{d}" for d in canonical.DIALECTS])
 
 
 @query("WITH r AS (SELECT doc_id, sha256(concat('{\"doc_id\":', doc_id, ',\"lang\":\"', lang, '\"}')) AS h FROM documents) SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'drifted' WHEN doc_id % 7 = 2 THEN 'missing' ELSE 'valid' END AS state, h AS record_sha FROM r")
@@ -180,14 +194,18 @@ def status_summary(t):
     return p.select("category", z("accepted").alias("accepted"), z("pending").alias("pending"), z("rejected").alias("rejected"), (z("accepted") + z("pending")).alias("usable"), (z("pending") == 0).alias("released"))
 
 
-@query("WITH a AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, value > 50 AS old_ok, value > 45 AS new_ok, event_type FROM events), f AS (SELECT user_id, arg_min(old_ok, attempt) AS first_ok, bool_or(old_ok) AS old_ok, bool_or(new_ok) AS new_ok, arg_min(event_type, attempt) AS kind FROM a WHERE attempt <= 2 GROUP BY 1) SELECT kind, count(*) AS n, count_if(first_ok) AS first_accepted, count_if(old_ok) AS accepted, count_if(new_ok AND NOT old_ok) AS newly_credited, coalesce(string_agg(CASE WHEN new_ok AND NOT old_ok THEN CAST(user_id AS VARCHAR) END, ',' ORDER BY user_id), '') AS ids FROM f GROUP BY kind")
+REGRADED = "SELECT user_id, arg_min(old_ok, attempt) AS first_ok, bool_or(old_ok) AS old_ok, bool_or(new_ok) AS new_ok, arg_min(event_type, attempt) AS kind FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt, value > 50 AS old_ok, value > 45 AS new_ok, event_type FROM events) WHERE attempt <= 2 GROUP BY 1"
+
+
+@query(f"SELECT kind, count(*) AS n, count_if(first_ok) AS first_accepted, count_if(old_ok) AS accepted, count_if(new_ok AND NOT old_ok) AS newly_credited, any_value(tree) AS ids_sha FROM ({REGRADED}) LEFT JOIN ({merkle.roots_sql(f'SELECT kind AS g, user_id AS o, user_id::VARCHAR AS x FROM ({REGRADED}) WHERE new_ok AND NOT old_ok')}) r ON r.g = kind GROUP BY kind")
 def regrade_audit(t):
-    """First attempts and all attempts under the old grader, and what only the new one credits, with the ids."""
+    """First attempts and all attempts under the old grader, and what only the new one credits: its number and a Merkle root of its ids."""
     a = t("events").withColumn("attempt", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).filter("attempt <= 2")
     f = a.groupBy("user_id").agg(F.min_by(F.col("value") > 50, "attempt").alias("first_ok"), F.bool_or(F.col("value") > 50).alias("old_ok"), F.bool_or(F.col("value") > 45).alias("new_ok"), F.min_by("event_type", "attempt").alias("kind"))
     new = F.col("new_ok") & ~F.col("old_ok")
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(new, F.col("user_id")))), lambda x: x.cast("string")), ",")
-    return f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("first_ok").alias("first_accepted"), F.count_if("old_ok").alias("accepted"), F.count_if(new).alias("newly_credited"), ids.alias("ids"))
+    ids = merkle.Tree(f.filter(new).select("kind", "user_id"), ["kind"], ["user_id"], F.col("user_id").cast("string")).roots.select("kind", F.col("tree").alias("ids_sha"))
+    g = f.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("first_ok").alias("first_accepted"), F.count_if("old_ok").alias("accepted"), F.count_if(new).alias("newly_credited"))
+    return g.join(ids, "kind", "left")
 
 
 @query("WITH r AS (SELECT conv_id, turn, role AS mode, length(text) AS n, sha256(text) AS raw FROM conversations), b AS (SELECT mode, count(*) AS n, count_if(n % 3 = 0) AS correct, count_if(n < 20) AS invalid, count_if(n > 300) AS limit_hit FROM r GROUP BY mode), m AS (SELECT a.mode, count(*) AS same_raw FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.turn + 2 = b.turn AND a.raw = b.raw GROUP BY a.mode) SELECT mode, n, correct, invalid, limit_hit, coalesce(same_raw, 0) AS reproduced FROM b LEFT JOIN m USING (mode)")
@@ -252,15 +270,17 @@ def contrast_groups(t):
     return contracts.group_audit(rows, "l_orderkey", "family", "l_linenumber", "l_returnflag", {"1-URGENT": 5, "2-HIGH": 4}, 3, ["A", "N", "R"])
 
 
-@query("WITH a AS (SELECT user_id, event_id, value > 50 AS ok FROM events WHERE event_id % 2 = 0), b AS (SELECT user_id, event_id, value > 40 AS ok FROM events WHERE event_id % 2 = 0) SELECT concat(CAST(a.ok AS INT), '->', CAST(b.ok AS INT)) AS transition, count(*) AS n, CASE WHEN a.ok <> b.ok THEN sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) END AS ids_sha, count_if(a.ok IS NOT DISTINCT FROM b.ok) AS same_correctness FROM a JOIN b USING (user_id, event_id) GROUP BY a.ok, b.ok")
+MOVES = "SELECT concat(CAST(value > 50 AS INT), '->', CAST(value > 40 AS INT)) AS transition, event_id FROM events"
+
+
+@query(f"SELECT transition, count(*) AS n, any_value(tree) AS ids_sha, count_if(transition[1] = transition[4]) AS same_correctness FROM ({MOVES}) LEFT JOIN ({merkle.roots_sql(f'SELECT transition AS g, event_id AS o, event_id::VARCHAR AS x FROM ({MOVES}) WHERE transition[1] <> transition[4]')}) r ON r.g = transition GROUP BY transition")
 def run_comparison(t):
-    """Two runs joined on their ids: transitions, with the ids of losses and gains (as a digest of their list)."""
-    e = t("events").filter("event_id % 2 = 0")
+    """Two runs joined on their ids: transitions, with a Merkle root of the ids of losses and gains."""
+    e = t("events")
     a, b = e.select("user_id", "event_id", (F.col("value") > 50).alias("a")), e.select("user_id", "event_id", (F.col("value") > 40).alias("b"))
-    changed = F.when(F.col("a") != F.col("b"), F.col("event_id"))
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(changed)), lambda x: x.cast("string")), ",")
-    g = a.join(b, ["user_id", "event_id"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"), F.count_if(F.col("a").eqNullSafe(F.col("b"))).alias("same_correctness"))
-    return g.select(F.concat(F.col("a").cast("int").cast("string"), F.lit("->"), F.col("b").cast("int").cast("string")).alias("transition"), "n", F.when(F.col("a") != F.col("b"), F.sha2("ids", 256)).alias("ids_sha"), "same_correctness")
+    moves = a.join(b, ["user_id", "event_id"]).select("event_id", F.concat_ws("->", F.col("a").cast("int").cast("string"), F.col("b").cast("int").cast("string")).alias("transition"), (F.col("a") == F.col("b")).alias("same"))
+    ids = merkle.Tree(moves.filter("not same").select("transition", "event_id"), ["transition"], ["event_id"], F.col("event_id").cast("string")).roots.select("transition", F.col("tree").alias("ids_sha"))
+    return moves.groupBy("transition").agg(F.count(F.lit(1)).alias("n"), F.count_if("same").alias("same_correctness")).join(ids, "transition", "left")
 
 
 @query("WITH r AS (SELECT conv_id, turn, length(text) % 40 + 1 AS n FROM conversations), m AS (SELECT conv_id, max(n) AS m FROM r GROUP BY conv_id) SELECT conv_id, turn, m AS padded, n AS real, m - n AS padding FROM r JOIN m USING (conv_id)")

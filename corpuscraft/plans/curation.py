@@ -115,11 +115,12 @@ def group_split(t):
     return s.groupBy("source").agg(F.min("split").alias("split"), F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits"))
 
 
-@query("SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) > ceil((SELECT count(*) FROM documents) / 20.0)")
+@query("WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), w AS (SELECT lang, ceil(sum(n) / 20.0) AS most FROM c GROUP BY lang) SELECT lang, source, n, most::BIGINT AS most FROM c JOIN w USING (lang) WHERE n > most")
 def over_concentration(t):
-    d = t("documents")
-    total = d.agg(F.ceil(F.count(F.lit(1)) / 20.0).alias("most"))
-    return d.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), F.col("n") > F.col("most")).select("source", "n")  # one row
+    """Sources that hold more than a twentieth of a language's documents."""
+    c = t("documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    most = c.groupBy("lang").agg(F.ceil(F.sum("n") / 20.0).alias("most"))
+    return c.join(most, "lang").filter("n > most").select("lang", "source", "n", "most")
 
 
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT turn) = count(*) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS complete, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id")

@@ -367,12 +367,37 @@ def story_bundles(t):
     return d.select("p_partkey", "category", F.concat(F.lit("s"), F.col("p_partkey").cast("string"), F.lit("_"), "category").alias("question_id"), x.getField("answer").alias("answer"))
 
 
-@query(f"WITH {NUMBERS}, k AS (SELECT p_partkey, c, {QUESTION} AS question FROM n) SELECT p_partkey, unnest(['full', 'no_label', 'letter', 'steps']) AS probe, unnest([concat(question, ' Reply with an expression.'), question, concat('Choose a letter. ', question), concat(question, ' Show each step.')]) AS prompt FROM k")
+#: The stages that take a question apart, and what is asked at each.
+STAGES = {
+    "extract_mean": "Return only the numerical value of E[X].",
+    "extract_variance": "Return only the numerical value of Var(X).",
+    "extract_scale": "Return only the multiplier applied to X.",
+    "extract_offset": "Return only the constant added after multiplying X.",
+    "mean": "Set up E[Y], where Y is the transformed quantity before any squaring.",
+    "variance": "Set up Var(Y), where Y is the transformed quantity before any squaring.",
+}
+HINT = "Use Var(a*X+b)=a**2*Var(X) and E[Y**2]=Var(Y)+E[Y]**2. "
+ONLY = "Return only Expression: followed by a fully substituted numerical expression. Keep arithmetic unevaluated."
+REQUEST = r"^Find [^.]*\. ?|,? ?Find [^.]*\.$"
+MEAN_SQL, VARIANCE_SQL = f"concat(CASE c WHEN {Q.CATEGORIES.index('moment_second')} THEN i ELSE j END, '/23')", f"CASE c WHEN {Q.CATEGORIES.index('moment_second')} THEN j::VARCHAR ELSE concat(j, '/23') END"
+STAGE_SQL = {"extract_mean": "mean", "extract_variance": "variance", "extract_scale": "m::VARCHAR", "extract_offset": "(-s)::VARCHAR", "mean": "concat(m, '*', mean, '+', -s)", "variance": "concat(m, '**2*', variance)", "original": "expression", "hinted": "expression"}
+PROMPT_SQL = {k: f"concat(story, chr(10), {quoted(v)}" + ("" if k.startswith("extract") else f", chr(10), {quoted(ONLY)}") + ")" for k, v in STAGES.items()} | {"original": f"concat(question, chr(10), {quoted(ONLY)})", "hinted": f"concat({quoted(HINT)}, question, chr(10), {quoted(ONLY)})"}
+
+
+@query(f"WITH {NUMBERS}, k AS (SELECT p_partkey, m, s, {MEAN_SQL} AS mean, {VARIANCE_SQL} AS variance, {QUESTION} AS question, {EXPRESSION} AS expression FROM n WHERE c IN ({Q.CATEGORIES.index('moment_second')}, {Q.CATEGORIES.index('poisson_scaled')})), q AS (SELECT *, regexp_replace(question, '{REQUEST}', '') AS story FROM k) SELECT p_partkey, unnest([{', '.join(map(quoted, STAGE_SQL))}]) AS stage, unnest([{', '.join(PROMPT_SQL[k] for k in STAGE_SQL)}]) AS prompt, unnest([{', '.join(STAGE_SQL.values())}]) AS expression FROM q")
 def diagnostic_probes(t):
-    """One question as several prompts that isolate what fails."""
-    q = F.col("question")
-    probes = F.array(*[F.struct(F.lit(n).alias("probe"), p.alias("prompt")) for n, p in (("full", F.concat(q, F.lit(" Reply with an expression."))), ("no_label", q), ("letter", F.concat(F.lit("Choose a letter. "), q)), ("steps", F.concat(q, F.lit(" Show each step."))))])
-    return asked_rows(t).select("p_partkey", F.explode(probes).alias("x")).select("p_partkey", "x.*")
+    """A question about a transformed quantity as eight prompts that isolate what fails: each given number alone, the mean, the variance,
+    the question itself and with a hint. Sub-tasks keep the story without its request."""
+    x = asked_rows(t).filter(F.col("category").isin("moment_second", "poisson_scaled"))
+    given = lambda name: F.get_json_object("semantics", f"$.{name}")
+    mean, scale, offset = given("mean"), given("scale"), given("offset")
+    variance = F.coalesce(given("variance"), mean)
+    story = F.regexp_replace("question", REQUEST, "")
+    expressions = {"extract_mean": mean, "extract_variance": variance, "extract_scale": scale, "extract_offset": offset, "mean": F.concat(scale, F.lit("*"), mean, F.lit("+"), offset), "variance": F.concat(scale, F.lit("**2*"), variance)}
+    only = F.lit("\n" + ONLY)
+    stages = [F.struct(F.lit(k).alias("stage"), F.concat(story, F.lit("\n" + request), F.lit("") if k.startswith("extract") else only).alias("prompt"), expressions[k].alias("expression")) for k, request in STAGES.items()]
+    whole = [F.struct(F.lit(k).alias("stage"), F.concat(F.lit(start), "question", only).alias("prompt"), F.col("expression")) for k, start in (("original", ""), ("hinted", HINT))]
+    return x.select("p_partkey", F.explode(F.array(*stages, *whole)).alias("x")).select("p_partkey", "x.*")
 
 
 @query(f"WITH {NUMBERS}, f AS (SELECT p_partkey, unnest([1, 1, 10, 10]) AS factor, unnest(['original', 'paraphrase', 'original', 'paraphrase']) AS wording, m, j FROM n) SELECT p_partkey, factor, wording, CASE wording WHEN 'original' THEN concat('X has a Poisson distribution with mean (', {rat('j * factor', '23')}, '). Define Y=(', m, ')*X+(0). Find Var(Y).') ELSE concat('Find Var(Y). Given X is Poisson with mean (', {rat('j * factor', '23')}, ') and Y=(', m, ')*X+(0).') END AS question, {rat('m * m * j * factor', '23')} AS answer FROM f")

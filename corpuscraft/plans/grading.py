@@ -191,14 +191,17 @@ def binding_lines(t):
 
 
 TEACHER = [
-    ('{"answer":"B","explanation":"e{n}"}', "B", "e{n}", None),
-    ('```json\n{"answer":"C","misconception":"m{n}"}\n```', "C", None, "m{n}"),
-    ("Answer: a) since so {n}\nMisconception: mean", "A", "since so {n}", "mean"),
+    ('{"answer_letter":"B","explanation":"e{n}"}', "B", "e{n}", None),
+    ('```json\n{"answer_letter":"C","common_mistake":"m{n}"}\n```', "C", None, "m{n}"),
+    ("Answer: A\n\nSince so {n}. The common mistake is the mean.", "A", "Since so {n}.", "The common mistake is the mean."),
+    ("Answer: B\nSo {n}. One common misconception: A common mistake.", "B", "So {n}.", "One common misconception: A common mistake."),
     ("I think so {n}", None, None, None),
-    ("Answer: E because {n}", None, None, None),
-    ("  answer: D. {n}", "D", "{n}", None),
-    ('{"answer":"B"', None, None, None),
-    ("Answer: Because {n}", None, None, None),
+    ("Answer: E\nbecause {n}. A common mistake.", None, None, None),
+    ("  Answer:\nD\n {n} holds. A common mistakes", None, None, None),
+    ('{"answer_letter":"B"', None, None, None),
+    ("Answer: C\nno mistake named {n}", None, None, None),
+    ("[{n}]", None, None, None),
+    ("```\nAnswer: D\n{n}\nis it. A common mistake here\n```", "D", "{n}\nis it.", "A common mistake here"),
 ]
 
 
@@ -206,7 +209,8 @@ TEACHER = [
 def teacher_answers(t):
     """Letter, explanation and misconception from JSON, a fenced block or plain lines."""
     raw = by_row(F.col("event_id"), [a for a, _, _, _ in TEACHER], F.col("event_id") % len(TEACHER))
-    return t("events").select("event_id", parsing.teacher_column(raw).alias("x")).select("event_id", "x.answer", "x.explanation", "x.misconception")
+    x = t("events").select("event_id", text.teacher_fields(raw).alias("x"))
+    return x.select("event_id", F.col("x.answer_letter").alias("answer"), "x.explanation", F.col("x.common_mistake").alias("misconception"))
 
 
 RAW = [

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canonical, exact, text
 from ..functions import questions as Q
-from ..operators import core, neardup
+from ..operators import core, merkle, neardup
 from ..sources import documents as sources
 from ._registry import query
 from .curriculum import ANSWER, CATEGORY, EXPRESSION, NUMBERS, QUESTION, STORY, TASK, asked_rows
@@ -96,17 +96,35 @@ def one_to_one_contract(t):
     return found.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH d AS (SELECT doc_id, text, lang, CASE WHEN doc_id % 10 < 7 THEN 'train' ELSE 'blind' END AS split, n_chars FROM documents) SELECT 'required' AS \"check\", count(*) AS n FROM d WHERE trim(text) = '' OR text IS NULL HAVING count(*) > 0 UNION ALL SELECT 'count', count(*) FROM (SELECT split, count(*) AS got FROM d GROUP BY split) WHERE got <> 700 HAVING count(*) > 0")
-def dataset_contract(t):
-    """A dataset against its contract: required fields, unique ids, rows of each split."""
-    d = t("documents").select("doc_id", "text", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("blind").alias("split"))
-    return sources.contract(d, ["text"], ["doc_id"], {"train": 700, "blind": 700}).groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+PARTS = "SELECT *, CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'validation' ELSE 'blind' END AS split FROM documents"
 
 
-@query(r"WITH d AS (SELECT doc_id % 3 AS split, regexp_replace(regexp_replace(lower(substr(text, 1, 12)), '[0-9]+', '<num>', 'g'), '\s+', ' ', 'g') AS sig, text FROM documents), k AS (SELECT DISTINCT split, sig FROM d), x AS (SELECT DISTINCT split, text FROM d) SELECT a.split AS left_split, b.split AS right_split, (SELECT count(*) FROM x p JOIN x q ON p.text = q.text WHERE p.split = a.split AND q.split = b.split) AS texts, count(*) FILTER (a.sig = b.sig) AS templates FROM k a JOIN k b ON a.split < b.split GROUP BY ALL")
+@query(f"""
+WITH d AS ({PARTS}),
+c AS (SELECT split, count(*) AS n, count_if(text IS NULL OR trim(text) = '') AS blank, count(*) - count(DISTINCT doc_id) AS repeated, count_if(n_chars IS DISTINCT FROM length(text)) AS drifted FROM d GROUP BY split),
+h AS ({merkle.roots_sql(f"SELECT split AS g, doc_id AS o, concat_ws('|', doc_id, lang, source, sha256(text)) AS x FROM ({PARTS})")}),
+k AS ({merkle.roots_sql(f"SELECT split AS g, source AS o, source AS x FROM (SELECT DISTINCT split, source FROM ({PARTS}))")})
+SELECT split, c.n, blank, repeated, drifted, k.n AS root_keys, h.tree AS rows_sha, k.tree AS root_keys_sha, sha256(concat_ws('|', split, c.n, h.tree, k.tree, 'contract-1')) AS binding_sha FROM c JOIN h ON h.g = split JOIN k ON k.g = split
+""")
+def dataset_contract(t):
+    """A dataset by its contract, split by split: rows, blank texts, repeated ids, stored lengths that differ, and digests of its rows,
+    of its root keys (sources) and of all that together. Digests are Merkle roots; nothing in them depends on the table's size."""
+    train, validation = F.col("doc_id") % 10 < 7, F.col("doc_id") % 10 < 9
+    d = t("documents").withColumn("split", F.when(train, "train").when(validation, "validation").otherwise("blind"))
+    blank = F.col("text").isNull() | (F.trim("text") == "")
+    n = d.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("blank"), (F.count(F.lit(1)) - F.count_distinct("doc_id")).alias("repeated"), F.count_if(~F.col("n_chars").eqNullSafe(F.length("text"))).alias("drifted"))
+    rows = merkle.Tree(d.select("split", "doc_id", F.concat_ws("|", F.col("doc_id").cast("string"), "lang", "source", F.sha2("text", 256)).alias("x")), ["split"], ["doc_id"], F.col("x")).roots
+    roots = d.select("split", "source").distinct()
+    keys = merkle.Tree(roots, ["split"], ["source"], F.col("source")).roots
+    many = roots.groupBy("split").agg(F.count(F.lit(1)).alias("root_keys"))
+    both = n.join(rows.select("split", F.col("tree").alias("rows_sha")), "split").join(keys.select("split", F.col("tree").alias("root_keys_sha")), "split").join(many, "split")
+    return both.withColumn("binding_sha", F.sha2(F.concat_ws("|", "split", F.col("n").cast("string"), "rows_sha", "root_keys_sha", F.lit("contract-1")), 256))
+
+
+@query(r"WITH d AS (SELECT doc_id % 3 AS split, regexp_replace(regexp_replace(lower(text), '[0-9]+', '<num>', 'g'), '\s+', ' ', 'g') AS sig, text FROM documents), k AS (SELECT DISTINCT split, sig FROM d), x AS (SELECT DISTINCT split, text FROM d) SELECT a.split AS left_split, b.split AS right_split, (SELECT count(*) FROM x p JOIN x q ON p.text = q.text WHERE p.split = a.split AND q.split = b.split) AS texts, count(*) FILTER (a.sig = b.sig) AS templates FROM k a JOIN k b ON a.split < b.split GROUP BY ALL")
 def template_overlap(t):
     """Pairs of splits: texts and templates that both have. Keys are grouped, so three splits at most meet at a key."""
-    sig = F.regexp_replace(F.regexp_replace(F.lower(F.substring("text", 1, 12)), "[0-9]+", "<num>"), r"\s+", " ")
+    sig = F.regexp_replace(F.regexp_replace(F.lower("text"), "[0-9]+", "<num>"), r"\s+", " ")
     keys = t("documents").select((F.col("doc_id") % 3).alias("split"), F.explode(F.array(F.struct(F.lit("texts").alias("kind"), F.sha2("text", 256).alias("key")), F.struct(F.lit("templates").alias("kind"), sig.alias("key")))).alias("x")).select("split", "x.*")
     owners = keys.groupBy("kind", "key").agg(F.array_sort(F.collect_set("split")).alias("s"))
     pairs = owners.select("kind", F.explode(F.expr("filter(flatten(transform(s, a -> transform(s, b -> struct(a as left_split, b as right_split)))), p -> p.left_split < p.right_split)")).alias("p")).select("kind", "p.*")
@@ -116,14 +134,16 @@ def template_overlap(t):
     return grid.join(pairs.groupBy("left_split", "right_split").agg(n("texts"), n("templates")), ["left_split", "right_split"], "left").select("left_split", "right_split", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("templates", F.lit(0)).alias("templates"))
 
 
-@query("WITH f AS (SELECT item_id, text AS v FROM benchmark UNION ALL SELECT item_id, sha256(text) FROM benchmark UNION ALL SELECT item_id, concat('item-', item_id, '-dev') FROM benchmark), p AS (SELECT doc_id, CASE WHEN doc_id % 40 = 1 THEN concat(text, ' see ', sha256((SELECT text FROM benchmark WHERE item_id = doc_id % 7))) WHEN doc_id % 40 = 2 THEN concat('item-', doc_id % 9, '-dev ', text) ELSE text END AS payload FROM documents) SELECT doc_id, item_id FROM p JOIN f ON contains(payload, v) GROUP BY ALL")
+@query("WITH f AS (SELECT item_id, text AS v FROM benchmark UNION ALL SELECT item_id, sha256(text) FROM benchmark UNION ALL SELECT item_id, concat('item-', item_id, '-dev') FROM benchmark), p AS (SELECT doc_id, CASE WHEN doc_id % 40 = 1 THEN concat(text, ' see ', (SELECT sha256(text) FROM benchmark WHERE item_id = doc_id % (SELECT count(*) FROM benchmark))) WHEN doc_id % 40 = 2 THEN concat('item-', doc_id % 9, '-dev ', text) ELSE text END AS payload FROM documents) SELECT doc_id, item_id FROM p JOIN f ON contains(payload, v) GROUP BY ALL")
 def forbidden_values(t):
     """Payloads that hold a development id, text or committed digest."""
     b = t("benchmark")
     digest = F.sha2("text", 256)
     values = b.select("item_id", F.explode(F.array("text", digest, F.concat(F.lit("item-"), F.col("item_id").cast("string"), F.lit("-dev")))).alias("needle"))
     d, k = t("documents"), F.col("doc_id") % 40
-    told = d.select("doc_id", "text", (F.col("doc_id") % 7).alias("item_id")).join(F.broadcast(b.filter("item_id < 7").select("item_id", digest.alias("sha"))), "item_id", "left")  # seven rows
+    n = b.agg(F.count(F.lit(1)).alias("n"))
+    asked = d.join(F.broadcast(n)).select("doc_id", "text", (F.col("doc_id") % F.col("n")).alias("item_id"))  # one row
+    told = asked.join(b.select("item_id", digest.alias("sha")), "item_id", "left")
     payload = F.when(k == 1, F.concat("text", F.lit(" see "), "sha")).when(k == 2, F.concat(F.lit("item-"), (F.col("doc_id") % 9).cast("string"), F.lit("-dev "), "text")).otherwise(F.col("text"))
     return neardup.containing(told.select("doc_id", payload.alias("text")), values)
 
