@@ -4,7 +4,7 @@ A file is a Parquet table written by Spark whose rows are blocks. A block holds
 ``bits`` bits (the least that hold the vocabulary's largest id), little-endian, lowest bit first; id ``i`` of a block starts at
 bit ``i * bits``, and ``ends`` has the position after each document's last id, so any document or range of ids is unpacked with
 numpy alone. Blocks are written in ascending order of document id: ``shard`` and ``block`` number them, ``first`` counts the
-ids of the shard's blocks before. A block closes at the first document end at or past ``BLOCK_IDS`` ids.
+ids of the shard's blocks before, ``min_id`` and ``max_id`` bound its documents. A block closes at the first document end at or past ``BLOCK_IDS`` ids.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ from ._common import Scratch, steps, task, texts_of
 from .tokenize import encoder
 
 BLOCK_IDS = 65_536
-SCHEMA = "shard int, block int, first long, bits int, n_ids long, doc_ids array<bigint>, ends array<bigint>, payload binary"
+SCHEMA = "shard int, block int, first long, bits int, n_ids long, min_id long, max_id long, doc_ids array<bigint>, ends array<bigint>, payload binary"
+#: Bytes of a Parquet row group: what a random access reads at most of a file.
+ROW_GROUP = 4 << 20
 
 
 def bits_for(vocab: int) -> int:
@@ -60,10 +62,11 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
         bits, shard = bits_for(max(enc.vocab, end_id + 1)), TaskContext.get().partitionId()
         block = first = 0
         docs, ends, parts, n = [], [], [], 0
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
+        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("bits", pa.int32()), ("n_ids", pa.int64()), ("min_id", pa.int64()), ("max_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
 
         def out():
-            row = [shard, block, first, bits, n, docs, ends, pack(np.frombuffer(b"".join(parts), "<u4"), bits)]
+            known = [d for d in docs if d is not None]
+            row = [shard, block, first, bits, n, min(known, default=None), max(known, default=None), docs, ends, pack(np.frombuffer(b"".join(parts), "<u4"), bits)]
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, schema, strict=True)], schema=schema)
 
         for ids, texts in steps(batches):
@@ -80,7 +83,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, style: str = "byt
             yield out()
 
     ordered = texts_of(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(task(blocks, "tokenize"), SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
+    ordered.mapInArrow(task(blocks, "tokenize"), SCHEMA).write.mode("errorifexists").option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
@@ -110,9 +113,15 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     return file.mapInArrow(task(docs), "doc_id long, start long, n_tokens long, ids binary")
 
 
+def blocks_of(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """The blocks that may hold a document: blocks know their least and greatest id, so that Parquet passes over files and row groups
+    (of ``ROW_GROUP`` bytes) that cannot."""
+    return spark.read.schema(SCHEMA).parquet(path).filter((F.col("min_id") <= doc_id) & (F.col("max_id") >= doc_id))
+
+
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
-    """Random access: the ids of one document's rows; Parquet skips the row groups that cannot hold them."""
-    found = spark.read.schema(SCHEMA).parquet(path).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("shard", "block").collect()
+    """Random access: the ids of one document's rows (several where the id is repeated), unpacked from their own bytes alone."""
+    found = blocks_of(spark, path, doc_id).filter(F.array_contains("doc_ids", F.lit(doc_id).cast("long"))).orderBy("shard", "block").collect()
     out = []
     for row in found:
         starts = [0, *row.ends[:-1]]

@@ -215,6 +215,11 @@ def test_token_file(spark, docs, empty, monkeypatch, tmp_path):
     keys = [-1 if r["doc_id"] is None else r["doc_id"] for r in rows]
     assert keys == sorted(keys) and len(rows) == docs.count()
     assert bitpack.read_document(spark, f"{tmp_path}/ids", 35) == [[*tok.encode(texts[35], add_special_tokens=False).ids, 0]]
+    assert sorted(bitpack.read_document(spark, f"{tmp_path}/ids", 5)) == [[*tok.encode(texts[5], add_special_tokens=False).ids, 0]] * 2  # a repeated id
+    assert bitpack.read_document(spark, f"{tmp_path}/ids", 10**6) == []
+    plan = bitpack.blocks_of(spark, f"{tmp_path}/ids", 35)._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(min_id,35)" in plan and "GreaterThanOrEqual(max_id,35)" in plan  # reaches the scan
+    assert bitpack.blocks_of(spark, f"{tmp_path}/ids", 35).count() <= 2
     bitpack.write_token_file(empty, f"{tmp_path}/none", path)
     assert bitpack.read_token_file(spark, f"{tmp_path}/none").count() == 0
 
