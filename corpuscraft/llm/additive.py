@@ -5,11 +5,12 @@ another on residuals of a bounded sample (``SAMPLE`` rows, chosen by hash); a be
 and the squared norm of the sum is stored. A query's inner products with all codewords form a table, so a stored row's
 approximate distance is its norm minus twice a sum of ``BOOKS`` table entries. Of the whole table, the ``rerank_of(rows)`` rows
 of least approximate distance are fetched for each query, by a join, and ranked by the exact distance on original vectors: a
-number fixed by the table's size, whatever the partitions.
+number fixed by the table's size alone, whatever the partitions.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -20,19 +21,19 @@ from ._common import Scratch, task
 
 BOOKS, WORDS, BEAM = 32, 256, 4
 SAMPLE = 16_384
-#: The most rows that are ranked exactly for a query.
-RERANK = 100
 #: One row in so many gives each query a first bound of its candidates' distances.
 SEED = 4
 #: Queries sent to the tasks at once: the bound of that broadcast. More queries make more passes over the codes.
 QUERIES = 4_096
+#: Places in all lists of a task at once: longer lists make fewer queries a pass.
+LISTED = 1 << 20
 #: Rows scored at once, and queries at once: the bound of the score table in memory.
 ROWS, ASKED = 2_048, 512
 
 
 def rerank_of(rows: int, k: int = 10) -> int:
-    """A hundredth of the rows, at least ``2 * k`` and at most ``RERANK``."""
-    return max(2 * k, min(RERANK, rows // 100))
+    """The square root of the rows, at least ``2 * k``: the list grows with the table at every size."""
+    return max(2 * k, math.isqrt(max(rows - 1, 0)) + 1)
 
 
 def train(x: np.ndarray, seed: int = 7, rounds: int = 5) -> np.ndarray:
@@ -124,7 +125,7 @@ def search(index: DataFrame, books: np.ndarray, d: int, queries: DataFrame, k: i
     spark = index.sparkSession
     rerank = rerank or rerank_of(index.count(), k)
     total = queries.count()
-    passes = max(1, -(-total // (QUERIES * 3 // 4)))
+    passes = max(1, -(-total // (min(QUERIES, max(1, LISTED // rerank)) * 3 // 4 or 1)))
     m, words, _ = books.shape
     flat = books.reshape(-1, d)
     rough = None
