@@ -33,6 +33,11 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def passing(spark: SparkSession, root: str) -> None:
+    """Marks a folder to be deleted when the driver's process ends."""
+    _open[root] = (spark._jvm, spark._jsc.hadoopConfiguration())
+
+
 class Scratch:
     """Tables written to the shared folder, so that what is computed once survives the loss of executors and is never recomputed.
 
@@ -41,7 +46,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        _open[self.root] = (spark._jvm, spark._jsc.hadoopConfiguration())
+        passing(spark, self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

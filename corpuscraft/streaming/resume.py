@@ -9,20 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.shared import shared_folder
+from ..operators.shared import passing, shared_folder
 
 
 #: Fixed value: the state store that keyed state with timers needs.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def base_of(spark: SparkSession, name: str | None) -> str:
+    """Where a stream's checkpoint and rows are: those of a named stream stay, others go when the driver's process ends."""
+    base = f"{shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
+    if not name:
+        passing(spark, base)
+    return base
+
+
 class Stream:
     """A stream over a folder of Parquet files that takes what is there and stops. Under one ``name`` every run continues the last one:
     files, watermark, state and timers stand in its checkpoint in the shared folder, and results are appended exactly once."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str | StructType, name: str | None = None, files: str = "*.parquet"):
         self.spark, self.source = spark, (folder, schema, files)
-        self.base = f"{shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
+        self.base = base_of(spark, name)
 
     @classmethod
     def over(cls, table: DataFrame, name: str | None = None) -> Stream:
@@ -65,7 +73,7 @@ def final_state(events: DataFrame, name: str | None = None) -> DataFrame:
     folder of the batch's own number, so a batch that is repeated after a failure replaces itself and nothing counts twice.
     """
     spark = events.sparkSession
-    base = f"{shared_folder(spark)}/stream-{name or uuid.uuid4().hex}"
+    base = base_of(spark, name)
     files = events.inputFiles()
     folder = files[0].rsplit("/", 1)[0]
     pattern = files[0].rsplit("/", 1)[1] if len(files) == 1 else "*.parquet"
