@@ -32,8 +32,8 @@ ROWS, ASKED = 2_048, 512
 
 
 def rerank_of(rows: int, k: int = 10) -> int:
-    """The square root of the rows, at least ``2 * k``: the list grows with the table at every size."""
-    return max(2 * k, math.isqrt(max(rows - 1, 0)) + 1)
+    """Half the square root of the rows, at least ``2 * k``: the list grows with the table, without an end."""
+    return max(2 * k, (math.isqrt(max(rows - 1, 0)) + 2) // 2)
 
 
 def train(x: np.ndarray, seed: int = 7, rounds: int = 5) -> np.ndarray:
@@ -135,7 +135,7 @@ def search(index: DataFrame, books: np.ndarray, d: int, queries: DataFrame, k: i
         q = block.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, d)
         shared = spark.sparkContext.broadcast((q_ids, q, flat))
 
-        def near(batches, shared=shared, floor=None, rerank=rerank):
+        def near(batches, shared=shared, floor=None):
             import pyarrow as pa
 
             q_ids, q, flat = shared.value
@@ -172,8 +172,7 @@ def search(index: DataFrame, books: np.ndarray, d: int, queries: DataFrame, k: i
 
         schema, stored = "query_id long, vec_id long, row long, rough double", index.select("vec_id", "row", "codes", "norm")
         # the candidates of a part of the rows bound those of all: no task tells many that cannot be among the best
-        short = max(k, -(-rerank // 8))  # of each task; any rows, as many as the list holds, bound it
-        seeds = distinct_best(stored.filter(F.pmod(F.xxhash64("vec_id", "row"), F.lit(SEED)) == 0).mapInArrow(task(lambda batches, near=near: near(batches, rerank=short)), schema), rerank)
+        seeds = distinct_best(stored.filter(F.pmod(F.xxhash64("vec_id", "row"), F.lit(SEED)) == 0).mapInArrow(task(near), schema), rerank)
         bounds = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rough").alias("bound")).filter(F.col("n") == rerank).toArrow()  # a row for each query
         least = np.full(len(q_ids), np.inf)
         least[np.searchsorted(q_ids, bounds.column("query_id").to_numpy())] = bounds.column("bound").to_numpy()

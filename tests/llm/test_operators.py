@@ -292,7 +292,7 @@ def test_nearest_vectors(spark):
 def test_neighbours_come_by_their_codes_alike_in_all_partitions(spark):
     x = vectors(6000, 48, 3)
     df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(6000)], "vec_id long, embedding array<float>")
-    assert additive.rerank_of(6000) == 78 and additive.rerank_of(100) == 20 and additive.rerank_of(10**9) == 31_623
+    assert additive.rerank_of(6000) == 39 and additive.rerank_of(100) == 20 and additive.rerank_of(10**9) == 15_812
     seen = [sorted(map(tuple, additive.nearest(df.repartition(n), every=200).collect())) for n in (1, 4, 32)]
     assert seen[0] == seen[1] == seen[2]
     hits = sum(v in true_nearest(x, q)[0] for q, _, v, _ in seen[0])
