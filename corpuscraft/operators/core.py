@@ -25,6 +25,13 @@ def hash_draw(seed: str, n: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), *[k.cast("string") for k in keys]), 256), 1, 8), 16, 10).cast("bigint") % n
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt evenly to as many tasks as a shuffle has. A table of short rows is a file or two, so without this one task or two
+    do all that Python has to do for a million rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 # joins
 def key_violations(df: DataFrame, *keys: str, check: str = "unique") -> DataFrame:
     return df.groupBy(*keys).count().filter("count > 1").select(F.lit(check).alias("check"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), F.col("count").cast("string").alias("detail"))

@@ -157,7 +157,7 @@ STORY = cases(story_sql)
 def specs(t) -> DataFrame:
     """p_partkey, category, family, surface, given_order, unit, semantics (JSON), cycle and the numbers behind them."""
     key, size = F.col("p_partkey"), F.col("p_size")
-    d = t("part").select("p_partkey", (key % 18).cast("int").alias("c"), F.floor(key / 18).alias("cycle"), (size % 22 + 1).cast("int").alias("i"), (key * 5 % 22 + 1).cast("int").alias("j"), (key % 7 + 1).cast("int").alias("m"), (size % 5 + 1).cast("int").alias("s"))
+    d = core.spread(t("part").select("p_partkey", "p_size")).select("p_partkey", (key % 18).cast("int").alias("c"), F.floor(key / 18).alias("cycle"), (size % 22 + 1).cast("int").alias("i"), (key * 5 % 22 + 1).cast("int").alias("j"), (key % 7 + 1).cast("int").alias("m"), (size % 5 + 1).cast("int").alias("s"))
     pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (at + 1).cast("int"))
     quarter = pick(("1/4", "1/2", "3/4", "1", "5/4", "3/2", "7/4"), F.col("m") - 1)
     n = F.col("j") % 8 + 2

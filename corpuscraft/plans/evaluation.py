@@ -111,7 +111,7 @@ def binomial_pmf(t):
 def exact_rationals(t):
     """Canonical rationals of generated expressions."""
     text = F.format_string("(%d * 2 + 6) / (%d + 1)", "p_size", "p_size")
-    return t("part").select("p_partkey", exact.evaluate_column(text).alias("x")).select("p_partkey", "x.value", "x.error")
+    return core.spread(t("part")).select("p_partkey", exact.evaluate_column(text).alias("x")).select("p_partkey", "x.value", "x.error")
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'accepted' WHEN 2 THEN 'equivalence_pending' ELSE 'non_executable_or_format' END AS outcome, CASE WHEN p_partkey % 4 IN (0, 1) THEN TRUE WHEN p_partkey % 4 = 3 THEN FALSE END AS correct FROM part")
@@ -119,7 +119,7 @@ def grade_outcomes(t):
     """Accepted in any order of a sum, pending in another form, refused when it cannot be evaluated."""
     k = F.col("p_partkey") % 4
     raw = F.when(k == 0, F.format_string("%d + 3 * 2", F.col("p_size") + 1)).when(k == 1, F.format_string("Expression: 2 * 3 + %d", F.col("p_size") + 1)).when(k == 2, F.format_string("%d - (0 - 6)", F.col("p_size") + 1)).otherwise(F.lit("import os"))
-    return t("part").select("p_partkey", exact.judge_column(raw, F.format_string("%d + 3 * 2", F.col("p_size") + 1)).alias("x")).select("p_partkey", "x.outcome", "x.correct")
+    return core.spread(t("part")).select("p_partkey", exact.judge_column(raw, F.format_string("%d + 3 * 2", F.col("p_size") + 1)).alias("x")).select("p_partkey", "x.outcome", "x.correct")
 
 
 @query(draws.bootstrap_sql("SELECT lang AS g, CASE WHEN toxic = 0 THEN 1 ELSE 0 END - quality AS x FROM labels JOIN documents USING (doc_id)", "boot", 20_000))

@@ -30,14 +30,14 @@ FOLDS = (
 def folded_forms(t):
     """Identities folded on the tree: what only looks like one (a product with nought, a complement times b) stays."""
     raw = F.replace(F.element_at(F.array(*[F.lit(a) for a, _ in FOLDS]), (F.col("p_partkey") % 10 + 1).cast("int")), F.lit("{n}"), (F.col("p_size") + 1).cast("string"))
-    return t("part").select("p_partkey", algebra.folded_column(raw).getField("text").alias("folded"))
+    return core.spread(t("part")).select("p_partkey", algebra.folded_column(raw).getField("text").alias("folded"))
 
 
 @query("SELECT p_partkey, concat(p_size + 1, ' red, ', p_size, ' blue, 1.5 kg') AS swapped FROM part")
 def simultaneous_numbers(t):
     """Numbers exchanged at once: no replacement is replaced again."""
     a, b = F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string")
-    return t("part").select("p_partkey", parsing.replace_numbers_column(F.concat(a, F.lit(" red, "), b, F.lit(" blue, 1.5 kg")), F.array(a, b), F.array(b, a)).getField("text").alias("swapped"))
+    return core.spread(t("part")).select("p_partkey", parsing.replace_numbers_column(F.concat(a, F.lit(" red, "), b, F.lit(" blue, 1.5 kg")), F.array(a, b), F.array(b, a)).getField("text").alias("swapped"))
 
 
 @query("SELECT concat_ws('|', kind, least(l_discount, l_tax), greatest(l_discount, l_tax)) AS task, count(*) AS n, count(DISTINCT l_returnflag) AS owners FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'both' ELSE 'neither' END AS kind FROM lineitem) GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
@@ -184,4 +184,4 @@ def identity_evidence(t):
     k = F.col("p_partkey") % 3
     left = F.format_string("1-(1-p)*(1-q)+%d", "p_size")
     right = F.when(k == 0, F.format_string("p+q-p*q+%d", "p_size")).when(k == 1, F.format_string("p+q+%d", "p_size")).otherwise(F.lit("p+"))
-    return t("part").select("p_partkey", exact.identical_column(left, right).getField("same").alias("same"))
+    return core.spread(t("part")).select("p_partkey", exact.identical_column(left, right).getField("same").alias("same"))

@@ -47,7 +47,7 @@ ENVELOPES = [
 def envelope_parse(t):
     """Strict answer envelopes: duplicate keys, needless braces, empty lists, blanks, nesting, unknown ids, trailing text."""
     raw = by_row(F.col("event_id"), [a for a, _ in ENVELOPES], F.col("event_id") % len(ENVELOPES))
-    x = t("events").select("event_id", exact.envelope_column(raw, F.array(F.format_string("q%d", "event_id"))).alias("x"))
+    x = core.spread(t("events")).select("event_id", exact.envelope_column(raw, F.array(F.format_string("q%d", "event_id"))).alias("x"))
     return x.select("event_id", F.get("x.items", F.lit(0))["expression"].alias("expression"), F.size("x.repairs").alias("n_repairs"))
 
 
@@ -68,7 +68,7 @@ def strict_envelopes(t):
     """The strictest form: expected ids in their order, trimmed lines, nothing else."""
     raw = by_row(F.col("p_partkey"), [a for a, _ in STRICT], F.col("p_partkey") % len(STRICT))
     ids = F.array(F.format_string("a%d", "p_partkey"), F.format_string("b%d", "p_partkey"))
-    return t("part").select("p_partkey", F.size(exact.strict_envelope_column(raw, ids).getField("items")).alias("n_items"))
+    return core.spread(t("part")).select("p_partkey", F.size(exact.strict_envelope_column(raw, ids).getField("items")).alias("n_items"))
 
 
 INNER = '{"intermediates":{"s":"{n}"},"answers":[' + A + "]}"
@@ -87,7 +87,7 @@ def echo_envelopes(t):
     """Structures echoed around an answer are unwrapped only if id and question are the source's."""
     raw = by_row(F.col("p_partkey"), [a for a, _ in ECHOES], F.col("p_partkey") % len(ECHOES))
     x = exact.echo_column(raw, F.format_string("q%d", "p_partkey"), F.format_string("What of %d?", "p_partkey"))
-    return t("part").select("p_partkey", F.get(x.getField("items"), F.lit(0))["expression"].alias("expression"))
+    return core.spread(t("part")).select("p_partkey", F.get(x.getField("items"), F.lit(0))["expression"].alias("expression"))
 
 
 FENCE = "```"
@@ -109,7 +109,7 @@ def transports(t):
     k = F.col("p_partkey") % len(TRANSPORTS)
     raw, finish = by_row(F.col("p_partkey"), [a for a, _, _ in TRANSPORTS], k), by_row(F.col("p_partkey"), [f for _, f, _ in TRANSPORTS], k)
     x = exact.transport_column(raw, finish, F.array(F.format_string("q%d", "p_partkey")))
-    return t("part").select("p_partkey", F.get(x.getField("items"), F.lit(0))["expression"].alias("expression"))
+    return core.spread(t("part")).select("p_partkey", F.get(x.getField("items"), F.lit(0))["expression"].alias("expression"))
 
 
 FENCED = [
@@ -145,7 +145,7 @@ def strict_answers(t):
     raw = by_row(F.col("p_size"), [a for a, _ in STRICT_ANSWERS], F.col("p_partkey") % len(STRICT_ANSWERS))
     x = parsing.strict_answer_column(raw, F.format_string("%d/4", "p_size"), F.lit("value"))
     r = parsing.strict_answer_column(raw, F.format_string("%d/4", "p_size"), F.lit("reduce"))
-    return t("part").select("p_partkey", x.getField("predicted").alias("predicted"), x.getField("correct").alias("correct"), r.getField("correct").alias("reduced_correct"), x.getField("reviewed_correct").alias("reviewed_correct"))
+    return core.spread(t("part")).select("p_partkey", x.getField("predicted").alias("predicted"), x.getField("correct").alias("correct"), r.getField("correct").alias("reduced_correct"), x.getField("reviewed_correct").alias("reviewed_correct"))
 
 
 OBJECTS = [
@@ -187,7 +187,7 @@ BINDINGS = [
 def binding_lines(t):
     """Bindings of a response: a name given twice, without value or without name makes the line invalid, not an error."""
     x = parsing.bindings(by_row(F.col("p_size"), [a for a, _, _ in BINDINGS], F.col("p_partkey") % len(BINDINGS)))
-    return t("part").select("p_partkey", x.getField("valid").alias("valid"), x.getField("n").alias("n"))
+    return core.spread(t("part")).select("p_partkey", x.getField("valid").alias("valid"), x.getField("n").alias("n"))
 
 
 TEACHER = [
@@ -234,7 +234,7 @@ RAW = [
 def raw_contracts(t):
     """Responses that are one unchanged expression, with an optional label; all else is refused."""
     raw = by_row(F.col("p_size"), [a for a, _ in RAW], F.col("p_partkey") % len(RAW))
-    return t("part").select("p_partkey", algebra.raw_column(raw).getField("expression").alias("expression"))
+    return core.spread(t("part")).select("p_partkey", algebra.raw_column(raw).getField("expression").alias("expression"))
 
 
 # -- algebra
@@ -255,14 +255,14 @@ CHAINS = [
 def exact_chains(t):
     """Every step of a chain has the same exact value; a single step, a gap or a name is no chain."""
     raw = by_row(F.col("p_size"), [a for a, _ in CHAINS], F.col("p_partkey") % len(CHAINS))
-    return t("part").select("p_partkey", parsing.chain_column(raw).getField("ok").alias("ok"))
+    return core.spread(t("part")).select("p_partkey", parsing.chain_column(raw).getField("ok").alias("ok"))
 
 
 @query(f"SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN {rat('CAST(p_size AS BIGINT)', '3')} WHEN 3 THEN {rat('CAST(p_size AS BIGINT) * p_size', '4')} WHEN 4 THEN CAST(0 AS VARCHAR) END AS root FROM part")
 def exact_roots(t):
     """Exact roots of rationals; what is no square of one, or negative, has none."""
     raw = by_row(F.col("p_size"), ["{n}*{n}/9", "2*({n}*{n}+1)**2", "-{n}", "({n}*{n}/4)**2", "{n}-{n}"], F.col("p_partkey") % 5)
-    return t("part").select("p_partkey", parsing.square_root_column(raw).getField("value").alias("root"))
+    return core.spread(t("part")).select("p_partkey", parsing.square_root_column(raw).getField("value").alias("root"))
 
 
 RATIOS = [("a*{n}/(b*c)", "a,{n}", "b,c"), ("({n}/c)/(b/a)", "a,{n}", "b,c"), ("x+{n}", "sum({n},x)", ""), ("{n}*(x/(y/(z/2)))", "x,z,{n}", "2,y"), ("{n}/", None, None)]
@@ -273,7 +273,7 @@ def ratio_forms(t):
     """Products and quotients as multisets above and below the line, in any nesting."""
     k = F.col("p_partkey") % len(RATIOS)
     x = algebra.ratio_column(by_row(F.col("p_size"), [a for a, _, _ in RATIOS], k))
-    rows = t("part").filter(f"p_size > 2 and p_partkey % {len(RATIOS)} <> 2")
+    rows = core.spread(t("part")).filter(f"p_size > 2 and p_partkey % {len(RATIOS)} <> 2")
     return rows.select("p_partkey", F.array_join(x.getField("above"), ",").alias("parts"), F.array_join(x.getField("below"), ",").alias("below"))
 
 
@@ -281,7 +281,7 @@ def ratio_forms(t):
 def old_calculator(t):
     """The older calculator's notation: decimals, ^, multiplication and division signs, a superscript two."""
     raw = by_row(F.col("p_size"), ["0.5 × {n} ÷ 2^2", "({n}² + 3) ÷ 2", "{n}^9", "2.5×{n}"], F.col("p_partkey") % 4)
-    return t("part").select("p_partkey", algebra.old_column(raw).getField("value").alias("value"))
+    return core.spread(t("part")).select("p_partkey", algebra.old_column(raw).getField("value").alias("value"))
 
 
 @query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {rat('CAST(p_size AS BIGINT) * (p_size + 1)', '6')} WHEN 1 THEN CAST(3 * p_size AS VARCHAR) WHEN 2 THEN NULL ELSE CAST(p_size + 2 AS VARCHAR) END AS value FROM part")
@@ -290,7 +290,7 @@ def substituted_bindings(t):
     k = F.col("p_partkey") % 4
     raw = by_row(F.col("p_size"), ["a*b/6", "sqrt(9*a^2)", "a*c", "a+4**(1/2)"], k)
     env = F.format_string('{"a":"%d","b":"%d+1"}', "p_size", "p_size")
-    return t("part").select("p_partkey", algebra.substitute_column(raw, env).getField("value").alias("value"))
+    return core.spread(t("part")).select("p_partkey", algebra.substitute_column(raw, env).getField("value").alias("value"))
 
 
 COUNTS = {"neither": 3, "at_least_one": 4, "exactly_one": 3, "same": 3, "uniform_conditional": 5, "interval": 7, "poisson_second": 3, "process_second": 3, "process_variance": 2, "process_scaled": 2}
@@ -313,7 +313,7 @@ def intermediate_steps(t):
     """Named intermediate quantities, each against its expected value; a missing one fails."""
     steps = by_row(F.col("p_size"), ['{"a":"{n}+1","b":"2*{n}"}', '{"a":"1+{n}","b":"2*{n}+1"}', '{"b":"2*{n}"}', '{"a":"{n}+2-1","b":"{n}+{n}","c":"0"}'], F.col("p_partkey") % 4)
     x = algebra.steps_column(steps, F.format_string('{"a":"%d+1","b":"%d*2"}', "p_size", "p_size"))
-    return t("part").select("p_partkey", x.getField("ok").alias("ok"), x.getField("first_wrong").alias("first_wrong"))
+    return core.spread(t("part")).select("p_partkey", x.getField("ok").alias("ok"), x.getField("first_wrong").alias("first_wrong"))
 
 
 # -- grading

@@ -56,7 +56,7 @@ def identity_proof(t):
     """Two forms of one rational function proved equal by expansion; what is none stays open."""
     k = F.col("p_partkey") % len(PROOFS)
     left, right = (by_row(F.col("p_size"), [p[i] for p in PROOFS], k) for i in (0, 1))
-    return t("part").filter("p_size > 0").select("p_partkey", exact.proved_column(left, right).getField("same").alias("same"))
+    return core.spread(t("part")).filter("p_size > 0").select("p_partkey", exact.proved_column(left, right).getField("same").alias("same"))
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g'))) AS folded_sha FROM documents")
