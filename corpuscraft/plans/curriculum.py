@@ -231,9 +231,12 @@ def trap_sql() -> str:
 
 @query(f"WITH {NUMBERS}, x AS ({trap_sql()}), f AS (SELECT category, p_partkey, bool_and(hit) AS none FROM x GROUP BY ALL) SELECT category, trap, count(*) AS possible, count_if(hit) AS collisions, count_if(NOT hit) AS discriminative FROM x GROUP BY ALL UNION ALL SELECT category, 'unsupported_plus_one_sanity_mutation', count(*), 0, count(*) FROM f WHERE none GROUP BY category")
 def misconception_audit(t):
-    """Every misconception of every question: how often its value happens to be right, and how often it tells right from wrong."""
-    x = specs(t).select("category", F.explode(Q.traps_column("category", "semantics", "unit").getField("traps")).alias("trap"))
-    return x.groupBy("category", F.col("trap.id").alias("trap")).agg(F.count(F.lit(1)).alias("possible"), F.count_if("trap.collides").alias("collisions"), F.count_if(~F.col("trap.collides")).alias("discriminative"))
+    """Every misconception of every question: how often its value happens to be right, and how often it tells right from wrong. Values
+    less than 1e-9 apart are not told apart."""
+    asked = core.spread(specs(t).groupBy("category", "semantics", "unit").agg(F.count(F.lit(1)).alias("n")))
+    x = asked.select("category", "n", F.explode(Q.near_traps_column("category", "semantics", "unit").getField("traps")).alias("trap"))
+    hit = F.when(F.col("trap.collides"), F.col("n")).otherwise(0)
+    return x.groupBy("category", F.col("trap.id").alias("trap")).agg(F.sum("n").alias("possible"), F.sum(hit).alias("collisions"), F.sum(F.col("n") - hit).alias("discriminative"))
 
 
 @query(f"WITH {NUMBERS} SELECT p_partkey, i <> j AND i + j <> 23 AND len(list_distinct([i * j, (23 - i) * (23 - j), i * (23 - j) + (23 - i) * j, 529 - (23 - i) * (23 - j), i * j + (23 - i) * (23 - j)])) = 5 AS discriminative FROM n")

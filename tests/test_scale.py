@@ -1,11 +1,24 @@
 """Queries on copies of their tables: rows over tasks, work shared by equal rows, results of SQL where small tables do not differ."""
 
+import duckdb
 import pytest
 
 from corpuscraft import plans
 from corpuscraft.functions import exact
+from corpuscraft.plans import curriculum
 
 from .conftest import SF
+from .test_queries import rows_of
+
+
+def same_as_sql(spark, folder, name, *tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    want = con.sql(plans.oracle_sql()[name])
+    got = plans.queries()[name](spark, folder)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(want.columns, want.fetchall())
 
 
 @pytest.mark.parametrize("name", ["identity_evidence", "identity_proof", "folded_forms", "grade_outcomes", "graded_responses", "gate_classes", "arm_judgements", "question_validity", "perturbation_grid", "story_bundles"])
@@ -27,3 +40,10 @@ def test_equal_rows_share_a_result():
     assert [r["v"] for r in again] == ["a", "b", "a", "a"] and CALLS == ["a", "b"]
     made = [(lambda k: lambda x: {"v": x + k})(k) for k in "xy"]  # functions with values of their own are not taken for each other
     assert [exact.kept(f)("a")["v"] for f in made] == ["ax", "ay"]
+
+
+def test_misconceptions_told_apart_as_in_sql(spark, tmp_path):
+    """Values that differ by less than 1e-9: (22/23) (1/23)**8 and nine times that."""
+    spark.range(0, 4000).selectExpr("id as p_partkey", "22 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    same_as_sql(spark, str(tmp_path), "misconception_audit", "part")
+    assert curriculum.Q.traps("binomial", {"n": "9", "r": "8", "p": "1/23"})[0]["collides"] is False  # exact elsewhere
