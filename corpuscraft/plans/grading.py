@@ -299,13 +299,15 @@ COUNTS = {"neither": 3, "at_least_one": 4, "exactly_one": 3, "same": 3, "uniform
 @query(f"WITH {NUMBERS} SELECT {CATEGORY} AS category, count(*) AS questions, sum(CASE WHEN c = 16 THEN 2 + CAST(p_partkey % (j % 8 + 3) IN (0, j % 8 + 2) AS INT) + CAST(p_partkey % (j % 8 + 3) = 1 AS INT) + CAST(p_partkey % (j % 8 + 3) = j % 8 + 1 AS INT) ELSE {cases(lambda c: str(COUNTS.get(c, 1)))} END)::BIGINT AS refs, count(*) AS credited FROM n GROUP BY 1")
 def reference_bank(t):
     """Reviewed equivalent expressions as rows; a response is credited by a semi-join on question and folded form."""
-    rows = asked_rows(t).select("p_partkey", "category", "semantics", "unit", "expression")
-    bank = rows.select("p_partkey", "category", F.explode(Q.references_column("category", "semantics", "unit").getField("references")).alias("ref"))
-    forms = bank.select("p_partkey", "category", algebra.folded_column("ref").getField("form").alias("form"))
-    answers = rows.select("p_partkey", "category", algebra.folded_column(F.concat(F.lit("0+"), "expression")).getField("form").alias("form"))
-    credited = answers.join(forms, ["p_partkey", "form"], "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("credited"))
-    counts = forms.groupBy("category").agg(F.count_distinct("p_partkey").alias("questions"), F.count(F.lit(1)).alias("refs"))
-    return counts.join(credited, "category").select("category", "questions", "refs", "credited")
+    question = ["category", "semantics", "unit"]
+    asked = core.spread(asked_rows(t).groupBy(*question, "expression").agg(F.count(F.lit(1)).alias("n")))  # questions asked of many rows are folded once
+    own = algebra.folded_column(F.concat(F.lit("0+"), "expression")).getField("form")
+    asked = Scratch(asked.sparkSession, "bank").put(asked.select(*question, "n", own.alias("form"), Q.references_column(*question).getField("references").alias("refs")), "questions")
+    bank = core.spread(asked.select(*question, "n", F.explode("refs").alias("ref"))).select(*question, "n", algebra.folded_column("ref").getField("form").alias("form"))
+    credited = asked.join(bank.select(*question, "form"), [*question, "form"], "left_semi").groupBy("category").agg(F.sum("n").alias("credited"))
+    questions = asked.filter(F.size("refs") > 0).groupBy("category").agg(F.sum("n").alias("questions"))
+    counts = bank.groupBy("category").agg(F.sum("n").alias("refs"))
+    return questions.join(counts, "category").join(credited, "category").select("category", "questions", "refs", "credited")
 
 
 @query("SELECT p_partkey, p_partkey % 4 IN (0, 3) AS ok, CASE p_partkey % 4 WHEN 1 THEN 'b' WHEN 2 THEN 'a' END AS first_wrong FROM part")

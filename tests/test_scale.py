@@ -42,6 +42,13 @@ def test_equal_rows_share_a_result():
     assert [exact.kept(f)("a")["v"] for f in made] == ["ax", "ay"]
 
 
+def test_questions_are_folded_once(spark, tmp_path):
+    spark.range(0, 360).selectExpr("id as p_partkey", "int(id % 50 + 1) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    same_as_sql(spark, str(tmp_path), "reference_bank", "part")
+    spark.range(0, 360).selectExpr("id as p_partkey", "int(id % 50 + 1) as p_size").union(spark.read.parquet(f"{tmp_path}/part.parquet")).write.parquet(f"{tmp_path}/twice/part.parquet")
+    same_as_sql(spark, f"{tmp_path}/twice", "reference_bank", "part")  # a key that comes twice is two rows
+
+
 def test_misconceptions_told_apart_as_in_sql(spark, tmp_path):
     """Values that differ by less than 1e-9: (22/23) (1/23)**8 and nine times that."""
     spark.range(0, 4000).selectExpr("id as p_partkey", "22 as p_size").write.parquet(f"{tmp_path}/part.parquet")
