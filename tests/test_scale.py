@@ -54,3 +54,9 @@ def test_misconceptions_told_apart_as_in_sql(spark, tmp_path):
     spark.range(0, 4000).selectExpr("id as p_partkey", "22 as p_size").write.parquet(f"{tmp_path}/part.parquet")
     same_as_sql(spark, str(tmp_path), "misconception_audit", "part")
     assert curriculum.Q.traps("binomial", {"n": "9", "r": "8", "p": "1/23"})[0]["collides"] is False  # exact elsewhere
+
+
+def test_regrade_names_its_ids(spark):
+    rows = plans.queries()["regrade_audit"](spark, SF).collect()
+    assert rows and all(len([x for x in r["ids"].split(",") if x]) == r["newly_credited"] for r in rows)
+    assert all((r["ids_sha"] is None) == (r["ids"] == "") for r in rows)
