@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,6 +52,54 @@ def binomial(n: Column, p: Column, u: Column) -> Column:
     return F.when((n <= 0) | (p <= 0), F.lit(0).cast("long")).when(p >= 1, n).otherwise(once(start, drawn))
 
 
+@lru_cache(maxsize=256)
+def weights(n: int, p: float) -> tuple[int, np.ndarray, np.ndarray, float]:
+    """The mode of a binomial, the weights above and below it relative to the mode's, and the sum of all, as ``binomial`` adds them."""
+    d = float(n)
+    mode, reach = min(n, math.floor((d + 1) * p)), math.ceil(math.sqrt(d * p * (1 - p)) * 10) + 10
+    i, j = np.arange(mode, min(n, mode + reach), dtype=np.float64), np.arange(mode, max(0, mode - reach), -1, dtype=np.float64)
+    up, down = np.cumprod((d - i) * p / ((i + 1) * (1 - p))), np.cumprod(j * (1 - p) / ((d - j + 1) * p))
+    mass = lambda w: float(np.cumsum(w)[-1]) if len(w) else 0.0  # noqa: E731  in order, as a fold adds
+    return mode, up, down, 1 + mass(up) + mass(down)
+
+
+def count_of(n: int, p: float, u: float) -> int:
+    """``binomial`` of one draw, in whole arrays with the same sums in the same order."""
+    if n <= 0 or p <= 0:
+        return 0
+    if p >= 1:
+        return n
+    mode, up, down, total = weights(n, p)
+    left = u * total - 1
+    for side, by in ((up, 1), (down, -1)):
+        if left < 0:
+            break
+        after = np.subtract.accumulate(np.concatenate([[left], side]))
+        left = float(after[-1])
+        if left < 0:
+            return mode + by * int(np.argmax(after < 0))
+    return mode
+
+
+def net_column(us: Column, ns: Column, xs: Column) -> Column:
+    """The net change of a resample: multinomial counts of changes ``xs`` that ``ns`` rows have, by conditional binomials of ``us``."""
+
+    def run(us, ns, xs):
+        import pandas as pd
+
+        def net(u, n, x):
+            left = rest = int(sum(n))
+            out = 0
+            for v, k, change in zip(u.tolist(), n.tolist(), x.tolist(), strict=True):
+                got = count_of(left, k / rest, v)
+                left, rest, out = left - got, rest - k, out + got * change
+            return out
+
+        return pd.Series([net(*row) for row in zip(us, ns, xs, strict=True)], dtype="int64")
+
+    return F.pandas_udf(run, "long")(us, ns, xs)
+
+
 def bootstrap_sql(changes: str, seed: str, reps: int) -> str:
     """The bootstrap of ``operators.core`` in SQL, over a query of (g, x): the same draws from the same hashes."""
     seek = lambda places, ratio, left, at: f"list_reduce(list_transform({places}, lambda i: {{'w': 0.0::DOUBLE, 'left': 0.0::DOUBLE, 'at': i}}), lambda a, e: CASE WHEN a.left >= 0 THEN {{'w': a.w * ({ratio}), 'left': a.left - a.w * ({ratio}), 'at': e.at + {at}}} ELSE a END, {{'w': 1.0::DOUBLE, 'left': {left}, 'at': mode}})"

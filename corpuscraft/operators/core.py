@@ -118,14 +118,9 @@ def bootstrap_interval(df: DataFrame, change: str, group: str, reps: int, seed:
     """
     counted = df.filter(F.col(change).isNotNull()).groupBy(group, F.col(change).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("n"))
     kinds = counted.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("x", "n"))).alias("kinds"), F.sum("n").alias("m"))
-    runs = kinds.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")).repartition(F.col(group), F.col("rep"))
-
-    def deal(acc, kind):
-        got = draws.binomial(acc["left"], kind["n"].cast("double") / acc["rest"].cast("double"), draws.uniform(F.lit(seed), F.col(group), F.col("rep"), kind["x"]))
-        return draws.once(got, lambda k: F.struct((acc["left"] - k).alias("left"), (acc["rest"] - kind["n"]).alias("rest"), (acc["net"] + k * kind["x"]).alias("net")))
-
-    start = F.struct(F.col("m").alias("left"), F.col("m").alias("rest"), F.lit(0).cast("long").alias("net"))
-    nets = runs.select("rep", F.aggregate("kinds", start, deal, lambda acc: acc["net"]).alias("net")).groupBy("rep").agg(F.sum("net").alias("net"))
+    runs = spread(kinds.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")))
+    drawn = F.transform("kinds", lambda kind: draws.uniform(F.lit(seed), F.col(group), F.col("rep"), kind["x"]))
+    nets = runs.select("rep", draws.net_column(drawn, F.col("kinds.n"), F.col("kinds.x")).alias("net")).groupBy("rep").agg(F.sum("net").alias("net"))
     return nets.agg(F.percentile("net", F.lit(low)).alias("low"), F.percentile("net", F.lit(high)).alias("high"), F.count(F.lit(1)).alias("reps"))
 
 

@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corpuscraft import plans
-from corpuscraft.functions import exact
+from corpuscraft.functions import draws, exact
 from corpuscraft.plans import curriculum
 
 from .conftest import SF
@@ -60,3 +61,10 @@ def test_regrade_names_its_ids(spark):
     rows = plans.queries()["regrade_audit"](spark, SF).collect()
     assert rows and all(len([x for x in r["ids"].split(",") if x]) == r["newly_credited"] for r in rows)
     assert all((r["ids_sha"] is None) == (r["ids"] == "") for r in rows)
+
+
+def test_bootstrap_draws_in_arrays_are_those_in_sql(spark):
+    rows = spark.range(400).selectExpr("id", "int(pow(1.04, id)) - 1 as n", "(id * 37 % 101) / 100.0D as p")
+    u = draws.uniform(F.lit("t"), F.col("id"))
+    for r in rows.select("n", "p", u.alias("u"), draws.binomial(F.col("n").cast("long"), F.col("p"), u).alias("k")).collect():
+        assert draws.count_of(r["n"], r["p"], r["u"]) == r["k"], r
