@@ -8,17 +8,20 @@ batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+OUTCOME = Row("account", "seq", "tag", "outcome", "calls", "cost")
 OUTCOMES = "account long, seq long, tag long, outcome string, calls long, cost double"
 CAPS = "account long, seq long, allowed boolean, blocked_by string"
 
 
 class Ledger(StatefulProcessor):
-    """One account's calls. Rows: seq, at (ms), kind (request, response, failure, or a note that changes nothing), tag, cost.
+    """One account's calls. Rows: account, seq, event_time, at (ms), kind (request, response, failure, or a note that
+    changes nothing), tag, cost, in this order.
 
     A request is ``cached`` where its tag was answered; otherwise the first of these refuses it: ``cost`` (spent and reserve exceed the
     cap), ``unpriced`` (an answer without a cost came), ``unresolved`` (the tag was started before), ``calls`` (cap reached). Else it is
@@ -41,44 +44,58 @@ class Ledger(StatefulProcessor):
         return next((name for name, hit in rules if hit), None)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        last, calls, cost, unpriced = self.totals.get() if self.totals.exists() else (-1, 0, 0.0, 0)
-        for r in sorted(rows, key=lambda r: r["seq"]):
+        known = self.totals.get() if self.totals.exists() else None
+        last, calls, cost, unpriced = known or (-1, 0, 0.0, 0)
+        # every call to the state is a message: an account's tags (of calls started, so at most the cap) are read once and written once
+        tags = {slot[0]: tuple(v) for slot, v in self.tags.iterator()} if known and calls else {}
+        before = dict(tags)
+        for _, seq, _, at, kind, tag, price in sorted(rows, key=itemgetter(1)):
             said = []
-            tag, slot = r["tag"], (r["tag"],)
-            status, started, deadline = self.tags.getValue(slot) if r["kind"] != "note" and self.tags.containsKey(slot) else (None, None, None)
-            if r["seq"] <= last:
-                said.append((r["seq"], "repeated"))
-            elif r["kind"] != "note":
-                if status == "started" and r["at"] > deadline:
+            status, started, deadline = tags.get(tag, (None, None, None)) if kind != "note" else (None, None, None)
+            if seq <= last:
+                said.append((seq, "repeated"))
+            elif kind != "note":
+                if status == "started" and at > deadline:
                     said.append((started, "timeout"))
                     status = "timeout"
-                    self.tags.updateValue(slot, (status, started, deadline))
-                if r["kind"] == "request":
+                    tags[tag] = (status, started, deadline)
+                if kind == "request":
                     outcome = self.refused(status, calls, cost, unpriced)
                     if outcome is None:
-                        outcome, calls, deadline = "started", calls + 1, r["at"] + self.patience
-                        self.tags.updateValue(slot, ("started", r["seq"], deadline))
-                        self.handle.registerTimer(deadline)
+                        outcome, calls, deadline = "started", calls + 1, at + self.patience
+                        tags[tag] = ("started", seq, deadline)
                 elif status == "started":
-                    outcome = r["kind"]
-                    self.tags.updateValue(slot, ("done" if outcome == "response" else "failed", started, deadline))
+                    outcome = kind
+                    tags[tag] = ("done" if outcome == "response" else "failed", started, deadline)
                     if outcome == "response":
-                        cost, unpriced = cost + (r["cost"] or 0.0), unpriced + (r["cost"] is None)
+                        cost, unpriced = cost + (price or 0.0), unpriced + (price is None)
                 else:
                     outcome = "expired" if status == "timeout" else "orphan"
-                said.append((r["seq"], outcome))
-            last = max(last, r["seq"])
-            for seq, outcome in said:
+                said.append((seq, outcome))
+            last = max(last, seq)
+            for told, outcome in said:
                 plain = outcome in ("timeout", "repeated")
-                yield Row(account=key[0], seq=seq, tag=tag, outcome=outcome, calls=None if plain else calls, cost=None if plain else cost)
+                yield OUTCOME(key[0], told, tag, outcome, None if plain else calls, None if plain else cost)
+        for tag, v in tags.items():
+            if before.get(tag) != v:
+                self.tags.updateValue((tag,), v)
+        new = [v[2] for tag, v in tags.items() if v[0] == "started" and before.get(tag) != v]
+        old = [v[2] for v in before.values() if v[0] == "started"]
+        if new and (not old or min(new) < min(old)):  # an account has a timer for its first deadline; the next follows when it fires
+            self.handle.registerTimer(min(new))
         self.totals.update((last, calls, cost, unpriced))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
+        due = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        waiting = []
         for (tag,), (status, started, deadline) in list(self.tags.iterator()):
             if status == "started" and deadline <= due:
                 self.tags.updateValue((tag,), ("timeout", started, deadline))
-                yield Row(account=key[0], seq=started, tag=tag, outcome="timeout", calls=None, cost=None)
+                yield OUTCOME(key[0], started, tag, "timeout", None, None)
+            elif status == "started":
+                waiting.append(deadline)
+        if waiting:
+            self.handle.registerTimer(min(waiting))
 
     def close(self) -> None:
         pass

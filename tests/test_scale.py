@@ -68,3 +68,56 @@ def test_bootstrap_draws_in_arrays_are_those_in_sql(spark):
     u = draws.uniform(F.lit("t"), F.col("id"))
     for r in rows.select("n", "p", u.alias("u"), draws.binomial(F.col("n").cast("long"), F.col("p"), u).alias("k")).collect():
         assert draws.count_of(r["n"], r["p"], r["u"]) == r["k"], r
+
+
+class State:
+    """State that counts its messages."""
+
+    def __init__(self):
+        self.messages, self.values, self.timers, self.total = 0, {}, [], None
+
+    getValueState = getMapState = lambda self, name, *schema: Held(self, name)
+
+    def registerTimer(self, at):
+        self.messages += 1
+        self.timers.append(at)
+
+
+class Held:
+    def __init__(self, state, name):
+        self.state, self.name, self.of = state, name, state.values.setdefault(name, {})
+
+    def said(self, value=None):
+        self.state.messages += 1
+        return value
+
+    exists = lambda self: self.said(None in self.of)
+    get = lambda self: self.said(self.of[None])
+    update = lambda self, v: self.said(self.of.__setitem__(None, v))
+    containsKey = lambda self, k: self.said(k in self.of)
+    getValue = lambda self, k: self.said(self.of[k])
+    updateValue = lambda self, k, v: self.said(self.of.__setitem__(k, v))
+    iterator = lambda self: self.said(iter(list(self.of.items())))
+
+
+class At:
+    def __init__(self, at):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_a_ledger_reads_and_writes_its_state_once():
+    from pyspark.sql import Row
+
+    from corpuscraft.streaming.ledger import Ledger
+
+    row = Row("account", "seq", "event_time", "at", "kind", "tag", "cost")
+    machine, state = Ledger(50, 1e9, 1, 100), State()
+    machine.init(state)
+    rows = [row(1, k, None, 10 * k, "request" if k < 4 else "failure", k % 4, 1.0) for k in range(60)]
+    said = list(machine.handleInputRows((1,), iter(rows), At(0)))
+    assert [r["outcome"] for r in said][:8] == ["started"] * 4 + ["failure"] * 4 and len(said) == 60
+    assert state.messages <= 3 + 4 + 1
+    late = [row(1, 100 + k, None, 1000 + 50 * k, "request", 10 + k, 1.0) for k in range(3)]
+    assert [r["outcome"] for r in machine.handleInputRows((1,), iter(late), At(0))] == ["started"] * 3 and state.timers[-1] == 1100
+    assert [r["tag"] for r in machine.handleExpiredTimer((1,), At(1150), At(1150))] == [10, 11] and state.timers[-1] == 1200  # all that are due, then the next
+    assert [r["tag"] for r in machine.handleExpiredTimer((1,), At(1200), At(1200))] == [12]
