@@ -50,20 +50,28 @@ def audit(ledger: DataFrame, plan: DataFrame) -> DataFrame:
     failed = in_order(failures, "packet").withColumnRenamed("ids", "failed_ids")
     twice = lambda c: ledger.groupBy(c).agg((F.count(F.lit(1)) > 1).alias(f"{c}_twice"))
     before = ledger.select((F.col("seq") + 1).alias("seq"), body_digest().alias("digest_before"), F.struct("packet", "attempt").alias("before"))
-    rows = ledger.join(whole, "packet", "left").join(failed, "packet", "left").join(twice("tag"), "tag", "left").join(twice("response_id"), "response_id", "left").join(before, "seq", "left").join(judged(ledger, plan), "seq", "left")
     valid = F.filter("receipts", lambda c: F.coalesce((c >= 0) & (c < float("inf")), F.lit(False)))
     told = F.array_sort(F.transform("decisions", lambda d: F.struct(d["id"].alias("id"), d["accepted"].alias("accepted"))))
     asked = F.when(F.col("attempt") == 0, F.col("packet_ids")).otherwise(F.coalesce("failed_ids", F.array().cast("array<string>")))
-    holds = {
-        "plan": F.col("packet_ids").isNotNull() & F.col("attempt").isin(0, 1),
-        "tag": (F.col("tag") == tag_of(F.col("packet"), F.col("attempt"))) & ~F.col("tag_twice"),
-        "requested": (F.col("requested") == asked) & (F.size("requested") > 0),
-        "response_id": (F.length("response_id") > 0) & ~F.col("response_id_twice"),
-        "response_sha": F.col("response_sha") == F.sha2("raw", 256),
-        "cost": F.col("cost") == F.array_max(valid),
-        "decisions": told == F.col("again"),
-        "chain": F.when(F.col("seq") == 1, F.col("previous").isNull()).otherwise(F.col("previous") == F.col("digest_before")),
-        "order": F.when(F.col("seq") == 1, True).otherwise(F.col("before") < F.struct("packet", "attempt")),
-    }
-    faults = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in holds.items()]), lambda x: x.isNotNull())
+    sure = lambda ok: F.coalesce(ok, F.lit(False))
+    # what a record's own packet tells is told first, so that lists and responses go through no further join
+    own = ledger.join(whole, "packet", "left").join(failed, "packet", "left").select(
+        "seq", "packet", "attempt", "tag", "response_id", "previous", told.alias("told"),
+        sure(F.col("packet_ids").isNotNull() & F.col("attempt").isin(0, 1)).alias("plan"),
+        sure(F.col("tag") == tag_of(F.col("packet"), F.col("attempt"))).alias("tag_own"),
+        sure((F.col("requested") == asked) & (F.size("requested") > 0)).alias("requested"),
+        sure(F.length("response_id") > 0).alias("response_id_own"),
+        sure(F.col("response_sha") == F.sha2("raw", 256)).alias("response_sha"),
+        sure(F.col("cost") == F.array_max(valid)).alias("cost"),
+    )
+    placed = own.join(before, "seq", "left").join(judged(ledger, plan), "seq", "left").select(
+        "seq", "tag", "response_id", "plan", "tag_own", "requested", "response_id_own", "response_sha", "cost",
+        sure(F.col("told") == F.col("again")).alias("decisions"),
+        sure(F.when(F.col("seq") == 1, F.col("previous").isNull()).otherwise(F.col("previous") == F.col("digest_before"))).alias("chain"),
+        sure(F.when(F.col("seq") == 1, True).otherwise(F.col("before") < F.struct("packet", "attempt"))).alias("order"),
+    )
+    rows = placed.join(twice("tag"), "tag", "left").join(twice("response_id"), "response_id", "left")
+    once = lambda c: F.col(f"{c}_own") & ~F.col(f"{c}_twice")
+    holds = {c: once(c) if c in ("tag", "response_id") else F.col(c) for c in ("plan", "tag", "requested", "response_id", "response_sha", "cost", "decisions", "chain", "order")}
+    faults = F.filter(F.array(*[F.when(~sure(ok), name) for name, ok in holds.items()]), lambda x: x.isNotNull())
     return rows.select("seq", F.explode(faults).alias("fault"))
