@@ -356,6 +356,25 @@ def test_bm25_skips_most_blocks(spark):
     assert asked == len(queries) * sum(-(-r["n"] // bm25.BLOCK) for r in shards) and scored < 0.5 * asked
 
 
+def test_bm25_blocks_hold_their_own_frequent_terms(spark):
+    """Of two languages' documents a block keeps products for its own words only, and results stay those of all scores."""
+    from corpuscraft.llm.words import word_hashes
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join([f"x{i % 2}"] * 9 + [f"w{i % 2}_{j}" for j in rng.integers(0, 150, rng.integers(20, 60))]) for i in range(1_500)]
+    row = bm25.index_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).first().asDict()
+    known = np.frombuffer(row["terms"], "<u8")
+    df = np.diff(np.frombuffer(row["starts"], "<i4"))
+    shard = bm25.Shard(row, known, np.log(1 + (1_500 - df + 0.5) / (df + 0.5)), np.frombuffer(row["lengths"], "<i8").mean())
+    cells, frequent = sum(len(x) for x in shard.dense), int((shard.row >= 0).sum())
+    assert 0 < cells < 0.7 * frequent * shard.blocks
+    queries = [(np.searchsorted(known, np.unique(word_hashes([texts[i]])[0])).astype(np.int32), i) for i in range(0, 1_500, 20)]
+    for floor in (0.0, 0.95):
+        want = [shard.best(terms, own, np.arange(1_500), 10, 0.0) for terms, own in queries]
+        got = shard.search(queries, 10, np.array([floor * s[-1] for _, s in want]))
+        assert all(np.array_equal(g[0], w[0]) and np.array_equal(g[1], w[1]) for g, w in zip(got, want, strict=True))
+
+
 def test_bm25_with_a_repeated_query_id(spark):
     query = "a b c d e f"
     rows = [(0, query)] * 30 + [(i, " ".join(["a b c d e", *[f"x{i}y{j}" for j in range(i)]])) for i in range(1, 60)]
