@@ -1,11 +1,13 @@
 """Queries on copies of their tables: rows over tasks, work shared by equal rows, results of SQL where small tables do not differ."""
 
+import json
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpuscraft import plans
-from corpuscraft.functions import draws, exact
+from corpuscraft.functions import algebra, draws, exact, questions
 from corpuscraft.plans import curriculum
 
 from .conftest import SF
@@ -121,3 +123,17 @@ def test_a_ledger_reads_and_writes_its_state_once():
     assert [r["outcome"] for r in machine.handleInputRows((1,), iter(late), At(0))] == ["started"] * 3 and state.timers[-1] == 1100
     assert [r["tag"] for r in machine.handleExpiredTimer((1,), At(1150), At(1150))] == [10, 11] and state.timers[-1] == 1200  # all that are due, then the next
     assert [r["tag"] for r in machine.handleExpiredTimer((1,), At(1200), At(1200))] == [12]
+
+
+def test_responses_to_every_category_are_graded(spark):
+    asked = {r["p_partkey"]: r["category"] for r in plans.queries()["question_texts"](spark, SF).select("p_partkey", "category").collect()}
+    rows = plans.queries()["graded_responses"](spark, SF).collect()
+    assert len(rows) == len(asked) and {asked[r["p_partkey"]] for r in rows} == set(questions.CATEGORIES)
+    assert all(r["outcome"] == "accepted" and r["bindings_match"] for r in rows if r["p_partkey"] % 8 == 2)
+    # a bare answer, and a misconception that happens to be right, are correct where a reviewed structure is no more than that (keys
+    # of one parity have categories of that parity)
+    assert {asked[r["p_partkey"]] for r in rows if r["p_partkey"] % 8 == 6 and r["primary_correct"]} == {"poisson_variance"}
+    assert {asked[r["p_partkey"]] for r in rows if r["p_partkey"] % 8 == 3 and r["primary_correct"]} == {"process_variance"}
+    grade = lambda raw, c, **s: algebra.grade("Expression: " + raw, c, json.dumps(s), "minutes")["outcome"]
+    assert grade("3/4", "process_variance", rate="1", duration="3/4") == grade("2/3", "interval", lower="-2", upper="2", divisor="3") == grade("(1/23)**(0)*(1-(1/23))**((3)-(0))", "binomial", n="3", r="0", p="1/23") == "accepted"
+    assert grade("(1)*(5)", "moment_variance", mean="1/23", variance="5", scale="1") == grade("(1)*((2)*(1/4))", "process_scaled", rate="2", duration="1/4", scale="1") == "equivalence_pending"
