@@ -137,8 +137,13 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     range) are added. The dealt table is written once, so that both uses see the same ranges.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1)  # the row's place in its task
-    dealt = Scratch(df.sparkSession, "numbered").put(dealt, "rows")
+    return numbered_ranges(df.repartitionByRange(*order), order, name, Scratch(df.sparkSession, "numbered"))
+
+
+def numbered_ranges(dealt: DataFrame, order: list, name: str, scratch: Scratch) -> DataFrame:
+    """The same for rows whose tasks hold ranges of the order already; they are written to ``scratch`` as "rows"."""
+    dealt = dealt.sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()).withColumn("__own", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1)  # the row's place in its task
+    dealt = scratch.put(dealt, "rows")
     sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__range", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))  # a row for each range
     return dealt.join(F.broadcast(before), "__range").withColumn(name, (F.col("__before") + F.col("__own")).cast("long")).drop("__range", "__own", "__before")

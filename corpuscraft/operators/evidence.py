@@ -1,15 +1,20 @@
-"""A ledger of attempts audited against the plan and the raw responses that it came from, in joins alone."""
+"""A ledger of attempts audited against the plan and the raw responses that it came from, in joins of few columns."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canonical
+from .shared import Scratch
 
 #: What a record's digest covers.
 BODY = ("attempt", "cost", "decisions", "packet", "raw", "receipts", "requested", "response_id", "response_sha", "seq", "tag")
 ITEMS = "items array<struct<id:string,answer:string>>"
+#: Values used twice that a join sends to every task; more of them are merged.
+FEW = 100_000
 
 
 def body_digest() -> Column:
@@ -21,19 +26,76 @@ def tag_of(packet: Column, attempt: Column) -> Column:
     return F.format_string("packet_%03d_attempt_%d", packet, attempt)
 
 
-def in_order(rows: DataFrame, key: str) -> DataFrame:
-    """key, ids: a packet's ids by place (a packet is a request's few rows)."""
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+def sure(ok: Column) -> Column:
+    return F.coalesce(ok, F.lit(False))
+
+
+def faults(rows: DataFrame, holds: dict[str, Column]) -> DataFrame:
+    """seq, fault: the names of what does not hold."""
+    return rows.select("seq", F.explode(F.filter(F.array(*[F.when(~sure(ok), name) for name, ok in holds.items()]), lambda x: x.isNotNull())).alias("fault"))
+
+
+def answered(requested: Column, raw: Column) -> Column:
+    """The requested ids, each with the raw response's answer: null where the response leaves the id out, answers it twice or is no JSON."""
+    items = F.coalesce(F.from_json(raw, ITEMS)["items"], F.array().cast("array<struct<id:string,answer:string>>"))
+
+    def one(i):
+        own = F.filter(items, lambda x: x["id"] == i)
+        return F.struct(i.alias("id"), F.when(F.size(own) == 1, F.get(own, F.lit(0))["answer"]).alias("answer"))
+
+    return F.transform(requested, one)
+
+
+def of_packets(ledger: DataFrame, plan: DataFrame) -> DataFrame:
+    """The faults that a packet's plan tells (a packet is a request's few rows): of each record only ids, their answers and the stored
+    decisions are joined."""
+    lines = plan.groupBy("packet").agg(F.array_sort(F.collect_list(F.struct("place", "id", "expected"))).alias("lines"))
+    missed = ledger.filter("attempt = 0").select("packet", F.transform(F.filter("decisions", lambda d: ~d["accepted"]), lambda d: d["id"]).alias("ids"))
+    missed = missed.filter(F.size("ids") > 0).groupBy("packet").agg(F.flatten(F.collect_list("ids")).alias("missed"))
+    told = F.array_sort(F.transform("decisions", lambda d: F.struct(d["id"].alias("id"), d["accepted"].alias("accepted"))))
+    rows = ledger.select("seq", "packet", "attempt", answered(F.col("requested"), F.col("raw")).alias("asked"), told.alias("told")).join(lines, "packet", "left").join(missed, "packet", "left")
+    kind = dict(plan.dtypes)
+    known = F.coalesce("lines", F.array().cast(f"array<struct<place:{kind['place']},id:{kind['id']},expected:{kind['expected']}>>"))
+    of = lambda i: F.filter(known, lambda p: p["id"] == i)
+    failed = F.array_sort(F.flatten(F.transform("missed", lambda i: F.transform(of(i), lambda p: F.struct(p["place"].alias("place"), p["id"].alias("id"))))))
+    due = F.when(F.col("attempt") == 0, F.transform("lines", lambda p: p["id"])).otherwise(F.coalesce(F.transform(failed, lambda p: p["id"]), F.array().cast("array<string>")))
+
+    def judged(a):
+        """An id with whether its answer is the plan's, for each line of the packet that has it; an id of no line is not accepted."""
+        one = lambda ok: F.struct(a["id"].alias("id"), ok.alias("accepted"))
+        return F.when(F.size(of(a["id"])) == 0, F.array(one(F.lit(False)))).otherwise(F.transform(of(a["id"]), lambda p: one(sure(a["answer"] == p["expected"]))))
+
+    again = F.array_sort(F.flatten(F.transform("asked", judged)))
+    return faults(
+        rows,
+        {
+            "plan": F.col("lines").isNotNull() & F.col("attempt").isin(0, 1),
+            "requested": (F.transform("asked", lambda a: a["id"]) == due) & (F.size("asked") > 0),
+            "decisions": (F.col("told") == again) & (F.size("asked") > 0),
+        },
+    )
 
 
-def judged(ledger: DataFrame, plan: DataFrame) -> DataFrame:
-    """seq, again: every requested id with whether the raw response answers it as the plan expects. An id that the response leaves
-    out or answers twice, and every id of a response that is no JSON, is not accepted."""
-    answers = ledger.select("seq", F.explode(F.from_json("raw", ITEMS)["items"]).alias("x")).groupBy("seq", F.col("x.id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.first("x.answer").alias("answer"))
-    asked = ledger.select("seq", "packet", F.explode("requested").alias("id"))
-    both = asked.join(plan.select("packet", "id", "expected"), ["packet", "id"], "left").join(answers, ["seq", "id"], "left")
-    ok = F.coalesce((F.col("n") == 1) & (F.col("answer") == F.col("expected")), F.lit(False))
-    return both.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("id", ok.alias("accepted")))).alias("again"))
+def of_neighbours(ledger: DataFrame) -> DataFrame:
+    """The faults that the record before tells: its digest (as bytes) and its packet and attempt."""
+    hexadecimal = F.when(F.col("previous").rlike("^[0-9a-f]{64}$"), F.unhex("previous"))
+    own = ledger.select("seq", "packet", "attempt", F.col("previous").isNull().alias("bare"), hexadecimal.alias("previous"))
+    before = ledger.select((F.col("seq") + 1).alias("seq"), F.unhex(body_digest()).alias("digest_before"), F.struct("packet", "attempt").alias("before"))
+    first = F.col("seq") == 1
+    return faults(
+        own.join(before, "seq", "left"),
+        {
+            "chain": F.when(first, F.col("bare")).otherwise(F.col("previous") == F.col("digest_before")),
+            "order": F.when(first, True).otherwise(F.col("before") < F.struct("packet", "attempt")),
+        },
+    )
+
+
+def used_twice(ledger: DataFrame, column: str, holds: Column, scratch: Scratch) -> DataFrame:
+    """The faults of values that are right by themselves (``holds``) but that another record has too."""
+    twice = scratch.put(ledger.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(column), f"twice-{column}")
+    twice = twice.hint("broadcast" if twice.limit(FEW + 1).count() <= FEW else "merge")
+    return ledger.filter(sure(holds)).select("seq", column).join(twice, column, "left_semi").select("seq", F.lit(column).alias("fault"))
 
 
 def audit(ledger: DataFrame, plan: DataFrame) -> DataFrame:
@@ -44,34 +106,12 @@ def audit(ledger: DataFrame, plan: DataFrame) -> DataFrame:
     attempt asks for its whole packet in order, a retry for exactly the failures of the first one in that order), ``response_id``
     (missing or used twice), ``response_sha``, ``cost`` (not the greatest valid receipt), ``decisions`` (not those of the raw response),
     ``chain`` (not the digest of the record before, or a gap), ``order`` (packets and attempts do not ascend).
+
+    Each kind of fault is told from the columns it needs and the kinds are put together by a union, so whole records are never shuffled.
     """
-    whole = in_order(plan, "packet").withColumnRenamed("ids", "packet_ids")
-    failures = ledger.filter("attempt = 0").select("packet", F.explode("decisions").alias("d")).filter("not d.accepted").select("packet", F.col("d.id").alias("id")).join(plan.select("packet", "id", "place"), ["packet", "id"])
-    failed = in_order(failures, "packet").withColumnRenamed("ids", "failed_ids")
-    twice = lambda c: ledger.groupBy(c).agg((F.count(F.lit(1)) > 1).alias(f"{c}_twice"))
-    before = ledger.select((F.col("seq") + 1).alias("seq"), body_digest().alias("digest_before"), F.struct("packet", "attempt").alias("before"))
     valid = F.filter("receipts", lambda c: F.coalesce((c >= 0) & (c < float("inf")), F.lit(False)))
-    told = F.array_sort(F.transform("decisions", lambda d: F.struct(d["id"].alias("id"), d["accepted"].alias("accepted"))))
-    asked = F.when(F.col("attempt") == 0, F.col("packet_ids")).otherwise(F.coalesce("failed_ids", F.array().cast("array<string>")))
-    sure = lambda ok: F.coalesce(ok, F.lit(False))
-    # what a record's own packet tells is told first, so that lists and responses go through no further join
-    own = ledger.join(whole, "packet", "left").join(failed, "packet", "left").select(
-        "seq", "packet", "attempt", "tag", "response_id", "previous", told.alias("told"),
-        sure(F.col("packet_ids").isNotNull() & F.col("attempt").isin(0, 1)).alias("plan"),
-        sure(F.col("tag") == tag_of(F.col("packet"), F.col("attempt"))).alias("tag_own"),
-        sure((F.col("requested") == asked) & (F.size("requested") > 0)).alias("requested"),
-        sure(F.length("response_id") > 0).alias("response_id_own"),
-        sure(F.col("response_sha") == F.sha2("raw", 256)).alias("response_sha"),
-        sure(F.col("cost") == F.array_max(valid)).alias("cost"),
-    )
-    placed = own.join(before, "seq", "left").join(judged(ledger, plan), "seq", "left").select(
-        "seq", "tag", "response_id", "plan", "tag_own", "requested", "response_id_own", "response_sha", "cost",
-        sure(F.col("told") == F.col("again")).alias("decisions"),
-        sure(F.when(F.col("seq") == 1, F.col("previous").isNull()).otherwise(F.col("previous") == F.col("digest_before"))).alias("chain"),
-        sure(F.when(F.col("seq") == 1, True).otherwise(F.col("before") < F.struct("packet", "attempt"))).alias("order"),
-    )
-    rows = placed.join(twice("tag"), "tag", "left").join(twice("response_id"), "response_id", "left")
-    once = lambda c: F.col(f"{c}_own") & ~F.col(f"{c}_twice")
-    holds = {c: once(c) if c in ("tag", "response_id") else F.col(c) for c in ("plan", "tag", "requested", "response_id", "response_sha", "cost", "decisions", "chain", "order")}
-    faults = F.filter(F.array(*[F.when(~sure(ok), name) for name, ok in holds.items()]), lambda x: x.isNotNull())
-    return rows.select("seq", F.explode(faults).alias("fault"))
+    own = {"tag": F.col("tag") == tag_of(F.col("packet"), F.col("attempt")), "response_id": F.length("response_id") > 0}
+    alone = faults(ledger, {**own, "response_sha": F.col("response_sha") == F.sha2("raw", 256), "cost": F.col("cost") == F.array_max(valid)})
+    scratch = Scratch(ledger.sparkSession, "audit")
+    kinds = [alone, of_packets(ledger, plan), of_neighbours(ledger), *[used_twice(ledger, c, ok, scratch) for c, ok in own.items()]]
+    return reduce(DataFrame.unionByName, kinds)

@@ -464,30 +464,44 @@ def generator_critic(t):
 PLANTED = ("cost", "response_id", "response_sha", "requested", "tag", "decisions", "chain")
 
 
+#: Records that are chained together in one window.
+LINKED = 2_048
+
+
 def attempt_ledger(t):
     """(plan, ledger): orders as packets of lines to be answered with their quantity. A first answer is wrong where the discount is
-    over 0.08, and asked again; one record in 19 of each kind is then spoilt in one way. Written as a table before it is audited."""
-    whole = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"), *[F.max(c).alias(c) for c in ("l_discount", "l_tax", "l_extendedprice")])
-    lines = whole.select(F.col("l_orderkey").alias("packet"), F.col("l_linenumber").alias("place"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_quantity").cast("long").cast("string").alias("expected"), (F.col("l_discount") > 0.08).alias("fails"), (F.col("l_tax") > 0.07).alias("fails_again"), (F.col("l_extendedprice") % 7).alias("price"))
+    over 0.08, and asked again; one record in 19 of each kind is then spoilt in one way. Written as a table before it is audited.
+
+    Lines are dealt once, by ranges of their packets, and numbered there; records are written out only where they are chained, each
+    run of them with a copy of the record before it."""
+    line = lambda dealt: dealt.groupBy(F.col("l_orderkey").alias("packet"), F.col("l_linenumber").alias("place"))
+    expected = F.min("l_quantity").cast("long").cast("string").alias("expected")
+    id_of = lambda packet, place: F.concat_ws("-", packet.cast("string"), place.cast("string"))
+    plan = line(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity").repartition("l_orderkey")).agg(expected).select("packet", "place", id_of(F.col("packet"), F.col("place")).alias("id"), "expected")
+    dealt = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice").repartitionByRange("l_orderkey")
+    lines = line(dealt).agg(expected, (F.max("l_discount") > 0.08).alias("fails"), (F.max("l_tax") > 0.07).alias("fails_again"), (F.max("l_extendedprice") % 7).alias("price"))
     tries = lines.select("*", F.explode(F.when(F.col("fails"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("attempt"))
     bad = F.when(F.col("attempt") == 0, F.col("fails")).otherwise(F.col("fails_again"))
-    one = F.struct("place", "id", F.when(bad, F.concat(F.lit("not "), "expected")).otherwise(F.col("expected")).alias("answer"), (~bad).alias("accepted"))
-    made = tries.groupBy("packet", "attempt").agg(F.array_sort(F.collect_list(one)).alias("x"), F.max("price").alias("paid"))
-    n = core.numbered(made, ["packet", "attempt"], "seq")
-    raw = F.to_json(F.struct(F.transform("x", lambda e: F.struct(e["id"].alias("id"), e["answer"].alias("answer"))).alias("items")))
-    ids, told = F.transform("x", lambda e: e["id"]), F.transform("x", lambda e: F.struct(e["id"].alias("id"), e["accepted"].alias("accepted")))
+    made = tries.groupBy("packet", "attempt").agg(F.array_sort(F.collect_list(F.struct("place", "expected", bad.alias("bad")))).alias("x"), F.max("price").alias("paid"))
+    scratch = Scratch(made.sparkSession, "ledger")
+    n = core.numbered_ranges(made, ["packet", "attempt"], "seq", scratch)
+    run = F.floor(F.col("seq") / LINKED)
+    runs = n.select("*", F.explode(F.when(F.col("seq") % LINKED == LINKED - 1, F.array(run, run + 1)).otherwise(F.array(run))).alias("run")).repartition("run").sortWithinPartitions("run", "seq")
+    id_at = lambda e: id_of(F.col("packet"), e["place"]).alias("id")
+    raw = F.to_json(F.struct(F.transform("x", lambda e: F.struct(id_at(e), F.when(e["bad"], F.concat(F.lit("not "), e["expected"])).otherwise(e["expected"]).alias("answer"))).alias("items")))
+    ids, told = F.transform("x", id_at), F.transform("x", lambda e: F.struct(id_at(e), (~e["bad"]).alias("accepted")))
     hit = lambda k: F.col("seq") % 19 == PLANTED.index(k)
-    spoilt = n.select(
-        "seq", "packet", F.col("attempt").cast("long").alias("attempt"),
+    spoilt = runs.select(
+        "run", "seq", "packet", F.col("attempt").cast("long").alias("attempt"),
         F.concat(evidence.tag_of(F.col("packet"), F.col("attempt").cast("long")), F.when(hit("tag"), "x").otherwise("")).alias("tag"), F.when(hit("requested"), F.slice(ids, 1, F.size(ids) - 1)).otherwise(ids).alias("requested"), raw.alias("raw"), F.when(hit("response_sha"), "0").otherwise(F.sha2(raw, 256)).alias("response_sha"),
         F.when(hit("response_id"), "").otherwise(F.concat(F.lit("r"), F.col("seq").cast("string"))).alias("response_id"), F.array("paid", F.col("paid") / 2, F.lit(None).cast("double")).alias("receipts"), (F.col("paid") + F.when(hit("cost"), 1).otherwise(0)).alias("cost"),
         F.when(hit("decisions") & (F.col("attempt") == 1), F.transform(told, lambda d: F.struct(d["id"].alias("id"), (~d["accepted"]).alias("accepted")))).otherwise(told).alias("decisions"),
     )
-    scratch = Scratch(n.sparkSession, "ledger")
-    bodies = scratch.put(spoilt.withColumn("digest", evidence.body_digest()), "bodies")
-    before = bodies.select((F.col("seq") + 1).alias("seq"), F.col("digest").alias("previous"))
-    linked = bodies.drop("digest").join(before, "seq", "left").withColumn("previous", F.when(hit("chain") & (F.col("seq") > 1), "0").otherwise(F.col("previous")))
-    return lines.select("packet", "place", "id", "expected"), scratch.put(linked, "attempts")
+    before = F.lag(evidence.body_digest()).over(Window.partitionBy("run").orderBy("seq"))
+    linked = spoilt.withColumn("previous", before).filter(F.col("run") == run).drop("run").withColumn("previous", F.when(hit("chain") & (F.col("seq") > 1), "0").otherwise(F.col("previous")))
+    ledger = scratch.put(linked, "attempts")
+    scratch.drop("rows")
+    return plan, ledger
 
 
 @query("""

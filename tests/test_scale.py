@@ -1,5 +1,6 @@
 """Queries on copies of their tables: rows over tasks, work shared by equal rows, results of SQL where small tables do not differ."""
 
+import hashlib
 import json
 
 import duckdb
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuscraft import plans
 from corpuscraft.functions import algebra, draws, exact, questions
+from corpuscraft.operators.shared import Scratch
 from corpuscraft.plans import curriculum
 
 from .conftest import SF
@@ -137,3 +139,25 @@ def test_responses_to_every_category_are_graded(spark):
     grade = lambda raw, c, **s: algebra.grade("Expression: " + raw, c, json.dumps(s), "minutes")["outcome"]
     assert grade("3/4", "process_variance", rate="1", duration="3/4") == grade("2/3", "interval", lower="-2", upper="2", divisor="3") == grade("(1/23)**(0)*(1-(1/23))**((3)-(0))", "binomial", n="3", r="0", p="1/23") == "accepted"
     assert grade("(1)*(5)", "moment_variance", mean="1/23", variance="5", scale="1") == grade("(1)*((2)*(1/4))", "process_scaled", rate="2", duration="1/4", scale="1") == "equivalence_pending"
+
+
+def test_an_audit_shuffles_no_whole_records(spark):
+    """No shuffle of the audit holds a record's raw text, digests as text or receipts; values that many records repeat are told."""
+    from corpuscraft.operators import evidence
+
+    plan = spark.createDataFrame([(p, 0, f"q{p}", "1") for p in range(40)], "packet long, place int, id string, expected string")
+    raw = [json.dumps({"items": [{"id": f"q{p}", "answer": "1"}]}) for p in range(40)]
+    rows = spark.createDataFrame(
+        [(p + 1, p, 0, f"packet_{p:03d}_attempt_0", [f"q{p}"], raw[p], hashlib.sha256(raw[p].encode()).hexdigest(), f"r{p // 2 if p > 35 else p}", [1.0], 1.0, [(f"q{p}", True)]) for p in range(40)],
+        "seq long, packet long, attempt long, tag string, requested array<string>, raw string, response_sha string, response_id string, receipts array<double>, cost double, decisions array<struct<id:string,accepted:boolean>>",
+    ).withColumn("digest", evidence.body_digest())
+    back = rows.select((F.col("seq") + 1).alias("seq"), F.col("digest").alias("previous"))
+    ledger = Scratch(spark, "test").put(rows.drop("digest").join(back, "seq", "left"), "ledger")
+    found = evidence.audit(ledger, plan)
+    assert sorted(map(tuple, found.collect())) == [(s, "response_id") for s in (19, 20, 37, 38, 39, 40)]
+    shuffled, todo = [], [evidence.audit(ledger, plan)._jdf.queryExecution().executedPlan().initialPlan()]
+    while todo:
+        x = todo.pop()
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+        shuffled += [x.output().mkString(" ")] if x.nodeName() == "Exchange" else []
+    assert shuffled and not any(c in x for x in shuffled for c in ("raw#", "response_sha#", "receipts#"))
