@@ -798,3 +798,23 @@ def test_hypergeometric_draws(spark):
         assert abs(got.get(x, 0) / reps - p) < 5 * math.sqrt(p * (1 - p) / reps) + 1e-4
     ends = spark.range(50).select(draw(10, 10, 4).alias("a"), draw(10, 0, 4).alias("b"), draw(10, 4, 10).alias("c"), draw(10, 7, 5).alias("d"), draw(10**9, 5 * 10**8, 5 * 10**8).alias("e")).collect()
     assert all(r["a"] == 4 and r["b"] == 0 and r["c"] == 4 and 2 <= r["d"] <= 5 and abs(r["e"] - 25 * 10**7) < 80_000 for r in ends)
+
+
+def test_exact_scores_are_the_same_from_slices_and_positions(monkeypatch):
+    import numpy as np
+
+    from corpuscraft.llm import bm25
+
+    rng = np.random.default_rng(5)
+    known = np.arange(50, dtype=np.uint64)
+    sets = [np.sort(rng.choice(50, 1 + i % 20, replace=False)) for i in range(90)]
+    cells = bm25.build(list(range(90)), [len(x) for x in sets], np.repeat(np.arange(90), [len(x) for x in sets]).astype(np.int32), np.concatenate(sets).astype(np.uint64), np.ones(sum(map(len, sets)), dtype=np.int32))
+    row = dict(zip([c.split()[0] for c in bm25.SHARD.split(", ")], [0, True, 90, *cells], strict=True))
+    shard = bm25.Shard(row, known, rng.random(50), 10.0)
+    terms = np.sort(rng.choice(50, 20, replace=False)).astype(np.int32)
+    for docs in (np.arange(90), np.array([3, 70, 8]), np.zeros(0, dtype=np.int64)):
+        got = []
+        for most in (0, 1_000):
+            monkeypatch.setattr(bm25, "SLICES", most)
+            got.append(shard.exact(terms, docs).tobytes())
+        assert got[0] == got[1] and len(got[0]) == 8 * len(docs)
